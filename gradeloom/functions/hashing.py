@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MODULUS = 2147483647
 
 
-def portable_hash(replicate: Column, item: Column, seed: int) -> Column:
-    """Uniform integer in [0, MODULUS) from (replicate, item, seed)."""
-    b, i = replicate.cast("bigint"), item.cast("bigint")
-    x0 = (b * 40014 + i * 40692 + F.lit(seed).cast("bigint")) % MODULUS
-    x1 = ((x0 * x0) % MODULUS + x0 * 16807 + i * 99991) % MODULUS
-    return ((x1 * x1) % MODULUS + x1 * 48271) % MODULUS
+def with_draw(df: DataFrame, replicate: str, item: str, seed: int, out: str = "draw") -> DataFrame:
+    """Add a uniform integer in [0, MODULUS) made from (replicate, item, seed).
+
+    Each step is its own column, because a step is read several times by the
+    next and must not be expanded into it.
+    """
+    i = F.col(item).cast("bigint")
+    x0, x1 = F.col("_x0"), F.col("_x1")
+    steps = df.withColumn("_x0", (F.col(replicate).cast("bigint") * 40014 + i * 40692 + F.lit(seed).cast("bigint")) % MODULUS)
+    steps = steps.withColumn("_x1", ((x0 * x0) % MODULUS + x0 * 16807 + i * 99991) % MODULUS)
+    return steps.withColumn(out, ((x1 * x1) % MODULUS + x1 * 48271) % MODULUS).drop("_x0", "_x1")
 
 
 def text_key(text: Column) -> Column:
