@@ -55,7 +55,7 @@ def _weighted(units: DataFrame, keys: list[str], count: int, seed: int) -> DataF
     # one narrow row moves once to spread `count` draws of work
     reps = spread(rows, "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     weighted = with_draw(reps, "b", "_k", seed).withColumn("w", poisson_weight(F.col("draw")))
-    sums = weighted.filter("w > 0").groupBy(*keys, "b").agg(
+    sums = weighted.groupBy(*keys, "b").agg(
         F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c"))
     return sums.select(*keys, "b", (F.col("s") / F.nullif(F.col("c"), F.lit(0))).alias("mean"))
 

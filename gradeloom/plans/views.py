@@ -192,3 +192,156 @@ FROM latest s JOIN tasks t ON t.task_id = s.task_id, LATERAL (
   SELECT c0.candidate AS candidate, trim(regexp_replace(c0.candidate, '\\s+', ' ', 'g')) AS cn,
          trim(regexp_replace(t.buggy, '\\s+', ' ', 'g')) AS bn,
          trim(regexp_replace(t.reference_fix, '\\s+', ' ', 'g')) AS rn) c""", ("latest", "tasks"))
+
+
+# ---------------------------------------------------------------- sessions
+SUFFIXES = {
+    0: "\ndef load(path):\n    data = read(path)\n    if not data:\n        return None\n    return data",
+    1: "\n```python\nvalue = compute(x)\n```\n",
+    2: "\nstill not working, same error",
+    4: "\nplease fix the crash in load, try another path instead",
+}
+EXTENSIONS = ("py", "js", "ts", "json", "md")
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as session messages; one literal suffix per message gives the prose some code."""
+    c = read(spark, sf, "conversations")
+    slot = (F.col("conv_id") + F.col("turn")) % 6
+    suffix = F.lit("")
+    for value, text in SUFFIXES.items():
+        suffix = F.when(slot == value, text).otherwise(suffix)
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role",
+                    F.concat("text", suffix).alias("text"), slot.alias("slot"),
+                    (F.col("conv_id") * 100000 + F.col("turn")).alias("ingest_seq"))
+
+
+sql_view("sessions", "SELECT conv_id AS session_id, turn AS ts, role, text || CASE (conv_id + turn) % 6 "
+         + " ".join(f"WHEN {v} THEN {literal(t)}" for v, t in SUFFIXES.items())
+         + " ELSE '' END AS text, (conv_id + turn) % 6 AS slot, conv_id * 100000 + turn AS ingest_seq FROM conversations")
+
+
+def session_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns as edits: the previous turn's text becomes this turn's text."""
+    s = sessions(spark, sf)
+    prev = s.select("session_id", (F.col("ts") + 1).alias("ts"), F.col("text").alias("buggy"))
+    ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("session_id") % 5).cast("int"))
+    path = F.concat(F.when(F.col("ts") % 4 == 1, "src/mod").otherwise("tests/test_mod"),
+                    (F.col("session_id") % 7).cast("string"), F.lit("."), ext)
+    return s.filter("role = 'assistant'").join(prev, ["session_id", "ts"]).select(
+        "session_id", "ts", "ingest_seq", path.alias("path"), "buggy", F.col("text").alias("fixed"))
+
+
+sql_view("session_edits", f"""
+SELECT s.session_id, s.ts, s.ingest_seq, CASE WHEN s.ts % 4 = 1 THEN 'src/mod' ELSE 'tests/test_mod' END || (s.session_id % 7) || '.'
+  || {list(EXTENSIONS)}[(s.session_id % 5)::INT + 1] AS path, p.text AS buggy, s.text AS fixed
+FROM sessions s JOIN sessions p ON p.session_id = s.session_id AND p.ts = s.ts - 1 WHERE s.role = 'assistant'""", ("sessions",))
+sql_view("goals", """
+SELECT e.*, coalesce(m.text, '') AS goal, coalesce(m.ts, 0) AS goal_ts FROM session_edits e ASOF LEFT JOIN
+  (SELECT * FROM sessions WHERE role = 'user' AND length(text) > 0) m ON m.session_id = e.session_id AND m.ts <= e.ts""",
+         ("session_edits",))
+
+
+def session_info(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("session_id")).distinct().select(
+        "session_id", F.concat(F.lit("session "), F.col("session_id").cast("string"), F.lit(" async lock")).alias("title"),
+        F.concat(F.lit("/work/p"), (F.col("session_id") % 3).cast("string")).alias("directory"),
+        F.when(F.col("session_id") % 4 < 3, F.concat(F.lit("p"), (F.col("session_id") % 4).cast("string"))).alias("project_id"))
+
+
+sql_view("session_info", """
+SELECT DISTINCT conv_id AS session_id, 'session ' || conv_id || ' async lock' AS title, '/work/p' || (conv_id % 3) AS directory,
+  CASE WHEN conv_id % 4 < 3 THEN 'p' || (conv_id % 4) END AS project_id FROM conversations""")
+
+
+# ---------------------------------------------------------------- transcript parts
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """sessions wrapped as transcript JSON: text parts and read, write, edit and bash tool calls."""
+    s = sessions(spark, sf)
+    prev = s.select("session_id", (F.col("ts") + 1).alias("ts"), F.col("text").alias("prev"))
+    s = s.join(prev, ["session_id", "ts"], "left")
+    tool = F.get(F.array(*[F.lit(t) for t in ("read", "write", "edit", "bash")]), (F.col("slot") % 4).cast("int"))
+    path = F.concat(F.lit("/work/src/mod"), (F.col("session_id") % 7).cast("string"), F.lit(".py"))
+    body = F.split("text", "\n", -1)
+    numbered = F.array_join(F.transform(body, lambda l, i: F.concat((i + 1).cast("string"), F.lit(": "), l)), "\n")
+    total = F.size(body).cast("string")
+    footer = (F.when(F.col("session_id") % 3 == 0, F.concat(F.lit("\n(Showing lines 1-"), total, F.lit(" of "), total, F.lit(". End)")))
+              .when(F.col("session_id") % 3 == 1, F.concat(F.lit("\n(Showing lines 1-2 of "), total, F.lit("0. More)"))).otherwise(""))
+    output = F.concat(F.lit("<path>"), path, F.lit("</path>\n<type>file</type>\n<content>\n"), numbered, footer, F.lit("\n</content>"))
+    is_text = F.col("role") != "assistant"
+    use = lambda name, col: F.when(~is_text & (tool == name), col)
+    status = F.when(F.col("ts") % 5 == 4, "error").when(F.col("ts") % 5 != 3, "completed")
+    data = F.to_json(F.struct(
+        F.when(is_text, "text").otherwise("tool").alias("type"), F.when(~is_text, tool).alias("tool"),
+        F.when(is_text, F.col("text")).alias("text"),
+        F.when(~is_text, F.struct(status.alias("status"), use("read", output).alias("output"), F.struct(
+            F.when(~is_text & (tool != "bash"), path).alias("filePath"), use("write", F.col("text")).alias("content"),
+            use("edit", F.col("prev")).alias("oldString"), use("edit", F.col("text")).alias("newString"),
+            use("bash", F.lit("git restore .")).alias("command")).alias("input"))).alias("state")))
+    return s.select(F.col("ingest_seq").alias("id"), "session_id", F.col("ts").alias("time_created"), data.alias("data"))
+
+
+sql_view("part_rows", """
+SELECT s.*, CASE WHEN s.role <> 'assistant' THEN 'text' ELSE 'tool' END AS part_type,
+  CASE WHEN s.role = 'assistant' THEN ['read', 'write', 'edit', 'bash'][(s.slot % 4)::INT + 1] END AS tool,
+  CASE WHEN s.role = 'assistant' AND s.slot % 4 <> 3 THEN '/work/src/mod' || (s.session_id % 7) || '.py' END AS path,
+  CASE WHEN s.role <> 'assistant' THEN NULL WHEN s.ts % 5 = 4 THEN 'error' WHEN s.ts % 5 <> 3 THEN 'completed' END AS status,
+  p.text AS prev FROM sessions s LEFT JOIN sessions p ON p.session_id = s.session_id AND p.ts = s.ts - 1""", ("sessions",))
+sql_view("part_events", "SELECT * FROM part_rows WHERE part_type = 'text' OR status IS NULL OR status = 'completed'", ("part_rows",))
+
+
+# ---------------------------------------------------------------- diffs
+FUNCTION = "\ndef pick(items, key):\n    total = 0\n    name = 'alpha'\n    return items[key]\n"
+FIXED_FUNCTIONS = {
+    0: FUNCTION.replace("    total", "    if not items:\n        return None\n    total"),
+    1: FUNCTION.replace("pick", "choose").replace("key", "slot"),
+    2: FUNCTION.replace("'alpha'", "'beta text'"),
+    3: FUNCTION.replace("    return", "    timeout = 30,\n    return"),
+    4: FUNCTION,
+    5: FUNCTION.replace("total = 0", "total = 1"),
+}
+
+
+def diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with a function appended; the function changes in one of six ways."""
+    d = read(spark, sf, "documents")
+    kind = F.col("doc_id") % 6
+    fixed = F.lit("")
+    for value, text in FIXED_FUNCTIONS.items():
+        fixed = F.when(kind == value, text).otherwise(fixed)
+    return d.select(
+        F.col("doc_id").alias("task_id"), F.concat("text", F.lit(FUNCTION)).alias("buggy"),
+        F.concat("text", fixed).alias("reference_fix"),
+        F.when(F.floor(F.col("doc_id") / 6) % 2 == 0, "the picker crashes on empty input")
+         .otherwise("add support for naming").alias("goal"),
+        F.when(kind == 5, "app.yaml").otherwise(F.concat("source", F.lit(".py"))).alias("file_name"),
+        F.when(F.col("doc_id") % 10 == 9, "bug_fix").otherwise("unclassified").alias("category"),
+        F.size(F.split("text", "\n", -1)).alias("text_lines"), F.col("doc_id").alias("ingest_seq"))
+
+
+sql_view("diffs", f"""
+SELECT doc_id AS task_id, text || {literal(FUNCTION)} AS buggy, text || CASE doc_id % 6 """
+         + " ".join(f"WHEN {v} THEN {literal(t)}" for v, t in FIXED_FUNCTIONS.items()) + """ END AS reference_fix,
+  CASE WHEN (doc_id // 6) % 2 = 0 THEN 'the picker crashes on empty input' ELSE 'add support for naming' END AS goal,
+  CASE WHEN doc_id % 6 = 5 THEN 'app.yaml' ELSE source || '.py' END AS file_name,
+  CASE WHEN doc_id % 10 = 9 THEN 'bug_fix' ELSE 'unclassified' END AS category,
+  len(str_split(text, chr(10))) AS text_lines, doc_id AS ingest_seq FROM documents""")
+
+
+def changed_sql(name: str, source: str, key: str, before: str, after: str) -> str:
+    """CTEs ending in `{name}`: key, sign, n, text of the lines without a counterpart."""
+    side = lambda sign, col: (f"SELECT {key}, '{sign}' AS sign, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS text "
+                              f"FROM (SELECT {key}, str_split({col}, chr(10)) AS l FROM {source} WHERE {before} <> {after})")
+    return f"""{name}_l AS (SELECT *, row_number() OVER (PARTITION BY {key}, sign, text ORDER BY n) AS occ
+  FROM ({side('-', before)} UNION ALL {side('+', after)})),
+{name} AS (SELECT {key}, sign, n, text FROM {name}_l a WHERE NOT EXISTS (SELECT 1 FROM {name}_l b
+  WHERE b.{key} = a.{key} AND b.sign <> a.sign AND b.text = a.text AND b.occ = a.occ))"""
+
+
+def folded(column: str) -> str:
+    """Non-ASCII characters as letters, so ASCII word boundaries agree with Unicode ones."""
+    return f"regexp_replace({column}, '[^\\x00-\\x7F]', 'z', 'g')"
