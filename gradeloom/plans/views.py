@@ -345,3 +345,116 @@ def changed_sql(name: str, source: str, key: str, before: str, after: str) -> st
 def folded(column: str) -> str:
     """Non-ASCII characters as letters, so ASCII word boundaries agree with Unicode ones."""
     return f"regexp_replace({column}, '[^\\x00-\\x7F]', 'z', 'g')"
+
+
+# ---------------------------------------------------------------- panel and tests
+def pool(spark: SparkSession, sf: str) -> DataFrame:
+    """part as swept single-bug tasks."""
+    p = read(spark, sf, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("task_id"), F.col("p_brand").alias("codebase"), F.col("p_type").alias("module"),
+        F.substring(F.sha2("p_name", 256), 1, 12).alias("bug_id"), F.col("p_size").cast("bigint").alias("line"),
+        F.concat(F.lit("n"), (k % 11).cast("string")).alias("test_node"),
+        F.when(k % 2 == 0, "function").otherwise("module").alias("depth"),
+        F.when(F.col("p_size") <= 10, "trivial").when(F.col("p_size") <= 35, "moderate").otherwise("hard").alias("difficulty"),
+        k.alias("ingest_seq"))
+
+
+sql_view("pool", """
+SELECT p_partkey AS task_id, p_brand AS codebase, p_type AS module, substr(sha256(p_name), 1, 12) AS bug_id, p_size::BIGINT AS line,
+  'n' || (p_partkey % 11) AS test_node, CASE WHEN p_partkey % 2 = 0 THEN 'function' ELSE 'module' END AS depth,
+  CASE WHEN p_size <= 10 THEN 'trivial' WHEN p_size <= 35 THEN 'moderate' ELSE 'hard' END AS difficulty, p_partkey AS ingest_seq FROM part""")
+sql_view("pool_once", """SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY codebase, module, bug_id ORDER BY ingest_seq) = 1""", ("pool",))
+
+
+def bugs(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as bugs on lines of modules."""
+    l = read(spark, sf, "lineitem")
+    return l.select(
+        (F.col("l_suppkey") % 20).alias("codebase"), (F.col("l_suppkey") % 5).alias("module"), (F.col("l_partkey") * 9).alias("line"),
+        F.concat(F.lit("b"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("bug_id"),
+        F.concat(F.lit("n"), (F.col("l_orderkey") % 5).cast("string")).alias("test_node"),
+        F.when(F.col("l_quantity") < 15, "trivial").when(F.col("l_quantity") < 40, "moderate").otherwise("hard").alias("difficulty"))
+
+
+sql_view("bugs", """
+SELECT l_suppkey % 20 AS codebase, l_suppkey % 5 AS module, l_partkey * 9 AS line, 'b' || l_orderkey || '_' || l_linenumber AS bug_id,
+  'n' || (l_orderkey % 5) AS test_node,
+  CASE WHEN l_quantity < 15 THEN 'trivial' WHEN l_quantity < 40 THEN 'moderate' ELSE 'hard' END AS difficulty FROM lineitem""")
+sql_view("clustered", """
+SELECT * EXCLUDE (brk), sum(brk) OVER (PARTITION BY codebase, module ORDER BY line)::BIGINT AS cluster FROM (
+  SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY codebase, module ORDER BY line) > 40 THEN 1 ELSE 0 END AS brk FROM bugs)""", ("bugs",))
+
+
+def tests(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as test outcomes of an order's two states."""
+    l = read(spark, sf, "lineitem")
+    return l.select(
+        F.col("l_orderkey").alias("task_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("nodeid"),
+        F.when(F.col("l_linestatus") == "O", "buggy").otherwise("fixed").alias("state"),
+        F.when(F.col("l_returnflag") == "A", "passed").when(F.col("l_returnflag") == "N", "failed").otherwise("error").alias("outcome"),
+        (F.col("l_suppkey") % 8).alias("codebase"), (F.col("l_linenumber") % 4).alias("slot"),
+        (F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ingest_seq"), "l_quantity")
+
+
+sql_view("tests", """
+SELECT l_orderkey AS task_id, 'n' || l_linenumber AS nodeid, CASE WHEN l_linestatus = 'O' THEN 'buggy' ELSE 'fixed' END AS state,
+  CASE l_returnflag WHEN 'A' THEN 'passed' WHEN 'N' THEN 'failed' ELSE 'error' END AS outcome, l_suppkey % 8 AS codebase,
+  l_linenumber % 4 AS slot, l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS ingest_seq, l_quantity FROM lineitem""")
+
+
+def trials(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as repeated runs; some tasks flaky, some with varying feedback, some with few repeats."""
+    l = read(spark, sf, "lineitem")
+    p = F.col("l_partkey")
+    task = F.when(p % 13 == 0, F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).otherwise(
+        F.concat(F.lit("p"), (p % 300).cast("string")))
+    flaky = (p % 300) % 7 == 0
+    return l.select(
+        task.alias("task_id"), F.when(F.col("l_linestatus") == "O", "buggy").otherwise("fixed").alias("state"),
+        F.when(flaky, F.col("l_linenumber") % 3).otherwise((p % 300) % 5).cast("bigint").alias("passed"), F.lit(4).cast("bigint").alias("total"),
+        F.when((p % 300) % 11 == 0, F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))).otherwise("same").alias("feedback"))
+
+
+sql_view("trials", """
+SELECT CASE WHEN l_partkey % 13 = 0 THEN 'o' || l_orderkey ELSE 'p' || (l_partkey % 300) END AS task_id,
+  CASE WHEN l_linestatus = 'O' THEN 'buggy' ELSE 'fixed' END AS state,
+  (CASE WHEN (l_partkey % 300) % 7 = 0 THEN l_linenumber % 3 ELSE (l_partkey % 300) % 5 END)::BIGINT AS passed, 4 AS total,
+  CASE WHEN (l_partkey % 300) % 11 = 0 THEN 'f' || l_linenumber ELSE 'same' END AS feedback FROM lineitem""")
+
+
+def attribution_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as combined tasks of three bugs in five states."""
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"))
+    grid = o.withColumn("bug_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)]))).withColumn(
+        "state", F.explode(F.array(*[F.lit(s) for s in ("all_present", "all_fixed", "fix_1", "fix_2", "fix_3")])))
+    t, b, s = F.col("task_id"), F.col("bug_id"), F.col("state")
+    passed = (F.when(s == "all_present", (t % 7 == 0) & (b == 1)).when(s == "all_fixed", F.lit(True))
+              .when((s == "fix_1") & (b == 2), t % 5 == 0).when((s == "fix_3") & (b == 3), t % 11 != 0)
+              .otherwise(s == F.concat(F.lit("fix_"), b.cast("string"))))
+    return grid.withColumn("passed", passed)
+
+
+sql_view("attribution_trials", """
+SELECT *, CASE WHEN state = 'all_present' THEN task_id % 7 = 0 AND bug_id = 1 WHEN state = 'all_fixed' THEN true
+  WHEN state = 'fix_1' AND bug_id = 2 THEN task_id % 5 = 0 WHEN state = 'fix_3' AND bug_id = 3 THEN task_id % 11 <> 0
+  ELSE state = 'fix_' || bug_id END AS passed
+FROM (SELECT o_orderkey AS task_id, unnest([1, 2, 3]) AS bug_id FROM orders),
+  (SELECT unnest(['all_present', 'all_fixed', 'fix_1', 'fix_2', 'fix_3']) AS state)""")
+
+
+def calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """labels as known-good and known-bad files."""
+    l = read(spark, sf, "labels")
+    d = F.col("doc_id")
+    total = 1 + d % 3
+    good = F.col("quality") == 1
+    fixed = F.when(good, total - F.when(d % 50 == 0, 1).otherwise(0)).otherwise(F.when(d % 70 == 0, 1).otherwise(0))
+    return l.select(d.alias("task_id"), F.when(good, "good").otherwise("bad").alias("known"),
+                    total.cast("bigint").alias("bugs_total"), fixed.cast("bigint").alias("bugs_fixed"))
+
+
+sql_view("calibration", """
+SELECT doc_id AS task_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS known, 1 + doc_id % 3 AS bugs_total,
+  CASE WHEN quality = 1 THEN 1 + doc_id % 3 - (doc_id % 50 = 0)::INT ELSE (doc_id % 70 = 0)::INT END AS bugs_fixed FROM labels""")
