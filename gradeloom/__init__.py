@@ -1 +1,8 @@
 """Evaluation analytics for code-repair models, written as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the job, so executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,7 +17,7 @@ def _substitute(text: Column, tag: str, pattern: str) -> Column:
     A pattern with groups keeps its first group and hides the second.
     """
     pieces = F.split(text, pattern, -1)
-    groups = pattern.replace("(?:", "").replace("(?!", "").replace("(?<", "").replace("(?i)", "").replace(r"\(", "").count("(")
+    groups = re.compile(pattern).groups
     take = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     if groups:
         stand_ins = F.zip_with(take(1), take(2), lambda keep, hide: F.concat(keep, pseudonym(tag, hide)))

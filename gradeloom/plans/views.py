@@ -458,3 +458,59 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 sql_view("calibration", """
 SELECT doc_id AS task_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS known, 1 + doc_id % 3 AS bugs_total,
   CASE WHEN quality = 1 THEN 1 + doc_id % 3 - (doc_id % 50 = 0)::INT ELSE (doc_id % 70 = 0)::INT END AS bugs_fixed FROM labels""")
+
+
+# ---------------------------------------------------------------- code files
+CODE_TAIL = ("\ndef total(xs, limit):\n    out = 0\n    for x in xs:\n        if x > limit and x != 0:\n            out += x * 2\n"
+             "        # x < limit\n    return out - 1 if out == limit or None else True")
+
+
+def code_files(spark: SparkSession, sf: str) -> DataFrame:
+    """pages as source files: a line per tag, with a literal function at the end."""
+    p = read(spark, sf, "pages")
+    path = F.concat(F.regexp_replace(F.regexp_replace("url", r"^https?://", "/"), r"[?#].*$", ""), F.lit("/f"),
+                    F.col("page_id").cast("string"), F.lit(".py"))
+    return p.select("page_id", path.alias("path"), F.concat(F.replace("html", F.lit(">"), F.lit(">\n")), F.lit(CODE_TAIL)).alias("text"))
+
+
+sql_view("code_files", f"""
+SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', '/'), '[?#].*$', '') || '/f' || page_id || '.py' AS path,
+  replace(html, '>', '>' || chr(10)) || {literal(CODE_TAIL)} AS text FROM pages""")
+sql_view("code_lines", """
+SELECT page_id, path, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM (SELECT page_id, path, str_split(text, chr(10)) AS l FROM code_files)""",
+         ("code_files",))
+
+
+# ---------------------------------------------------------------- edit histories
+def order_events(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as the edits of a file per customer: n-th edit turns <m-1> into <m>; every seventh does not match."""
+    from pyspark.sql import Window as W
+    o = read(spark, sf, "orders")
+    days = F.floor(epoch_seconds(F.col("o_orderdate")) / 86400)
+    timed = o.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"),
+                     (days * 10000000 + F.col("o_orderkey") * 2).alias("time"))
+    numbered = timed.withColumn("n", F.row_number().over(W.partitionBy("cust").orderBy("time")))
+    m = F.col("n") - F.floor(F.col("n") / 7)
+    tag = lambda c: F.concat(F.lit("<"), c.cast("string"), F.lit(">"))
+    bad = F.col("n") % 7 == 0
+    return numbered.select(
+        "cust", F.concat(F.lit("/repo/c"), F.col("cust").cast("string"), F.lit(".py")).alias("file_path"), "time", "seq", "n", "price",
+        m.cast("bigint").alias("m"), F.concat(F.lit("s"), (F.col("cust") % 9).cast("string")).alias("session_id"),
+        F.when(bad, "<none>").otherwise(tag(m - 1)).alias("old"), F.when(bad, "<bad>").otherwise(tag(m)).alias("new"))
+
+
+sql_view("order_events", """
+SELECT cust, '/repo/c' || cust || '.py' AS file_path, time, seq, n, price, n - n // 7 AS m, 's' || (cust % 9) AS session_id,
+  CASE WHEN n % 7 = 0 THEN '<none>' ELSE '<' || (n - n // 7 - 1) || '>' END AS old,
+  CASE WHEN n % 7 = 0 THEN '<bad>' ELSE '<' || (n - n // 7) || '>' END AS new
+FROM (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY time) AS n FROM (
+  SELECT o_custkey AS cust, o_orderkey AS seq, o_totalprice AS price, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate) * 10000000 + o_orderkey * 2 AS time FROM orders))""")
+
+
+def order_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """A full copy before the first edit, and one right after every tenth."""
+    e = order_events(spark, sf)
+    text = lambda c: F.concat(F.lit("head <"), c.cast("string"), F.lit("> tail"))
+    first = e.filter("n = 1").select("file_path", F.lit(0).cast("bigint").alias("time"), text(F.lit(0)).alias("content"), F.lit(0).cast("bigint").alias("seq"))
+    later = e.filter("n % 10 = 0").select("file_path", (F.col("time") + 1).alias("time"), text(F.col("m")).alias("content"), "seq")
+    return first.unionByName(later)
