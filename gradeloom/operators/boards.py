@@ -11,6 +11,7 @@ from gradeloom.operators.integrity import split_trusted
 from gradeloom.operators.outcomes import with_state
 from gradeloom.operators.resampling import bootstrap
 from gradeloom.operators.similarity import compare_answers
+from gradeloom.session import cut_lineage
 
 STAGES = ("diagnose", "repair", "repair_given")
 
@@ -34,9 +35,10 @@ def latest_per_task(rows: DataFrame, keys: Iterable[str] = ("model", "task_id"),
     reduced before the shuffle. `first_seen` keeps the key's first arrival.
     """
     keys = list(keys)
-    rest = [c for c in rows.columns if c not in keys]
+    rest = [c for c in rows.columns if c not in (*keys, "first_seen")]
     order = F.struct(F.coalesce("ts", F.lit(0)).cast("bigint"), F.col(seq))
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.min(seq).alias("first_seen"))
+    seen = F.min("first_seen" if "first_seen" in rows.columns else seq)
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"), seen.alias("first_seen"))
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "first_seen")
 
 
@@ -60,12 +62,13 @@ def leaderboard(rows: DataFrame, name: str = "combined", **resampling) -> DataFr
         errored = errored | (F.length(F.coalesce(field(rows, stage, "error").cast("string"), F.lit(""))) > 0)
     scored = rows.select("model", "task_id", F.col("ingest_seq"), v.cast("double").alias("v"),
                          (errored & F.col("combined").isNotNull()).alias("err")).filter("v IS NOT NULL")
+    scored = cut_lineage(scored)
     counts = scored.groupBy("model").agg(
         F.count(F.lit(1)).alias("tasks"), F.avg("v").alias("score"),
         F.count_if(F.col("v") >= fv.SOLVED_AT).alias("solved"),
         F.count_if((F.col("v") >= fv.MISSED_AT) & (F.col("v") < fv.SOLVED_AT)).alias("partial"),
         F.count_if(F.col("v") <= fv.MISSED_AT).alias("missed"), F.count_if("err").alias("errors"))
-    ci = bootstrap(scored, ["model"], "v", "ingest_seq", **resampling).select("model", "lo", "hi")
+    ci = bootstrap(scored, ["model"], "v", "ingest_seq", materialize=False, **resampling).select("model", "lo", "hi")
     return counts.join(ci, "model").select(
         "model", F.lit(name).alias("metric"), "tasks", F.round("score", 4).alias("score"),
         F.round("lo", 4).alias("ci95_lo"), F.round("hi", 4).alias("ci95_hi"), "solved", "partial", "missed",
@@ -173,7 +176,7 @@ def marks_board(rows: DataFrame, tasks: DataFrame, lanes: DataFrame, restrict_to
     trusted, _ = split_trusted(with_state(rows), tasks, lanes)
     if restrict_to is not None:
         trusted = trusted.join(restrict_to.select("task_id").distinct(), "task_id", "left_semi")
-    m = _mark(trusted).filter("scored AND known_task")
+    m = cut_lineage(_mark(trusted).filter("scored AND known_task"))
     counts = m.groupBy("model").agg(
         F.count(F.lit(1)).alias("attempted"),
         *[F.count_if(c).alias(o) for c, o in (("bug_found", "bugs_found"), ("bug_fixed", "bugs_fixed"),
@@ -181,7 +184,7 @@ def marks_board(rows: DataFrame, tasks: DataFrame, lanes: DataFrame, restrict_to
                                               ("untouched", "untouched"))],
         F.round(F.avg("score_pct"), 1).alias("score_pct"), F.round(F.avg("diagnose_pct"), 1).alias("diagnose_pct"),
         F.round(F.avg("repair_pct"), 1).alias("repair_pct"))
-    ci = bootstrap(m, ["model"], "score_pct", "ingest_seq", **resampling).select(
+    ci = bootstrap(m, ["model"], "score_pct", "ingest_seq", materialize=False, **resampling).select(
         "model", F.round("lo", 4).alias("ci95_lo"), F.round("hi", 4).alias("ci95_hi"))
     board = counts.join(ci, "model")
     if restrict_to is not None:

@@ -23,8 +23,7 @@ def _substitute(text: Column, tag: str, pattern: str) -> Column:
         stand_ins = F.zip_with(take(1), take(2), lambda keep, hide: F.concat(keep, pseudonym(tag, hide)))
     else:
         stand_ins = F.transform(take(0), lambda m: pseudonym(tag, m))
-    joined = F.array_join(F.zip_with(pieces, stand_ins, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    return F.when(F.size(pieces) > 1, joined).otherwise(text)
+    return F.array_join(F.zip_with(pieces, stand_ins, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
 
 def redact(df: DataFrame, columns: Iterable[str], pii: bool = True, count: str = "replacements",
@@ -38,9 +37,11 @@ def redact(df: DataFrame, columns: Iterable[str], pii: bool = True, count: str =
     out = df.withColumn(count, F.lit(0).cast("bigint"))
     for column in columns:
         for tag, pattern in rules:
-            out = out.withColumn(count, F.col(count) + F.coalesce(F.regexp_count(column, F.lit(pattern)), F.lit(0)))
-            out = out.withColumn(column, _substitute(F.col(column), tag, pattern))
-    return out
+            # one counting pass per rule; only texts with a match are rebuilt
+            out = out.withColumn("_n", F.coalesce(F.regexp_count(column, F.lit(pattern)), F.lit(0))).withColumn(
+                column, F.when(F.col("_n") > 0, _substitute(F.col(column), tag, pattern)).otherwise(F.col(column))).withColumn(
+                count, F.col(count) + F.col("_n"))
+    return out.drop("_n")
 
 
 def anonymise(df: DataFrame, columns: Iterable[str], context: Iterable[tuple[str, str]],

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from gradeloom import fixed_values as fv
 from gradeloom.functions.hashing import poisson_weight, text_key, with_draw
-from gradeloom.session import spread
+from gradeloom.session import cut_lineage, spread
 
 EXACT_ROWS = 4096
 BLOCKS = 8
@@ -62,13 +62,16 @@ def _weighted(units: DataFrame, keys: list[str], count: int, seed: int) -> DataF
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, unit: str, cluster: str | None = None,
               replicates: int = fv.BOARD_REPLICATES, seed: int = fv.BOARD_SEED,
-              alpha: float = fv.ALPHA, exact_rows: int = EXACT_ROWS) -> DataFrame:
+              alpha: float = fv.ALPHA, exact_rows: int = EXACT_ROWS, materialize: bool = True) -> DataFrame:
     """Seeded percentile bootstrap of the mean of `value` per group: keys, n, point, lo, hi.
 
-    With `cluster`, whole clusters are redrawn (each enters as its sum and
+    The narrow input is read by several branches; `materialize` checkpoints it
+    once so its lineage is not run for each. With `cluster`, whole clusters are redrawn (each enters as its sum and
     count); a group with fewer than two clusters falls back to redrawing rows.
     """
-    base = df.filter(F.col(value).isNotNull())
+    base = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, unit, value, *([cluster] if cluster else [])]))
+    if materialize:
+        base = cut_lineage(base)
     rows = base.select(*keys, F.col(unit).cast("string").alias("unit"),
                        F.col(value).cast("double").alias("s"), F.lit(1).cast("bigint").alias("c"))
     sizes = rows.groupBy(*keys).agg(F.sum("c").alias("n"), F.avg("s").alias("point"),
@@ -171,15 +174,15 @@ def verdicts(scores: DataFrame, delta0: float = fv.EQUIVALENCE_DELTA, alpha: flo
              draws: int = fv.SIGN_DRAWS, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Every model pair: A_WINS, B_WINS, TIED or INCONCLUSIVE, after Holm correction."""
     keys = ["model_a", "model_b"]
-    diffs = pairwise_differences(scores)
+    diffs = cut_lineage(pairwise_differences(scores))
     base = diffs.groupBy(*keys).agg(
         F.avg("diff").alias("delta"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
         F.avg(F.signum("diff")).alias("dominance"), F.count(F.lit(1)).alias("n_bugs"))
     p = sign_permutation(diffs, keys, draws=draws, seed=seed)
     ci = bootstrap(diffs, keys, "diff", "bug_id", replicates=replicates, seed=seed, alpha=alpha,
-                   exact_rows=exact_rows).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
+                   exact_rows=exact_rows, materialize=False).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
     cci = bootstrap(diffs, keys, "diff", "bug_id", cluster="codebase", replicates=replicates, seed=seed, alpha=alpha,
-                    exact_rows=exact_rows).select(*keys, F.col("lo").alias("cluster_low"), F.col("hi").alias("cluster_high"))
+                    exact_rows=exact_rows, materialize=False).select(*keys, F.col("lo").alias("cluster_low"), F.col("hi").alias("cluster_high"))
     table = reduce(lambda l, r: l.join(r, keys, "left"), [base, p, ci, cci], model_pairs(scores))
     table = table.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn(
         "n_bugs", F.coalesce("n_bugs", F.lit(0).cast("bigint")))

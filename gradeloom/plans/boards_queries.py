@@ -257,7 +257,7 @@ FROM w)"""
 
 @query("decision_board", with_views("answered", body=MARKED + DECISION + " SELECT * FROM board"))
 def decision_board(spark, sf):
-    return boards.decision_board(answered_runs(spark, sf), tasks(spark, sf), lanes(spark, sf))
+    return boards.decision_board(answered(spark, sf), tasks(spark, sf), lanes(spark, sf))
 
 
 @query("leader_ties", with_views("answered", body=MARKED + DECISION + """,

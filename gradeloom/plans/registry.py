@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeloom.session import fan_out
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,8 +22,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: long texts, whose rows cost far more to process than to move
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    return fan_out(df) if table in TEXT_TABLES else df
 
 
 def quoted(text: str) -> str:

@@ -42,3 +42,9 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     inputs of large computations back into one task.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
