@@ -122,8 +122,10 @@ def wilson(k: Column, n: Column, z: float = fv.WILSON_Z) -> tuple[Column, Column
     d = 1.0 + z * z / m
     centre = (p + z * z / (2 * m)) / d
     half = (z / d) * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    return (F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)),
-            F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0)))
+    # greatest and least skip NULL, so the empty case is named
+    tried = n > 0
+    return (F.when(tried, F.greatest(F.lit(0.0), centre - half)).otherwise(0.0),
+            F.when(tried, F.least(F.lit(1.0), centre + half)).otherwise(0.0))
 
 
 def utility(capability: Column, completed: Column, attempted: Column) -> Column:
