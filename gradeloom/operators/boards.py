@@ -190,9 +190,8 @@ def marks_board(rows: DataFrame, tasks: DataFrame, lanes: DataFrame, restrict_to
         "model", F.round("lo", 4).alias("ci95_lo"), F.round("hi", 4).alias("ci95_hi"))
     board = counts.join(ci, "model")
     if restrict_to is not None:
-        total = restrict_to.agg(F.countDistinct("task_id").alias("tasks"))
-        # one aggregate row, joined on a constant key
-        board = board.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        # one number: the size of the common set
+        board = board.withColumn("tasks", F.lit(restrict_to.select("task_id").distinct().count()))
     else:
         board = board.withColumn("tasks", F.col("attempted"))
     named = [of_total(F.col(c), F.col("tasks")).alias(f"{c}_of") for c in ("bugs_found", "bugs_fixed")]

@@ -52,6 +52,21 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, r
                        *[F.col(f"_hit.{c}").alias(c) for c in payload])
 
 
+def previous_value(df: DataFrame, keys: list[str], position: Column, column: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Add the value of `column` in the row before, by a unique integer position per key.
+
+    A lag inside each (key, bucket); a bucket's first row takes the last value
+    of the bucket before it, from one summary row per bucket.
+    """
+    placed = df.withColumn("_at", position.cast("bigint")).withColumn("_bucket", bucket_of(F.col("_at"), width))
+    ends = placed.groupBy(*keys, "_bucket").agg(F.max_by(column, "_at").alias("_end"))
+    carry = ends.select(*keys, "_bucket", F.lag("_end").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
+    inside = W.partitionBy(*keys, "_bucket").orderBy("_at")
+    lagged = placed.withColumn("_lag", F.lag(column).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    return lagged.join(carry, [*keys, "_bucket"]).select(
+        *df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")).alias(out))
+
+
 def asof_within(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str, payload: list[str],
                 max_gap: int, right_seq: str | None = None, width: int = 1 << 16) -> DataFrame:
     """As-of backward, kept only when the match is at most `max_gap` older."""

@@ -95,13 +95,18 @@ def publish_verdict(found: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def publish_drift(private: DataFrame, public: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: ids missing from the public set, ids it invents, and texts whose token count changed."""
-    tokens = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda t: F.length(t) > 0))
-    a = private.select(key, tokens(F.col(text)).alias("a"))
-    b = public.select(key, tokens(F.col(text)).alias("b"))
-    one = F.lit(1).alias("_one")
-    missing = a.select(key).exceptAll(b.select(key)).agg(F.count(F.lit(1)).alias("missing")).select("*", one)
-    added = b.select(key).exceptAll(a.select(key)).agg(F.count(F.lit(1)).alias("added")).select("*", one)
-    drift = a.join(b, key).agg(F.count_if(F.col("a") != F.col("b")).alias("drifted")).select("*", one)
-    return missing.join(added, "_one").join(drift, "_one").drop("_one").withColumn(
+    """One row: ids missing from the public set, ids it invents, and texts whose token count changed.
+
+    Both sides meet in one aggregation by id.
+    """
+    tokens = F.size(F.filter(F.split(F.trim(F.col(text)), r"\s+"), lambda t: F.length(t) > 0))
+    side = lambda df, name: df.select(key, F.lit(name).alias("side"), tokens.alias("n"))
+    count = lambda name: F.count_if(F.col("side") == name)
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("n")))
+    per = side(private, "private").unionByName(side(public, "public")).groupBy(key).agg(
+        count("private").alias("a"), count("public").alias("b"), of("private").alias("na"), of("public").alias("nb"))
+    return per.agg(
+        F.coalesce(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("added"),
+        F.count_if((F.col("a") > 0) & (F.col("b") > 0) & (F.col("na") != F.col("nb"))).alias("drifted")).withColumn(
         "same", (F.col("missing") == 0) & (F.col("added") == 0) & (F.col("drifted") == 0))

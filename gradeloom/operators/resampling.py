@@ -83,7 +83,8 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, unit: str, cluster: st
         counts = clustered.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("point"),
                                               F.count(F.lit(1)).alias("clusters"))
         rowwise = rows.join(counts.filter("clusters < 2").select(*keys), keys, "left_semi")
-        units = clustered.join(counts.filter("clusters >= 2").select(*keys), keys, "left_semi").unionByName(rowwise)
+        # sums per cluster: a small table that the branches below all read
+        units = cut_lineage(clustered.join(counts.filter("clusters >= 2").select(*keys), keys, "left_semi").unionByName(rowwise))
         sizes = units.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("point"),
                                          F.count(F.lit(1)).alias("units"))
     small = units.join(sizes.filter(f"units > 1 and units <= {exact_rows}").select(*keys), keys, "left_semi")

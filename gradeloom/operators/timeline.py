@@ -24,15 +24,22 @@ def swap_once(text: str, old: str, new: str) -> str | None:
     return text.replace(old, new, 1) if old and text.count(old) == 1 else None
 
 
-def _chains(edits: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
-    """Edits with the newest anchor at or before them; edits without one are dropped."""
-    placed = asof_backward(edits, anchors.select(
-        "file_path", F.col("time").alias("anchor_time"), F.col("content").alias("anchor"), F.col("seq").alias("anchor_seq")),
-        ["file_path"], "time", "anchor_time", ["anchor", "anchor_seq"], "anchor_seq", width)
-    placed = placed.filter("anchor IS NOT NULL")
-    # the anchor text travels once per chain, on its first row
-    first = F.row_number().over(W.partitionBy("file_path", "anchor_time", "anchor_seq").orderBy("time", "kind", "seq")) == 1
-    return placed.withColumn("anchor", F.when(first, F.col("anchor")))
+_CHAIN = ["file_path", "anchor_time", "anchor_seq"]
+
+
+def _chains(events: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
+    """Events labelled with the newest anchor at or before them, and one row per anchor that opens its chain.
+
+    Only the anchor's label travels through the as-of join; its text enters once,
+    as a row. Events without an anchor are dropped.
+    """
+    label = anchors.select("file_path", F.col("time").alias("anchor_time"), F.col("seq").alias("anchor_seq"))
+    placed = asof_backward(events, label, ["file_path"], "time", "anchor_time", ["anchor_seq"], "anchor_seq", width)
+    opening = anchors.select(
+        "file_path", F.col("time").cast("bigint").alias("time"), F.lit(0).cast("bigint").alias("seq"), F.lit(-1).alias("kind"),
+        F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("old"), F.col("content").alias("new"),
+        F.col("time").cast("bigint").alias("anchor_time"), F.col("seq").cast("bigint").alias("anchor_seq"))
+    return placed.filter("anchor_seq IS NOT NULL").withColumn("anchor_seq", F.col("anchor_seq").cast("bigint")).unionByName(opening)
 
 
 _REPLAYED = ("file_path string, time bigint, seq bigint, kind int, session_id string, before string, after string, "
@@ -40,14 +47,14 @@ _REPLAYED = ("file_path string, time bigint, seq bigint, kind int, session_id st
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    chain = text = base = when = None
+    text = base = when = None
     degraded = base_degraded = False
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            key = (r.file_path, r.anchor_time, r.anchor_seq)
-            if key != chain:
-                chain, text, degraded, when = key, r.anchor, False, None
+            if r.kind == -1:
+                text, degraded, when = r.new, False, None
+                continue
             if r.time != when:
                 # edits recorded at one moment do not see each other
                 base, base_degraded, when = text, degraded, r.time
@@ -67,8 +74,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _replay(events: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
     chains = _chains(events, anchors, width)
-    keys = ["file_path", "anchor_time", "anchor_seq"]
-    return (chains.repartition(*keys).sortWithinPartitions(*keys, "time", "kind", "seq")
+    return (chains.repartition(*_CHAIN).sortWithinPartitions(*_CHAIN, F.col("kind") >= 0, "time", "kind", "seq")
             .mapInPandas(_fold, _REPLAYED))
 
 
@@ -101,17 +107,19 @@ def _unwind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
+            if r.final:
+                path, text = r.file_path, r.new
+                continue
             if r.file_path != path:
-                path, text = r.file_path, r.final_text
-            reason = ""
-            if not r.new:
+                path, text = r.file_path, None
+            if text is None:
+                reason = "no final text"
+            elif not r.new:
                 reason = "empty text"
             else:
                 count = text.count(r.new)
-                if count == 1:
-                    text = text.replace(r.new, r.old, 1)
-                else:
-                    reason = f"matched {count} times"
+                reason = "" if count == 1 else f"matched {count} times"
+                text = text.replace(r.new, r.old, 1) if count == 1 else text
             out.append((r.file_path, r.time, r.seq, reason == "", reason, text if reason == "" else None))
         yield pd.DataFrame(out, columns=["file_path", "time", "seq", "applied", "reason", "recovered"])
 
@@ -120,11 +128,14 @@ def reverse_replay(edits: DataFrame, finals: DataFrame) -> DataFrame:
     """Walk each file's edits from newest to oldest, turning new text back into old.
 
     One row per edit: applied, reason, and the text recovered before the edit.
+    The final text is one more row, at the head of its file.
     """
-    joined = edits.join(finals.select("file_path", "final_text"), "file_path")
-    first = F.row_number().over(W.partitionBy("file_path").orderBy(F.desc("time"), F.desc("seq"))) == 1
-    slim = joined.withColumn("final_text", F.when(first, F.col("final_text")))
-    return (slim.repartition("file_path").sortWithinPartitions("file_path", F.desc("time"), F.desc("seq"))
+    steps = edits.select("file_path", F.col("time").cast("bigint").alias("time"), F.col("seq").cast("bigint").alias("seq"), "old", "new",
+                         F.lit(False).alias("final"))
+    heads = finals.select("file_path", F.lit(None).cast("bigint").alias("time"), F.lit(None).cast("bigint").alias("seq"),
+                          F.lit(None).cast("string").alias("old"), F.col("final_text").alias("new"), F.lit(True).alias("final"))
+    return (steps.unionByName(heads).repartition("file_path")
+            .sortWithinPartitions("file_path", F.desc("final"), F.desc("time"), F.desc("seq"))
             .mapInPandas(_unwind, "file_path string, time bigint, seq bigint, applied boolean, reason string, recovered string"))
 
 
@@ -199,10 +210,10 @@ def snapshot_pairs(snapshots: DataFrame, current: DataFrame | None = None,
 def pair_report(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
     """files, files with several snapshots, pairs, anchored pairs: one row."""
     per_file = snapshots.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    left = per_file.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") > 1).alias("multi_snapshot"))
-    right = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("anchored").alias("anchored"))
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(right.select("*", one), "_one").drop("_one")
+    found = pairs.groupBy("file_path").agg(F.count(F.lit(1)).alias("p"), F.count_if("anchored").alias("a"))
+    return per_file.join(found, "file_path", "left").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") > 1).alias("multi_snapshot"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("a"), F.lit(0)).alias("anchored"))
 
 
 def fix_test_candidates(source_states: DataFrame, test_states: DataFrame, window: int = fv.ORACLE_WINDOW_MS,

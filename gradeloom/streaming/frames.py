@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gradeloom import fixed_values as fv
+from gradeloom.operators.ordered import previous_value
 from gradeloom.schemas import FRAME
 
 
@@ -92,11 +93,15 @@ def assemble(texts: DataFrame) -> DataFrame:
         F.coalesce(F.max("stop"), F.lit("open")).alias("status"), F.count(F.lit(1)).alias("frames"))
 
 
-def deltas(texts: DataFrame) -> DataFrame:
-    """What a reader of the answer would receive: the new suffix, or the whole text when it changed."""
+def deltas(texts: DataFrame, width: int = 1 << 32) -> DataFrame:
+    """What a reader of the answer would receive: the new suffix, or the whole text when it changed.
+
+    The text shown before a frame comes from buckets of positions, so one very
+    long answer is not one task.
+    """
     shown = until_stop(texts).filter((F.length("text") > 0) & (F.col("stop").isNull() | (F.col("stop") == "final")))
-    previous = F.coalesce(F.lag("text").over(W.partitionBy("request_id").orderBy("seq", "pos")), F.lit(""))
-    before = shown.withColumn("_prev", previous)
+    before = previous_value(shown, ["request_id"], F.col("seq") * (1 << 20) + F.col("pos"), "text", "_prev", width)
+    before = before.withColumn("_prev", F.coalesce("_prev", F.lit("")))
     delta = F.when(F.startswith("text", "_prev"), F.expr("substring(text, length(_prev) + 1)")).otherwise(F.col("text"))
     return before.select("request_id", "seq", "pos", delta.alias("delta")).filter(F.length("delta") > 0)
 

@@ -58,3 +58,14 @@ def test_keep_first_and_group_limit_plan(spark):
     assert {(r.k, r.v) for r in ordered.keep_first(df, ["k"]).collect()} == {("a", "y"), ("b", "z")}
     plan = ordered.top_per_group(df, ["k"], ["ingest_seq"], 2)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_previous_value_crosses_buckets(spark):
+    rng = random.Random(8)
+    pts = sorted({("hot" if rng.random() < 0.6 else "k", rng.randrange(500)) for _ in range(200)})
+    df = spark.createDataFrame([(k, p, f"v{p}") for k, p in pts], "k string, p long, v string")
+    for width in (8, 10000):
+        got = {(r.k, r.p): r.prev for r in ordered.previous_value(df, ["k"], F.col("p"), "v", "prev", width).collect()}
+        for k in ("hot", "k"):
+            own = [p for kk, p in pts if kk == k]
+            assert [got[(k, p)] for p in own] == [None] + [f"v{p}" for p in own[:-1]]
