@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.functions.text import contains_any, count_contained, count_matches, lines, matches, occurrences, squash
-from gradeloom.operators.ordered import asof_backward, top_per_group
+from gradeloom.operators.ordered import TIME_BUCKET, asof_backward, top_per_group
 
 
-def attach_goals(edits: DataFrame, messages: DataFrame, width: int = 1 << 40) -> DataFrame:
+def attach_goals(edits: DataFrame, messages: DataFrame, width: int = TIME_BUCKET) -> DataFrame:
     """Each edit gets the nearest preceding user message of its session as goal and goal_ts; none gives '' and 0."""
     user = messages.filter((F.col("role") == "user") & (F.length("text") > 0)).select(
         "session_id", F.col("ts").alias("goal_ts"), F.col("text").alias("goal"))

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 
+#: default bucket: about 70 minutes of epoch milliseconds. Only buckets that hold rows exist.
+TIME_BUCKET = 1 << 22
+
+
 def bucket_of(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str,
-                  payload: list[str], right_seq: str | None = None, width: int = 1 << 16) -> DataFrame:
+                  payload: list[str], right_seq: str | None = None, width: int = TIME_BUCKET) -> DataFrame:
     """Each left row gets `payload` of the newest right row with right_ts <= ts, else NULLs.
 
     On equal right_ts the larger `right_seq` wins. One shuffle on (key, bucket):
@@ -68,7 +72,7 @@ def previous_value(df: DataFrame, keys: list[str], position: Column, column: str
 
 
 def asof_within(left: DataFrame, right: DataFrame, keys: list[str], ts: str, right_ts: str, payload: list[str],
-                max_gap: int, right_seq: str | None = None, width: int = 1 << 16) -> DataFrame:
+                max_gap: int, right_seq: str | None = None, width: int = TIME_BUCKET) -> DataFrame:
     """As-of backward, kept only when the match is at most `max_gap` older."""
     found = asof_backward(left, right, keys, ts, right_ts, payload, right_seq, width)
     return found.filter(F.col(right_ts).isNotNull() & (F.col(ts) - F.col(right_ts) <= max_gap))

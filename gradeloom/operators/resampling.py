@@ -172,14 +172,14 @@ def holm(df: DataFrame, p: str = "p_value", tiebreak: list[str] = (), family: li
 
 def verdicts(scores: DataFrame, delta0: float = fv.EQUIVALENCE_DELTA, alpha: float = fv.ALPHA,
              replicates: int = fv.PAIR_REPLICATES, seed: int = fv.PAIR_SEED,
-             draws: int = fv.SIGN_DRAWS, exact_rows: int = EXACT_ROWS) -> DataFrame:
+             draws: int = fv.SIGN_DRAWS, exact_rows: int = EXACT_ROWS, exact_max: int = fv.EXACT_SIGN_MAX) -> DataFrame:
     """Every model pair: A_WINS, B_WINS, TIED or INCONCLUSIVE, after Holm correction."""
     keys = ["model_a", "model_b"]
     diffs = cut_lineage(pairwise_differences(scores))
     base = diffs.groupBy(*keys).agg(
         F.avg("diff").alias("delta"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
         F.avg(F.signum("diff")).alias("dominance"), F.count(F.lit(1)).alias("n_bugs"))
-    p = sign_permutation(diffs, keys, draws=draws, seed=seed)
+    p = sign_permutation(diffs, keys, exact_max=exact_max, draws=draws, seed=seed)
     ci = bootstrap(diffs, keys, "diff", "bug_id", replicates=replicates, seed=seed, alpha=alpha,
                    exact_rows=exact_rows, materialize=False).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
     cci = bootstrap(diffs, keys, "diff", "bug_id", cluster="codebase", replicates=replicates, seed=seed, alpha=alpha,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from gradeloom import fixed_values as fv
 from gradeloom.functions.text import strip
-from gradeloom.operators.ordered import asof_backward, top_per_group
+from gradeloom.operators.ordered import TIME_BUCKET, asof_backward, top_per_group
 
 
 def swap_once(text: str, old: str, new: str) -> str | None:
@@ -83,7 +83,7 @@ def _as_events(edits: DataFrame) -> DataFrame:
                         F.lit(0).alias("kind"), "session_id", "old", "new")
 
 
-def replay_states(edits: DataFrame, anchors: DataFrame, width: int = 1 << 40) -> DataFrame:
+def replay_states(edits: DataFrame, anchors: DataFrame, width: int = TIME_BUCKET) -> DataFrame:
     """The text on either side of each edit that applies: file_path, time, seq, session_id, before, after, degraded.
 
     An edit applies only where its old text occurs exactly once; one that does
@@ -92,7 +92,7 @@ def replay_states(edits: DataFrame, anchors: DataFrame, width: int = 1 << 40) ->
     return _replay(_as_events(edits), anchors, width).drop("kind")
 
 
-def content_at(edits: DataFrame, anchors: DataFrame, moments: DataFrame, width: int = 1 << 40) -> DataFrame:
+def content_at(edits: DataFrame, anchors: DataFrame, moments: DataFrame, width: int = TIME_BUCKET) -> DataFrame:
     """The text at each (file_path, time) of `moments`, edits at that time included; NULL without an anchor."""
     probes = moments.select("file_path", F.col("time").cast("bigint").alias("time")).distinct().select(
         "*", F.lit(0).cast("bigint").alias("seq"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("session_id"),
@@ -217,7 +217,7 @@ def pair_report(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def fix_test_candidates(source_states: DataFrame, test_states: DataFrame, window: int = fv.ORACLE_WINDOW_MS,
-                        min_size: int = fv.MIN_DEFECT_SIZE, width: int = 1 << 40) -> DataFrame:
+                        min_size: int = fv.MIN_DEFECT_SIZE, width: int = TIME_BUCKET) -> DataFrame:
     """Test edits that grew, each with the newest source edit at most `window` before it.
 
     Both sides carry `test_path` (the source's conventional test file). The fix

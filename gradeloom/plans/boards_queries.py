@@ -269,16 +269,29 @@ def leader_ties(spark, sf):
     return boards.leader_ties(decision_board(spark, sf))
 
 
-@query("integrity_screen", with_views("answered", body="""
-WITH s AS (SELECT task_id, model, verbatim AS verbatim_reproduction, echo AND length(bn) > 40 AS echo_input,
-  regexp_matches(raw, 'i''m sorry|as an ai', 'i') AS degenerate_output, repair_judge = 1 AND echo AS judge_gaming,
-  verbatim AND model IN ('click', 'view') AS file_read_leak FROM answered WHERE state = 'completed')
-SELECT task_id, model, verbatim_reproduction, echo_input, degenerate_output, file_read_leak FROM s"""))
+SCREENED = """WITH s AS (SELECT task_id, model, verbatim AS verbatim_reproduction, echo AND length(bn) > 40 AS echo_input,
+  regexp_matches(raw, 'i''m sorry|as an ai', 'i') AS degenerate_output, k BETWEEN 40 AND 45 OR (repair_judge = 1 AND echo) AS judge_gaming,
+  verbatim AND model IN ('click', 'view') AS file_read_leak, repair_judge = 1 AND echo AS contradicted FROM answered WHERE state = 'completed'),
+ v AS (SELECT task_id, model, verbatim_reproduction, echo_input, degenerate_output, judge_gaming, file_read_leak,
+  concat_ws(',', CASE WHEN verbatim_reproduction THEN 'verbatim_reproduction' END, CASE WHEN echo_input THEN 'echo_input' END,
+    CASE WHEN degenerate_output THEN 'degenerate_output' END, CASE WHEN judge_gaming THEN 'judge_gaming' END, CASE WHEN file_read_leak THEN 'file_read_leak' END) AS fired,
+  verbatim_reproduction OR echo_input OR degenerate_output OR judge_gaming AS cheating,
+  CASE WHEN file_read_leak THEN 'critical' WHEN verbatim_reproduction OR echo_input OR contradicted THEN 'high'
+    WHEN degenerate_output OR judge_gaming THEN 'medium' ELSE 'none' END AS severity FROM s)"""
+
+
+@query("integrity_screen", with_views("answered", body=SCREENED + " SELECT * FROM v"))
 def integrity_screen(spark, sf):
-    return integrity.screen(answered(spark, sf), tasks(spark, sf), lanes(spark, sf)).select(
-        "task_id", "model", "verbatim_reproduction", "echo_input", "degenerate_output", "file_read_leak")
+    return screened(spark, sf).withColumn("fired", F.array_join("fired", ",")).drop("ingest_seq")
 
 
-@query("integrity_summary")
+def screened(spark, sf):
+    return integrity.screen(answered(spark, sf), tasks(spark, sf), lanes(spark, sf))
+
+
+@query("integrity_summary", with_views("answered", body=SCREENED + """
+SELECT model, count(*) AS rows, count_if(cheating) AS flagged, count_if(verbatim_reproduction) AS verbatim_reproduction, count_if(echo_input) AS echo_input,
+  count_if(degenerate_output) AS degenerate_output, count_if(judge_gaming) AS judge_gaming, count_if(file_read_leak) AS file_read_leak,
+  round(count_if(cheating) / count(*), 4) AS flag_rate FROM v GROUP BY model"""))
 def integrity_summary(spark, sf):
-    return integrity.screen_summary(integrity.screen(answered(spark, sf), tasks(spark, sf), lanes(spark, sf)))
+    return integrity.screen_summary(screened(spark, sf))

@@ -106,7 +106,7 @@ SAMPLED_P = f"""nz AS (SELECT model_a, model_b, diff, {sqltext.text_key('bug_id'
 @query("sign_permutation_sampled", with_views("diffs_many", body="WITH " + SAMPLED_P + """
 SELECT model_a, model_b, round(p_value, 6) AS p_value FROM p"""))
 def sign_permutation_sampled(spark, sf):
-    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, draws=DRAWS), "p_value")
+    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, exact_max=0, draws=DRAWS), "p_value")
 
 
 HOLM = """, h AS (SELECT *, max(step) OVER (ORDER BY p_value, model_a, model_b) AS p_adjusted FROM (
@@ -139,6 +139,6 @@ SELECT model_a, model_b, CASE WHEN sig AND p_adjusted < 0.05 AND delta > 0 THEN
   round(mean_b, 6) AS mean_b, round(dominance, 6) AS dominance, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted,
   round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(clo, 6) AS cluster_low, round(chi, 6) AS cluster_high FROM t"""))
 def pair_verdicts(spark, sf):
-    v = rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS)
+    v = rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS, exact_max=0)
     return rounded(v.drop("notes"), "delta", "mean_a", "mean_b", "dominance", "p_value", "p_adjusted", "ci_low", "ci_high",
                    "cluster_low", "cluster_high")

@@ -173,7 +173,7 @@ def answered_runs(spark: SparkSession, sf: str, rows: DataFrame | None = None) -
     t = tasks(spark, sf).select("task_id", F.col("buggy").alias("_b"), F.col("reference_fix").alias("_f"))
     k = F.col("k")
     answer = (F.when(k.between(23, 27), F.col("_f")).when(k.between(28, 32), F.col("_b"))
-              .when(k.between(20, 22) | k.between(33, 35), F.col("repair.candidate"))
+              .when(k.between(20, 22) | k.between(33, 35) | k.between(40, 45), F.col("repair.candidate"))
               .otherwise(F.concat(F.col("_b"), F.lit(GUARD), F.col("_b"))))
     return r.join(t, "task_id").withColumn("repair", F.col("repair").withField("candidate", answer)).drop("_b", "_f")
 
@@ -187,7 +187,7 @@ SELECT s.* EXCLUDE (candidate, state), t.buggy, t.reference_fix, c.candidate, c.
   (c.cn = c.rn AND length(c.rn) > 40) AS verbatim, (c.cn = c.bn AND length(c.bn) > 0) AS echo
 FROM latest s JOIN tasks t ON t.task_id = s.task_id, LATERAL (
   SELECT CASE WHEN s.k BETWEEN 23 AND 27 THEN t.reference_fix WHEN s.k BETWEEN 28 AND 32 THEN t.buggy
-              WHEN s.k BETWEEN 20 AND 22 OR s.k BETWEEN 33 AND 35 THEN s.candidate
+              WHEN s.k BETWEEN 20 AND 22 OR s.k BETWEEN 33 AND 35 OR s.k BETWEEN 40 AND 45 THEN s.candidate
               ELSE t.buggy || {_GUARD_SQL} || t.buggy END AS candidate) c0, LATERAL (
   SELECT c0.candidate AS candidate, trim(regexp_replace(c0.candidate, '\\s+', ' ', 'g')) AS cn,
          trim(regexp_replace(t.buggy, '\\s+', ' ', 'g')) AS bn,
