@@ -32,14 +32,15 @@ def latest_per_task(rows: DataFrame, keys: Iterable[str] = ("model", "task_id"),
     """The newest row per key: max ts (NULL = 0), the later arrival on ties.
 
     `max_by` aggregates map-side, so a key holding any share of the table is
-    reduced before the shuffle. `first_seen` keeps the key's first arrival.
+    reduced before the shuffle. Each column is its own aggregate on the same
+    unique order, so columns nobody reads later (long texts) are pruned from
+    the shuffle and the scan. `first_seen` keeps the key's first arrival.
     """
     keys = list(keys)
     rest = [c for c in rows.columns if c not in (*keys, "first_seen")]
     order = F.struct(F.coalesce("ts", F.lit(0)).cast("bigint"), F.col(seq))
     seen = F.min("first_seen" if "first_seen" in rows.columns else seq)
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"), seen.alias("first_seen"))
-    return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "first_seen")
+    return rows.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in rest], seen.alias("first_seen"))
 
 
 def since(rows: DataFrame, ts: int) -> DataFrame:

@@ -98,10 +98,13 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path") -> Da
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ingest_seq") -> DataFrame:
-    """The earliest row per key. `min_by` aggregates map-side, so copies never gather in one task."""
+    """The earliest row per key, by a unique order.
+
+    `min_by` aggregates map-side, so copies never gather in one task; one
+    aggregate per column lets unread columns be pruned.
+    """
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r")).select(
-        *keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in rest])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank_in_group") -> DataFrame:

@@ -28,8 +28,8 @@ def latest_query(spark, sf):
 BOARD_SQL = """
 SELECT a.model, '{name}' AS metric, a.tasks, round(c.point, 4) AS score, round(c.lo, 4) AS ci95_lo,
   round(c.hi, 4) AS ci95_hi, a.solved, a.partial, a.missed, a.errors, round(a.errors / a.tasks, 3) AS error_rate
-FROM (SELECT model, count(*) AS tasks, count_if(v >= 0.999) AS solved, count_if(v >= 0.001 AND v < 0.999) AS partial,
-  count_if(v <= 0.001) AS missed, count_if(stage_error <> '') AS errors
+FROM (SELECT model, count(*) AS tasks, count(*) FILTER (WHERE v >= 0.999) AS solved, count(*) FILTER (WHERE v >= 0.001 AND v < 0.999) AS partial,
+  count(*) FILTER (WHERE v <= 0.001) AS missed, count(*) FILTER (WHERE stage_error <> '') AS errors
   FROM src GROUP BY model) a JOIN b_ci c USING (model)"""
 
 
@@ -84,14 +84,14 @@ def per_task(spark, sf):
 
 @query("oracle_coverage", with_views("runs", body="""
 SELECT count(*) AS rows, count(DISTINCT task_id) AS tasks, count(DISTINCT model) AS models,
-  count_if(oracle = 'exec_diff') AS with_oracle, count(repair_judge) AS judge_scored,
-  round(count_if(oracle = 'exec_diff') / count(*), 4) AS oracle_rate FROM runs"""))
+  count(*) FILTER (WHERE oracle = 'exec_diff') AS with_oracle, count(repair_judge) AS judge_scored,
+  round(count(*) FILTER (WHERE oracle = 'exec_diff') / count(*), 4) AS oracle_rate FROM runs"""))
 def oracle_coverage(spark, sf):
     return boards.oracle_coverage(runs(spark, sf))
 
 
 @query("recomposed_scores", with_views("runs", body="""
-SELECT model, count_if(round(0.5 * diag_total + 0.5 * repair_total, 4) <> round(combined, 4)) AS changed,
+SELECT model, count(*) FILTER (WHERE round(0.5 * diag_total + 0.5 * repair_total, 4) <> round(combined, 4)) AS changed,
   round(avg(round(0.5 * diag_total + 0.5 * repair_total, 4)), 4) AS combined,
   round(avg(round(given_total - diag_total, 4)), 4) AS uplift FROM runs GROUP BY model"""))
 def recomposed(spark, sf):
@@ -165,7 +165,7 @@ def common_tasks(spark, sf):
 
 
 @query("wilson_intervals", with_views("latest", body="""
-WITH g AS (SELECT model, count_if(repair_judge >= 0.75) AS k, count(*) AS n FROM latest WHERE state = 'completed' GROUP BY model)
+WITH g AS (SELECT model, count(*) FILTER (WHERE repair_judge >= 0.75) AS k, count(*) AS n FROM latest WHERE state = 'completed' GROUP BY model)
 SELECT model, k, n, round(((k / n + 1.96 * 1.96 / (2.0 * n)) / (1 + 1.96 * 1.96 / n))
    - (1.96 / (1 + 1.96 * 1.96 / n)) * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4.0 * n * n)), 6) AS lo,
  round(((k / n + 1.96 * 1.96 / (2.0 * n)) / (1 + 1.96 * 1.96 / n))
@@ -179,7 +179,7 @@ def wilson_intervals(spark, sf):
 
 @query("utility_and_latency", with_views("latest", body="""
 SELECT model, round(avg(CASE WHEN state = 'completed' THEN 100 * combined END), 1) AS capability,
-  round(round(avg(CASE WHEN state = 'completed' THEN 100 * combined END), 1) * count_if(state = 'completed') / count(*), 1) AS utility,
+  round(round(avg(CASE WHEN state = 'completed' THEN 100 * combined END), 1) * count(*) FILTER (WHERE state = 'completed') / count(*), 1) AS utility,
   round_even(quantile_cont(CASE WHEN state = 'completed' THEN latency_ms END, 0.5), 0)::BIGINT AS median_latency_ms
 FROM latest GROUP BY model"""))
 def utility_and_latency(spark, sf):
@@ -224,12 +224,12 @@ def trusted_and_quarantined(spark, sf):
 MARKS_BOARD = """,
 kept AS (SELECT * FROM marked WHERE scored AND NOT quarantined), """ + sqltext.bootstrap(
     "b", "kept", "model", "score_pct", "ingest_seq", R, SEED).strip() + """
-SELECT k.model, count(*) AS attempted, count_if(bug_found) AS bugs_found, count_if(bug_fixed) AS bugs_fixed,
-  count_if(same_fix) AS same_fix, count_if(equiv_fix) AS equiv_fix, count_if(untouched) AS untouched,
+SELECT k.model, count(*) AS attempted, count(*) FILTER (WHERE bug_found) AS bugs_found, count(*) FILTER (WHERE bug_fixed) AS bugs_fixed,
+  count(*) FILTER (WHERE same_fix) AS same_fix, count(*) FILTER (WHERE equiv_fix) AS equiv_fix, count(*) FILTER (WHERE untouched) AS untouched,
   round(avg(score_pct), 1) AS score_pct, round(avg(diagnose_pct), 1) AS diagnose_pct, round(avg(repair_pct), 1) AS repair_pct,
   round(any_value(c.lo), 4) AS ci95_lo, round(any_value(c.hi), 4) AS ci95_hi, count(*) AS tasks,
-  count_if(bug_found) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count_if(bug_found) / count(*), 1)) || '%)' AS bugs_found_of,
-  count_if(bug_fixed) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count_if(bug_fixed) / count(*), 1)) || '%)' AS bugs_fixed_of
+  count(*) FILTER (WHERE bug_found) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count(*) FILTER (WHERE bug_found) / count(*), 1)) || '%)' AS bugs_found_of,
+  count(*) FILTER (WHERE bug_fixed) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count(*) FILTER (WHERE bug_fixed) / count(*), 1)) || '%)' AS bugs_fixed_of
 FROM kept k JOIN b_ci c USING (model) GROUP BY k.model"""
 
 
@@ -238,8 +238,8 @@ def marks_board(spark, sf):
     return boards.marks_board(answered(spark, sf), tasks(spark, sf), lanes(spark, sf))
 
 
-DECISION = """, agg AS (SELECT model, count(*) AS attempted, count_if(scored) AS completed,
-   round(avg(score_pct), 1) AS capability, count_if(bug_found) AS bugs_found, count_if(bug_fixed) AS bugs_fixed,
+DECISION = """, agg AS (SELECT model, count(*) AS attempted, count(*) FILTER (WHERE scored) AS completed,
+   round(avg(score_pct), 1) AS capability, count(*) FILTER (WHERE bug_found) AS bugs_found, count(*) FILTER (WHERE bug_fixed) AS bugs_fixed,
    round_even(quantile_cont(CASE WHEN scored AND latency_ms > 0 THEN latency_ms END, 0.5), 0)::BIGINT AS median_latency_ms
    FROM marked WHERE NOT quarantined GROUP BY model),
 w AS (SELECT *, bugs_fixed / completed AS p, 1 + 1.96 * 1.96 / completed AS d FROM agg),
@@ -264,7 +264,7 @@ def decision_board(spark, sf):
 r AS (SELECT *, row_number() OVER w AS board_rank, first_value(model) OVER w AS leader, first_value(ci95_lo) OVER w AS llo,
   first_value(ci95_hi) OVER w AS lhi FROM board WHERE ranking_eligible WINDOW w AS (ORDER BY utility DESC, capability DESC, model)),
 ov AS (SELECT *, NOT (lhi < ci95_lo OR ci95_hi < llo) AS is_over FROM r)
-SELECT board_rank, model, leader, is_over AS "overlaps", (count(*) OVER () > 1 AND count_if(board_rank > 1 AND is_over) OVER () = count(*) OVER () - 1) AS is_tie FROM ov"""))
+SELECT board_rank, model, leader, is_over AS "overlaps", (count(*) OVER () > 1 AND count(*) FILTER (WHERE board_rank > 1 AND is_over) OVER () = count(*) OVER () - 1) AS is_tie FROM ov"""))
 def leader_ties(spark, sf):
     return boards.leader_ties(decision_board(spark, sf))
 
@@ -290,8 +290,8 @@ def screened(spark, sf):
 
 
 @query("integrity_summary", with_views("answered", body=SCREENED + """
-SELECT model, count(*) AS rows, count_if(cheating) AS flagged, count_if(verbatim_reproduction) AS verbatim_reproduction, count_if(echo_input) AS echo_input,
-  count_if(degenerate_output) AS degenerate_output, count_if(judge_gaming) AS judge_gaming, count_if(file_read_leak) AS file_read_leak,
-  round(count_if(cheating) / count(*), 4) AS flag_rate FROM v GROUP BY model"""))
+SELECT model, count(*) AS rows, count(*) FILTER (WHERE cheating) AS flagged, count(*) FILTER (WHERE verbatim_reproduction) AS verbatim_reproduction, count(*) FILTER (WHERE echo_input) AS echo_input,
+  count(*) FILTER (WHERE degenerate_output) AS degenerate_output, count(*) FILTER (WHERE judge_gaming) AS judge_gaming, count(*) FILTER (WHERE file_read_leak) AS file_read_leak,
+  round(count(*) FILTER (WHERE cheating) / count(*), 4) AS flag_rate FROM v GROUP BY model"""))
 def integrity_summary(spark, sf):
     return integrity.screen_summary(screened(spark, sf))

@@ -71,9 +71,9 @@ def goal_relevance(spark, sf):
 
 
 LANG = "CASE ext " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.LANGUAGE_OF_EXTENSION.items()) + " ELSE ext END"
-COUNTS = """SELECT {k}, count(*) AS n_changed, count_if(length(trim(text)) >= 4 AND NOT regexp_matches(trim(text), '^(#|//|[*]|/[*])'))
-  AS n_substantive, count_if(sign = '+') AS n_added, count_if(sign = '-') AS n_removed,
-  1.0 - count_if(length(rtrim(text)) <= 2) / count(*) AS strength FROM chg GROUP BY {k}"""
+COUNTS = """SELECT {k}, count(*) AS n_changed, count(*) FILTER (WHERE length(trim(text)) >= 4 AND NOT regexp_matches(trim(text), '^(#|//|[*]|/[*])'))
+  AS n_substantive, count(*) FILTER (WHERE sign = '+') AS n_added, count(*) FILTER (WHERE sign = '-') AS n_removed,
+  1.0 - count(*) FILTER (WHERE length(rtrim(text)) <= 2) / count(*) AS strength FROM chg GROUP BY {k}"""
 sql_view("gated", f"""WITH {changed_sql('chg', 'goals', 'ingest_seq', 'buggy', 'fixed')},
  counts AS ({COUNTS.format(k='ingest_seq')}),
  j AS (SELECT g.*, coalesce(n_changed, 0) AS n_changed, coalesce(n_substantive, 0) AS n_substantive,
@@ -149,7 +149,7 @@ STUCK = " + ".join(f"contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), {q(
 WITH p AS (SELECT *, CASE WHEN part_type = 'text' THEN {STUCK} WHEN tool = 'bash' THEN 1 ELSE 0 END AS stuck,
   CASE WHEN tool = 'write' THEN 0 WHEN tool = 'edit' THEN greatest(len(str_split(regexp_replace(prev, '\\n$', ''), chr(10))),
     len(str_split(regexp_replace(text, '\\n$', ''), chr(10)))) END AS size FROM part_events),
- s AS (SELECT session_id, count(*) AS turns, count_if(part_type = 'tool') AS tool_calls, count_if(tool IN ('edit', 'write')) AS edits,
+ s AS (SELECT session_id, count(*) AS turns, count(*) FILTER (WHERE part_type = 'tool') AS tool_calls, count(*) FILTER (WHERE tool IN ('edit', 'write')) AS edits,
   sum(stuck)::BIGINT AS struggle_hits, max(size) AS fix_size,
   arg_max(struct_pack(t := ts, e := tool, p := path), size * 100000 - ts) FILTER (size IS NOT NULL) AS fix FROM p GROUP BY session_id)
 SELECT s.session_id, i.title, turns, tool_calls, edits, struggle_hits,
@@ -191,7 +191,7 @@ def transcript_tool_events(spark, sf):
 
 
 @query("edited_files", with_views("part_events", body="""
-SELECT path, count_if(tool = 'edit') AS edits, count_if(tool = 'write') AS writes FROM part_events
+SELECT path, count(*) FILTER (WHERE tool = 'edit') AS edits, count(*) FILTER (WHERE tool = 'write') AS writes FROM part_events
 WHERE path LIKE '%.py' GROUP BY path"""))
 def edited_files(spark, sf):
     return mining.edited_files(part_events(parts(spark, sf), paths_only=True), "%.py")
@@ -249,11 +249,11 @@ WITH l AS (SELECT *, trim(text, ' ' || chr(9) || chr(13)) AS t FROM changes),
      AND NOT regexp_matches({OUTSIDE}, {q(fv.CALL_ADDED)}) AND NOT regexp_matches({OUTSIDE}, {q(fv.BRANCH_ADDED)})) AS prose,
    sign = '+' AND t <> '' AND NOT regexp_matches(t, '^(#|//|[*])')
      AND NOT (regexp_matches(t, {q(fv.BARE_LITERAL_LINE)}) AND ({QN('"')} >= 2 OR {QN("'")} >= 2)) AS logic FROM l),
- g AS (SELECT task_id, bool_and(prose) AS prose_only, count_if(sign = '+') AS added, count_if(logic) AS logic,
-   count_if(logic AND regexp_matches(text, {nocase(fv.DEFENCE_ADDED)})) AS defensive,
-   count_if(sign = '+' AND regexp_matches(text, {q(fv.BRANCH_ADDED)})) AS branches,
-   count_if(logic AND NOT regexp_matches(t, {q(fv.OPTION_LINE)})) AS not_option,
-   count_if(logic AND NOT regexp_matches(t, {q(fv.CALL_ADDED)})) AS not_call FROM m GROUP BY task_id),
+ g AS (SELECT task_id, bool_and(prose) AS prose_only, count(*) FILTER (WHERE sign = '+') AS added, count(*) FILTER (WHERE logic) AS logic,
+   count(*) FILTER (WHERE logic AND regexp_matches(text, {nocase(fv.DEFENCE_ADDED)})) AS defensive,
+   count(*) FILTER (WHERE sign = '+' AND regexp_matches(text, {q(fv.BRANCH_ADDED)})) AS branches,
+   count(*) FILTER (WHERE logic AND NOT regexp_matches(t, {q(fv.OPTION_LINE)})) AS not_option,
+   count(*) FILTER (WHERE logic AND NOT regexp_matches(t, {q(fv.CALL_ADDED)})) AS not_call FROM m GROUP BY task_id),
  s AS (SELECT d.*, coalesce(prose_only, false) AS prose_only, coalesce(added, 0) AS added, coalesce(logic, 0) AS logic,
    coalesce(defensive, 0) AS defensive, coalesce(branches, 0) AS branches, coalesce(not_option, 0) AS not_option,
    coalesce(not_call, 0) AS not_call, b.norm = f.norm AS renamed, regexp_matches(goal, {nocase(fv.CURATION_DEFECT)}) AS defect,

@@ -43,7 +43,7 @@ def reverse_replay(spark, sf):
     return reversed_steps(spark, sf)
 
 
-VERDICTS = """WITH v AS (SELECT file_path, count_if(n % 7 <> 0) AS applied, count_if(n % 7 = 0) AS skipped FROM order_events GROUP BY file_path),
+VERDICTS = """WITH v AS (SELECT file_path, count(*) FILTER (WHERE n % 7 <> 0) AS applied, count(*) FILTER (WHERE n % 7 = 0) AS skipped FROM order_events GROUP BY file_path),
  r AS (SELECT *, skipped = 0 AND applied > 0 AS ok, CASE WHEN skipped = 0 AND applied > 0 THEN '' ELSE skipped || ' hunk(s) did not apply exactly once' END AS reason FROM v)"""
 
 
@@ -101,7 +101,7 @@ def snapshot_pairs(spark, sf):
 
 @query("snapshot_pair_report", with_views("order_events", body=SNAP + """
 SELECT (SELECT count(DISTINCT file_path) FROM s) AS files, (SELECT count(DISTINCT file_path) FROM s WHERE last_n > 1) AS multi_snapshot,
-  (SELECT count(*) FROM pairs) AS pairs, (SELECT count_if(anchored) FROM pairs) AS anchored"""))
+  (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FILTER (WHERE anchored) FROM pairs) AS anchored"""))
 def snapshot_pair_report(spark, sf):
     return timeline.pair_report(file_snapshots(spark, sf), pairs(spark, sf))
 

@@ -83,8 +83,8 @@ def difficulty_rules(spark, sf):
 
 
 @query("module_difficulty", with_views("pool", body="""
-SELECT codebase, module, CASE WHEN count_if(difficulty = 'hard') > 0 THEN 'hard' WHEN count_if(difficulty = 'moderate') > 0 AND count(*) >= 3 THEN 'hard'
-  WHEN count_if(difficulty = 'moderate') > 0 THEN 'moderate' ELSE 'trivial' END AS difficulty FROM pool GROUP BY ALL"""))
+SELECT codebase, module, CASE WHEN count(*) FILTER (WHERE difficulty = 'hard') > 0 THEN 'hard' WHEN count(*) FILTER (WHERE difficulty = 'moderate') > 0 AND count(*) >= 3 THEN 'hard'
+  WHEN count(*) FILTER (WHERE difficulty = 'moderate') > 0 THEN 'moderate' ELSE 'trivial' END AS difficulty FROM pool GROUP BY ALL"""))
 def module_difficulty(spark, sf):
     level = lambda v: F.count_if(F.col("difficulty") == v)
     return pool(spark, sf).groupBy("codebase", "module").agg(
@@ -122,7 +122,7 @@ def bug_combinations(spark, sf):
 
 
 @query("killed_mutants", with_views("tests", body="""
-WITH green AS (SELECT codebase, nodeid FROM tests WHERE state = 'fixed' GROUP BY ALL HAVING count_if(outcome = 'passed') * 3 >= count(*))
+WITH green AS (SELECT codebase, nodeid FROM tests WHERE state = 'fixed' GROUP BY ALL HAVING count(*) FILTER (WHERE outcome = 'passed') * 3 >= count(*))
 SELECT codebase, task_id AS bug_id, min(nodeid) AS test_node, count(DISTINCT nodeid) AS n_failing, codebase || '__' || task_id AS task_id
 FROM tests WHERE state = 'buggy' AND outcome IN ('failed', 'error') AND (codebase, nodeid) IN (SELECT codebase, nodeid FROM green) GROUP BY codebase, tests.task_id"""))
 def killed_mutants(spark, sf):
@@ -152,8 +152,8 @@ def scored_bugs(spark, sf):
 
 
 @query("file_scores", with_views("scored_bugs", body="""
-SELECT task_id, count(*) AS bugs_total, count_if(value = 1) AS bugs_fixed, round(count_if(value = 1) / count(*), 6) AS per_bug_score,
-  count_if(value = 1) = count(*) AS file_clear FROM scored_bugs GROUP BY task_id"""))
+SELECT task_id, count(*) AS bugs_total, count(*) FILTER (WHERE value = 1) AS bugs_fixed, round(count(*) FILTER (WHERE value = 1) / count(*), 6) AS per_bug_score,
+  count(*) FILTER (WHERE value = 1) = count(*) AS file_clear FROM scored_bugs GROUP BY task_id"""))
 def file_scores(spark, sf):
     return scoring.file_scores(scored_bugs(spark, sf))
 
@@ -168,8 +168,8 @@ def flipped_tests(spark, sf):
 
 @query("oracle_gate", with_views("calibration", body="""
 WITH s AS (SELECT *, bugs_fixed / bugs_total AS s, known = 'good' AS g FROM calibration),
-a AS (SELECT count_if(g) AS good_files, count_if(NOT g) AS bad_files, count_if(g AND bugs_fixed <> bugs_total) AS good_failures,
- count_if(NOT g AND bugs_fixed > 0) AS bad_failures, round(avg(s) FILTER (g), 6) AS good_mean, round(avg(s) FILTER (NOT g), 6) AS bad_mean,
+a AS (SELECT count(*) FILTER (WHERE g) AS good_files, count(*) FILTER (WHERE NOT g) AS bad_files, count(*) FILTER (WHERE g AND bugs_fixed <> bugs_total) AS good_failures,
+ count(*) FILTER (WHERE NOT g AND bugs_fixed > 0) AS bad_failures, round(avg(s) FILTER (g), 6) AS good_mean, round(avg(s) FILTER (NOT g), 6) AS bad_mean,
  min(s) FILTER (g) >= max(s) FILTER (NOT g) AS monotone FROM s)
 SELECT *, monotone AND good_failures = 0 AND bad_failures = 0 AS passed FROM a"""))
 def oracle_gate(spark, sf):
@@ -195,7 +195,7 @@ def noise_cells(spark, sf):
 
 
 @query("noise_floor", with_views("noise_cells", body="""
-SELECT sum(repeats)::BIGINT AS trials, count(*) AS cells, count_if(repeats >= 3) AS cells_measured, count_if(failure IN ('scores varied', 'feedback varied')) AS unstable,
+SELECT sum(repeats)::BIGINT AS trials, count(*) AS cells, count(*) FILTER (WHERE repeats >= 3) AS cells_measured, count(*) FILTER (WHERE failure IN ('scores varied', 'feedback varied')) AS unstable,
   count(failure) AS failures, max(spread) AS max_within_cell_spread, count(failure) = 0 AS passed FROM noise_cells"""))
 def noise_floor(spark, sf):
     return scoring.noise_floor(trials(spark, sf))
@@ -210,9 +210,9 @@ def repeat_reduction(spark, sf):
 
 
 @query("bug_attribution", with_views("attribution_trials", body="""
-WITH r AS (SELECT task_id, state, count(*) AS bugs, count_if(passed) AS green, count_if(passed AND state = 'fix_' || bug_id) AS target FROM attribution_trials GROUP BY ALL),
+WITH r AS (SELECT task_id, state, count(*) AS bugs, count(*) FILTER (WHERE passed) AS green, count(*) FILTER (WHERE passed AND state = 'fix_' || bug_id) AS target FROM attribution_trials GROUP BY ALL),
  p AS (SELECT task_id, max(bugs) AS bugs, max(bugs - green) FILTER (state = 'all_present') AS present_failing, max(green) FILTER (state = 'all_fixed') AS fixed_passing,
-  count_if(state LIKE 'fix%' AND target = 1 AND green = 1) AS isolated, count_if(state LIKE 'fix%' AND target = 1 AND green > 1) AS entangled FROM r GROUP BY task_id)
+  count(*) FILTER (WHERE state LIKE 'fix%' AND target = 1 AND green = 1) AS isolated, count(*) FILTER (WHERE state LIKE 'fix%' AND target = 1 AND green > 1) AS entangled FROM r GROUP BY task_id)
 SELECT *, CASE WHEN present_failing <> bugs THEN 'not every bug fails when all are present' WHEN fixed_passing <> bugs THEN 'not every bug passes on the fixed source'
   WHEN entangled > 0 THEN 'one fix turns another bug green' ELSE '' END AS reason, present_failing = bugs AND fixed_passing = bugs AND entangled = 0 AS ok FROM p"""))
 def bug_attribution(spark, sf):
@@ -222,19 +222,19 @@ def bug_attribution(spark, sf):
 @query("failure_texts", with_views("tests", body="""
 WITH l AS (SELECT task_id, ingest_seq // 10000 AS page, ingest_seq, 'FAILED ' || nodeid || ' [' || CASE outcome WHEN 'failed' THEN 'Failure' ELSE 'Error' END || ']' AS line
    FROM tests WHERE outcome <> 'passed'
- UNION ALL SELECT task_id, max(ingest_seq // 10000), 1::BIGINT << 61, '--- ' || count_if(outcome <> 'passed') || ' failed / ' || count(*) || ' executed ---'
-   FROM tests GROUP BY task_id HAVING count_if(outcome <> 'passed') > 0)
+ UNION ALL SELECT task_id, max(ingest_seq // 10000), 1::BIGINT << 61, '--- ' || count(*) FILTER (WHERE outcome <> 'passed') || ' failed / ' || count(*) || ' executed ---'
+   FROM tests GROUP BY task_id HAVING count(*) FILTER (WHERE outcome <> 'passed') > 0)
 SELECT task_id, page, string_agg(line, chr(10) ORDER BY ingest_seq, line) || chr(10) AS text FROM l GROUP BY task_id, page"""))
 def failure_texts(spark, sf):
     return scoring.render_failures(tests(spark, sf))
 
 
 @query("campaign_summary", with_views("tests", body="""
-WITH f AS (SELECT 'lane' || (codebase % 4) AS model, task_id, count(*) AS bugs_total, count_if(outcome = 'passed') AS bugs_fixed, max(l_quantity) AS latency_s FROM tests GROUP BY ALL),
+WITH f AS (SELECT 'lane' || (codebase % 4) AS model, task_id, count(*) AS bugs_total, count(*) FILTER (WHERE outcome = 'passed') AS bugs_fixed, max(l_quantity) AS latency_s FROM tests GROUP BY ALL),
  a AS (SELECT *, CASE WHEN bugs_fixed > 0 THEN 'scored' WHEN bugs_total > 1 THEN 'declined_work' ELSE 'transport' END AS outcome, bugs_fixed = bugs_total AS file_clear FROM f)
-SELECT model, count(*) AS tasks, sum(bugs_fixed)::BIGINT AS bugs_fixed, sum(bugs_total)::BIGINT AS bugs_total, count_if(file_clear) AS files_cleared,
-  round(avg(bugs_fixed / bugs_total), 6) AS mean_score, count_if(outcome = 'scored') AS scored, count_if(outcome = 'declined_work') AS declined_work,
-  0 AS invalid_response, 0 AS refused, 0 AS needs_tools, count_if(outcome = 'transport') AS transport, 0 AS policy_violation,
+SELECT model, count(*) AS tasks, sum(bugs_fixed)::BIGINT AS bugs_fixed, sum(bugs_total)::BIGINT AS bugs_total, count(*) FILTER (WHERE file_clear) AS files_cleared,
+  round(avg(bugs_fixed / bugs_total), 6) AS mean_score, count(*) FILTER (WHERE outcome = 'scored') AS scored, count(*) FILTER (WHERE outcome = 'declined_work') AS declined_work,
+  0 AS invalid_response, 0 AS refused, 0 AS needs_tools, count(*) FILTER (WHERE outcome = 'transport') AS transport, 0 AS policy_violation,
   round(quantile_cont(latency_s, 0.5), 3) AS median_latency_s FROM a GROUP BY model"""))
 def campaign_summary(spark, sf):
     from gradeloom.operators.boards import campaign_summary as summarize

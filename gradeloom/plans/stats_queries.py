@@ -86,7 +86,7 @@ EXACT_P = """nz AS (SELECT model_a, model_b, diff, row_number() OVER (PARTITION
   sizes AS (SELECT model_a, model_b, count(*) AS n, abs(sum(diff)) AS obs FROM nz GROUP BY ALL),
   sums AS (SELECT nz.model_a, nz.model_b, m, sum(CASE WHEN (m >> i) & 1 = 0 THEN diff ELSE -diff END) AS s
     FROM sizes JOIN nz USING (model_a, model_b), LATERAL (SELECT unnest(range((1::BIGINT << n))) AS m) GROUP BY ALL),
-  p AS (SELECT model_a, model_b, count_if(abs(s) >= obs - 1e-9) / count(*) AS p_value FROM sums JOIN sizes USING (model_a, model_b) GROUP BY ALL)"""
+  p AS (SELECT model_a, model_b, count(*) FILTER (WHERE abs(s) >= obs - 1e-9) / count(*) AS p_value FROM sums JOIN sizes USING (model_a, model_b) GROUP BY ALL)"""
 
 
 @query("sign_permutation_exact", with_views("diffs_few", body="WITH " + EXACT_P + """
@@ -99,7 +99,7 @@ SAMPLED_P = f"""nz AS (SELECT model_a, model_b, diff, {sqltext.text_key('bug_id'
   sizes AS (SELECT model_a, model_b, abs(sum(diff)) AS obs FROM nz GROUP BY ALL),
   sums AS (SELECT model_a, model_b, j, sum((1 - 2 * (x2 % 2)) * diff) AS s
     FROM ({sqltext._hashed(f'SELECT *, j FROM nz, range({DRAWS}) r(j)', 'j', 'kk', SEED)}) GROUP BY ALL),
-  p AS (SELECT model_a, model_b, (count_if(abs(s) >= obs - 1e-9) + 1) / ({DRAWS} + 1) AS p_value
+  p AS (SELECT model_a, model_b, (count(*) FILTER (WHERE abs(s) >= obs - 1e-9) + 1) / ({DRAWS} + 1) AS p_value
     FROM sums JOIN sizes USING (model_a, model_b) GROUP BY ALL)"""
 
 

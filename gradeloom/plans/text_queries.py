@@ -185,7 +185,7 @@ def identified_symbols(spark, sf):
 
 
 @query("localisation_accuracy", with_views("touched", body=IDENTIFIED + """
-SELECT mode, model, count_if(identified) AS k, count(*) AS n, round(avg(identified::INT), 6) AS rate FROM i GROUP BY mode, model"""))
+SELECT mode, model, count(*) FILTER (WHERE identified) AS k, count(*) AS n, round(avg(identified::INT), 6) AS rate FROM i GROUP BY mode, model"""))
 def localisation_accuracy(spark, sf):
     return grading.localisation_accuracy(grading.symbol_matches(symbol_predictions(spark, sf), touched(spark, sf)))
 
@@ -317,8 +317,8 @@ def publish_gate(spark, sf):
 
 
 @query("publish_drift", """
-SELECT count_if(doc_id % 70 = 0) AS missing, count_if(doc_id % 90 = 0) AS added, count_if(doc_id % 70 <> 0 AND doc_id % 50 = 0) AS drifted,
-  count_if(doc_id % 70 = 0 OR doc_id % 90 = 0 OR doc_id % 50 = 0) = 0 AS same FROM documents""")
+SELECT count(*) FILTER (WHERE doc_id % 70 = 0) AS missing, count(*) FILTER (WHERE doc_id % 90 = 0) AS added, count(*) FILTER (WHERE doc_id % 70 <> 0 AND doc_id % 50 = 0) AS drifted,
+  count(*) FILTER (WHERE doc_id % 70 = 0 OR doc_id % 90 = 0 OR doc_id % 50 = 0) = 0 AS same FROM documents""")
 def publish_drift(spark, sf):
     d = documents(spark, sf)
     public = d.filter("doc_id % 70 <> 0").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
