@@ -52,8 +52,12 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Whitespace off both ends; looks at the ends only."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
 
 
 def lines(text: Column) -> Column:

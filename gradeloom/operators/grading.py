@@ -57,7 +57,9 @@ def score_repairs(answers: DataFrame, tasks: DataFrame) -> DataFrame:
     df = answers.join(tasks.select("task_id", "buggy", "reference_fix"), "task_id")
     text = F.coalesce("candidate", F.lit(""))
     df = df.withColumn("_cand", F.when(text.contains("```"), extract_code(text)).otherwise(strip(text)))
-    c, b = squash(F.col("_cand")), squash(F.col("buggy"))
+    # read several times below, so each is its own column
+    df = df.withColumn("_c", squash(F.col("_cand"))).withColumn("_b", squash(F.col("buggy")))
+    c, b = F.col("_c"), F.col("_b")
     bound = F.coalesce(length_bound(F.length(c), F.length(b)), F.lit(0.0))
     undecided = (c != b) & (bound >= fv.UNCHANGED_RATIO)
     ratio = F.when((c == b) & (F.length(c) > 0), 1.0).otherwise(

@@ -14,7 +14,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-            .config("spark.driver.memory", os.environ.get("GRADELOOM_DRIVER_MEMORY", "8g"))
+            .config("spark.driver.memory", os.environ.get("GRADELOOM_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
             .getOrCreate())
 
