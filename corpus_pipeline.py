@@ -2,8 +2,9 @@
 
 1. language ID: documents without a recognisable language (no text, no letter) go;
 2. exact dedup: of equal texts one document stays;
-3. mixing: documents are taken, left out or repeated so that the sources meet their target weights;
-4. byte-level BPE: the token ids of what is left, checked by decoding.
+3. MinHash near-dedup: of each group of near copies one document stays;
+4. mixing: documents are taken, left out or repeated so that the sources meet their target weights;
+5. byte-level BPE: the token ids of what is left, checked by decoding.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, exact_dedup, language_id, mixing
+from gradeloom.llm import bpe, exact_dedup, language_id, minhash, mixing
 from gradeloom.llm.common import shared_path
 from gradeloom.llm.queries import RANK_FILE
 
@@ -28,6 +29,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.dedup(docs).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.dedup(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes twice or three times is as many rows."""
     copies = F.aggregate("mix_takes", F.lit(0), lambda n, take: n + take["copies"])
@@ -45,6 +50,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
     ("source mixing", mix_sources),
     ("byte-level BPE", encode_tokens),
 ]

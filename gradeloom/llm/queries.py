@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, exact_dedup, language_id, mixing
+from gradeloom.llm import bpe, exact_dedup, language_id, minhash, mixing
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
     sample = language_id.learn(docs.where(language_id.fold_number() != 0))
     rows = docs.select("doc_id", F.coalesce(language_id.fold_number() == 0, F.lit(False)).alias("held_out"), "text")
     return language_id.identify(rows, sample).drop("text")
+
+
+@query("op9_prob_minhash")
+def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf, "documents"))
