@@ -34,9 +34,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from gradeloom.llm.common import slices
 
 UNKNOWN = "und"
-SAMPLE_ROWS = 200
+SAMPLE_ROWS = 120
 PIECE_CHARACTERS = 400
-SAMPLE_CHARACTERS = 40_000
+SAMPLE_CHARACTERS = 24_000
 FULL_LANGUAGES = 8
 MAX_LANGUAGES = 500
 #: characters beyond the most frequent ones share one class, which matches nothing
@@ -103,7 +103,7 @@ class Parser:
         tables, self.starts, base = [], [], 0
         for _, text in sample:
             moves = suffix_automaton(self.classes[self._points(text)].tolist())
-            own = np.zeros((len(moves), self.width), np.int32)
+            own = np.zeros((len(moves), self.width), np.uint32)
             for state, go in enumerate(moves):
                 for c, target in go.items():
                     if c:
@@ -116,11 +116,11 @@ class Parser:
             # an unknown character elsewhere ends the open phrase and is another one
             twice = ends & (first == 0)[None, :]
             twice[0] = False
-            tables.append(((target.astype(np.int64) * self.width + base) << 2 | ends | (twice.astype(np.int64) << 1)).astype(np.int64))
+            # positions in the joint table, shifted to leave room for the number of phrases that end (ends + twice)
+            tables.append((target * np.uint32(self.width) + np.uint32(base)) << np.uint32(2) | ends | twice.astype(np.uint32) << np.uint32(1))
             self.starts.append(base)
             base += own.size
-        self.table = np.concatenate([t.ravel() for t in tables]).astype(np.uint32 if base < 1 << 30 else np.int64) if tables else np.zeros(0, np.uint32)
-        # ends + twice: 0, 1 or 2 phrases end at a step
+        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint32)
         self.starts = np.array(self.starts, np.int64)
 
     @staticmethod
@@ -194,7 +194,7 @@ def identify(df: DataFrame, sample: Sample, text: str = "text", lang_out: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shipped.value)
-        for batch in slices(batches, text, 1 << 24):
+        for batch in slices(batches, text, 1 << 22):
             names, scores = parser.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              [*batch.schema.names, lang_out, score_out])
