@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, exact_dedup, language_id, minhash, mixing
+from gradeloom.llm import bpe, exact_dedup, language_id, minhash, mixing, suffix_dedup
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_prob_minhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf, "documents"))
+
+
+@query("op10_bwt_merge")
+def repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
