@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, exact_dedup, language_id, minhash, mixing, suffix_dedup
+from gradeloom.llm import ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,21 @@ def languages(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(rows, sample).drop("text")
 
 
+def _cut_report(done: DataFrame) -> DataFrame:
+    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_chunk_dedup")
+def repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return _cut_report(substring_dedup.remove_repeats(table(spark, sf, "documents")))
+
+
+@query("op7_multi_index")
+def neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
 @query("op9_prob_minhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf, "documents"))
@@ -80,6 +95,4 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_bwt_merge")
 def repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
-    done = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
-    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
-    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return _cut_report(suffix_dedup.remove_repeats(table(spark, sf, "documents")))

@@ -42,8 +42,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import flat_bytes, kept_table, parts, slices, text_or_empty
+from gradeloom.llm.common import flat_bytes, kept_table, parts, slices
 from gradeloom.llm.minhash import mix64
+from gradeloom.llm.spans import by_text, cut, marked
 
 LENGTH = 50
 ANCHOR = 20
@@ -308,44 +309,14 @@ def group_spans(table: pa.Table, most: int = MOST_STRINGS, chunk_bytes: int = CH
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_STRINGS) -> DataFrame:
     """(owner, mark, spans): the byte spans to remove, by id and hash of the text."""
-    rows = (docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("owner"), text_or_empty(text).alias("text"))
-            .withColumn("mark", F.xxhash64("text")))
-    found = kept_table(dealt(rows, GROUPS_PER_PARTITION * parts(docs)).groupBy("part").applyInArrow(lambda t: group_spans(t, most), SPANS), "spans")
+    found = kept_table(dealt(marked(docs, doc_id, text), GROUPS_PER_PARTITION * parts(docs)).groupBy("part").applyInArrow(lambda t: group_spans(t, most), SPANS), "spans")
     crowd = found.where("gram is not null")
     least = crowd.groupBy("gram").agg(F.min("owner").alias("least"))
     late = crowd.join(least, "gram").where("owner > least").select("owner", "mark", "start", "end")
     spans = found.where("gram is null").select("owner", "mark", "start", "end").unionByName(late)
-    return spans.groupBy("owner", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-
-
-def _joined(spans: list[dict]) -> list[list[int]]:
-    """Maximal runs of spans sorted by start; touching ones are one run."""
-    runs: list[list[int]] = []
-    for s in spans:
-        if runs and s["start"] <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], s["end"])
-        else:
-            runs.append([s["start"], s["end"]])
-    return runs
+    return by_text(spans)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_STRINGS) -> DataFrame:
     """doc_id, n_bytes, runs (array of start, end in bytes), kept (the remaining bytes) of every row."""
-    spans = repeated_spans(docs, doc_id, text, most)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            kept, runs, sizes = [], [], []
-            for raw, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
-                own = _joined(found or [])
-                ends = [0, *(x for r in own for x in r), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2])))
-                runs.append([{"start": a, "end": b} for a, b in own])
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()),
-                                              pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                                             ["doc_id", "n_bytes", "runs", "kept"])
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
-    matched = rows.join(spans, (rows["doc_id"] == spans["owner"]) & (F.xxhash64("text") == spans["mark"]), "left").select("doc_id", "text", "spans")
-    return matched.mapInArrow(run, "doc_id bigint, n_bytes bigint, runs array<struct<start bigint, end bigint>>, kept binary")
+    return cut(docs, repeated_spans(docs, doc_id, text, most), doc_id, text)
