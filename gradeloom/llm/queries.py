@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup
-from gradeloom.llm.common import table
+from gradeloom.llm import ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, warc
+from gradeloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,15 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf, "documents")).drop("points")
 
 
+@query("op4_token_counts")
+def flat_file_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per document of the token files that are written first: the file's number and the document's in it."""
+    path = shared_path(spark, "flat-tokens")
+    token_counts.write_flat(table(spark, sf, "documents"), path, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return token_counts.token_counts(spark, path).select(
+        F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no"), "doc_no", "n_tokens", "ended")
+
+
 @query("op5_language_id")
 def languages(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -88,6 +97,14 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
 
+@query("op8_warc_index")
+def archived_pages(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    history = warc.capture_history(warc.merged_index(warc.read_archives(spark, path)))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date")
+
+
 @query("op9_prob_minhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_classes(table(spark, sf, "documents"))
