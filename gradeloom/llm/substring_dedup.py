@@ -94,7 +94,7 @@ def chunks(rows: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """owner, mark, start, end of chunks that a smaller id has too."""
     # a settled row only passes through: any key spreads it
-    keyed = chunks(marked(docs, doc_id, text)).withColumn("key", F.when(F.col("settled"), F.xxhash64("owner", "start").cast("binary")).otherwise(F.col("digest")))
+    keyed = chunks(marked(docs, doc_id, text)).withColumn("key", F.when(F.col("settled"), F.unhex(F.hex(F.xxhash64("owner", "start")))).otherwise(F.col("digest")))
     same = Window.partitionBy("key")
     return (keyed.withColumn("least", F.min("owner").over(same)).where("settled or least < owner").select("owner", "mark", "start", "end"))
 
