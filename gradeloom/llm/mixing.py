@@ -14,7 +14,8 @@ Defined cases: null or empty text has size 0 and is never taken; a document
 of no source (empty membership) is never taken; null is a source of its own
 and ranks last; a document is taken whole, so a source misses its quota by
 less than its largest document; rows that repeat an id are placed one after
-the other; an empty table gives an empty result.
+the other; an empty table gives an empty result; columns named mix_*,
+source_size or target are replaced.
 """
 
 from __future__ import annotations
@@ -180,6 +181,7 @@ def mix_by_source(docs: DataFrame, seed: str = "mix", max_sources: int = MAX_PAT
 
     Each document's membership is its one source; source sizes are the pattern totals, at most `max_sources` rows.
     """
+    docs = docs.drop("source_size", "target")
     sums = bucket_sums(docs, F.array("source"), word_count(), seed=seed)
     sizes = {pattern[0]: n for pattern, n in pattern_totals(sums, max_sources)}
     targets = weighted_targets(sizes, cycled_weights(list(sizes)))
