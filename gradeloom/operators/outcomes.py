@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import fixed_values as fv
+from gradeloom.functions.replies import first_object
 from gradeloom.functions.text import contains_any, extract_code, first_match, has_code, matches, strip
 
 ERROR_FIELDS = ("diagnose_error", "repair_error", "repair_given_error")
@@ -61,9 +62,7 @@ def parse_reply(reply: Column) -> Column:
     low = F.lower(F.coalesce(reply, F.lit("")))
     fence = F.regexp_extract(F.coalesce(reply, F.lit("")), "(?s)" + fv.FENCE, 1)
     body = F.when(F.length(fence) > 0, fence).otherwise(reply)
-    # first balanced object, up to two levels deep
-    obj = F.regexp_extract(body, r"(?s)\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}", 0)
-    pairs = F.from_json(obj, "map<string,string>")
+    pairs = F.from_json(first_object(body), "map<string,string>")
     keyed = F.transform_keys(pairs, lambda k, v: F.replace(F.lower(k), F.lit(" "), F.lit("_")))
 
     def alias(names):

@@ -134,3 +134,13 @@ def test_leader_tie(rows):
     assert [(r.model, r.is_tie) for r in tie.orderBy("board_rank").collect()] == [("a", True), ("b", True)]
     clear = boards.leader_ties(rows(schema, ("a", 60.0, 60.0, 71.0, 80.0, True), ("b", 50.0, 50.0, 30.0, 70.0, True)))
     assert not any(r.is_tie for r in clear.collect())
+
+
+def test_replies_of_any_size_and_depth(rows):
+    long = "x" * 1_000_000
+    df = rows("i int, r string", (0, 'not {json} then {"defect":"d","line":3}'), (1, '{"defect":"' + long + '"}'), (2, '{"defect":"d","type":{"a":{"b":{"c":1}}}}'),
+              (3, '```json\n{"cause":"unterminated"}'), (4, "{" * 200_000), (5, '{"defect":"a }"} {"defect":"second"}'), (6, None), (7, "[1]"))
+    got = {x.i: x.p for x in df.select("i", outcomes.parse_reply(F.col("r")).alias("p")).collect()}
+    assert (got[0].root_cause, got[0].fault_location) == ("d", "3")
+    assert got[1].root_cause == long and got[2].bug_category == '{"a":{"b":{"c":1}}}' and got[3].root_cause == "unterminated"
+    assert got[4].root_cause is None and got[5].root_cause == "a }" and got[6].root_cause is None and got[7].root_cause is None
