@@ -15,14 +15,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.driver.memory", os.environ.get("GRADELOOM_DRIVER_MEMORY", "12g"))
+            .config("spark.sql.files.maxPartitionBytes", "16m")
             .config("spark.ui.enabled", "false")
             .getOrCreate())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names. Only on a local master, where driver and tasks share one machine, a temporary one stands in."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="gradeloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -43,8 +46,3 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores; a table of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
