@@ -71,12 +71,13 @@ def keyword_tags(text: Column) -> Column:
 
 def hard_sessions(parts: DataFrame, sessions: DataFrame, min_turns: int = fv.MINE_MIN_TURNS,
                   min_struggle: int = fv.MINE_MIN_STRUGGLE, min_edits: int = fv.MINE_MIN_EDITS,
-                  tag_texts: int = 40) -> DataFrame:
+                  tag_texts: int | None = None) -> DataFrame:
     """Sessions that struggled and landed an edit, hardest first.
 
     `parts` are tool events with part_type, tool, path, old, new, command, text,
     ts, seq. Every measure is a map-side aggregate; the largest edit is a
-    `max_by`, the tags a bitwise OR over the first `tag_texts` texts.
+    `max_by`, the tags a bitwise OR over all texts, or over the first
+    `tag_texts` of each session where that is given.
     """
     is_text, is_tool = F.col("part_type") == "text", F.col("part_type") == "tool"
     is_edit = is_tool & F.col("tool").isin("edit", "write", "multiedit", "patch")
@@ -86,15 +87,16 @@ def hard_sessions(parts: DataFrame, sessions: DataFrame, min_turns: int = fv.MIN
     size_of = lambda c: F.when(F.length(F.coalesce(c, F.lit(""))) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(c, r"\n$", ""), "\n", -1)))
     size = F.greatest(size_of(F.col("old")), size_of(F.col("new")))
     stuck = (F.when(said, count_contained(F.lower(plain), fv.STRUGGLE_MARKERS)).otherwise(0)
-             + F.when(is_tool & (F.col("tool") == "bash") & matches(F.substring("command", 1, 80), fv.STRUGGLE_COMMAND), 1).otherwise(0))
+             + F.when(is_tool & (F.col("tool") == "bash") & matches(F.col("command"), fv.STRUGGLE_COMMAND), 1).otherwise(0))
     fix = F.struct(F.col("path").alias("fix_file"), size.alias("fix_changed_lines"), F.col("ts").alias("fix_time"),
                    (F.length(F.coalesce("old", F.lit(""))) > 0).alias("has_old"))
     per = parts.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("turns"), F.count_if(is_tool).alias("tool_calls"), F.count_if(is_edit).alias("edits"),
         F.sum(stuck).alias("struggle_hits"), F.min_by(F.when(said, plain), F.when(said, at)).alias("symptom"),
         F.max_by(F.when(is_edit, fix), F.when(is_edit, F.struct(size, -F.col("ts"), -F.col("seq")))).alias("fix"))
-    first_texts = top_per_group(parts.filter(said).select("session_id", "ts", "seq", F.lower("text").alias("low")),
-                                ["session_id"], ["ts", "seq"], tag_texts)
+    first_texts = parts.filter(said).select("session_id", "ts", "seq", F.lower("text").alias("low"))
+    if tag_texts is not None:
+        first_texts = top_per_group(first_texts, ["session_id"], ["ts", "seq"], tag_texts)
     bits = first_texts.groupBy("session_id").agg(F.bit_or(_word_bits(F.col("low"))).alias("bits"))
     hard = per.filter((F.col("turns") >= min_turns) & (F.col("struggle_hits") >= min_struggle)
                       & (F.col("edits") >= min_edits) & (F.length("fix.fix_file") > 0))
@@ -108,8 +110,8 @@ def hard_sessions(parts: DataFrame, sessions: DataFrame, min_turns: int = fv.MIN
         "fix.fix_time", _tags_of(all_bits).alias("categories"), "symptom").orderBy(F.desc("struggle_hits"), F.desc("edits"), "session_id")
 
 
-def candidate_messages(messages: DataFrame, limit: int | None = fv.CANDIDATE_LIMIT) -> DataFrame:
-    """Messages with pasted code, scored by code lines, fences, defect and alternative words; best `limit`."""
+def candidate_messages(messages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Messages with pasted code, scored by code lines, fences, defect and alternative words; all, best first, or the best `limit`."""
     text = F.col("text")
     codey = F.size(F.filter(lines(text), lambda l: l.rlike("(?U)" + fv.CANDIDATE_CODE_LINE))).cast("bigint")
     scored = messages.withColumn("code_lines", codey).withColumn("fenced", occurrences(text, "```")).filter(

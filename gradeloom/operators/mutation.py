@@ -55,12 +55,12 @@ def focus_window(files: DataFrame, budget: int = fv.SCOPE_BUDGET_CHARS, text: st
         F.when(big, total - end).otherwise(0).cast("bigint").alias("lines_after"))
 
 
-def mutants(code: DataFrame, per_file: int | None = 25, path: str = "path") -> DataFrame:
+def mutants(code: DataFrame, per_file: int | None = None, path: str = "path") -> DataFrame:
     """One mutant per line and applicable operator: bug_id, symbol, operator, difficulty, n, original, mutated.
 
     The operator table is a literal of the plan and is matched inside the row.
     `symbol` is the last definition at or above the line. No-ops and repeated
-    ids drop; each file keeps its first `per_file` in (line, operator) order.
+    ids drop. With `per_file` each file keeps its first so many in (line, operator) order.
     """
     ops = F.array(*[F.struct(F.lit(n).alias("operator"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in fv.OPERATOR_SWAPS])
     named = F.regexp_extract("line", r"^\s*(?:def|class|function)\s+(\w+)", 1)

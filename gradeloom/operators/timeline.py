@@ -179,14 +179,18 @@ def quarantine_report(verdicts: DataFrame) -> DataFrame:
 
 
 def snapshot_pairs(snapshots: DataFrame, current: DataFrame | None = None,
-                   keep: int = fv.SNAPSHOTS_PER_FILE) -> DataFrame:
-    """(before, after) pair per file from its last `keep` snapshots.
+                   keep: int | None = None) -> DataFrame:
+    """(before, after) pair per file from its snapshots, or from the last `keep` of them.
 
     With `current` (file_path, content): the newest snapshot equal to the
     current text, paired with the one before it. Otherwise, or when only the
-    oldest kept one matches, the last two. Equal pairs are dropped.
+    oldest one matches, the last two. Equal pairs are dropped.
     """
-    recent = top_per_group(snapshots, ["file_path"], [F.desc("time"), F.desc("session_id"), F.desc("seq")], keep, "back")
+    newest = [F.desc("time"), F.desc("session_id"), F.desc("seq")]
+    if keep is None:
+        recent = snapshots.withColumn("back", F.row_number().over(W.partitionBy("file_path").orderBy(*newest)))
+    else:
+        recent = top_per_group(snapshots, ["file_path"], newest, keep, "back")
     if current is not None:
         now = current.select("file_path", F.sha2(strip(F.col("content")), 256).alias("_now"))
         recent = recent.join(now, "file_path", "left").withColumn(

@@ -169,7 +169,7 @@ WITH c AS (SELECT session_id, ts, len(list_filter(str_split(text, chr(10)), lamb
 SELECT *, (least(code_lines, 12) * 2 + fenced * 4 + least(bugs, 6) + least(alts, 4))::BIGINT AS score FROM c
 WHERE code_lines >= 3 OR fenced >= 2 ORDER BY score DESC, session_id, ts LIMIT 60"""))
 def candidate_messages(spark, sf):
-    return mining.candidate_messages(sessions(spark, sf)).select(
+    return mining.candidate_messages(sessions(spark, sf), fv.CANDIDATE_LIMIT).select(
         "session_id", "ts", "code_lines", "fenced", "bugs", "alts", "score")
 
 

@@ -84,7 +84,7 @@ SNAP = """WITH s AS (SELECT file_path, cust, time, n, session_id, seq, 'head' ||
  cur AS (SELECT file_path, content FROM s WHERE n = CASE cust % 3 WHEN 0 THEN last_n WHEN 1 THEN last_n - 2 ELSE -1 END),
  r AS (SELECT s.*, row_number() OVER (PARTITION BY s.file_path ORDER BY time DESC, session_id DESC, seq DESC) AS back, coalesce(s.content = cur.content, false) AS anchored
    FROM s LEFT JOIN cur USING (file_path)),
- k AS (SELECT *, lag(content) OVER w AS b, lag(time) OVER w AS bt FROM r WHERE back <= 12 WINDOW w AS (PARTITION BY file_path ORDER BY back DESC)),
+ k AS (SELECT *, lag(content) OVER w AS b, lag(time) OVER w AS bt FROM r WINDOW w AS (PARTITION BY file_path ORDER BY back DESC)),
  p AS (SELECT * FROM k WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY NOT anchored, back) = 1),
  pairs AS (SELECT file_path, anchored, bt AS before_time, time AS after_time, b AS before, content AS after,
    len(str_split(content, chr(10))) - len(str_split(b, chr(10))) AS gap_lines FROM p WHERE b <> content)"""

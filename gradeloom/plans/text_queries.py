@@ -233,8 +233,7 @@ WITH s AS (SELECT path, n, line, coalesce(last_value(CASE WHEN d <> '' THEN d EN
    FROM (SELECT *, regexp_extract(line, '^\\s*(?:def|class|function)\\s+(\\w+)', 1) AS d FROM code_lines)),
  h AS (SELECT *, unnest(list_filter({SWAPS_SQL}, lambda x: contains(line, x.a))) AS op FROM s WHERE NOT ltrim(line) LIKE '#%'),
  m AS (SELECT path, n, symbol, op.o AS operator, line AS original, left(line, instr(line, op.a) - 1) || op.b || substr(line, instr(line, op.a) + length(op.a)) AS mutated FROM h)
-SELECT *, 'mut_' || substr(sha256(path || '|' || symbol || '|' || operator || '|' || n), 1, 12) AS bug_id FROM m WHERE original <> mutated
-QUALIFY row_number() OVER (PARTITION BY path ORDER BY n, operator) <= 25""", ("code_lines",))
+SELECT *, 'mut_' || substr(sha256(path || '|' || symbol || '|' || operator || '|' || n), 1, 12) AS bug_id FROM m WHERE original <> mutated""", ("code_lines",))
 
 
 @query("line_mutants", with_views("mutants", body="SELECT path, n, symbol, operator, md5(mutated) AS mutated_md5, bug_id FROM mutants"))

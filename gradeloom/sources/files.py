@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.panel import opaque_node
@@ -54,10 +54,20 @@ def save_tasks(tasks: DataFrame, path: str) -> None:
     tasks.write.mode("overwrite").json(path)
 
 
+def arrival() -> Column:
+    """Sort key of a row read from files: when its file was written, the file, the block in it, the row in the block.
+
+    Splits are packed into tasks by size, so the row id alone says nothing
+    about files; within one block it rises with the rows.
+    """
+    m = F.col("_metadata")
+    return F.struct(m["file_modification_time"].alias("written"), m["file_path"].alias("file"), m["file_block_start"].alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows; blank and malformed lines drop. `ingest_seq` follows file order."""
-    return spark.read.schema(RESULT).option("mode", "DROPMALFORMED").json(path).withColumn(
-        "ingest_seq", F.monotonically_increasing_id())
+    """Result rows; blank and malformed lines drop. `ingest_seq` is the sortable arrival of a row: newer files after older ones."""
+    return spark.read.schema(RESULT).option("mode", "DROPMALFORMED").json(path).withColumn("ingest_seq", arrival())
 
 
 def append_results(rows: DataFrame, path: str) -> None:

@@ -22,7 +22,10 @@ class LiveBoard:
         self.spark, self.path = spark, path
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """The foreachBatch function."""
+        """The foreachBatch function. Rows without `ingest_seq` arrive in the order of batches, then as their files say."""
+        if "ingest_seq" not in rows.columns:
+            row = F.struct("arrival.*", F.monotonically_increasing_id().alias("row")) if "arrival" in rows.columns else F.struct(F.monotonically_increasing_id().alias("row"))
+            rows = rows.withColumn("ingest_seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch"), row.alias("place"))).drop("arrival")
         latest_per_task(rows).drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
 
     def start(self, rows: DataFrame, checkpoint: str, **trigger):
@@ -64,5 +67,7 @@ class LiveBoard:
 
 
 def result_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Appended result files as a stream."""
-    return spark.readStream.schema(RESULT).json(path)
+    """Appended result files as a stream; `arrival` says which file and block a row comes from."""
+    m = F.col("_metadata")
+    place = F.struct(m["file_modification_time"].alias("written"), m["file_path"].alias("file"), m["file_block_start"].alias("block"))
+    return spark.readStream.schema(RESULT).json(path).withColumn("arrival", place)

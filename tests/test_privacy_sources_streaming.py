@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import privacy
 from gradeloom.sources import files
 from gradeloom.streaming import frames as fr
-from gradeloom.streaming.live_board import LiveBoard
+from gradeloom.streaming.live_board import LiveBoard, result_stream
 
 
 def redacted(rows, *texts, **kw):
@@ -162,6 +162,30 @@ def test_stream_over_several_batches_equals_batch(spark, tmp_path):
     assert sorted((r.request_id, r.delta) for r in out if r.delta) == sorted(DELTAS)
 
 
+def test_live_board_reads_its_published_stream(spark, tmp_path):
+    row = lambda ts, v: spark.createDataFrame([("m", "t", ts, v)], "model string, task_id string, ts long, combined double")
+    row(5, 0.1).write.mode("append").json(f"{tmp_path}/in")
+    board = LiveBoard(spark, f"{tmp_path}/live")
+    for value in (0.2, 0.3):
+        board.start(result_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/check", availableNow=True).awaitTermination()
+        row(5, value).write.mode("append").json(f"{tmp_path}/in")
+    board.start(result_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/check", availableNow=True).awaitTermination()
+    assert [r.combined for r in board.rows().collect()] == [0.3]
+    board.compact()
+    assert [r.combined for r in board.rows().collect()] == [0.3]
+
+
+def test_later_files_win_ties_whatever_their_size(spark, tmp_path):
+    import os
+    for k, (value, padding) in enumerate((("0.1", 10), ("0.3", 4000), ("0.2", 1))):
+        line = '{"model":"m","task_id":"t","ts":5,"combined":%s,"taint_reason":"%s"}' % (value, "x" * padding)
+        path = tmp_path / f"{9 - k}.json"
+        path.write_text(line + "\n")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    from gradeloom.operators.boards import latest_per_task
+    assert [r.combined for r in latest_per_task(files.load_results(spark, str(tmp_path))).collect()] == [0.2]
+
+
 def test_live_board_survives_repeated_batches_and_compaction(spark, tmp_path):
     schema = "model string, task_id string, ts long, combined double, ingest_seq long"
     board = LiveBoard(spark, str(tmp_path))
