@@ -1,27 +1,33 @@
 """Bootstrap, permutation and verdict statistics as distributed resampling.
 
-Two exact-in-distribution schemes share one seeded hash:
-
-* groups of up to `exact_rows` rows: n draws with replacement per replicate from
-  one bounded array per group;
-* larger groups: each row gives itself a Poisson(1) weight per replicate, so a
-  replicate is a map-side partial sum and nothing but (group, replicate) sums
-  is shuffled. A group of any size, or one holding a third of all rows, needs
-  no array, no join and no sort.
+One scheme holds at every size: each row gives itself a Poisson(1) weight per
+replicate (or a sign per draw) from a seeded hash. A task turns a batch of
+rows into a matrix of weights and keeps the sums of each (group, replicate),
+so a batch sends replicates, not rows times replicates, and no row is moved
+before. A group of any size, or one holding a third of all rows, needs no
+array, no join and no sort.
+
+Redraws with replacement (`method="redraw"`) and the full distribution of
+signed sums (`method="exact"`) are there for small groups where the caller
+names them; no row count chooses a method.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from gradeloom import fixed_values as fv
-from gradeloom.functions.hashing import poisson_weight, text_key, with_draw
+from gradeloom.functions.hashing import MODULUS, poisson_cuts, text_key, with_draw
 from gradeloom.session import cut_lineage, spread
 
-EXACT_ROWS = 4096
 BLOCKS = 8
+#: rows whose weights are one matrix, and groups that are sent in one batch
+MATRIX_ROWS, SENT_GROUPS = 256, 64
 
 
 def _pick(replicates: DataFrame, keys: list[str], count: int, alpha: float) -> DataFrame:
@@ -34,8 +40,8 @@ def _pick(replicates: DataFrame, keys: list[str], count: int, alpha: float) -> D
     return ordered.select(*keys, at(low).alias("lo"), at(high).alias("hi"))
 
 
-def _exact(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFrame:
-    """Replicate means of small groups; `units` has keys, unit, s, c."""
+def _redrawn(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFrame:
+    """Replicate means by n draws with replacement from one array per group; `units` has keys, unit, s, c."""
     arrays = units.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("unit", "s", "c"))).alias("arr"))
     blocks = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
@@ -49,22 +55,61 @@ def _exact(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFram
     return drawn.groupBy(*keys, "b").agg((F.sum("u.s") / F.sum("u.c")).alias("mean"))
 
 
+def _draws(items: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """The matrix of `hashing.with_draw` over items x replicates."""
+    i, b = items.astype(np.int64)[:, None], np.arange(count, dtype=np.int64)[None, :]
+    x = (b * 40014 + i * 40692 + seed) % MODULUS
+    x = ((x * x) % MODULUS + x * 16807 + i * 99991) % MODULUS
+    return ((x * x) % MODULUS + x * 48271) % MODULUS
+
+
+def _poisson_weights(draws: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.array(poisson_cuts()), draws, side="right").astype(np.float64)
+
+
+def _signs(draws: np.ndarray) -> np.ndarray:
+    return (1 - 2 * (draws % 2)).astype(np.float64)
+
+
+def _replicate_sums(units: DataFrame, keys: list[str], count: int, seed: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """keys, b, s, c: the weighted sums of s and c per replicate; `units` has keys, unit, s, c."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.stack([batch.column("s").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)])
+            item = batch.column("_k").to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+                groups.setdefault(key, []).append(at)
+            members = list(groups.values())
+            for start in range(0, len(members), SENT_GROUPS):
+                some = members[start:start + SENT_GROUPS]
+                sums = np.zeros((len(some), 2, count))
+                for g, rows in enumerate(some):
+                    for cut in range(0, len(rows), MATRIX_ROWS):
+                        part = rows[cut:cut + MATRIX_ROWS]
+                        sums[g] += values[:, part] @ weigh(_draws(item[part], count, seed))
+                heads = pa.array(np.repeat([rows[0] for rows in some], count))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(heads) for k in keys), pa.array(np.tile(np.arange(count, dtype=np.int32), len(some))),
+                     pa.array(sums[:, 0].ravel()), pa.array(sums[:, 1].ravel())], [*keys, "b", "s", "c"])
+
+    rows = units.select(*keys, F.col("s").cast("double").alias("s"), "c", text_key(F.col("unit").cast("string")).alias("_k"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.DoubleType())])
+    return rows.mapInArrow(run, schema).groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
 def _weighted(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFrame:
-    """Replicate means of large groups, by Poisson weights that each row draws for itself."""
-    rows = units.select(*keys, "s", "c", text_key(F.col("unit").cast("string")).alias("_k"))
-    # one narrow row moves once to spread `count` draws of work
-    reps = spread(rows, "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    weighted = with_draw(reps, "b", "_k", seed).withColumn("w", poisson_weight(F.col("draw")))
-    sums = weighted.groupBy(*keys, "b").agg(
-        F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c"))
-    return sums.select(*keys, "b", (F.col("s") / F.nullif(F.col("c"), F.lit(0))).alias("mean"))
+    """Replicate means by Poisson weights that each row draws for itself."""
+    sums = _replicate_sums(units, keys, count, seed, _poisson_weights)
+    return sums.select(*keys, "b", (F.col("s") / F.nullif(F.col("c"), F.lit(0.0))).alias("mean"))
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, unit: str, cluster: str | None = None,
               replicates: int = fv.BOARD_REPLICATES, seed: int = fv.BOARD_SEED,
-              alpha: float = fv.ALPHA, exact_rows: int = EXACT_ROWS, materialize: bool = True) -> DataFrame:
+              alpha: float = fv.ALPHA, method: str = "poisson", materialize: bool = True) -> DataFrame:
     """Seeded percentile bootstrap of the mean of `value` per group: keys, n, point, lo, hi.
 
+    `method` is "poisson" or "redraw" (from one array per group: for small groups).
     The narrow input is read by several branches; `materialize` checkpoints it
     once so its lineage is not run for each. With `cluster`, whole clusters are redrawn (each enters as its sum and
     count); a group with fewer than two clusters falls back to redrawing rows.
@@ -87,9 +132,10 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, unit: str, cluster: st
         units = cut_lineage(clustered.join(counts.filter("clusters >= 2").select(*keys), keys, "left_semi").unionByName(rowwise))
         sizes = units.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("point"),
                                          F.count(F.lit(1)).alias("units"))
-    small = units.join(sizes.filter(f"units > 1 and units <= {exact_rows}").select(*keys), keys, "left_semi")
-    large = units.join(sizes.filter(f"units > 1 and units > {exact_rows}").select(*keys), keys, "left_semi")
-    reps = _exact(small, keys, replicates, seed).unionByName(_weighted(large, keys, replicates, seed))
+    schemes = {"poisson": _weighted, "redraw": _redrawn}
+    if method not in schemes:
+        raise ValueError(f"unknown method {method!r}")
+    reps = schemes[method](units, keys, replicates, seed)
     bounds = _pick(reps, keys, replicates, alpha)
     return sizes.join(bounds, keys, "left").select(
         *keys, "n", "point", F.coalesce("lo", "point").alias("lo"), F.coalesce("hi", "point").alias("hi"))
@@ -116,37 +162,37 @@ def model_pairs(models: DataFrame) -> DataFrame:
 
 
 def sign_permutation(diffs: DataFrame, keys: list[str], value: str = "diff", unit: str = "bug_id",
-                     exact_max: int = fv.EXACT_SIGN_MAX, draws: int = fv.SIGN_DRAWS,
-                     seed: int = fv.PAIR_SEED) -> DataFrame:
+                     method: str = "sampled", draws: int = fv.SIGN_DRAWS, seed: int = fv.PAIR_SEED) -> DataFrame:
     """Two-sided paired sign-flip p-value per group: keys, p_value.
 
-    Up to `exact_max` nonzero differences: the full distribution of signed sums,
-    built by doubling a bounded array. Above: `draws` random sign vectors; each
-    difference signs itself per draw, so only (group, draw) sums are shuffled.
+    "sampled": `draws` random sign vectors; each difference signs itself per
+    draw, so only (group, draw) sums are shuffled. "exact": the full
+    distribution of signed sums, built by doubling an array; more than
+    `EXACT_SIGN_MAX` nonzero differences in a group raise.
     """
     d = diffs.filter(F.col(value).isNotNull())
     sizes = d.groupBy(*keys).agg(
         F.sum((F.col(value) != 0).cast("bigint")).alias("nz"), F.abs(F.sum(value)).alias("observed"))
     nonzero = d.filter(F.col(value) != 0).select(*keys, F.col(unit).cast("string").alias("unit"), F.col(value).alias("d"))
-
-    few = nonzero.join(sizes.filter(f"nz <= {exact_max}").select(*keys), keys, "left_semi")
-    arrays = few.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "d"))),
-                                                lambda x: x.getField("d")).alias("ds"))
-    sums = F.aggregate("ds", F.array(F.lit(0.0)), lambda acc, x: F.concat(
-        F.transform(acc, lambda s: s + x), F.transform(acc, lambda s: s - x)))
-    observed = F.abs(F.aggregate("ds", F.lit(0.0), lambda acc, x: acc + x))
-    exact = arrays.withColumn("sums", sums).withColumn("obs", observed).select(
-        *keys, (F.size(F.filter("sums", lambda s: F.abs(s) >= F.col("obs") - 1e-12))
-                / F.size("sums")).alias("p_value"))
-
-    many = nonzero.join(sizes.filter(f"nz > {exact_max}").select(*keys), keys, "left_semi")
-    tossed = spread(many.withColumn("_k", text_key(F.col("unit"))), *keys, "_k").withColumn(
-        "j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    signed = with_draw(tossed, "j", "_k", seed).withColumn("sign", F.lit(1) - 2 * (F.col("draw") % 2))
-    totals = signed.groupBy(*keys, "j").agg(F.sum(F.col("sign") * F.col("d")).alias("s"))
-    sampled = totals.join(sizes.select(*keys, "observed"), keys).groupBy(*keys).agg(
-        ((F.sum((F.abs("s") >= F.col("observed") - 1e-9).cast("bigint")) + 1) / (draws + 1)).alias("p_value"))
-    return sizes.join(exact.unionByName(sampled), keys, "left").select(
+    if method == "exact":
+        arrays = nonzero.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "d"))),
+                                                        lambda x: x.getField("d")).alias("ds"))
+        few = F.when(F.size("ds") <= fv.EXACT_SIGN_MAX, F.col("ds")).otherwise(
+            F.raise_error(F.lit("too many differences for the exact method")).cast("array<double>"))
+        arrays = arrays.withColumn("ds", few)
+        sums = F.aggregate("ds", F.array(F.lit(0.0)), lambda acc, x: F.concat(
+            F.transform(acc, lambda s: s + x), F.transform(acc, lambda s: s - x)))
+        observed = F.abs(F.aggregate("ds", F.lit(0.0), lambda acc, x: acc + x))
+        found = arrays.withColumn("sums", sums).withColumn("obs", observed).select(
+            *keys, (F.size(F.filter("sums", lambda s: F.abs(s) >= F.col("obs") - 1e-12))
+                    / F.size("sums")).alias("p_value"))
+    elif method == "sampled":
+        totals = _replicate_sums(nonzero.select(*keys, "unit", F.col("d").alias("s"), F.lit(1).alias("c")), keys, draws, seed, _signs)
+        found = totals.join(sizes.select(*keys, "observed"), keys).groupBy(*keys).agg(
+            ((F.sum((F.abs("s") >= F.col("observed") - 1e-9).cast("bigint")) + 1) / (draws + 1)).alias("p_value"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return sizes.join(found, keys, "left").select(
         *keys, F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
 
 
@@ -172,18 +218,16 @@ def holm(df: DataFrame, p: str = "p_value", tiebreak: list[str] = (), family: li
 
 def verdicts(scores: DataFrame, delta0: float = fv.EQUIVALENCE_DELTA, alpha: float = fv.ALPHA,
              replicates: int = fv.PAIR_REPLICATES, seed: int = fv.PAIR_SEED,
-             draws: int = fv.SIGN_DRAWS, exact_rows: int = EXACT_ROWS, exact_max: int = fv.EXACT_SIGN_MAX) -> DataFrame:
-    """Every model pair: A_WINS, B_WINS, TIED or INCONCLUSIVE, after Holm correction."""
+             draws: int = fv.SIGN_DRAWS, method: str = "sampled") -> DataFrame:
+    """Every model pair: A_WINS, B_WINS, TIED or INCONCLUSIVE, after Holm correction; `p_method` says how p was found."""
     keys = ["model_a", "model_b"]
     diffs = cut_lineage(pairwise_differences(scores))
     base = diffs.groupBy(*keys).agg(
         F.avg("diff").alias("delta"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
         F.avg(F.signum("diff")).alias("dominance"), F.count(F.lit(1)).alias("n_bugs"))
-    p = sign_permutation(diffs, keys, exact_max=exact_max, draws=draws, seed=seed)
-    ci = bootstrap(diffs, keys, "diff", "bug_id", replicates=replicates, seed=seed, alpha=alpha,
-                   exact_rows=exact_rows, materialize=False).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
-    cci = bootstrap(diffs, keys, "diff", "bug_id", cluster="codebase", replicates=replicates, seed=seed, alpha=alpha,
-                    exact_rows=exact_rows, materialize=False).select(*keys, F.col("lo").alias("cluster_low"), F.col("hi").alias("cluster_high"))
+    p = sign_permutation(diffs, keys, method=method, draws=draws, seed=seed).withColumn("p_method", F.lit(method))
+    ci = bootstrap(diffs, keys, "diff", "bug_id", replicates=replicates, seed=seed, alpha=alpha, materialize=False).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
+    cci = bootstrap(diffs, keys, "diff", "bug_id", cluster="codebase", replicates=replicates, seed=seed, alpha=alpha, materialize=False).select(*keys, F.col("lo").alias("cluster_low"), F.col("hi").alias("cluster_high"))
     table = reduce(lambda l, r: l.join(r, keys, "left"), [base, p, ci, cci], model_pairs(scores))
     table = table.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn(
         "n_bugs", F.coalesce("n_bugs", F.lit(0).cast("bigint")))

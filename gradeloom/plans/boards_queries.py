@@ -52,11 +52,11 @@ def category_breakdown(spark, sf):
 
 
 @query("bootstrap_every_attempt", with_views("runs", body="WITH " + sqltext.bootstrap(
-    "b", "runs", "model", "combined", "ingest_seq", 200, SEED, exact=False).strip() + """
+    "b", "runs", "model", "combined", "ingest_seq", R, SEED).strip() + """
 SELECT model, n, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b_ci"""))
 def bootstrap_every_attempt(spark, sf):
     """The large-group scheme, over every attempt instead of the latest ones."""
-    return bootstrap(runs(spark, sf), ["model"], "combined", "ingest_seq", replicates=200, exact_rows=0).select(
+    return bootstrap(runs(spark, sf), ["model"], "combined", "ingest_seq", replicates=R).select(
         "model", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")])
 
 

@@ -16,7 +16,7 @@ def text_key(expr: str) -> str:
 
 
 def bootstrap(prefix: str, source: str, keys: str, value: str, unit: str, replicates: int, seed: int,
-              exact: bool = True, count: str = "1", alpha: float = 0.05) -> str:
+              exact: bool = False, count: str = "1", alpha: float = 0.05) -> str:
     """CTEs ending in `{prefix}_ci` with the keys, n, point, lo, hi."""
     low, high = int(alpha / 2 * replicates), min(int((1 - alpha / 2) * replicates), replicates - 1)
     p = prefix

@@ -11,7 +11,7 @@ from gradeloom.plans import sqltext
 from gradeloom.plans.registry import query
 from gradeloom.plans.views import runs, sql_view, with_views
 
-SEED, REPS, DRAWS = fv.PAIR_SEED, 500, 500
+SEED, REPS, DRAWS = fv.PAIR_SEED, fv.PAIR_REPLICATES, fv.SIGN_DRAWS
 
 
 def scores(spark, sf, bugs: int | None = 12):
@@ -92,7 +92,7 @@ EXACT_P = """nz AS (SELECT model_a, model_b, diff, row_number() OVER (PARTITION
 @query("sign_permutation_exact", with_views("diffs_few", body="WITH " + EXACT_P + """
 SELECT model_a, model_b, round(p_value, 6) AS p_value FROM p"""))
 def sign_permutation_exact(spark, sf):
-    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf)), PAIR), "p_value")
+    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf)), PAIR, method="exact"), "p_value")
 
 
 SAMPLED_P = f"""nz AS (SELECT model_a, model_b, diff, {sqltext.text_key('bug_id')} AS kk FROM diffs_many WHERE diff <> 0),
@@ -106,7 +106,7 @@ SAMPLED_P = f"""nz AS (SELECT model_a, model_b, diff, {sqltext.text_key('bug_id'
 @query("sign_permutation_sampled", with_views("diffs_many", body="WITH " + SAMPLED_P + """
 SELECT model_a, model_b, round(p_value, 6) AS p_value FROM p"""))
 def sign_permutation_sampled(spark, sf):
-    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, exact_max=0, draws=DRAWS), "p_value")
+    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, draws=DRAWS), "p_value")
 
 
 HOLM = """, h AS (SELECT *, max(step) OVER (ORDER BY p_value, model_a, model_b) AS p_adjusted FROM (
@@ -116,7 +116,7 @@ HOLM = """, h AS (SELECT *, max(step) OVER (ORDER BY p_value, model_a, model_b)
 @query("holm_correction", with_views("diffs_few", body="WITH " + EXACT_P + HOLM + """
 SELECT model_a, model_b, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted FROM h"""))
 def holm_correction(spark, sf):
-    p = rs.sign_permutation(rs.pairwise_differences(scores(spark, sf)), PAIR)
+    p = rs.sign_permutation(rs.pairwise_differences(scores(spark, sf)), PAIR, method="exact")
     return rounded(rs.holm(p, tiebreak=PAIR), "p_value", "p_adjusted")
 
 
@@ -137,8 +137,11 @@ def equivalence(spark, sf):
 SELECT model_a, model_b, CASE WHEN sig AND p_adjusted < 0.05 AND delta > 0 THEN 'A_WINS' WHEN sig AND p_adjusted < 0.05 THEN 'B_WINS'
    WHEN tied THEN 'TIED' ELSE 'INCONCLUSIVE' END AS verdict, n_bugs, round(delta, 6) AS delta, round(mean_a, 6) AS mean_a,
   round(mean_b, 6) AS mean_b, round(dominance, 6) AS dominance, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted,
-  round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(clo, 6) AS cluster_low, round(chi, 6) AS cluster_high FROM t"""))
+  round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(clo, 6) AS cluster_low, round(chi, 6) AS cluster_high, 'sampled' AS p_method,
+  concat_ws('; ', CASE WHEN sig AND ((lo > 0) <> (clo > 0) OR (hi > 0) <> (chi > 0)) THEN 'paired and cluster intervals disagree on the sign; the paired result stands' END,
+   CASE WHEN sig AND NOT p_adjusted < 0.05 THEN 'win does not survive Holm correction' END, CASE WHEN NOT sig AND tied THEN 'gap bounded below 0.1' END,
+   CASE WHEN NOT sig AND NOT tied THEN 'could not bound the gap below 0.1; not a tie' END) AS notes FROM t"""))
 def pair_verdicts(spark, sf):
-    v = rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS, exact_max=0)
-    return rounded(v.drop("notes"), "delta", "mean_a", "mean_b", "dominance", "p_value", "p_adjusted", "ci_low", "ci_high",
+    v = rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS)
+    return rounded(v.withColumn("notes", F.array_join("notes", "; ")), "delta", "mean_a", "mean_b", "dominance", "p_value", "p_adjusted", "ci_low", "ci_high",
                    "cluster_low", "cluster_high")

@@ -22,7 +22,7 @@ def scores(rows, **models):
 def test_bootstrap_equals_the_same_draws_in_python(rows):
     vals = [0.1, 0.9, 0.4, 0.4, 0.7]
     df = rows("g string, u string, v double", *[("g", f"u{i}", v) for i, v in enumerate(vals)], ("one", "u", 0.3), ("none", "u", None))
-    got = {r.g: r for r in rs.bootstrap(df, ["g"], "v", "u", replicates=200, seed=7).collect()}
+    got = {r.g: r for r in rs.bootstrap(df, ["g"], "v", "u", replicates=200, seed=7, method="redraw").collect()}
     means = sorted(sum(vals[draw(b, i, 7) % 5] for i in range(5)) / 5 for b in range(200))
     assert got["g"].lo == pytest.approx(means[5]) and got["g"].hi == pytest.approx(means[195])
     assert (got["one"].point, got["one"].lo, got["one"].hi) == (0.3, 0.3, 0.3)
@@ -32,8 +32,8 @@ def test_bootstrap_equals_the_same_draws_in_python(rows):
 def test_weighted_scheme_agrees_with_the_exact_one(rows):
     rng = random.Random(4)
     df = rows("g string, u string, v double", *[("g", f"u{i}", rng.random()) for i in range(400)])
-    exact = rs.bootstrap(df, ["g"], "v", "u", replicates=400).first()
-    weighted = rs.bootstrap(df, ["g"], "v", "u", replicates=400, exact_rows=0).first()
+    exact = rs.bootstrap(df, ["g"], "v", "u", replicates=400, method="redraw").first()
+    weighted = rs.bootstrap(df, ["g"], "v", "u", replicates=400).first()
     assert exact.lo == pytest.approx(weighted.lo, abs=0.012) and exact.hi == pytest.approx(weighted.hi, abs=0.012)
 
 
@@ -48,19 +48,33 @@ def test_cluster_bootstrap_is_wider_and_falls_back(rows):
 
 def test_sign_permutation(rows):
     d = [("tie", f"b{i}", 0.0) for i in range(5)] + [("ten", f"b{i}", 0.5) for i in range(10)] + [("mixed", f"b{i}", x) for i, x in enumerate((1.0, -1.0, 0.5))]
-    d += [("many", f"b{i}", 1.0) for i in range(40)]
-    got = {r.g: r.p_value for r in rs.sign_permutation(rows("g string, bug_id string, diff double", *d), ["g"], draws=500).collect()}
+    got = {r.g: r.p_value for r in rs.sign_permutation(rows("g string, bug_id string, diff double", *d), ["g"], method="exact").collect()}
     assert got["tie"] == 1.0
     assert got["ten"] == 2 / 1024
     assert got["mixed"] == 1.0
-    assert got["many"] == pytest.approx(1 / 501)
+    many = rows("g string, bug_id string, diff double", *[("many", f"b{i}", 1.0) for i in range(40)])
+    assert rs.sign_permutation(many, ["g"], draws=500).first().p_value == pytest.approx(1 / 501)
+    with pytest.raises(Exception, match="too many differences"):
+        rs.sign_permutation(many, ["g"], method="exact").collect()
+
+
+def test_one_scheme_on_both_sides_of_any_size(rows, spark):
+    """Groups of 4,096 and 4,097 units, and a large one, are weighted alike; the interval covers the known mean."""
+    big = spark.range(300_000).selectExpr("'big' AS g", "cast(id AS string) AS u", "cast(id % 100 AS double) AS v")
+    df = big.unionByName(spark.range(4096).selectExpr("'a'", "cast(id AS string)", "cast(id % 64 AS double)").toDF("g", "u", "v")).unionByName(
+        spark.range(4097).selectExpr("'b'", "cast(id AS string)", "cast(id % 64 AS double)").toDF("g", "u", "v"))
+    got = {r.g: r for r in rs.bootstrap(df, ["g"], "v", "u", replicates=200).collect()}
+    assert got["big"].lo < 49.5 < got["big"].hi and got["big"].hi - got["big"].lo < 0.3
+    assert abs(got["a"].lo - got["b"].lo) < 0.2 and abs(got["a"].hi - got["b"].hi) < 0.2
+    plan = rs.bootstrap(df, ["g"], "v", "u", replicates=200, materialize=False)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" not in plan
 
 
 def test_sampled_p_is_close_to_exact(rows):
     rng = random.Random(9)
     df = rows("g string, bug_id string, diff double", *[("g", f"b{i}", rng.uniform(-0.4, 0.8)) for i in range(12)])
-    exact = rs.sign_permutation(df, ["g"]).first().p_value
-    sampled = rs.sign_permutation(df, ["g"], exact_max=0, draws=4000).first().p_value
+    exact = rs.sign_permutation(df, ["g"], method="exact").first().p_value
+    sampled = rs.sign_permutation(df, ["g"], draws=4000).first().p_value
     assert sampled == pytest.approx(exact, abs=0.02)
 
 
