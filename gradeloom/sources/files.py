@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom import fixed_values as fv
@@ -76,19 +75,19 @@ def append_results(rows: DataFrame, path: str) -> None:
 
 
 def load_shards(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Union of JSON shards, each an array of tasks or an object with `tasks`; absent shards are skipped."""
-    flat = [f.name for f in PANEL_TASK]
-    out = spark.createDataFrame([], PANEL_TASK)
-    for path in paths:
-        try:
-            shard = spark.read.schema(PANEL_SHARD).option("multiLine", True).json(path)
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            continue
-        wrapped = shard.filter("tasks IS NOT NULL").select(F.explode("tasks").alias("t")).select("t.*")
-        out = out.unionByName(shard.filter("tasks IS NULL").select(*flat)).unionByName(wrapped)
-    return out
+    """JSON shards in one read, each an array of tasks or an object with `tasks`; absent shards are skipped."""
+    found = [p for p in paths if _exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], PANEL_TASK)
+    rows = spark.read.schema(PANEL_SHARD).option("multiLine", True).json(found)
+    alone = F.array(F.struct(*[f.name for f in PANEL_TASK]))
+    return rows.select(F.explode(F.coalesce("tasks", alone)).alias("t")).select("t.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
 
 
 def scan_text(spark: SparkSession, root: str, skip: Iterable[str] = fv.SWEEP_SKIP_SUFFIXES) -> DataFrame:
