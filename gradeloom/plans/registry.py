@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeloom.session import FAN_OUT
+
+#: long texts, whose rows cost far more to process than to move
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +26,9 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    tasks = int(spark.conf.get(FAN_OUT, "0"))
+    return df.repartition(tasks) if tasks and table in TEXT_TABLES else df
 
 
 def quoted(text: str) -> str:
