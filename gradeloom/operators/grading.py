@@ -8,11 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from gradeloom import fixed_values as fv
-from gradeloom.functions.similarity import character_ratio, length_bound
+from gradeloom.functions.similarity import character_ratio, length_bound, token_similarity
 from gradeloom.functions.text import extract_code, lines, squash, strip
 from gradeloom.operators.curation import inferred_defect
 from gradeloom.operators.linediff import changed_lines, diff_texts
-from gradeloom.operators.similarity import patch_similarity, unchanged
+from gradeloom.operators.similarity import unchanged
 
 
 def clip01(c: Column) -> Column:
@@ -54,19 +54,26 @@ def score_repairs(answers: DataFrame, tasks: DataFrame) -> DataFrame:
     Returning the input scores 0 whatever the judge says. With an execution
     oracle the weights are judge .5, similarity .3, oracle .2; without, .5/.5.
     """
-    df = answers.join(tasks.select("task_id", "buggy", "reference_fix"), "task_id")
-    text = F.coalesce("candidate", F.lit(""))
+    keyed = answers.withColumn("_answer", F.sha2(F.coalesce("candidate", F.lit("")), 256))
+    # one row per different answer to a task: copies fold before any shuffle, and each measure is taken once
+    distinct = keyed.groupBy("task_id", "_answer").agg(F.first(F.coalesce("candidate", F.lit(""))).alias("_text"))
+    df = distinct.join(tasks.select("task_id", "buggy", "reference_fix"), "task_id")
+    text = F.col("_text")
     df = df.withColumn("_cand", F.when(text.contains("```"), extract_code(text)).otherwise(strip(text)))
     # read several times below, so each is its own column
     df = df.withColumn("_c", squash(F.col("_cand"))).withColumn("_b", squash(F.col("buggy")))
     c, b = F.col("_c"), F.col("_b")
     bound = F.coalesce(length_bound(F.length(c), F.length(b)), F.lit(0.0))
     undecided = (c != b) & (bound >= fv.UNCHANGED_RATIO)
-    ratio = F.when((c == b) & (F.length(c) > 0), 1.0).otherwise(
-        character_ratio(F.when(undecided, c), F.when(undecided, b)))
+    df = df.withColumn("_ratio", character_ratio(F.when(undecided, c), F.when(undecided, b)))
+    ratio = F.when((c == b) & (F.length(c) > 0), 1.0).otherwise(F.col("_ratio"))
     df = df.withColumn("unchanged", unchanged(ratio, F.length(b)))
-    df = patch_similarity(df.withColumn("_l", F.when(F.col("unchanged"), "").otherwise(F.col("_cand"))).withColumn(
-        "_r", F.when(F.col("unchanged"), "").otherwise(F.col("reference_fix"))), "_l", "_r", "similarity")
+    same = (F.col("_cand") == F.col("reference_fix")) & (F.length(F.trim("_cand")) > 0)
+    open_pair = ~F.col("unchanged") & ~same
+    measured = F.when(~F.col("unchanged") & same, 1.0).otherwise(
+        token_similarity(F.when(open_pair, F.col("_cand")), F.when(open_pair, F.col("reference_fix"))))
+    scored = df.select("task_id", "_answer", "unchanged", F.coalesce(measured, F.lit(0.0)).alias("similarity"))
+    df = keyed.join(scored, ["task_id", "_answer"])
     judge, o = clip01(F.col("judge_agreement")), F.col("oracle_score")
     wo, w, wr = fv.REPAIR_ORACLE_WEIGHTS, fv.REPAIR_WEIGHTS, fv.RANK_ORACLE_WEIGHTS
     total = F.when(o.isNotNull(), wo["judge"] * judge + wo["similarity"] * F.col("similarity") + wo["oracle"] * o).otherwise(
