@@ -4,8 +4,9 @@ Writing: one record per page. Of pages with equal payloads (of at least
 `least_bytes`) the one with the smallest id is a `response`, the others are
 `revisit` records that name it. A record is one row of Spark's text writer
 whose line separator is the end of a WARC record, so archives are plain
-WARC/1.1 files with the writer's commit protocol behind them, on any store
-that Spark writes to.
+WARC/1.1 files (gzip files by default) with the writer's commit protocol
+behind them, on any store that Spark writes to. Offsets count decompressed
+bytes.
 
 Reading: archives are listed by Spark, dealt to tasks, and streamed record by
 record (through pyarrow's file systems); memory is bounded by a record.
@@ -68,8 +69,8 @@ def page_of(record: str | None) -> int | None:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
-                   least_bytes: int = 0, date: Column | None = None) -> None:
-    """Write WARC files below `path`; `date` defaults to one second per id from `FIRST_CAPTURE` on, within a century."""
+                   least_bytes: int = 0, date: Column | None = None, compression: str = "gzip") -> None:
+    """Write WARC files below `path`, whole files compressed ("none" for plain ones); `date` defaults to one second per id from `FIRST_CAPTURE` on, within a century."""
     rows = pages.select(F.col(page_id).cast("bigint").alias("id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("payload"),
                         (F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.pmod(F.coalesce(F.col(page_id).cast("bigint"), F.lit(0)), F.lit(3_155_760_000)))
                          if date is None else date).alias("date"))
@@ -91,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
                                  line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("first")), F.lit(">"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(RECORD_END))
     (joined.withColumn("bits", bits).withColumn("digest", digest).select(F.concat(head, block).alias("value"))
-     .write.option("lineSep", RECORD_END).text(path))
+     .write.option("lineSep", RECORD_END).option("compression", compression).text(path))
 
 
 def _records(file) -> Iterator[tuple[int, dict[str, str], int, str]]:
