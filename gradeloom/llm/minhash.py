@@ -13,13 +13,16 @@ which is the Jaccard similarity where weights are equal. Slots are banded;
 documents that share a band are candidates, and candidates are verified with
 the exact measure on their whole texts.
 
-Buckets are not expanded to pairs. Equal texts count once. The members of a
-bucket are compared with its smallest member; 1 - J obeys the triangle
-inequality (J is the chance of a common first arrival), so members similar
-to the centre are connected through it, and only members that are not, and
-those that could be similar to one of them, go on to another round with a
-new centre (or to all pairs, where few are left). Classes are the connected
-components of the verified links.
+Buckets are not expanded to pairs. Equal texts count once, and buckets with
+the same members are one. The members of a bucket are compared with its
+centre, the member that meets most others over all buckets: copies of one
+text may be less similar to each other than to it. The links found make first
+classes. A bucket whose members
+are in one class is settled, since more links couldn't change it. In the
+others each member outside the bucket's largest class is compared with the
+members of other classes, so all similar texts of a bucket end in one class.
+Of these pairs only those are verified whose signatures don't rule it out.
+Classes are the connected components of the verified links.
 
 Defined cases: a text of one to four words is one shingle; a text of none
 (null, empty, white space) is linked only to equal texts; a null id has no
@@ -30,6 +33,7 @@ class; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_SLOTS = 24, 5
 SLOTS = BANDS * BAND_SLOTS
-#: a bucket with no more members left than this is finished by all its pairs
-FEW_MEMBERS = 16
-#: rounds with one centre each before what is left of a bucket is finished by pairs
-CENTRE_ROUNDS = 6
+#: bytes of text that a task turns into shingles at once
+SLICE = 1 << 20
+#: low bits of the slots that are kept as a sketch, one byte each; pairs of the second step are verified only if
+#: their sketches agree in at least this share of the slots (at similarity 0.8, fewer than 72 of 120 are more than 5 standard deviations away)
+SKETCH_SHARE = 0.6
+#: members of a bucket that one group of the second step holds, twice
+BLOCK_MEMBERS = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,12 +70,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def _grown_powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=2)
+def _kept_powers(base: np.uint64) -> np.ndarray:
+    return _grown_powers(base, SLICE)
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n - 1; those that a usual slice needs are kept."""
+    return _kept_powers(base)[:n] if n <= SLICE else _grown_powers(base, n)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of the first word of each text and of the end)."""
     n = len(data)
@@ -83,8 +100,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     nexts = np.flatnonzero(edge)
     ends = nexts[np.searchsorted(nexts, cuts, side="right")]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, n), out=sums[1:])
-    hashes = (sums[ends] - sums[cuts]) * _powers(_INVERSE, n)[cuts] + (ends - cuts).astype(np.uint64)
+    np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
+    hashes = (sums[ends] - sums[cuts]) * powers(_INVERSE, n)[cuts] + (ends - cuts).astype(np.uint64)
     return mix64(hashes), np.searchsorted(cuts, offsets, side="left")
 
 
@@ -164,26 +181,28 @@ def probability_jaccard(e1: np.ndarray, w1: np.ndarray, e2: np.ndarray, w2: np.n
 
 
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, copy_key (of the text), bands (empty for a text without words)."""
+    """id, copy_key (of the text), bands (empty for a text without words), sketch (a byte of each slot)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             owner, element, weight, words = shingles(batch.column("text"))
-            keys = band_keys(signatures(batch.num_rows, owner, element, weight))
+            slots = signatures(batch.num_rows, owner, element, weight)
+            keys = band_keys(slots)
             has = np.repeat(words > 0, BANDS)
             ends = np.concatenate([[0], np.cumsum(np.where(words > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()[has]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy_key"), bands], ["id", "copy_key", "bands"])
+            sketch = pa.array([row.tobytes() for row in slots.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy_key"), bands, sketch], ["id", "copy_key", "bands", "sketch"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
     return (rows.select("id", "text", F.unhex(F.md5("text")).alias("copy_key"))
-            .mapInArrow(run, "id bigint, copy_key binary, bands array<bigint>"))
+            .mapInArrow(run, "id bigint, copy_key binary, bands array<bigint>, sketch binary"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs of ids by the exact measure on whole texts; `texts` is (id, text), ids unique."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for wide in slices(batches, "text_a"):
-            for batch in slices([wide], "text_b"):
+        for wide in slices(batches, "text_a", SLICE):
+            for batch in slices([wide], "text_b", SLICE):
                 (o1, e1, w1, _), (o2, e2, w2, _) = shingles(batch.column("text_a")), shingles(batch.column("text_b"))
                 rows = np.arange(batch.num_rows + 1)
                 c1, c2 = np.searchsorted(o1, rows), np.searchsorted(o2, rows)
@@ -196,35 +215,84 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def _links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Verified links that connect what is similar within each bucket; members: (key, id), `lone` where it has no link there yet."""
+def _different(members: DataFrame) -> DataFrame:
+    """(key, id) members of one of the buckets with the same members, for buckets of two and more."""
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"),
+                                      F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("x"))
+    one = sets.where("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
+    return members.join(one, "key")
+
+
+def _apart(rest: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) between members of one bucket that are in different classes; rest: (key, id, root, minor, n).
+
+    Members are dealt to blocks of about `BLOCK_MEMBERS`, and a block meets
+    each other block of its bucket in one group, so a group is bounded and
+    what is shuffled grows with members times blocks, not with pairs. Pairs
+    are compared by sketch first, and only in the first bucket they share.
+    """
+    count = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = (rest.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(every))
+             .select("key", "id", "root", "minor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"))
+    # the buckets of this step at their places among the bands; elsewhere the id, which no other member has
+    places = rest.groupBy("id").agg(F.collect_set("key").alias("open"))
+    here = F.transform("bands", lambda b: F.when(F.array_contains("open", b), b).otherwise(F.col("id")))
+    known = sketches.join(places, "id").withColumn("bands", here).drop("open").join(texts, "id")
+    wide = dealt.join(known, "id")
+    least = similarity - 1e-9
+
+    def run(group: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        group = group.sort_by("id")
+        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        ids, root, block = (group.column(c).to_numpy() for c in ("id", "root", "block"))
+        minor = group.column("minor").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
+        of_key = (bands == key).argmax(axis=1)
+        text = group.column("text").combine_chunks()
+        sets: dict[int, tuple] = {}
+
+        def shingles_of(r: int) -> tuple:
+            if r not in sets:
+                _, e, w, _ = shingles(text.slice(r, 1))
+                sets[r] = e, w
+            return sets[r]
+
+        for r in range(len(ids)):
+            likely = (root[r + 1:] != root[r]) & (minor[r] | minor[r + 1:])
+            if i != j:
+                likely &= block[r + 1:] != block[r]
+            others = np.flatnonzero(likely) + r + 1
+            others = others[(sketch[others] == sketch[r]).mean(axis=1) >= SKETCH_SHARE]
+            # another bucket that both are in earlier compares them
+            others = others[~((bands[others] == bands[r])[:, :of_key[r]]).any(axis=1)] if of_key[r] else others
+            for o in others.tolist():
+                if probability_jaccard(*shingles_of(r), *shingles_of(o)) >= least:
+                    found_a.append(ids[r]), found_b.append(ids[o])
+        return pa.table([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return wide.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _links(members: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Verified links that connect whatever is similar within a bucket; members: (key, id)."""
     least = similarity - 1e-9
-    known = None
-    for rounds in range(1, 1_000_000):
-        sizes = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"))
-        few = (F.col("n") <= FEW_MEMBERS) | F.lit(rounds > CENTRE_ROUNDS)
-        sized = kept_table(members.join(sizes.where("n > 1"), "key").withColumn("few", few), "near-members")
-        star = sized.where("not few and id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        pairs = star
-        if rounds > 1:
-            left, right = sized.where("few"), sized.where("few").select("key", F.col("id").alias("other"), F.col("lone").alias("other_lone"))
-            pairs = pairs.unionByName(left.join(right, "key").where("id < other and (lone or other_lone)").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        else:
-            pairs = sized.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-            sized = sized.withColumn("few", F.lit(False))
-        pairs = pairs.distinct()
-        fresh = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = kept_table(verified(fresh, texts), "near-similarities")
-        known = found if known is None else known.unionByName(found)
-        # distance of each member to its centre; the centre itself leaves
-        placed = (sized.where("not few and id != centre")
-                  .join(known.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity"), ["centre", "id"]))
-        apart = placed.where(F.col("similarity") < least).groupBy("key").agg(F.max("similarity").alias("nearest"))
-        # a member that is linked can still be similar to one that isn't, if their distances to the centre differ by no more than 1 - similarity
-        rest = placed.join(apart, "key").where((F.col("similarity") < least) | (F.col("similarity") - (1 - similarity) <= F.col("nearest") + 1e-9))
-        members = kept_table(rest.select("key", "id", (F.col("similarity") < least).alias("lone")), "near-members")
-        if members.isEmpty():
-            return known.where(F.col("similarity") >= least)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    centres = members.join(weights, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("centre"))
+    star = members.join(centres, "key").where("id != centre").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    first = kept_table(verified(star, texts), "near-similarities")
+    roots = components(first.where(F.col("similarity") >= least).select("a", "b"))
+    placed = members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = (shares.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"))
+                 .where("classes > 1").select("key", "major", "n"))
+    rest = placed.join(open_keys, "key").select("key", "id", "root", (F.col("root") != F.col("major")).alias("minor"), "n")
+    second = _apart(rest, texts, sketches, similarity)
+    return first.where(F.col("similarity") >= least).select("a", "b").unionByName(second)
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -234,15 +302,15 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     narrow = texts_of.select(F.col("rep").alias("id"), F.col("copy_key").alias("rep_key")).where("id is not null")
     bands = (marks.join(narrow, (marks["id"] == narrow["id"]) & (marks["copy_key"] == narrow["rep_key"]), "left_semi")
              .select("id", F.explode("bands").alias("key")).distinct())
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = kept_table(bands.join(shared, "key").withColumn("lone", F.lit(True)), "near-members")
+    members = kept_table(_different(bands), "near-members")
     wanted = members.select("id").distinct()
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
     rep = narrow.select("id", "rep_key")
     texts = kept_table(rows.withColumn("rep_key", F.unhex(F.md5("text"))).join(wanted, "id", "left_semi")
                        .join(rep, ["id", "rep_key"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "near-texts")
-    links = kept_table(_links(members, texts, similarity), "near-links")
-    roots = components(links.select("a", "b"))
+    sketches = marks.join(narrow, (marks["id"] == narrow["id"]) & (marks["copy_key"] == narrow["rep_key"]), "left_semi").dropDuplicates(["id"]).select("id", "sketch", "bands")
+    links = kept_table(_links(members, texts, sketches, similarity), "near-links")
+    roots = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = (texts_of.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
                .join(ends.select(F.col("id").alias("rep"), "n_links"), "rep", "left"))
