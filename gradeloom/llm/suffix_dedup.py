@@ -43,7 +43,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.common import flat_bytes, kept_table, parts, slices
-from gradeloom.llm.minhash import mix64
+from gradeloom.llm.minhash import SLICE, mix64, powers
 from gradeloom.llm.spans import by_text, cut, marked
 
 LENGTH = 50
@@ -53,10 +53,11 @@ BLOCK_BYTES = 1 << 22
 GROUPS_PER_PARTITION = 8
 SHARD_STRINGS = 256
 #: bytes of strings that are merged at once
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 1_000_000
 MOST_STRINGS = 20_000
 _SYMBOL = np.random.default_rng(20240502).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(6364136223846793005)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64(24)
 
 
@@ -74,6 +75,43 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
             h, base, width = h[:n] * base + h[width:width + n], base * base, 2 * width
 
 
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for short spans sorted by start, from prefix sums; equal strings have equal hashes."""
+    out = np.empty(len(start), np.uint64)
+    step = SLICE - 2 * LENGTH
+    for base in range(0, len(data), step):
+        a, b = np.searchsorted(start, (base, base + step))
+        piece = data[base:base + SLICE]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_SYMBOL[piece] * powers(_BASE, len(piece)), out=sums[1:])
+        s, e = start[a:b] - base, end[a:b] - base
+        out[a:b] = mix64((sums[e] - sums[s]) * powers(_INVERSE, len(piece))[s] + (e - s).astype(np.uint64))
+    return out
+
+
+def _places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    total = np.cumsum(length)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(start - (total - length), length)
+
+
+def _first_equal(data: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each span the first one in `order` that has the same bytes. Hashes find them, bytes decide."""
+    same = _digests(data, start, start + length)[order]
+    sort = np.argsort(same, kind="stable")
+    head = np.concatenate([[True], same[sort][1:] != same[sort][:-1]]) if len(sort) else np.zeros(0, bool)
+    found = np.empty(len(order), np.int64)
+    found[order[sort]] = order[sort][np.flatnonzero(head)[np.cumsum(head) - 1]] if len(sort) else sort
+    others = np.flatnonzero(found != np.arange(len(found)))
+    first = found[others]
+    if (length[others] != length[first]).any() or (data[_places(start[others], length[others])] != data[_places(start[first], length[first])]).any():
+        seen: dict[bytes, int] = {}  # two strings with one hash
+        raw = data.tobytes()
+        for i in order.tolist():
+            found[i] = seen.setdefault(raw[start[i]:start[i] + length[i]], i)
+    return found
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     reach = 1
     while 2 * reach <= width:
@@ -123,23 +161,16 @@ SPANS = "owner bigint, mark bigint, start bigint, end bigint, gram binary"
 def _deal(ids: np.ndarray, marks: np.ndarray, data: np.ndarray, offsets: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
     """The segments of one block of texts, a row for each group of anchors."""
     text, start, end, at, key = segments(data, offsets)
-    raw = data.tobytes()
-    order = np.argsort(ids[text], kind="stable")  # the smallest id of a string travels
-    seen: dict[bytes, int] = {}
-    travels = np.zeros(len(text), bool)
     owners = ids[text]
-    for i, a, b in zip(order.tolist(), start[order].tolist(), end[order].tolist()):
-        first = seen.setdefault(raw[a:b], i)
-        if owners[first] == owners[i]:
-            travels[i] = True
+    # the smallest id of a string travels
+    travels = owners[_first_equal(data, start, end - start, np.argsort(owners, kind="stable"))] == owners
     group = (mix64(key) % np.uint64(groups)).astype(np.int64)
     own = start - offsets[text]
     go, done = np.flatnonzero(travels), np.flatnonzero(~travels)
     go = go[np.argsort(group[go], kind="stable")]
     length = (end - start)[go]
     total = np.cumsum(length)
-    places = np.arange(int(total[-1]) if len(go) else 0) + np.repeat(start[go] - (total - length), length)
-    letters = data[places]
+    letters = data[_places(start[go], length)]
     cuts = np.flatnonzero(np.concatenate([[True], group[go][1:] != group[go][:-1], [True]])) if len(go) else np.zeros(1, np.int64)
     rows: list[list] = []
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -176,7 +207,7 @@ def shard_transform(symbols: np.ndarray, string: np.ndarray, left: np.ndarray, s
         key = key << np.uint64(8) | np.where(left >= j, padded[j:j + n], 0).astype(np.uint64)
     width = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys may take any order: they share `depth` symbols in the end
         if width >= depth:
             break
         sorted_key = key[order]
@@ -241,30 +272,37 @@ def _spans(owner, mark, start, end, grams: list[bytes] | None = None) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, ["owner", "mark", "start", "end", "gram"])
 
 
-def _numbered(table: pa.Table):
-    """The occurrences of one group, its different strings, their smallest ids, their anchors, and how many strings share each one's anchor."""
-    got = {name: np.concatenate([_unpack(v, kind) for v in table.column(name).to_pylist()] or [np.zeros(0, kind)]) for name, kind in _FIELDS.items()}
-    ends = np.cumsum(got["length"], dtype=np.int64)
-    raw = got["text"].tobytes()
-    known: dict[bytes, int] = {}
-    number = np.fromiter((known.setdefault(raw[b - n:b], len(known)) for b, n in zip(ends.tolist(), got["length"].tolist())), np.int64, len(ends))
-    strings = list(known)
-    least = np.full(len(strings), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, got["owner"])
-    at = np.zeros(len(strings), np.int64)
-    at[number] = got["at"]
-    anchors: dict[bytes, int] = {}
-    anchor = np.fromiter((anchors.setdefault(s[a:a + ANCHOR], len(anchors)) for s, a in zip(strings, at.tolist())), np.int64, len(strings))
-    return got, number, strings, least, anchor, np.bincount(anchor)[anchor] if len(strings) else anchor
-
-
-def _merged(chunk: np.ndarray, strings, least, number, owner, mark, start) -> pa.RecordBatch | None:
+class _Group:
+    """The occurrences of one group of anchors and its different strings."""
+
+    def __init__(self, table: pa.Table):
+        got = {name: np.concatenate([_unpack(v, kind) for v in table.column(name).to_pylist()] or [np.zeros(0, kind)]) for name, kind in _FIELDS.items()}
+        self.got, self.text, self.length = got, got["text"], got["length"].astype(np.int64)
+        self.at = np.cumsum(self.length) - self.length
+        first = _first_equal(self.text, self.at, self.length, np.arange(len(self.at)))
+        self.heads, self.number = np.unique(first, return_inverse=True)  # of each string: its first occurrence; of each occurrence: its string
+        self.least = np.full(len(self.heads), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.number, got["owner"])
+        place, grams = self.at[self.heads] + got["at"][self.heads], np.zeros(len(self.heads), np.uint64)
+        for k in range(ANCHOR):
+            grams = grams * _BASE + _SYMBOL[self.text[place + k]]
+        # two anchors with one hash only make one larger group
+        _, self.anchor, count = np.unique(grams, return_inverse=True, return_counts=True)
+        self.company = count[self.anchor]  # strings with the same anchor
+
+    def strings(self, numbers: np.ndarray) -> list[bytes]:
+        raw, heads = self.text.tobytes(), self.heads[numbers]
+        return [raw[a:a + n] for a, n in zip(self.at[heads].tolist(), self.length[heads].tolist())]
+
+
+def _merged(group: _Group, chunk: np.ndarray) -> pa.RecordBatch | None:
     """The spans to remove from the occurrences of the strings that `chunk` numbers."""
-    smallest, first = repeated([strings[i] for i in chunk.tolist()], least[chunk])
-    place = np.full(len(strings), -1)
+    owner, mark, start = group.got["owner"], group.got["mark"], group.got["start"].astype(np.int64)
+    smallest, first = repeated(group.strings(chunk), group.least[chunk])
+    place = np.full(len(group.heads), -1)
     place[chunk] = np.arange(len(chunk))
-    of = np.flatnonzero(place[number] >= 0)
-    s = place[number[of]]
+    of = np.flatnonzero(place[group.number] >= 0)
+    s = place[group.number[of]]
     count = (first[1:] - first[:-1])[s]
     upto = np.cumsum(count)
     offset = np.arange(int(upto[-1])) - np.repeat(upto - count, count)
@@ -281,27 +319,27 @@ def _merged(chunk: np.ndarray, strings, least, number, owner, mark, start) -> pa
 
 def group_spans(table: pa.Table, most: int = MOST_STRINGS, chunk_bytes: int = CHUNK_BYTES) -> pa.Table:
     """Of one group of anchors: the spans to remove (gram is null), and the windows of crowded anchors (gram is the window)."""
-    got, number, strings, least, anchor, company = _numbered(table)
+    group = _Group(table)
+    got, number, company = group.got, group.number, group.company
     owner, mark, start = got["owner"], got["mark"], got["start"].astype(np.int64)
     out = [_spans(got["done_owner"], got["done_mark"], got["done_start"], got["done_end"])]
     if not len(number):
         return pa.Table.from_batches(out)
-    alone = np.flatnonzero((company[number] == 1) & (least[number] < owner))
-    out.append(_spans(owner[alone], mark[alone], start[alone], start[alone] + got["length"][alone]))
+    alone = np.flatnonzero((company[number] == 1) & (group.least[number] < owner))
+    out.append(_spans(owner[alone], mark[alone], start[alone], start[alone] + group.length[alone]))
     mixed = np.flatnonzero((company > 1) & (company <= most))
-    mixed = mixed[np.argsort(anchor[mixed], kind="stable")]
-    filled = np.cumsum([len(strings[i]) for i in mixed.tolist()])
+    mixed = mixed[np.argsort(group.anchor[mixed], kind="stable")]
+    filled = np.cumsum(group.length[group.heads[mixed]])
     a = 0
     while a < len(mixed):  # whole anchors, about `chunk_bytes` at once
-        b = int(np.searchsorted(filled, (filled[a - 1] if a else 0) + chunk_bytes, side="right"))
-        b = max(b, a + 1)
-        b += int(np.searchsorted(anchor[mixed[b:]], anchor[mixed[b - 1]], side="right"))
-        found = _merged(mixed[a:b], strings, least, number, owner, mark, start)
+        b = max(a + 1, int(np.searchsorted(filled, (filled[a - 1] if a else 0) + chunk_bytes, side="right")))
+        b += int(np.searchsorted(group.anchor[mixed[b:]], group.anchor[mixed[b - 1]], side="right"))
+        found = _merged(group, mixed[a:b])
         if found is not None:
             out.append(found)
         a = b
     for i in np.flatnonzero(company[number] > most).tolist():
-        s = strings[number[i]]
+        s = group.strings(number[i:i + 1])[0]
         k = np.arange(len(s) - LENGTH + 1)
         out.append(_spans(np.repeat(owner[i], len(k)), np.repeat(mark[i], len(k)), start[i] + k, start[i] + k + LENGTH, [s[j:j + LENGTH] for j in k.tolist()]))
     return pa.Table.from_batches(out)
