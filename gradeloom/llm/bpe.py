@@ -12,7 +12,7 @@ table is emptied and fills again, so memory is bounded and nothing is left out.
 
 Defined cases: null text is encoded as the empty text (no ids); null ids are
 decoded as empty; every other column passes through untouched, whatever its
-name, but the output column must be new.
+name; a column with the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from gradeloom.llm.common import slices
 #: bytes are mapped to this block of characters, none of which the library treats as white space
 FIRST_CHARACTER = 0x100
 BYTES_TO_CHARACTERS = {b: FIRST_CHARACTER + b for b in range(256)}
-CACHED_PRETOKENS = 300_000
+CACHED_PRETOKENS = 100_000
 NORMAL, UNKNOWN = 1, 2
 
 
@@ -97,10 +97,11 @@ class _Ids(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
-    model = sentencepiece.SentencePieceProcessor(model_proto=serialise(read_ranks(path)))
-    return regex.compile(pattern).findall, _Ids(model)
+    """text -> ids as bytes. Made by each task, so that a worker doesn't hold its tables through later stages."""
+    split = regex.compile(pattern).findall
+    ids = _Ids(sentencepiece.SentencePieceProcessor(model_proto=serialise(read_ranks(path))))
+    return lambda text: b"".join(map(ids.__getitem__, split(text or "")))
 
 
 @lru_cache(maxsize=2)
@@ -109,20 +110,15 @@ def _tokens(path: str) -> list[bytes]:
     return sorted(ranks, key=ranks.get)
 
 
-def encode_text(text: str | None, path: str, pattern: str) -> bytes:
-    split, ids = _encoder(path, pattern)
-    return b"".join(map(ids.__getitem__, split(text or "")))
-
-
 def decode_ids(ids: bytes | None, path: str) -> bytes:
     return b"".join(map(_tokens(path).__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-def _with_column(df: DataFrame, source: str, out: str, convert) -> DataFrame:
-    if out in df.columns:
-        raise ValueError(f"column {out} exists")
+def _with_column(df: DataFrame, source: str, out: str, converter) -> DataFrame:
+    df = df.drop(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = converter()
         for batch in slices(batches, source):
             made = pa.array([convert(v.as_py()) for v in batch.column(source)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
@@ -135,9 +131,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     `path` is the rank file's place on every executor.
     """
-    return _with_column(df, text, out, lambda t: encode_text(t, path, pattern))
+    return _with_column(df, text, out, lambda: _encoder(path, pattern))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that `ids` stand for."""
-    return _with_column(df, ids, out, lambda b: decode_ids(b, path))
+    return _with_column(df, ids, out, lambda: lambda b: decode_ids(b, path))
