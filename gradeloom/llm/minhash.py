@@ -27,7 +27,8 @@ Classes are the connected components of the verified links.
 Defined cases: a text of one to four words is one shingle; a text of none
 (null, empty, white space) is linked only to equal texts; a null id has no
 links and takes the class of an equal text, if any; repeated rows share a
-class; other columns are not read.
+class; different texts of one id are classed each for itself; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -295,31 +296,54 @@ def _links(members: DataFrame, texts: DataFrame, sketches: DataFrame, similarity
     return first.where(F.col("similarity") >= least).select("a", "b").unionByName(second)
 
 
+def _classed(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, copy_key) and different texts (copy_key, rep, n_copies, class_id, n_links, first).
+
+    Nodes of the links are numbers of texts, not ids, since one id may have
+    several texts. `rep` is the smallest id of a text, `class_id` of its
+    class; `first` marks one text of each class, of the class's id.
+    """
+    marks = signed(docs, doc_id, text)
+    signatures_of = marks.groupBy("copy_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"),
+                                                  F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts_of = kept_table(signatures_of.withColumn("node", F.monotonically_increasing_id()), "near-signatures")
+    linkable = texts_of.where("rep is not null")
+    members = kept_table(_different(linkable.select(F.col("node").alias("id"), F.explode("bands").alias("key")).distinct()), "near-members")
+    wanted = texts_of.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("copy_key", F.col("rep").alias("id"), "node")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text")).withColumn("copy_key", F.unhex(F.md5("text")))
+    # rows of the text's smallest id only, so few copies travel
+    texts = kept_table(rows.join(wanted, ["id", "copy_key"]).select(F.col("node").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
+    sketches = linkable.select(F.col("node").alias("id"), "sketch", "bands")
+    links = kept_table(_links(members, texts, sketches, similarity), "near-links")
+    found = components(links)
+    roots = kept_table(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "near-roots")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    narrow = texts_of.select("copy_key", "rep", "n_copies", "node")
+    smallest = (narrow.select("node", "rep", "copy_key").join(roots, "node").groupBy("root")
+                .agg(F.min(F.struct("rep", "copy_key")).alias("least"))
+                .select("root", F.col("least.rep").alias("class_id"), F.col("least.copy_key").alias("first_key")))
+    placed = roots.join(smallest, "root").select("node", "class_id", "first_key")
+    classes = (narrow.join(placed, "node", "left").join(ends, "node", "left")
+               .select("copy_key", "rep", "n_copies", F.coalesce("class_id", "rep").alias("class_id"),
+                       F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                       (F.coalesce("first_key", "copy_key") == F.col("copy_key")).alias("first")))
+    return rows.select("id", "copy_key"), classes
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest id of its class), n_copies (rows of equal text), n_links (verified links of its text)."""
-    marks = kept_table(signed(docs, doc_id, text), "near-signatures")
-    texts_of = marks.groupBy("copy_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    narrow = texts_of.select(F.col("rep").alias("id"), F.col("copy_key").alias("rep_key")).where("id is not null")
-    bands = (marks.join(narrow, (marks["id"] == narrow["id"]) & (marks["copy_key"] == narrow["rep_key"]), "left_semi")
-             .select("id", F.explode("bands").alias("key")).distinct())
-    members = kept_table(_different(bands), "near-members")
-    wanted = members.select("id").distinct()
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_or_empty(text).alias("text"))
-    rep = narrow.select("id", "rep_key")
-    texts = kept_table(rows.withColumn("rep_key", F.unhex(F.md5("text"))).join(wanted, "id", "left_semi")
-                       .join(rep, ["id", "rep_key"], "left_semi").dropDuplicates(["id"]).select("id", "text"), "near-texts")
-    sketches = marks.join(narrow, (marks["id"] == narrow["id"]) & (marks["copy_key"] == narrow["rep_key"]), "left_semi").dropDuplicates(["id"]).select("id", "sketch", "bands")
-    links = kept_table(_links(members, texts, sketches, similarity), "near-links")
-    roots = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = (texts_of.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-               .join(ends.select(F.col("id").alias("rep"), "n_links"), "rep", "left"))
-    return (marks.select("id", "copy_key").join(classes, "copy_key")
-            .select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), "n_copies",
-                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    rows, classes = _classed(docs, doc_id, text, similarity)
+    return rows.join(classes, "copy_key").select(F.col("id").alias("doc_id"), "class_id", "n_copies", "n_links")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its class (rows without an id stay)."""
-    gone = near_classes(docs, doc_id, text, similarity).where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """The rows of `docs` that hold the first text of their class under its smallest id.
+
+    Rows go by id and text, so another text of the same id stays or goes for
+    itself. Rows without an id stay where their text has no id at all. Rows
+    that repeat id and text stay together (exact deduplication is for them).
+    """
+    _, classes = _classed(docs, doc_id, text, similarity)
+    stay = classes.where("first").select(F.col("copy_key").alias("__key"), F.col("rep").alias("__rep"))
+    same = (F.unhex(F.md5(text_or_empty(text))) == F.col("__key")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("__rep"))
+    return docs.join(stay, same, "left_semi")

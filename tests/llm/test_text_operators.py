@@ -116,6 +116,17 @@ def test_near_bucket_with_dissimilar_members_loses_no_link(spark):
     assert sorted(r["doc_id"] for r in minhash.dedup(df).collect()) == sorted(set(got.values()))
 
 
+def test_near_texts_of_one_id_are_classed_each_for_itself(spark):
+    def near(text):
+        return " ".join("changed" if i == 60 else w for i, w in enumerate(text.split()))
+
+    a, b = words(21, 120), words(22, 120)
+    df = spark.createDataFrame([(1, a), (2, near(a)), (2, b), (3, near(b)), (3, a), (None, b), (None, "alone")], "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["class_id"]) for r in minhash.near_classes(df).collect())
+    assert got == Counter([(1, 1), (2, 1), (2, 2), (3, 2), (3, 1), (None, 2), (None, None)])
+    assert Counter((r["doc_id"], r["text"]) for r in minhash.dedup(df).collect()) == Counter([(1, a), (2, b), (None, "alone")])
+
+
 def test_weighted_measure_and_estimate():
     import numpy as np
     import pyarrow as pa
