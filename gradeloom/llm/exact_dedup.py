@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import SPACE_CLASS, text_or_empty
+from gradeloom.llm.common import SPACE_CLASS, kept_table, text_or_empty
 
 SALTS = 16
 
@@ -56,24 +56,35 @@ def winners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
             .withColumn("clash", clash).where(F.col("clash").isNull()).drop("texts", "clash"))
 
 
-def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS,
-           digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, points."""
+def _members(docs: DataFrame, doc_id: str, text: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per different (id, points, text): key, id, points, text_sha256, copies, keep_id, group_size, own (the winner's)."""
     key = F.concat("digest", "mark").alias("key")
     best = winners(docs, doc_id, text, salts, digest).select(key, "keep_id", "keep_points", "group_size")
     members = (_rows(docs, doc_id, text, digest)
                .groupBy("id", "points", "digest", "mark", F.sha2("norm", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("copies"))
                .select(key, "id", "points", "text_sha256", "copies"))
     own = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    return (members.join(best, "key")
+    return members.join(best, "key").withColumn("own", own)
+
+
+def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS,
+           digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, points."""
+    return (_members(docs, doc_id, text, salts, digest)
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-            .select(F.col("id").alias("doc_id"), "keep_id", "group_size", (own & (F.col("copy") == 1)).alias("kept"), "text_sha256", "points"))
+            .select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("own") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "points"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; rows that repeat id and text stay together."""
-    keep = (assign(docs, doc_id, text, salts).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("points").alias("__points"), F.col("text_sha256").alias("__sha")))
+    """One row of `docs` for each different text, with all its columns: as many as `assign` marks `kept`.
+
+    Rows that repeat the winner's id and text are folded in their task first.
+    """
+    keep = kept_table(_members(docs, doc_id, text, salts, sha256).where("own").select(
+        F.col("id").alias("__id"), F.col("points").alias("__points"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies")), "exact-winners")
     same = (F.col(doc_id).eqNullSafe(F.col("__id")) & (F.length(text_or_empty(text)) == F.col("__points"))
             & (F.sha2(normalised(text), 256) == F.col("__sha")))
-    return docs.join(keep, same, "left_semi")
+    once, again = docs.join(keep.where("__copies = 1"), same, "left_semi"), keep.where("__copies > 1")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, same).dropDuplicates(["__id", "__points", "__sha"]).drop(*keep.columns))

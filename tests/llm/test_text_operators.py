@@ -57,6 +57,16 @@ def test_exact_dedup_keeps_whole_rows(docs):
     assert {"".join((r["text"] or "").split()) for r in left.collect()} == {"".join(t.split()) for _, t in raw(docs)}
 
 
+def test_exact_dedup_keeps_one_row_of_repeated_rows(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "b a", "z"), (1, "ba", "z"), (2, "a b ", "w"), (2, "a b ", "w"), (3, "once", "v"),
+            (None, "no id", None), (None, "no id", None), (None, None, "u"), (None, "", "t"), (4, "ab", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    left = [tuple(r) for r in exact_dedup.dedup(df).collect()]
+    assert set(left) <= set(rows)
+    kept = Counter((r["doc_id"], r["points"]) for r in exact_dedup.assign(df).where("kept").collect())
+    assert Counter((r[0], len(r[1] or "")) for r in left) == kept == Counter([(2, 4), (1, 3), (3, 4), (None, 5), (None, 0)])
+
+
 def test_exact_clash_of_both_digests_fails(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string")
     rows = exact_dedup.winners(df, digest=lambda c: F.md5(F.lit("same")))
