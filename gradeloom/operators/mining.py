@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import fixed_values as fv
@@ -71,15 +73,21 @@ def keyword_tags(text: Column) -> Column:
 
 def hard_sessions(parts: DataFrame, sessions: DataFrame, min_turns: int = fv.MINE_MIN_TURNS,
                   min_struggle: int = fv.MINE_MIN_STRUGGLE, min_edits: int = fv.MINE_MIN_EDITS,
-                  tag_texts: int | None = None) -> DataFrame:
+                  tag_texts: int | None = None, roots: Iterable[str] | None = None) -> DataFrame:
     """Sessions that struggled and landed an edit, hardest first.
 
-    `parts` are tool events with part_type, tool, path, old, new, command, text,
-    ts, seq. Every measure is a map-side aggregate; the largest edit is a
+    `parts` are all parts (`part_events(finished=False)`, as failed calls are
+    struggle too) with part_type, tool, path, old, new, command, text, ts, seq.
+    With `roots`, a call on a path outside them counts as a turn only. Every measure is a map-side aggregate; the largest edit is a
     `max_by`, the tags a bitwise OR over all texts, or over the first
     `tag_texts` of each session where that is given.
     """
     is_text, is_tool = F.col("part_type") == "text", F.col("part_type") == "tool"
+    if roots is not None:
+        under = F.lit(False)
+        for root in roots:
+            under = under | F.col("path").startswith(root.rstrip("/") + "/")
+        is_tool = is_tool & (under | (F.length(F.coalesce("path", F.lit(""))) == 0))
     is_edit = is_tool & F.col("tool").isin("edit", "write", "multiedit", "patch")
     plain = squash(F.col("text"))
     at = F.struct("ts", "seq")

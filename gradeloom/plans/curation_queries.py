@@ -157,8 +157,8 @@ SELECT s.session_id, i.title, turns, tool_calls, edits, struggle_hits,
   CASE WHEN fix.e = 'edit' THEN fix_size ELSE 0 END::BIGINT AS fix_changed_lines, fix.t AS fix_time
 FROM s JOIN session_info i USING (session_id) WHERE turns >= 2 AND struggle_hits >= 1 AND edits >= 1"""))
 def hard_sessions(spark, sf):
-    events = part_events(parts(spark, sf))
-    return mining.hard_sessions(events, session_info(spark, sf), 2, 1, 1).drop("categories", "symptom")
+    events = part_events(parts(spark, sf), finished=False)
+    return mining.hard_sessions(events, session_info(spark, sf), 2, 1, 1)
 
 
 @query("candidate_messages", with_views("sessions", body=f"""

@@ -11,18 +11,22 @@ from gradeloom.functions.text import contains_any
 from gradeloom.schemas import TOOL_PART
 
 
-def part_events(parts: DataFrame, tools: Iterable[str] | None = None, paths_only: bool = False) -> DataFrame:
+def part_events(parts: DataFrame, tools: Iterable[str] | None = None, paths_only: bool = False,
+                finished: bool = True) -> DataFrame:
     """session_id, ts, seq, part_type, tool, status, path, content, old, new, output, command, text.
 
     The plain substring filter comes first, so rows without a path are never
     parsed when `paths_only`; the schema names only the fields that are read.
-    Unparsable parts and unfinished tool calls drop.
+    Unparsable parts and unfinished tool calls drop, unless `finished` is
+    False: then every part is a row, an unparsable one without a part_type.
     """
     raw = parts.filter(F.col("data").contains('"filePath"')) if paths_only else parts
     parsed = raw.select("session_id", F.col("time_created").alias("ts"), F.col("id").alias("seq"),
-                        F.from_json("data", TOOL_PART).alias("p")).filter("p.type IS NOT NULL")
+                        F.from_json("data", TOOL_PART).alias("p"))
     status = F.col("p.state.status")
-    events = parsed.filter((F.col("p.type") != "tool") | status.isNull() | (status == "completed")).select(
+    if finished:
+        parsed = parsed.filter("p.type IS NOT NULL").filter((F.col("p.type") != "tool") | status.isNull() | (status == "completed"))
+    events = parsed.select(
         "session_id", "ts", "seq", F.col("p.type").alias("part_type"), F.col("p.tool").alias("tool"), status.alias("status"),
         F.coalesce("p.state.input.filePath", "p.state.input.path").alias("path"), F.col("p.state.input.content").alias("content"),
         F.coalesce("p.state.input.oldString", "p.state.input.oldText").alias("old"),

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,31 @@ def test_hard_sessions(rows):
     assert got[0].struggle_hits == 4 * 3 + 1 and got[0].categories == ["async_concurrency"] and got[0].struggle_ratio == 1.0
 
 
+def test_hard_sessions_count_unfinished_calls_and_keep_to_roots(rows):
+    tool = lambda name, status, **given: json.dumps({"type": "tool", "tool": name, "state": {"status": status, "input": given}})
+    data = [json.dumps({"type": "text", "text": "still not working"}), tool("bash", "error", command="git restore ."), tool("bash", "running", command="git stash"),
+            tool("edit", "error", filePath="/r/a.py", oldString="x", newString="y\nz\nw"), tool("write", "completed", filePath="/o/b.py", content="c"), "{broken"]
+    parts = rows("id long, session_id string, time_created long, data string", *[(i, "s", i, d) for i, d in enumerate(data)])
+    info, events = rows("session_id string, title string", ("s", "t")), transcripts.part_events(parts, finished=False)
+    wanted = lambda **more: [(r.turns, r.tool_calls, r.edits, r.struggle_hits, r.fix_file, r.fix_changed_lines, r.symptom)
+                             for r in mining.hard_sessions(events, info, 6, 1, 1, **more).collect()]
+    hits = wanted()[0][3]
+    assert hits >= 3 and wanted() == [(6, 4, 2, hits, "/r/a.py", 3, "still not working")]
+    assert wanted(roots=["/r"]) == [(6, 3, 1, hits, "/r/a.py", 3, "still not working")]
+    assert wanted(roots=["/other/"]) == []
+    assert transcripts.part_events(parts).count() == 2
+
+
+def test_hard_sessions_query_counts_every_part(spark):
+    from gradeloom.plans import catalog, views
+    sf = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["hard_sessions"](spark, sf)
+    assert {"categories", "symptom"} <= set(got.columns)
+    turns = {r.session_id: r["count"] for r in views.parts(spark, sf).groupBy("session_id").count().collect()}
+    found = got.collect()
+    assert found and all(r.turns == turns[r.session_id] for r in found)
+
+
 def test_read_payloads(rows):
     body = lambda inner, foot="": f"<path>/p</path>\n<type>file</type>\n<content>\n{inner}{foot}\n</content>"
     df = rows("o string", (body("1: a\n2: b"),), (body("1: a\n2: b", "\n(Showing lines 1-2 of 2. End)"),), (body("1: a", "\n(Showing lines 1-50 of 200. More)"),),
