@@ -10,7 +10,7 @@ in which a missing transition already leads to where the next phrase starts
 and is marked as a phrase end. Many texts step through it side by side; when
 few long ones are left, they go on one by one.
 
-Learning: at most `SAMPLE_ROWS` rows of each language in seeded order, and
+Learning: at most `SAMPLE_ROWS` different texts of each language in seeded order, and
 from each a piece of `PIECE_CHARACTERS` characters, together at most
 `SAMPLE_CHARACTERS` per language (less where there are more than
 `FULL_LANGUAGES` languages, so that the tables stay bounded). Classification
@@ -51,10 +51,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Co
     """(language, sample text) of rows whose label is known."""
     start = F.pmod(F.xxhash64(F.col(text)), F.greatest(F.length(text) - PIECE_CHARACTERS, F.lit(0)) + 1).cast("int")
     rows = (labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-            .select(F.col(lang).alias("lang"), (F.xxhash64(F.col(text)) if order is None else order).alias("order"),
+            .select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("text_hash"), (F.xxhash64(F.col(text)) if order is None else order).alias("order"),
                     F.substring(F.col(text), start + 1, F.lit(PIECE_CHARACTERS)).alias("piece")))
+    # equal texts count once, or copies of one text would fill a sample
+    different = rows.groupBy("lang", "text_hash").agg(F.min("order").alias("order"), F.min("piece").alias("piece"))
     first = Window.partitionBy("lang").orderBy("order", "piece")
-    taken = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
+    taken = different.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
     pieces: dict[str, list[tuple[int, str]]] = {}
     for r in taken.select("lang", "rank", "piece").collect():
         pieces.setdefault(r["lang"], []).append((r["rank"], r["piece"]))

@@ -270,3 +270,13 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(none).count() == 0
     assert language_id.identify(none, language_id.learn(none)).count() == 0
     assert bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_language_sample_holds_different_texts(spark):
+    texts = [words(300 + i, 200) for i in range(30)]
+    # the hundred copies are of the text that ranks first
+    order = F.when(F.col("text") == texts[0], 0).otherwise(F.xxhash64("text").bitwiseAND(F.lit(1 << 40)) + 1)
+    df = spark.createDataFrame([(t, "en") for t in [texts[0]] * 100 + texts], "text string, lang string")
+    ((_, sample),) = language_id.learn(df, order=order)
+    pieces = [sample[i:i + language_id.PIECE_CHARACTERS] for i in range(0, len(sample), language_id.PIECE_CHARACTERS)]
+    assert len(pieces) == len(set(pieces)) == 30 and all(any(p in t for t in texts) for p in pieces)
