@@ -8,7 +8,9 @@ phrases * log2(n) / n over the n characters, wins. The whole text is parsed.
 The automaton is laid out as one table of (state, character) -> next state,
 in which a missing transition already leads to where the next phrase starts
 and is marked as a phrase end. Many texts step through it side by side; when
-few long ones are left, they go on one by one.
+few long ones are left, they go on one by one. Only the most frequent
+characters have columns in the table; the transitions by all others are kept
+as sorted (state, character) keys, so every character of a sample can match.
 
 Learning: at most `SAMPLE_ROWS` different texts of each language in seeded order, and
 from each a piece of `PIECE_CHARACTERS` characters, together at most
@@ -39,7 +41,7 @@ PIECE_CHARACTERS = 400
 SAMPLE_CHARACTERS = 16_000
 FULL_LANGUAGES = 8
 MAX_LANGUAGES = 500
-#: characters beyond the most frequent ones share one class, which matches nothing
+#: the most frequent characters have columns in the table; transitions by other characters are sorted keys
 ALPHABET = 127
 #: with fewer texts left than this, stepping side by side costs more than one by one
 FEWEST_LANES = 12
@@ -98,18 +100,24 @@ class Parser:
         self.names = [name for name, _ in sample]
         points = np.concatenate([self._points(t) for _, t in sample]) if sample else np.zeros(0, np.uint32)
         kinds, counts = np.unique(points, return_counts=True)
-        kinds = np.sort(kinds[np.argsort(-counts, kind="stable")][:ALPHABET])
-        self.width = len(kinds) + 1  # class 0: any other character
+        kinds = kinds[np.argsort(-counts, kind="stable")]
+        self.width = min(len(kinds), ALPHABET) + 1  # class 0: a character of no sample
+        self.rare = len(kinds) + 1 - self.width  # classes from width on have no column
+        kinds = np.concatenate([np.sort(kinds[:ALPHABET]), np.sort(kinds[ALPHABET:])])
         self.classes = np.zeros(0x110000, np.int32)
         self.classes[kinds] = np.arange(1, len(kinds) + 1)
         tables, self.starts, base = [], [], 0
+        keys, values = [], []
         for _, text in sample:
             moves = suffix_automaton(self.classes[self._points(text)].tolist())
             own = np.zeros((len(moves), self.width), np.uint32)
             for state, go in enumerate(moves):
                 for c, target in go.items():
-                    if c:
+                    if c < self.width:
                         own[state, c] = target
+                    else:
+                        keys.append((base // self.width + state) * self.rare + c - self.width)
+                        values.append(target * self.width + base << 2)
             first = own[0].copy()  # where a new phrase goes that begins with the character that did not match
             target = np.where(own > 0, own, first[None, :])
             ends = own == 0
@@ -124,11 +132,27 @@ class Parser:
             base += own.size
         self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint32)
         self.starts = np.array(self.starts, np.int64)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.uint32)[order]
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
+    def _found(self, state: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the state has a transition by the character, its table value)"""
+        wanted = state // self.width * self.rare + rare
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.keys[at] == wanted, self.values[at]
+
+    def _rare_step(self, state: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Table values of (text, language) states by characters that have no column."""
+        starts = np.broadcast_to(self.starts, state.shape)
+        found, value = self._found(state, rare[:, None])
+        anew, first = self._found(starts, rare[:, None])
+        alone = (starts << 2) | 1 | (state != starts) << 1
+        return np.where(found, value, np.where(anew, first | 1, alone)).astype(np.uint32)
+
     def counts(self, texts: list[str]) -> np.ndarray:
         """phrases[text, language]"""
         points = [self.classes[self._points(t)] for t in texts]
@@ -146,9 +170,16 @@ class Parser:
         state = np.repeat(self.starts[None, :], n, axis=0)
         ended = np.zeros((n, k), np.int64)
         step, table = 0, self.table
-        while step < longest and lanes[step] >= FEWEST_LANES:
+        some = bool(self.rare) and bool((flat >= self.width).any())
+        while step < longest and lanes[step] >= (1 if some else FEWEST_LANES):
             m = lanes[step]
-            now = table[state[:m] + flat[at[:m] + step][:, None]]
+            c = flat[at[:m] + step]
+            rare = np.flatnonzero(c >= self.width) if some else ()
+            if len(rare):
+                now = table[state[:m] + np.where(c < self.width, c, 0)[:, None]]
+                now[rare] = self._rare_step(state[rare], c[rare] - self.width)
+            else:
+                now = table[state[:m] + c[:, None]]
             ended[:m] += (now & 1) + (now >> 1 & 1)
             state[:m] = now >> 2
             step += 1

@@ -280,3 +280,26 @@ def test_language_sample_holds_different_texts(spark):
     ((_, sample),) = language_id.learn(df, order=order)
     pieces = [sample[i:i + language_id.PIECE_CHARACTERS] for i in range(0, len(sample), language_id.PIECE_CHARACTERS)]
     assert len(pieces) == len(set(pieces)) == 30 and all(any(p in t for t in texts) for p in pieces)
+
+
+def test_languages_with_many_characters_are_told_apart(spark):
+    """Three languages of 600 own characters each: every character of a sample can match."""
+    rng = random.Random(5)
+    def text(first, n):
+        return "".join(chr(first + min(int(rng.expovariate(0.01)), 599)) for _ in range(n))
+    firsts = {"aa": 0x4E00, "ja": 0x6000, "ko": 0xAC00}
+    sample = tuple((k, text(v, 6000)) for k, v in firsts.items())
+    parser = language_id.Parser(sample)
+    assert parser.predict([text(v, n) for v in firsts.values() for n in (20, 200)])[0] == [k for k in firsts for _ in range(2)]
+
+    def phrases(t, source):
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t[i:i + k + 1] in source:
+                k += 1
+            n, i = n + 1, i + k
+        return n
+    mixed = [text(v, 40) + "\u3042" + text(0x6000, 30) + sample[0][1][100:130] for v in firsts.values()] + ["x", "", "\uac00\u3042\u3042"]
+    assert parser.counts(mixed).tolist() == [[phrases(t, source) for _, source in sample] for t in mixed]
+    assert parser.counts(mixed * 20).tolist() == parser.counts(mixed).tolist() * 20
