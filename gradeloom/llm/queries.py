@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, warc
+from gradeloom.llm import (ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, warc,
+                           word_table)
 from gradeloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,13 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_bwt_merge")
 def repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return _cut_report(suffix_dedup.remove_repeats(table(spark, sf, "documents")))
+
+
+WORD_FILE = "byte_bpe_50k.json"
+
+
+@query("op11_word_table_bpe")
+def word_table_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    done = word_table.encode(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_FILE))
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
