@@ -60,6 +60,8 @@ BLOCK_BYTES = 24 << 20
 BUCKET_BYTES = 16 << 20
 #: different words of all blocks, as a share of the input's bytes on disk
 WORDS_SHARE = 0.4
+#: what the planner says of inputs that it can't estimate is above this
+UNKNOWN_SIZE = 1 << 60
 #: characters whose classes are the same in every Unicode version the two libraries may have (checked by a test)
 SAME_CLASSES = "\u0000-ԯ‐-‧‰-⁞₠-₽ぁ-ゖァ-ヺ㐀-䶵一-龥가-힣\U0001F300-\U0001F64F"
 OUTSIDE, LETTER, NUMBER, SPACE, OTHER = range(5)
@@ -363,11 +365,10 @@ def _place(block_docs: pa.Table, answers: pa.Table, fields: pa.Schema, ids: str,
 
 
 def _buckets(docs: DataFrame) -> int:
-    """From the planner's estimate of the input; a table whose size isn't known gets one bucket per shuffle partition at least."""
-    spark = docs.sparkSession
+    """From the planner's estimate of the input's bytes; eight per shuffle partition where it has none."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffles, min(int(size * WORDS_SHARE) // BUCKET_BYTES, 1 << 22))
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 8 * shuffles if size >= UNKNOWN_SIZE else max(shuffles, int(size * WORDS_SHARE) // BUCKET_BYTES)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded",
