@@ -277,45 +277,53 @@ def _unpack_words(packed: bytes) -> pa.Array:
     return _binary(unpack(data[4:begin]), data[begin:])
 
 
-def pieces(path: str) -> pa.Table:
-    """The vocabulary as rows (id, piece): the bytes that each id stands for."""
-    with open(path, encoding="utf-8") as file:
-        added = {t["id"] for t in json.load(file)["added_tokens"]}
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-    rows = sorted((i, name.encode() if i in added else bytes(byte_of[c] for c in name))
-                  for name, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items())
-    return pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "piece": pa.array([p for _, p in rows], pa.large_binary())})
-
-
-def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words one after another, ids of each word)."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    found = [tokenizer.encode(word, add_special_tokens=False).ids for word in words]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), sizes
-
-
-def decode_ids(ids: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all ids one after another, bytes of each id), by a join with the table of pieces."""
-    found = pa.compute.index_in(pa.array(ids, pa.int64()), value_set=table.column("id"))
-    if found.null_count:
-        raise ValueError("an id is not in the vocabulary")
-    data, offsets = flat_bytes(table.column("piece").combine_chunks().take(found))
-    return data, np.diff(offsets)
-
-
-def _encode_bucket(rows: pa.Table, path: str) -> pa.Table:
+class Vocabulary:
+    """The tokenizer of one task: loaded at its first use, not sent along."""
+
+    def __init__(self, path: str):
+        self.path, self.tokenizer = path, None
+
+    def load(self) -> Tokenizer:
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+            self.added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            hidden = (b for b in range(256) if b not in printable)
+            self.spelling = {b: chr(b) for b in printable} | {256 + i: chr(b) for i, b in enumerate(hidden)}
+        return self.tokenizer
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, ids of each word)."""
+        tokenizer = self.load()
+        found = [tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), sizes
+
+    def pieces(self, ids: np.ndarray) -> pa.Table:
+        """Rows (id, piece) of the vocabulary: the bytes that each of these ids stands for."""
+        name = self.load().id_to_token
+        spelled = [self.added.get(i) or name(i).translate(self.spelling).encode("latin-1") for i in ids.tolist()]
+        return pa.table({"id": pa.array(ids, pa.int64()), "piece": pa.array(spelled, pa.large_binary())})
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids one after another, bytes of each id), by a join of the ids with the pieces."""
+        table = self.pieces(np.unique(ids))
+        found = pa.compute.index_in(pa.array(ids, pa.int64()), value_set=table.column("id"))
+        data, offsets = flat_bytes(table.column("piece").combine_chunks().take(found))
+        return data, np.diff(offsets)
+
+
+def _encode_bucket(rows: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     """The rows of one bucket with ids and bytes in place of words; each different word is encoded once."""
     squeeze = zstandard.ZstdCompressor(3).compress
     listed = [_unpack_words(packed) for packed in rows.column("words").to_pylist()]
     coded = pa.concat_arrays(listed).dictionary_encode()
     codes, done = coded.indices.to_numpy(), 0
-    ids, id_sizes = encode_words([w.decode() for w in coded.dictionary.to_pylist()], path)
-    data, byte_sizes = decode_ids(ids, pieces(path))
+    ids, id_sizes = vocabulary.encode([w.decode() for w in coded.dictionary.to_pylist()])
+    data, byte_sizes = vocabulary.decode(ids)
     id_ends = np.cumsum(id_sizes)
     byte_ends = np.concatenate([[0], np.cumsum(byte_sizes)])
     made = []
@@ -379,7 +387,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     """
     docs = docs.drop(*[c for c in (ids, decoded) if c != text])
     words = block_words(docs, path, text, block_bytes, buckets or _buckets(docs))
-    answers = words.groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, path), "block binary, numbers binary, answers binary")
+    vocabulary = Vocabulary(path)
+    answers = words.groupBy("bucket").applyInArrow(lambda rows: _encode_bucket(rows, vocabulary), "block binary, numbers binary, answers binary")
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
     fields = to_arrow_schema(schema)
@@ -392,10 +401,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     df = df.drop(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
+        vocabulary = Vocabulary(path)
         for batch in slices(batches, ids):
             data, offsets = flat_bytes(batch.column(ids))
-            spelled, sizes = decode_ids(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), table)
+            spelled, sizes = vocabulary.decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64))
             ends = np.concatenate([[0], np.cumsum(sizes)])[offsets // 4]
             made = _binary(np.diff(ends), spelled).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
