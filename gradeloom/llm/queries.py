@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import (ann, bpe, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup, token_counts, warc,
-                           word_table)
+from gradeloom.llm import (ann, bpe, collocations, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup,
+                           token_counts, warc, word_table)
 from gradeloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,24 @@ def word_table_bpe(spark: SparkSession, sf: str) -> DataFrame:
     done = word_table.encode(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_FILE))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_hat_trie_collocations", r"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+s as (select lang, w, i, unnest(range(1, 6)) as m from g),
+f as (select lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') as phrase, count(*)::bigint as f from s where i + m - 1 <= len(w) group by all),
+q as (select lang, sum(f)::bigint as n from f where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 100),
+h as (select distinct x.lang, x.phrase from c x join c y on x.lang = y.lang and y.m > x.m and contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') and y.a >= x.a),
+k as (select c.*, unnest(range(1, m)) as k from c anti join h on c.lang = h.lang and c.phrase = h.phrase),
+u as (select k.lang, k.phrase, k.a, k.k, l.f as l, r.f as r, q.n, ((1000::hugeint * k.a * q.n) // (l.f::hugeint * r.f))::bigint as score from k
+      join f l on l.lang = k.lang and l.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ')
+      join f r on r.lang = k.lang and r.phrase = array_to_string(list_slice(k.w, k.k + 1, k.m), ' ')
+      join q on q.lang = k.lang),
+b as (select * from u qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from b)
+select * from o where rank <= 2000""")
+def hat_trie_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.top_collocations(collocations.collocations(table(spark, sf, "documents")))
