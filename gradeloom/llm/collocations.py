@@ -133,75 +133,71 @@ def make_sketch(phrases: DataFrame, size: int = SKETCH_BITS) -> Sketch:
 
 
 class HatTrie:
-    """Counts of windows of word ids. Each of the trie's edges is a word id.
+    """Counts of windows of word ids. Each edge of the trie is a word id.
 
     A child is a container (a hash table from the ids that are left to their
-    count) or, once that has burst, a node of children. Ids are 4 bytes; a
-    window that ends early is filled up with id 0, which no word has.
+    count) or, once that has burst, a node of children; the root begins as a
+    container. Ids are 4 bytes; a window that ends early is filled up with
+    id 0, which no word has.
     """
 
     def __init__(self, burst: int = BURST):
-        self.root, self.burst, self.entries = {}, burst, 0
+        self.top, self.burst, self.entries = {0: ({}, None)}, burst, 0
 
     def add(self, windows: np.ndarray) -> None:
         """Count each row of `windows`, an (n, width) array of ids."""
         if not len(windows):
             return
-        windows = windows[np.argsort(windows[:, 0], kind="stable")]
-        cuts = np.flatnonzero(np.diff(windows[:, 0])) + 1
-        begins = [0, *cuts.tolist()]
-        keys = _keys(windows[:, 1:])
-        for begin, end in zip(begins, [*begins[1:], len(windows)]):
-            self.entries += self._insert(self.root, int(windows[begin, 0]), keys[begin:end])
-
-    def _insert(self, node: dict, edge: int, keys: list[bytes]) -> int:
+        windows = windows[np.lexsort(windows.T[::-1])]
+        begins = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)]))
+        counts = np.diff(np.append(begins, len(windows))).tolist()
+        width, flat = 4 * windows.shape[1], np.ascontiguousarray(windows[begins], "<u4").tobytes()
+        self.entries += self._insert(self.top, 0, [flat[i:i + width] for i in range(0, len(flat), width)], counts)
+
+    def _insert(self, node: dict, edge: int, keys: list[bytes], counts: list[int]) -> int:
         child = node.get(edge)
         if child is None:
             child = node[edge] = {}, None
         table, below = child
         if below is not None:
-            return self._deal(below, keys)
-        had = len(table)
-        get = table.get
-        for key in keys:
-            table[key] = get(key, 0) + 1
+            return self._deal(below, keys, counts)
+        had, get = len(table), table.get
+        for key, count in zip(keys, counts):
+            table[key] = get(key, 0) + count
         made = len(table) - had
         if len(table) > self.burst and len(keys[0]) > 4:
             below = {}
             for key, count in table.items():
-                below.setdefault(int.from_bytes(key[:4], "little"), ({}, None))[0][key[4:]] = count
+                below.setdefault(key[:4], ({}, None))[0][key[4:]] = count
             node[edge] = {}, below
         return made
 
-    def _deal(self, node: dict, keys: list[bytes]) -> int:
-        by_edge: dict[int, list[bytes]] = {}
-        for key in keys:
-            by_edge.setdefault(int.from_bytes(key[:4], "little"), []).append(key[4:])
-        return sum(self._insert(node, edge, rest) for edge, rest in by_edge.items())
+    def _deal(self, node: dict, keys: list[bytes], counts: list[int]) -> int:
+        by_edge: dict[bytes, tuple[list, list]] = {}
+        for key, count in zip(keys, counts):
+            rest, some = by_edge.setdefault(key[:4], ([], []))
+            rest.append(key[4:])
+            some.append(count)
+        return sum(self._insert(node, edge, rest, some) for edge, (rest, some) in by_edge.items())
 
     def spill(self, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take subtrees off the root, largest first, until `most` entries are left: (windows, counts) of each."""
-        sizes = {edge: _entries(child) for edge, child in self.root.items()}
+        """Take subtrees off the trie, largest first, until `most` entries are left: (windows, counts) of each."""
+        root = self.top.setdefault(0, ({}, None))
+        burst = root[1] is not None
+        node = root[1] if burst else self.top
+        sizes = {edge: _entries(child) for edge, child in node.items()}
         for edge in sorted(sizes, key=sizes.get, reverse=True):
-            if most is not None and self.entries <= most:
+            if not sizes[edge] or most is not None and self.entries <= most:
                 return
-            child = self.root.pop(edge)
+            child = node.pop(edge)
             self.entries -= sizes[edge]
             keys, counts = [], []
-            for key, count in _walk(child, edge.to_bytes(4, "little")):
+            for key, count in _walk(child, edge if burst else b""):
                 keys.append(key)
                 counts.append(count)
             yield np.frombuffer(b"".join(keys), "<u4").reshape(len(keys), -1), np.array(counts, np.int64)
 
 
-def _keys(ids: np.ndarray) -> list[bytes]:
-    width = 4 * ids.shape[1]
-    if not width:
-        return [b""] * len(ids)
-    flat = np.ascontiguousarray(ids, "<u4").tobytes()
-    return [flat[i:i + width] for i in range(0, len(flat), width)]
-
-
 def _entries(child: tuple) -> int:
     table, below = child
     return len(table) if below is None else sum(map(_entries, below.values()))
@@ -214,7 +210,7 @@ def _walk(child: tuple, path: bytes) -> Iterator[tuple[bytes, int]]:
             yield path + key, count
     else:
         for edge, deeper in below.items():
-            yield from _walk(deeper, path + edge.to_bytes(4, "little"))
+            yield from _walk(deeper, path + edge)
 
 
 class _Counter:
