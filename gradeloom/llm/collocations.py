@@ -14,7 +14,7 @@ spills), and a pass over the sorted rows adds equal phrases up.
 A phrase can only be frequent if its parts are, so words are counted first,
 pairs of frequent words next, and longer windows only along frequent pairs.
 Which words or pairs are frequent reaches the tasks as `Sketch`, a bit table
-of fixed size (`SKETCH_BITS`, 8 MB at any input) that never misses one and
+of fixed size (`SKETCH_BITS`, 8 MB at any input size) that never misses one and
 may let a few others through: those are counted and then dropped by their
 exact count. No phrase is cut off otherwise, at any size.
 
@@ -40,6 +40,8 @@ from gradeloom.llm.common import flat_bytes, kept_table, slices
 LONGEST, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 #: entries of a container above which it bursts, and of all containers of a task above which subtrees are spilled
 BURST, HELD = 16_384, 1_500_000
+#: bytes of text that enter the tries at once
+COUNTED_BYTES = 6 << 20
 SKETCH_BITS = 26
 SEGMENT_BITS = 16
 TOP_SALTS = 32
@@ -214,56 +216,63 @@ def _walk(child: tuple, path: bytes) -> Iterator[tuple[bytes, int]]:
 
 
 class _Counter:
-    """One trie per language and the words that its ids stand for."""
+    """One trie per language and the words that its ids stand for. `words` and `pairs` are what phrases may consist of."""
 
-    def __init__(self, shortest: int, longest: int, sketch: Sketch | None, held: int):
-        self.shortest, self.longest, self.sketch, self.held = shortest, longest, sketch, held
+    def __init__(self, shortest: int, longest: int, words: Sketch | None, pairs: Sketch | None, held: int):
+        self.shortest, self.longest, self.words, self.pairs, self.held = shortest, longest, words, pairs, held
         self.forget()
 
     def forget(self) -> None:
-        self.ids, self.names, self.hashes, self.tries = {}, [b""], [0], {}
+        self.ids, self.names, self.tries = {}, [b""], {}
+
+    def _number(self, word: bytes) -> int:
+        number = self.ids.get(word)
+        if number is None:
+            number = self.ids[word] = len(self.names)
+            self.names.append(word)
+        return number
 
     def add(self, langs: list[str], texts: pa.Array) -> None:
         words, piece, text = words_of(texts)
-        coded = words.dictionary_encode()
-        known, fresh = np.empty(len(coded.dictionary), np.int64), self.ids
-        for i, word in enumerate(coded.dictionary.to_pylist()):
-            number = fresh.get(word)
-            if number is None:
-                number = fresh[word] = len(self.names)
-                self.names.append(word)
-                self.hashes.append(xxhash.xxh3_64_intdigest(word))
-            known[i] = number
-        ids = known[coded.indices.to_numpy()]
         languages, of_text = np.unique(np.array(langs, object), return_inverse=True)
         of_word = of_text[text]
-        hashes = np.array(self.hashes, np.uint64)
         for i, lang in enumerate(languages.tolist()):
-            own = of_word == i
-            self.tries.setdefault(lang, HatTrie()).add(self._windows(lang, ids[own], piece[own], hashes))
-
-    def _windows(self, lang: str, ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Windows of up to `longest` words from each position, cut where the piece ends or a part can't be frequent."""
+            own = np.flatnonzero(of_word == i)
+            coded = words.take(pa.array(own)).dictionary_encode()
+            different, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            known, hashes = np.zeros(len(different), np.int64), np.zeros(len(different), np.uint64)
+            frequent = np.arange(len(different))
+            if self.words:
+                hashes = mixed(np.full(len(different), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64), word_hashes(different))
+                frequent = np.flatnonzero(self.words.has(hashes))
+            known[frequent] = [self._number(different[k]) for k in frequent.tolist()]
+            after = np.fromiter((xxhash.xxh3_64_intdigest(different[k]) for k in frequent.tolist()), np.uint64, len(frequent)) if self.pairs else None
+            own_hashes = np.zeros(len(different), np.uint64)
+            if after is not None:
+                own_hashes[frequent] = after
+            self.tries.setdefault(lang, HatTrie()).add(self._windows(known[codes], piece[own], hashes[codes], own_hashes[codes]))
+
+    def _windows(self, ids: np.ndarray, piece: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Windows of up to `longest` words from each position, cut where the piece ends or a part can't be frequent.
+
+        `hashes` are those of (language, word), `own` of the words alone.
+        """
         if self.longest == 1:
             return ids[:, None]
-        padded = np.concatenate([ids, np.zeros(self.longest, np.int64)])
-        ends = np.concatenate([piece, np.full(self.longest, -1)])
         # joined[i]: words i and i + 1 may stand in one frequent phrase
-        joined = ends[:-1] == ends[1:]
-        base = np.full(len(padded), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
-        single = mixed(base, hashes[padded])
-        if self.shortest == 2:
-            frequent = self.sketch.has(single)
-            joined &= frequent[:-1] & frequent[1:]
-        else:
-            joined &= self.sketch.has(mixed(single[:-1], hashes[padded[1:]]))
-        windows = np.zeros((len(ids), self.longest), np.int64)
-        alive = np.ones(len(ids), bool)
+        joined = (piece[:-1] == piece[1:]) & (ids[:-1] > 0) & (ids[1:] > 0)
+        if self.pairs:
+            at = np.flatnonzero(joined)
+            joined[at] = self.pairs.has(mixed(hashes[at], own[at + 1]))
+        joined = np.concatenate([joined, np.zeros(self.longest, bool)])
+        padded = np.concatenate([ids, np.zeros(self.longest, np.int64)])
+        at = np.flatnonzero(np.logical_and.reduce([joined[k:k + len(ids)] for k in range(self.shortest - 1)]))
+        windows, alive = np.zeros((len(at), self.longest), np.int64), np.ones(len(at), bool)
         for k in range(self.longest):
             if k:
-                alive = alive & joined[k - 1:k - 1 + len(ids)]
-            windows[:, k] = np.where(alive, padded[k:k + len(ids)], 0)
-        return windows[windows[:, self.shortest - 1] > 0]
+                alive &= joined[at + k - 1]
+            windows[:, k] = np.where(alive, padded[at + k], 0)
+        return windows
 
     def full(self) -> bool:
         return sum(trie.entries for trie in self.tries.values()) > self.held or len(self.names) > self.held
@@ -334,17 +343,17 @@ def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield out([held[0][0]], [held[0][1]], [held[1]])
 
 
-def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, sketch: Sketch | None = None, held: int = HELD) -> DataFrame:
+def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, words: Sketch | None = None, pairs: Sketch | None = None,
+                  held: int = HELD) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of `shortest` to `longest` words that occur at least `least` times.
 
-    `rows` holds lang and text. `sketch` marks frequent words where pairs are counted, frequent pairs where longer phrases are.
+    `rows` holds lang and text. Phrases consist of `words` and run along `pairs`, where these are given.
     """
-    size = sketch and sketch.size
-    shared = rows.sparkSession.sparkContext.broadcast(sketch and sketch.bits)
+    shared = rows.sparkSession.sparkContext.broadcast([s and (s.bits, s.size) for s in (words, pairs)])
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(shortest, longest, size and Sketch(shared.value, size), held)
-        for batch in slices(batches, "text"):
+        counter = _Counter(shortest, longest, *(s and Sketch(*s) for s in shared.value), held)
+        for batch in slices(batches, "text", COUNTED_BYTES):
             counter.add(batch.column("lang").to_pylist(), batch.column("text"))
             if counter.full():
                 yield from counter.runs(held // 2)
@@ -365,10 +374,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = words.where(F.col("f") >= least)
     if longest > 1:
-        pairs = kept_table(count_phrases(rows, 2, 2, least, make_sketch(found)), "pairs")
+        common = make_sketch(found)
+        pairs = kept_table(count_phrases(rows, 2, 2, least, common), "pairs")
         found = found.union(pairs)
         if longest > 2:
-            found = found.union(kept_table(count_phrases(rows, 3, longest, least, make_sketch(pairs)), "phrases"))
+            found = found.union(kept_table(count_phrases(rows, 3, longest, least, common, make_sketch(pairs)), "phrases"))
     return found, totals
 
 
