@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm import (ann, bpe, collocations, exact_dedup, language_id, minhash, mixing, substring_dedup, suffix_dedup,
-                           token_counts, warc, word_table)
+                           token_counts, turn_repair, warc, word_table)
 from gradeloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,60 @@ o as (select lang, row_number() over (partition by lang order by score desc, a d
 select * from o where rank <= 2000""")
 def hat_trie_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.top_collocations(collocations.collocations(table(spark, sf, "documents")))
+
+
+@query("op12_turn_alignment", r"""with recursive b as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as s from conversations),
+z as (
+  select *, xor(4294967295::bigint, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(0, 8 * len(s)), lambda i: case when i % 8 = 0 then ascii(substr(s, (i // 8)::int + 1, 1)) else 0 end::bigint)),
+    lambda v, x: xor(xor(v, x) >> 1, 3988292384::bigint * (xor(v, x) & 1)))) % 20 as k
+  from b),
+d as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(0, case when k = 3 then 2 else 1 end)) as copy
+  from z where k <> 0),
+f as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as r,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b'
+      when row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 then 'd'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else 'f' end as fault
+  from d),
+-- an inserted turn (5) is never cheapest: deleting its partner (2), and a system turn left alone (2), costs less
+m as (
+  select * from (values ('D', null, -1, -1, 2), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+    ('R', 'u', 0, 2, 1), ('R', 'u', 1, 2, 1), ('R', 'u', 3, 2, 1), ('R', 'a', 2, 3, 1)) t(edit, to_role, state, next_state, price)),
+p as (
+  select distinct conv_id, 0::bigint as r, 0 as state, 0::bigint as cost, '' as audit from f
+  union all
+  select p.conv_id, f.r, case when m.edit = 'D' then p.state else m.next_state end as state,
+    min(p.cost + m.price + case when m.edit <> 'D' and f.fault = 't' then 5 else 0 end)::bigint as cost,
+    arg_min(p.audit || m.edit, row(p.cost + m.price + case when m.edit <> 'D' and f.fault = 't' then 5 else 0 end, p.audit || m.edit)) as audit
+  from p join f on f.conv_id is not distinct from p.conv_id and f.r = p.r + 1
+  join m on (m.edit = 'D' or (m.state = p.state and f.fault in ('t', 'f') and (m.edit = 'K') = (left(f.role, 1) = m.to_role)))
+  group by p.conv_id, f.r, case when m.edit = 'D' then p.state else m.next_state end),
+n as (
+  select conv_id, count(*) as rows, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count_if(fault = 'b')::bigint as blank,
+    count_if(fault = 'd')::bigint as duplicate, count_if(fault = 't')::bigint as truncated
+  from f group by conv_id),
+i as (
+  select conv_id, count_if(pair is not null and pair not in ('su', 'ua', 'au'))::bigint as illegal
+  from (select conv_id, lag(left(role, 1)) over (partition by conv_id order by r) || left(role, 1) as pair from f) group by conv_id),
+e as (
+  select n.conv_id, min(p.cost) as cost, arg_min(p.audit, row(p.cost, p.audit)) as audit
+  from n join p on p.conv_id is not distinct from n.conv_id and p.r = n.rows and p.state in (0, 3) group by n.conv_id),
+k as (
+  select f.conv_id, f.r, f.role, f.text, substr(e.audit, f.r::int, 1) as edit, len(replace(e.audit, 'D', '')) % 2 as odd,
+    count_if(substr(e.audit, f.r::int, 1) <> 'D') over (partition by f.conv_id order by f.r) as place
+  from f join e on e.conv_id is not distinct from f.conv_id),
+t as (
+  select conv_id, string_agg(case when edit = 'K' then role when (place - odd) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by r) as whole
+  from k where edit <> 'D' group by conv_id),
+c as (select distinct conv_id from conversations)
+select c.conv_id, coalesce(n.gaps, 0) as gaps, coalesce(n.blank, 0) as blank, coalesce(n.duplicate, 0) as duplicate, coalesce(n.truncated, 0) as truncated,
+  coalesce(i.illegal, 0) as illegal, coalesce(e.cost, 0) as cost, coalesce(e.audit, '') as audit, sha256(coalesce(t.whole, '')) as repaired_sha256
+from c left join n on n.conv_id is not distinct from c.conv_id left join i on i.conv_id is not distinct from c.conv_id
+  left join e on e.conv_id is not distinct from c.conv_id left join t on t.conv_id is not distinct from c.conv_id""")
+def turn_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf, "conversations")))
