@@ -7,8 +7,10 @@ joins the neighbours with the best score first, the leftmost on a tie, which
 is the order of the ranks. Each match of the split pattern is encoded on its
 own; decoding maps ids back to their bytes.
 
-A task keeps the ids of recent pre-tokens in a table of bounded size; a full
-table is emptied and fills again, so memory is bounded and nothing is left out.
+A task keeps the ids of recent pre-tokens in a table of at most `CACHED_BYTES`;
+a full table is emptied and fills again, so memory is bounded and nothing is
+left out. `round_trip` encodes and decodes in one pass, so that a task has one
+worker with one set of tables.
 
 Defined cases: null text is encoded as the empty text (no ids); null ids are
 decoded as empty; every other column passes through untouched, whatever its
@@ -20,7 +22,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from gradeloom.llm.common import slices
 #: bytes are mapped to this block of characters, none of which the library treats as white space
 FIRST_CHARACTER = 0x100
 BYTES_TO_CHARACTERS = {b: FIRST_CHARACTER + b for b in range(256)}
-CACHED_PRETOKENS = 100_000
+#: of pre-tokens and their ids, with what Python needs for an entry
+CACHED_BYTES, ENTRY_BYTES = 16 << 20, 200
 NORMAL, UNKNOWN = 1, 2
 
 
@@ -85,33 +87,31 @@ class _Ids(dict):
 
     def __init__(self, model: sentencepiece.SentencePieceProcessor):
         super().__init__()
-        self.model = model
+        self.model, self.held = model, 0
 
     def __missing__(self, token: str) -> bytes:
         ids = self.model.encode(mapped(token.encode()))
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(token) <= 64:
-            if len(self) >= CACHED_PRETOKENS:
+            self.held += ENTRY_BYTES + 2 * len(token) + len(packed)
+            if self.held > CACHED_BYTES:
                 self.clear()
+                self.held = 0
             self[token] = packed
         return packed
 
 
-def _encoder(path: str, pattern: str):
+def _encoder(ranks: dict[bytes, int], pattern: str):
     """text -> ids as bytes. Made by each task, so that a worker doesn't hold its tables through later stages."""
     split = regex.compile(pattern).findall
-    ids = _Ids(sentencepiece.SentencePieceProcessor(model_proto=serialise(read_ranks(path))))
+    ids = _Ids(sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks)))
     return lambda text: b"".join(map(ids.__getitem__, split(text or "")))
 
 
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
-    return sorted(ranks, key=ranks.get)
-
-
-def decode_ids(ids: bytes | None, path: str) -> bytes:
-    return b"".join(map(_tokens(path).__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+def _decoder(ranks: dict[bytes, int]):
+    """ids as bytes -> the bytes they stand for."""
+    tokens = sorted(ranks, key=ranks.get)
+    return lambda ids: b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
 def _with_column(df: DataFrame, source: str, out: str, converter) -> DataFrame:
@@ -131,9 +131,33 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     `path` is the rank file's place on every executor.
     """
-    return _with_column(df, text, out, lambda: _encoder(path, pattern))
+    return _with_column(df, text, out, lambda: _encoder(read_ranks(path), pattern))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that `ids` stand for."""
-    return _with_column(df, ids, out, lambda: lambda b: decode_ids(b, path))
+    return _with_column(df, ids, out, lambda: _decoder(read_ranks(path)))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", same: str = "same") -> DataFrame:
+    """Replace `text` by its ids, the bytes these decode to (unless `decoded` is None) and whether those are the text's."""
+    made = [name for name in (ids, decoded, same) if name]
+    df = df.drop(*[name for name in made if name != text])
+    kept = [f for f in df.schema.fields if f.name != text]
+    kinds = {ids: (T.BinaryType(), pa.binary()), decoded: (T.BinaryType(), pa.binary()), same: (T.BooleanType(), pa.bool_())}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(path)
+        to_ids, to_bytes = _encoder(ranks, pattern), _decoder(ranks)
+        for batch in slices(batches, text):
+            columns = {name: [] for name in made}
+            for value in batch.column(text):
+                value = value.as_py() or ""
+                columns[ids].append(to_ids(value))
+                back = to_bytes(columns[ids][-1])
+                columns[same].append(back == value.encode())
+                if decoded:
+                    columns[decoded].append(back)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(columns[n], kinds[n][1]) for n in made)], [*(f.name for f in kept), *made])
+
+    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, kinds[n][0]) for n in made)]))

@@ -34,7 +34,6 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +76,14 @@ def _grown_powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=2)
+#: of the usual bases, filled where it is used: functions travel to workers by value, so each task has its own
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _kept_powers(base: np.uint64) -> np.ndarray:
-    return _grown_powers(base, SLICE)
+    if int(base) not in _POWERS:
+        _POWERS[int(base)] = _grown_powers(base, SLICE)
+    return _POWERS[int(base)]
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

@@ -52,10 +52,9 @@ def source_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_byte_bpe")
 def byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
-    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, path).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op3_exact_dedup", r"""

@@ -24,7 +24,6 @@ that don't fill a token at the end of a file are an error.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,6 @@ SCAN_BLOCKS = 1024
 SEPARATOR, WIDTH = 0xC480, ">u2"
 
 
-@lru_cache(maxsize=1)
 def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 

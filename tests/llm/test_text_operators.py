@@ -1,6 +1,5 @@
 """Exact, near and substring duplicates, language and tokens against brute force on small tables."""
 
-import base64
 import hashlib
 import random
 import struct
@@ -213,17 +212,21 @@ def test_tokens_equal_the_library_and_decode(docs):
         ids = own.encode_ordinary(r["text"] or "")
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    wanted = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"]), bytes(r["decoded"]), True) for r in done.collect())
+    whole = bpe.round_trip(docs.withColumn("same", F.lit(0)).select("doc_id", "text", "same"), PATH, public_tokenizers.PATTERN)
+    assert whole.columns == ["doc_id", "ids", "decoded", "same"]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["ids"]), bytes(r["decoded"]), r["same"]) for r in whole.collect()) == wanted
+    assert bpe.round_trip(docs.select("text").limit(0), PATH, public_tokenizers.PATTERN, decoded=None).collect() == []
 
 
 def test_every_token_is_reached_by_merges():
     ranks = bpe.read_ranks(PATH)
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_proto=bpe.serialise(ranks))
-    sample = random.Random(1).sample(sorted(ranks, key=ranks.get), 3000)
-    assert all(model.encode(bpe.mapped(t)) == [ranks[t]] for t in sample)
+    assert [t for t in ranks if model.encode(bpe.mapped(t)) != [ranks[t]]] == []
     with pytest.raises(ValueError):
         bpe.serialise({b"a": 1})
-    assert base64.b64encode(bpe.decode_ids(None, PATH)) == b""
+    assert bpe._decoder(ranks)(None) == b""
 
 
 def test_phrases_equal_a_plain_parse():
