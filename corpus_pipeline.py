@@ -42,8 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
-    whole = bpe.decode(ids, path).withColumn("same", F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    whole = bpe.round_trip(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, decoded=None)
     return whole.select("doc_id", "source", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", "same")
 
 
