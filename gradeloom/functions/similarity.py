@@ -7,12 +7,12 @@ input means "already decided" and costs nothing.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from gradeloom import fixed_values as fv
+from gradeloom.functions.matching import matching_ratio
 
 
 def common_subsequence_length(a: list[str], b: list[str]) -> int:
@@ -55,9 +55,8 @@ def token_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def character_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Character-level matching ratio of two strings."""
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-                      for a, b in zip(left, right)], dtype="float64")
+    """Share of the characters of two strings that lie in their longest common blocks (see `matching`)."""
+    return pd.Series([None if a is None or b is None else matching_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())

@@ -1,31 +1,66 @@
-"""Line differences as a distributed job: multiset difference by (line text, occurrence number)."""
+"""Line differences: the lines of either text outside the longest common blocks, found pair by pair."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
+
+from gradeloom.functions.matching import line_changes
 from gradeloom.functions.text import lines
 
+#: changed lines of one output batch
+SENT_LINES = 20_000
+
 
 def changed_lines(pairs: DataFrame, key: str, before: str = "buggy", after: str = "reference_fix") -> DataFrame:
-    """(key, sign, n, text): lines of `before` ('-') and `after` ('+') without a counterpart.
+    """(key, sign, n, text): lines of `before` ('-') and `after` ('+') that the alignment of the two leaves over.
+
+    Lines keep their order in the alignment, so a moved line is taken out of one place ('-') and put into another
+    ('+'). `n` is the 1-based line number on the line's own side. A null text is empty. A pair is aligned within
+    its row, so nothing is shuffled; equal sides don't reach Python.
+    """
+    sides = [F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((before, "before"), (after, "after"))]
+    differing = pairs.select(F.col(key).alias("key"), *sides).filter("before <> after")
+    schema = T.StructType([T.StructField("key", differing.schema["key"].dataType), T.StructField("sign", T.StringType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+
+            def out() -> pa.RecordBatch:
+                signs, numbers, texts = zip(*found)
+                return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys)), pa.array(signs), pa.array(numbers, pa.int32()),
+                                                   pa.array(texts, pa.string())], ["key", "sign", "n", "text"])
+
+            for at in range(batch.num_rows):
+                for change in line_changes(batch.column("before")[at].as_py(), batch.column("after")[at].as_py()):
+                    keys.append(at)
+                    found.append(change)
+                    if len(found) >= SENT_LINES:
+                        yield out()
+                        keys, found = [], []
+            if found:
+                yield out()
+
+    return differing.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def apply_changes(pairs: DataFrame, changes: DataFrame, key: str, before: str = "buggy") -> DataFrame:
+    """(key, rebuilt): `before` without its '-' lines and with the '+' lines at their numbers.
 
-    Occurrence i of a text on one side pairs with occurrence i on the other.
-    One shuffle on (key, text) serves both windows; pairs whose sides are equal
-    never reach it. `n` is the 1-based line number on the line's own side.
+    A '+' line that is number n of the new text and the q-th of its kind follows n - q lines that stayed; the lines
+    that stayed keep their order. A pair's lines meet in one array, which is no longer than its texts.
     """
-    differing = pairs.filter(~F.col(before).eqNullSafe(F.col(after)))
-    sides = F.array(F.struct(F.lit("-").alias("sign"), lines(F.col(before)).alias("ls")),
-                    F.struct(F.lit("+").alias("sign"), lines(F.col(after)).alias("ls")))
-    rows = (differing.select(key, F.explode(sides).alias("s"))
-            .select(key, F.col("s.sign").alias("sign"), F.posexplode("s.ls").alias("n", "text")))
-    both = W.partitionBy(key, "text")
-    other = F.count_if(F.col("sign") == "-").over(both), F.count_if(F.col("sign") == "+").over(both)
-    counted = rows.withColumn("_minus", other[0]).withColumn("_plus", other[1]).filter("_minus <> _plus")
-    at = F.row_number().over(W.partitionBy(key, "text", "sign").orderBy("n"))
-    numbered = counted.withColumn("_at", at)
-    beyond = F.when(F.col("sign") == "-", F.col("_at") > F.col("_plus")).otherwise(F.col("_at") > F.col("_minus"))
-    return numbered.filter(beyond).select(key, "sign", (F.col("n") + 1).alias("n"), "text")
+    old = pairs.select(key, F.posexplode(lines(F.col(before))).alias("n", "text")).withColumn("n", F.col("n") + 1)
+    left = old.join(changes.filter("sign = '-'").select(key, "n"), [key, "n"], "left_anti")
+    place = F.row_number().over(W.partitionBy(key).orderBy("n"))
+    stayed = left.select(key, F.struct((place - 1).alias("after"), F.lit(1).alias("kind"), "n", "text").alias("line"))
+    new = changes.filter("sign = '+'").select(key, F.struct((F.col("n") - place).alias("after"), F.lit(0).alias("kind"), "n", "text").alias("line"))
+    ordered = stayed.unionByName(new).groupBy(key).agg(F.array_sort(F.collect_list("line")).alias("ls"))
+    return ordered.select(key, F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("rebuilt"))
 
 
 def substantive(text: Column) -> Column:

@@ -5,11 +5,15 @@ replicate (or a sign per draw) from a seeded hash. A task turns a batch of
 rows into a matrix of weights and keeps the sums of each (group, replicate),
 so a batch sends replicates, not rows times replicates, and no row is moved
 before. A group of any size, or one holding a third of all rows, needs no
-array, no join and no sort.
-
-Redraws with replacement (`method="redraw"`) and the full distribution of
-signed sums (`method="exact"`) are there for small groups where the caller
-names them; no row count chooses a method.
+array, no join and no sort. Work is cut along both axes: an input of fewer
+partitions than cores, which adaptive execution makes of few rows, is dealt
+as blocks of replicates, so that 1,500 rows x 20,000 draws use every core.
+
+Sign-flip p-values are exact up to `EXACT_MAX` nonzero differences: the signed
+sums of two halves, one of them sorted, are counted against each other by
+binary search, which takes 2**(n/2) numbers instead of 2**n. Redraws with
+replacement (`method="redraw"`) are there for small groups where the caller
+names them.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from gradeloom.functions.hashing import MODULUS, poisson_cuts, text_key, with_dr
 from gradeloom.session import cut_lineage, spread
 
 BLOCKS = 8
+#: least replicates of a block, and differences whose 2**n signed sums are counted exactly
+BLOCK_REPLICATES, EXACT_MAX = 64, 44
+TOLERANCE = 1e-9
 #: rows whose weights are one matrix, and groups that are sent in one batch
 MATRIX_ROWS, SENT_GROUPS = 256, 64
 
@@ -55,9 +62,9 @@ def _redrawn(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFr
     return drawn.groupBy(*keys, "b").agg((F.sum("u.s") / F.sum("u.c")).alias("mean"))
 
 
-def _draws(items: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """The matrix of `hashing.with_draw` over items x replicates."""
-    i, b = items.astype(np.int64)[:, None], np.arange(count, dtype=np.int64)[None, :]
+def _draws(items: np.ndarray, begin: int, end: int, seed: int) -> np.ndarray:
+    """The matrix of `hashing.with_draw` over items x replicates begin .. end."""
+    i, b = items.astype(np.int64)[:, None], np.arange(begin, end, dtype=np.int64)[None, :]
     x = (b * 40014 + i * 40692 + seed) % MODULUS
     x = ((x * x) % MODULUS + x * 16807 + i * 99991) % MODULUS
     return ((x * x) % MODULUS + x * 48271) % MODULUS
@@ -71,31 +78,95 @@ def _signs(draws: np.ndarray) -> np.ndarray:
     return (1 - 2 * (draws % 2)).astype(np.float64)
 
 
+def _replicate_blocks(rows: DataFrame, count: int) -> int:
+    """How many blocks of replicates make about eight units of work per core out of the input's partitions."""
+    cores, have = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return 1 if have * 2 > cores else max(1, min(count // BLOCK_REPLICATES, 8 * cores // max(have, 1)))
+
+
 def _replicate_sums(units: DataFrame, keys: list[str], count: int, seed: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """keys, b, s, c: the weighted sums of s and c per replicate; `units` has keys, unit, s, c."""
+    """keys, b, s, c: the weighted sums of s and c per replicate; `units` has keys, unit, s, c and is materialised."""
+    rows = units.select(*keys, F.col("s").cast("double").alias("s"), "c", text_key(F.col("unit").cast("string")).alias("_k"))
+    blocks = _replicate_blocks(rows, count)
+    per = -(-count // blocks)
+    if blocks == 1:
+        dealt = rows.withColumn("_block", F.lit(0))
+    else:
+        dealt = spread(rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_block")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.stack([batch.column("s").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)])
             item = batch.column("_k").to_numpy(zero_copy_only=False)
             groups: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+            for at, key in enumerate(zip(*(batch.column(k).to_pylist() for k in ["_block", *keys]))):
                 groups.setdefault(key, []).append(at)
-            members = list(groups.values())
+            members = [(key[0] * per, min((key[0] + 1) * per, count), rows) for key, rows in groups.items()]
+            members = [m for m in members if m[0] < m[1]]
             for start in range(0, len(members), SENT_GROUPS):
-                some = members[start:start + SENT_GROUPS]
-                sums = np.zeros((len(some), 2, count))
-                for g, rows in enumerate(some):
+                some, sums = members[start:start + SENT_GROUPS], []
+                for begin, end, rows in some:
+                    total = np.zeros((2, end - begin))
                     for cut in range(0, len(rows), MATRIX_ROWS):
                         part = rows[cut:cut + MATRIX_ROWS]
-                        sums[g] += values[:, part] @ weigh(_draws(item[part], count, seed))
-                heads = pa.array(np.repeat([rows[0] for rows in some], count))
+                        total += values[:, part] @ weigh(_draws(item[part], begin, end, seed))
+                    sums.append(total)
+                heads = pa.array(np.concatenate([np.full(end - begin, rows[0]) for begin, end, rows in some]))
+                total = np.concatenate(sums, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(heads) for k in keys), pa.array(np.tile(np.arange(count, dtype=np.int32), len(some))),
-                     pa.array(sums[:, 0].ravel()), pa.array(sums[:, 1].ravel())], [*keys, "b", "s", "c"])
+                    [*(batch.column(k).take(heads) for k in keys), pa.array(np.concatenate([np.arange(begin, end, dtype=np.int32) for begin, end, _ in some])),
+                     pa.array(total[0]), pa.array(total[1])], [*keys, "b", "s", "c"])
 
-    rows = units.select(*keys, F.col("s").cast("double").alias("s"), "c", text_key(F.col("unit").cast("string")).alias("_k"))
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.DoubleType())])
-    return rows.mapInArrow(run, schema).groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    return dealt.mapInArrow(run, schema).groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def signed_sums(values: np.ndarray) -> np.ndarray:
+    """All 2**n sums of n values with either sign."""
+    sums = np.zeros(1)
+    for value in values:
+        sums = np.concatenate([sums + value, sums - value])
+    return sums
+
+
+def exact_share(values: np.ndarray, chunk: int = 1 << 16) -> float:
+    """The share of all sign vectors whose sum is at least as far from 0 as the sum of `values`.
+
+    Meet in the middle: each signed sum of one half is matched with the sorted sums of the other.
+    """
+    least = abs(float(values.sum())) - TOLERANCE
+    if least <= 0:
+        return 1.0
+    half = len(values) // 2
+    left, right = signed_sums(values[:half]), np.sort(signed_sums(values[half:]))
+    hits = 0
+    for begin in range(0, len(left), chunk):
+        some = left[begin:begin + chunk]
+        hits += len(some) * len(right) - int(np.searchsorted(right, least - some, side="left").sum()) + int(np.searchsorted(right, -least - some, side="right").sum())
+    return hits / 2 ** len(values)
+
+
+def _exact(nonzero: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, p_value of groups of at most EXACT_MAX differences; larger ones raise. `nonzero` has keys, unit, d."""
+    arrays = nonzero.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "d"))), lambda x: x["d"].cast("double")).alias("ds"))
+    few = F.when(F.size("ds") <= EXACT_MAX, F.col("ds")).otherwise(F.raise_error(F.lit("too many differences for the exact method")).cast("array<double>"))
+    rows = spread(arrays.withColumn("ds", few), *keys)
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("p_value", T.DoubleType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [exact_share(np.array(ds.as_py(), np.float64)) for ds in batch.column("ds")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.float64())], [*keys, "p_value"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sampled(nonzero: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """keys, p_value from `draws` random sign vectors, with add-one smoothing."""
+    totals = _replicate_sums(nonzero.select(*keys, "unit", F.col("d").alias("s"), F.lit(1).alias("c")), keys, draws, seed, _signs)
+    observed = nonzero.groupBy(*keys).agg(F.abs(F.sum("d")).alias("observed"))
+    return totals.join(observed, keys).groupBy(*keys).agg(
+        ((F.sum((F.abs("s") >= F.col("observed") - TOLERANCE).cast("bigint")) + 1) / (draws + 1)).alias("p_value"))
 
 
 def _weighted(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFrame:
@@ -161,39 +232,28 @@ def model_pairs(models: DataFrame) -> DataFrame:
     return partners.join(ranked.withColumnRenamed("model", "model_a"), "r").select("model_a", "model_b")
 
 
-def sign_permutation(diffs: DataFrame, keys: list[str], value: str = "diff", unit: str = "bug_id",
-                     method: str = "sampled", draws: int = fv.SIGN_DRAWS, seed: int = fv.PAIR_SEED) -> DataFrame:
+def sign_permutation(diffs: DataFrame, keys: list[str], value: str = "diff", unit: str = "bug_id", method: str = "sampled",
+                     draws: int = fv.SIGN_DRAWS, seed: int = fv.PAIR_SEED, materialize: bool = True) -> DataFrame:
     """Two-sided paired sign-flip p-value per group: keys, p_value.
 
-    "sampled": `draws` random sign vectors; each difference signs itself per
-    draw, so only (group, draw) sums are shuffled. "exact": the full
-    distribution of signed sums, built by doubling an array; more than
-    `EXACT_SIGN_MAX` nonzero differences in a group raise.
+    "auto": exact for groups of at most `EXACT_MAX` nonzero differences, "sampled" for larger ones. "sampled":
+    `draws` random sign vectors; each difference signs itself per draw, so only (group, draw) sums are shuffled.
+    "exact": exact, where a larger group raises. A group without nonzero differences has 1. `materialize` checkpoints
+    the narrow nonzero differences, which several branches read.
     """
-    d = diffs.filter(F.col(value).isNotNull())
-    sizes = d.groupBy(*keys).agg(
-        F.sum((F.col(value) != 0).cast("bigint")).alias("nz"), F.abs(F.sum(value)).alias("observed"))
-    nonzero = d.filter(F.col(value) != 0).select(*keys, F.col(unit).cast("string").alias("unit"), F.col(value).alias("d"))
-    if method == "exact":
-        arrays = nonzero.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("unit", "d"))),
-                                                        lambda x: x.getField("d")).alias("ds"))
-        few = F.when(F.size("ds") <= fv.EXACT_SIGN_MAX, F.col("ds")).otherwise(
-            F.raise_error(F.lit("too many differences for the exact method")).cast("array<double>"))
-        arrays = arrays.withColumn("ds", few)
-        sums = F.aggregate("ds", F.array(F.lit(0.0)), lambda acc, x: F.concat(
-            F.transform(acc, lambda s: s + x), F.transform(acc, lambda s: s - x)))
-        observed = F.abs(F.aggregate("ds", F.lit(0.0), lambda acc, x: acc + x))
-        found = arrays.withColumn("sums", sums).withColumn("obs", observed).select(
-            *keys, (F.size(F.filter("sums", lambda s: F.abs(s) >= F.col("obs") - 1e-12))
-                    / F.size("sums")).alias("p_value"))
-    elif method == "sampled":
-        totals = _replicate_sums(nonzero.select(*keys, "unit", F.col("d").alias("s"), F.lit(1).alias("c")), keys, draws, seed, _signs)
-        found = totals.join(sizes.select(*keys, "observed"), keys).groupBy(*keys).agg(
-            ((F.sum((F.abs("s") >= F.col("observed") - 1e-9).cast("bigint")) + 1) / (draws + 1)).alias("p_value"))
-    else:
+    if method not in ("auto", "exact", "sampled"):
         raise ValueError(f"unknown method {method!r}")
-    return sizes.join(found, keys, "left").select(
-        *keys, F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
+    d = diffs.filter(F.col(value).isNotNull()).select(*keys, F.col(unit).cast("string").alias("unit"), F.col(value).alias("d"))
+    if materialize:
+        d = cut_lineage(d)
+    nonzero = d.filter(F.col("d") != 0)
+    if method == "auto":
+        sizes = nonzero.groupBy(*keys).agg((F.count(F.lit(1)) <= EXACT_MAX).alias("few"))
+        found = _exact(nonzero.join(sizes.filter("few"), keys, "left_semi"), keys).unionByName(
+            _sampled(cut_lineage(nonzero.join(sizes.filter("not few"), keys, "left_semi")), keys, draws, seed))
+    else:
+        found = _exact(nonzero, keys) if method == "exact" else _sampled(nonzero, keys, draws, seed)
+    return d.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
 
 
 def dominance(diffs: DataFrame, keys: list[str], value: str = "diff") -> DataFrame:
@@ -218,14 +278,15 @@ def holm(df: DataFrame, p: str = "p_value", tiebreak: list[str] = (), family: li
 
 def verdicts(scores: DataFrame, delta0: float = fv.EQUIVALENCE_DELTA, alpha: float = fv.ALPHA,
              replicates: int = fv.PAIR_REPLICATES, seed: int = fv.PAIR_SEED,
-             draws: int = fv.SIGN_DRAWS, method: str = "sampled") -> DataFrame:
+             draws: int = fv.SIGN_DRAWS, method: str = "auto") -> DataFrame:
     """Every model pair: A_WINS, B_WINS, TIED or INCONCLUSIVE, after Holm correction; `p_method` says how p was found."""
     keys = ["model_a", "model_b"]
     diffs = cut_lineage(pairwise_differences(scores))
     base = diffs.groupBy(*keys).agg(
         F.avg("diff").alias("delta"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
-        F.avg(F.signum("diff")).alias("dominance"), F.count(F.lit(1)).alias("n_bugs"))
-    p = sign_permutation(diffs, keys, method=method, draws=draws, seed=seed).withColumn("p_method", F.lit(method))
+        F.avg(F.signum("diff")).alias("dominance"), F.count(F.lit(1)).alias("n_bugs"),
+        F.when(F.count_if(F.col("diff") != 0) <= EXACT_MAX, "exact").otherwise("sampled").alias("p_method") if method == "auto" else F.max(F.lit(method)).alias("p_method"))
+    p = sign_permutation(diffs, keys, method=method, draws=draws, seed=seed, materialize=False)
     ci = bootstrap(diffs, keys, "diff", "bug_id", replicates=replicates, seed=seed, alpha=alpha, materialize=False).select(*keys, F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
     cci = bootstrap(diffs, keys, "diff", "bug_id", cluster="codebase", replicates=replicates, seed=seed, alpha=alpha, materialize=False).select(*keys, F.col("lo").alias("cluster_low"), F.col("hi").alias("cluster_high"))
     table = reduce(lambda l, r: l.join(r, keys, "left"), [base, p, ci, cci], model_pairs(scores))

@@ -207,6 +207,25 @@ def changed_lines(spark, sf):
         "task_id", "sign", F.col("n").cast("bigint").alias("n"), "text")
 
 
+ROTATED = """SELECT doc_id AS task_id, coalesce(text, '') AS buggy, array_to_string(list_concat(ls[h + 1:], ls[:h]), chr(10)) AS reference_fix, len(ls) AS n
+FROM (SELECT *, len(ls) // 2 AS h FROM (SELECT doc_id, text, str_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"""
+
+
+@query("rebuilt_from_changes", f"""
+SELECT task_id, sha256(reference_fix) AS rebuilt_sha256, buggy <> reference_fix AS changed, 0::BIGINT AS growth FROM ({ROTATED})""")
+def rebuilt_from_changes(spark, sf):
+    """Every document against itself with its halves swapped: the changes, applied to the old text, make the new one."""
+    ls = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    half = (F.size("ls") / 2).cast("int")
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("task_id"), F.coalesce("text", F.lit("")).alias("buggy"), ls.alias("ls"))
+    pairs = docs.select("task_id", "buggy", F.array_join(F.concat(F.slice("ls", half + 1, F.size("ls") - half), F.slice("ls", 1, half)), "\n").alias("reference_fix"))
+    changes = linediff.changed_lines(pairs, "task_id")
+    counts = changes.groupBy("task_id").agg(F.sum(F.when(F.col("sign") == "+", 1).otherwise(-1)).alias("growth"))
+    rebuilt = linediff.apply_changes(pairs, changes, "task_id")
+    return rebuilt.join(counts, "task_id", "left").select(
+        "task_id", F.sha2("rebuilt", 256).alias("rebuilt_sha256"), F.col("growth").isNotNull().alias("changed"), F.coalesce("growth", F.lit(0)).alias("growth"))
+
+
 @query("diff_counts", with_views("changes", body="WITH chg AS (SELECT * FROM changes) SELECT * EXCLUDE (strength), round(strength, 6) AS strength FROM ("
        + COUNTS.format(k="task_id") + ")"))
 def diff_counts(spark, sf):

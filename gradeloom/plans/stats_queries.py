@@ -106,7 +106,7 @@ SAMPLED_P = f"""nz AS (SELECT model_a, model_b, diff, {sqltext.text_key('bug_id'
 @query("sign_permutation_sampled", with_views("diffs_many", body="WITH " + SAMPLED_P + """
 SELECT model_a, model_b, round(p_value, 6) AS p_value FROM p"""))
 def sign_permutation_sampled(spark, sf):
-    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, draws=DRAWS), "p_value")
+    return rounded(rs.sign_permutation(rs.pairwise_differences(scores(spark, sf, None)), PAIR, method="sampled", draws=DRAWS), "p_value")
 
 
 HOLM = """, h AS (SELECT *, max(step) OVER (ORDER BY p_value, model_a, model_b) AS p_adjusted FROM (
@@ -127,21 +127,34 @@ def equivalence(spark, sf):
     return ci.select(*PAIR, rs.equivalent(F.col("lo"), F.col("hi")).alias("equivalent"))
 
 
-@query("pair_verdicts", with_views("diffs_many", "latest", body="WITH " + SAMPLED_P + HOLM + ", "
-       + pair_ci_sql("b", "diffs_many").strip() + ", " + cluster_ci_sql("c", "diffs_many") + """,
+def verdict_sql(p, diffs, method):
+    return "WITH " + p + HOLM + ", " + pair_ci_sql("b", diffs).strip() + ", " + cluster_ci_sql("c", diffs) + f""",
  s AS (SELECT model_a, model_b, avg(diff) AS delta, avg(a) AS mean_a, avg(b) AS mean_b, avg(sign(diff)) AS dominance,
-   count(*) AS n_bugs FROM diffs_many GROUP BY ALL),
+   count(*) AS n_bugs FROM {diffs} GROUP BY ALL),
  t AS (SELECT s.*, h.p_value, h.p_adjusted, b.lo, b.hi, c.lo AS clo, c.hi AS chi, b.lo > -0.1 AND b.hi < 0.1 AS tied,
    h.p_value < 0.05 AND NOT (b.lo <= 0 AND b.hi >= 0) AS sig FROM s JOIN h USING (model_a, model_b)
    JOIN b_ci b USING (model_a, model_b) JOIN c_ci c USING (model_a, model_b))
 SELECT model_a, model_b, CASE WHEN sig AND p_adjusted < 0.05 AND delta > 0 THEN 'A_WINS' WHEN sig AND p_adjusted < 0.05 THEN 'B_WINS'
    WHEN tied THEN 'TIED' ELSE 'INCONCLUSIVE' END AS verdict, n_bugs, round(delta, 6) AS delta, round(mean_a, 6) AS mean_a,
   round(mean_b, 6) AS mean_b, round(dominance, 6) AS dominance, round(p_value, 6) AS p_value, round(p_adjusted, 6) AS p_adjusted,
-  round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(clo, 6) AS cluster_low, round(chi, 6) AS cluster_high, 'sampled' AS p_method,
+  round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(clo, 6) AS cluster_low, round(chi, 6) AS cluster_high, '{method}' AS p_method,
   concat_ws('; ', CASE WHEN sig AND ((lo > 0) <> (clo > 0) OR (hi > 0) <> (chi > 0)) THEN 'paired and cluster intervals disagree on the sign; the paired result stands' END,
    CASE WHEN sig AND NOT p_adjusted < 0.05 THEN 'win does not survive Holm correction' END, CASE WHEN NOT sig AND tied THEN 'gap bounded below 0.1' END,
-   CASE WHEN NOT sig AND NOT tied THEN 'could not bound the gap below 0.1; not a tie' END) AS notes FROM t"""))
-def pair_verdicts(spark, sf):
-    v = rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS)
+   CASE WHEN NOT sig AND NOT tied THEN 'could not bound the gap below 0.1; not a tie' END) AS notes FROM t"""
+
+
+def verdict_rows(v):
     return rounded(v.withColumn("notes", F.array_join("notes", "; ")), "delta", "mean_a", "mean_b", "dominance", "p_value", "p_adjusted", "ci_low", "ci_high",
                    "cluster_low", "cluster_high")
+
+
+@query("pair_verdicts", with_views("diffs_many", "latest", body=verdict_sql(SAMPLED_P, "diffs_many", "sampled")))
+def pair_verdicts(spark, sf):
+    """Hundreds of bugs: p-values by random signs."""
+    return verdict_rows(rs.verdicts(scores(spark, sf, None), replicates=REPS, draws=DRAWS))
+
+
+@query("pair_verdicts_few_bugs", with_views("diffs_few", "latest", body=verdict_sql(EXACT_P, "diffs_few", "exact")))
+def pair_verdicts_few_bugs(spark, sf):
+    """Twelve bugs: the same call finds exact p-values."""
+    return verdict_rows(rs.verdicts(scores(spark, sf), replicates=REPS, draws=DRAWS))

@@ -1,4 +1,6 @@
 import json
+import random
+from difflib import unified_diff
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,37 @@ def test_categories(categorized):
     assert categorized["kept"].category == "feature_addition"
 
 
+def test_a_moved_line_is_taken_out_and_put_in(rows):
+    df = rows("id int, buggy string, reference_fix string, sign string", (1, "a\nb\nc", "b\na\nc", "x"), (2, "same", "same", "x"), (3, None, "new", "x"), (4, "", None, "x"))
+    got = sorted(tuple(r) for r in linediff.changed_lines(df, "id").collect())
+    assert got == [(1, "+", 1, "b"), (1, "-", 2, "b"), (3, "+", 1, "new"), (3, "-", 1, "")]
+    assert linediff.changed_lines(df.where("false"), "id").collect() == []
+
+
+def test_changes_equal_a_unified_diff_and_rebuild_the_new_text(rows):
+    rng = random.Random(6)
+    pairs = []
+    for i in range(60):
+        old = [rng.choice(["x = 1", "y", "", "}", "  return z", f"n{rng.randint(0, 50)}"]) for _ in range(rng.choice([0, 5, 40, 260]))]
+        new = list(old)
+        for _ in range(rng.randint(0, 5)):
+            part = [new.pop(rng.randrange(len(new)))] if new and rng.random() < 0.7 else ["added"]
+            at = rng.randint(0, len(new))
+            new[at:at] = part * rng.randint(0, 2)
+        pairs.append((i, "\n".join(old), "\n".join(new)))
+    df = rows("id int, buggy string, reference_fix string", *pairs).repartition(3)
+    changes = linediff.changed_lines(df, "id").cache()
+    got = {}
+    for r in sorted(changes.collect(), key=lambda r: (r.id, r.sign, r.n)):
+        got.setdefault((r.id, r.sign), []).append(r.text)
+    for i, old, new in pairs:
+        lines = list(unified_diff(old.split("\n"), new.split("\n"), lineterm="", n=0))[2:]
+        for sign in "-+":
+            assert got.get((i, sign), []) == [x[1:] for x in lines if x.startswith(sign)]
+    rebuilt = {r.id: r.rebuilt for r in linediff.apply_changes(df, changes, "id").collect()}
+    assert all((rebuilt.get(i) or "") == new for i, _, new in pairs)
+
+
 def test_changed_lines_have_real_positions_and_count_copies(rows):
     df = rows("id string, buggy string, reference_fix string", ("p", "a\nb\na\nc", "a\nx\nc\ny"), ("q", "same", "same"))
     got = sorted((r.sign, r.n, r.text) for r in linediff.changed_lines(df, "id").collect())

@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,8 +57,10 @@ def test_sign_permutation(rows):
     assert got["mixed"] == 1.0
     many = rows("g string, bug_id string, diff double", *[("many", f"b{i}", 1.0) for i in range(40)])
     assert rs.sign_permutation(many, ["g"], draws=500).first().p_value == pytest.approx(1 / 501)
+    assert rs.sign_permutation(many, ["g"], method="exact").first().p_value == 2 / 2**40
+    more = rows("g string, bug_id string, diff double", *[("more", f"b{i}", 1.0) for i in range(rs.EXACT_MAX + 1)])
     with pytest.raises(Exception, match="too many differences"):
-        rs.sign_permutation(many, ["g"], method="exact").collect()
+        rs.sign_permutation(more, ["g"], method="exact").first()
 
 
 def test_one_scheme_on_both_sides_of_any_size(rows, spark):
@@ -114,3 +119,43 @@ def test_win_that_does_not_survive_correction_is_downgraded(rows):
     got = {(r.model_a, r.model_b): r for r in rs.verdicts(s, replicates=100).collect()}[("a", "b")]
     assert got.p_value < 0.05 <= got.p_adjusted
     assert got.verdict == "INCONCLUSIVE" and "win does not survive Holm correction" in got.notes
+
+
+def enumerated(values):
+    sums = [sum(s * v for s, v in zip(signs, values)) for signs in itertools.product((1, -1), repeat=len(values))]
+    return sum(abs(s) >= abs(sum(values)) - 1e-9 for s in sums) / len(sums)
+
+
+def test_exact_p_equals_enumeration():
+    rng = random.Random(3)
+    for n in [*range(1, 15), 16]:
+        for values in ([rng.uniform(-1, 1) for _ in range(n)], [rng.choice([-0.5, 0.5, 1.0]) for _ in range(n)], [0.25] * n):
+            assert rs.exact_share(np.array(values), chunk=7) == enumerated(values)
+
+
+def test_exact_p_of_forty_differences():
+    # all of one size: the share is a binomial tail
+    signs = [1.0] * 30 + [-1.0] * 10
+    assert rs.exact_share(np.array(signs)) == pytest.approx(2 * sum(math.comb(40, k) for k in range(11)) / 2**40, rel=1e-12)
+
+
+def test_auto_is_exact_for_few_and_sampled_for_many(rows):
+    rng = random.Random(5)
+    few = [("few", f"b{i}", rng.uniform(-1, 1.5)) for i in range(14)] + [("few", "zero", 0.0), ("none", "b", 0.0)]
+    many = [("many", f"b{i}", rng.uniform(-1, 1.3)) for i in range(rs.EXACT_MAX + 30)]
+    df = rows("g string, bug_id string, diff double", *few, *many)
+    got = {r.g: r.p_value for r in rs.sign_permutation(df, ["g"], method="auto", draws=2000).collect()}
+    assert got["few"] == enumerated([v for _, _, v in few if v]) and got["none"] == 1.0
+    sampled = {r.g: r.p_value for r in rs.sign_permutation(df, ["g"], method="sampled", draws=2000).collect()}
+    assert got["many"] == sampled["many"]
+    with pytest.raises(Exception, match="too many differences"):
+        rs.sign_permutation(df, ["g"], method="exact").collect()
+
+
+def test_few_rows_and_many_replicates_use_every_core(spark, rows):
+    df = rows("g string, u string, v double", *[("g", f"u{i}", float(i % 7)) for i in range(300)]).coalesce(1)
+    whole = rs.bootstrap(df, ["g"], "v", "u", replicates=1000).first()
+    assert rs._replicate_blocks(df, 20_000) >= spark.sparkContext.defaultParallelism
+    assert rs._replicate_blocks(df.repartition(64), 20_000) == 1
+    again = rs.bootstrap(df.repartition(64), ["g"], "v", "u", replicates=1000).first()
+    assert (whole.lo, whole.hi) == pytest.approx((again.lo, again.hi))

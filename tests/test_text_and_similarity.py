@@ -1,11 +1,13 @@
 import random
+import time
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gradeloom.functions import text as tx
+from gradeloom.functions import matching, text as tx
 from gradeloom.functions.similarity import common_subsequence_length, normalize_identifiers, token_similarity
 from gradeloom.operators.similarity import compare_answers, patch_similarity
 
@@ -74,3 +76,45 @@ def test_patch_similarity_compares_copies_once_and_keeps_rows(rows):
     df = rows("id int, a string, b string", *[(i, "x = y", "x = z") for i in range(50)], (50, "same", "same"), (51, "", ""))
     got = {r.id: r.similarity for r in patch_similarity(df, "a", "b").collect()}
     assert len(got) == 52 and all(abs(got[i] - 2 / 3) < 1e-9 for i in range(50)) and got[50] == 1.0 and got[51] == 0.0
+
+
+def merged(blocks):
+    out = []
+    for i, j, n in blocks:
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        elif n:
+            out.append((i, j, n))
+    return out
+
+
+@pytest.mark.parametrize("small", [0, 40, 4096])
+def test_blocks_equal_the_library_on_random_repetitive_and_edited_sequences(small, monkeypatch):
+    monkeypatch.setattr(matching, "SMALL", small)
+    rng = random.Random(small)
+    for _ in range(250):
+        letters = "abcdefghijklmnopqrstuvwxyz \n\u00e9\U0001F600"[:rng.choice([1, 2, 3, 5, 30])]
+        a = [rng.choice(letters) for _ in range(rng.choice([0, 3, 20, 60, 150, 260, 400]))]
+        b = list(a) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.choice([0, 5, 100, 250]))]
+        for _ in range(rng.randint(0, 8)):
+            p = rng.randint(0, len(b))
+            part = b[p:p + rng.randint(0, 10)]
+            b[p:p + len(part)] = []
+            at = rng.randint(0, len(b))
+            b[at:at] = rng.choice([[], part, [rng.choice(letters)] * 3])
+        a, b = (a, b) if rng.random() < 0.3 else ("".join(a), "".join(b))
+        library = SequenceMatcher(None, a, b)
+        assert merged(matching.matching_blocks(a, b)) == [tuple(m) for m in library.get_matching_blocks() if m.size]
+        assert matching.matching_ratio(a, b) == library.ratio()
+
+
+def test_long_texts_are_aligned_quickly():
+    rng = random.Random(8)
+    a = "".join(chr(rng.randrange(200, 900)) for _ in range(100_000))
+    b = "".join(c if rng.random() < 0.998 else "#" for c in a)
+    start = time.time()
+    assert matching.matching_ratio(a, b) > 0.99
+    assert matching.matching_ratio("ab" * 50_000, "ba" * 50_000) == 0.0  # both letters are popular
+    lines = [f"line {i}" for i in range(30_000)]
+    assert len(list(matching.line_changes("\n".join(lines), "\n".join(x + "!" * (i % 2) for i, x in enumerate(lines))))) == 30_000
+    assert time.time() - start < 20
