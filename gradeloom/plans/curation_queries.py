@@ -145,20 +145,30 @@ def keyword_tags(spark, sf):
 STUCK = " + ".join(f"contains(lower(regexp_replace(text, '\\s+', ' ', 'g')), {q(m)})::INT" for m in fv.STRUGGLE_MARKERS)
 
 
-@query("hard_sessions", with_views("part_events", "session_info", body=f"""
+WORDS = list(dict.fromkeys(w for ws in fv.STRUGGLE_CATEGORIES.values() for w in ws))
+HAS_WORD = ", ".join(f"bool_or(contains(low, {q(w)})) AS w{i}" for i, w in enumerate(WORDS))
+CATEGORIES = ", ".join("CASE WHEN " + " + ".join(f"(coalesce(w{WORDS.index(w)}, false) OR contains(lower(coalesce(title, '')), {q(w)}))::INT" for w in ws)
+                       + f" >= 2 THEN {q(n)} END" for n, ws in fv.STRUGGLE_CATEGORIES.items())
+
+
+@query("hard_sessions", with_views("part_rows", "session_info", body=f"""
 WITH p AS (SELECT *, CASE WHEN part_type = 'text' THEN {STUCK} WHEN tool = 'bash' THEN 1 ELSE 0 END AS stuck,
   CASE WHEN tool = 'write' THEN 0 WHEN tool = 'edit' THEN greatest(len(str_split(regexp_replace(prev, '\\n$', ''), chr(10))),
-    len(str_split(regexp_replace(text, '\\n$', ''), chr(10)))) END AS size FROM part_events),
+    len(str_split(regexp_replace(text, '\\n$', ''), chr(10)))) END AS size,
+  CASE WHEN part_type = 'text' THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS said FROM part_rows),
  s AS (SELECT session_id, count(*) AS turns, count(*) FILTER (WHERE part_type = 'tool') AS tool_calls, count(*) FILTER (WHERE tool IN ('edit', 'write')) AS edits,
-  sum(stuck)::BIGINT AS struggle_hits, max(size) AS fix_size,
-  arg_max(struct_pack(t := ts, e := tool, p := path), size * 100000 - ts) FILTER (size IS NOT NULL) AS fix FROM p GROUP BY session_id)
+  sum(stuck)::BIGINT AS struggle_hits, arg_min(said, ts) FILTER (said <> '') AS symptom,
+  arg_max(struct_pack(t := ts, n := size, o := length(coalesce(prev, '')) > 0 AND tool = 'edit', p := path), size * 100000 - ts) FILTER (size IS NOT NULL) AS fix
+  FROM p GROUP BY session_id),
+ w AS (SELECT session_id, {HAS_WORD} FROM (SELECT session_id, lower(text) AS low FROM p WHERE said <> '') GROUP BY session_id)
 SELECT s.session_id, i.title, turns, tool_calls, edits, struggle_hits,
   round(least(1.0, struggle_hits / CASE WHEN tool_calls > 0 THEN tool_calls ELSE turns END), 3) AS struggle_ratio, fix.p AS fix_file,
-  CASE WHEN fix.e = 'edit' THEN fix_size ELSE 0 END::BIGINT AS fix_changed_lines, fix.t AS fix_time
-FROM s JOIN session_info i USING (session_id) WHERE turns >= 2 AND struggle_hits >= 1 AND edits >= 1"""))
+  CASE WHEN fix.o THEN fix.n ELSE 0 END::BIGINT AS fix_changed_lines, fix.t AS fix_time,
+  array_to_string(list_filter([{CATEGORIES}], lambda x: x IS NOT NULL), ',') AS categories, symptom
+FROM s LEFT JOIN w USING (session_id) LEFT JOIN session_info i USING (session_id) WHERE turns >= 2 AND struggle_hits >= 1 AND edits >= 1"""))
 def hard_sessions(spark, sf):
     events = part_events(parts(spark, sf), finished=False)
-    return mining.hard_sessions(events, session_info(spark, sf), 2, 1, 1)
+    return mining.hard_sessions(events, session_info(spark, sf), 2, 1, 1).withColumn("categories", F.array_join("categories", ","))
 
 
 @query("candidate_messages", with_views("sessions", body=f"""
