@@ -12,8 +12,12 @@ from gradeloom.functions.similarity import character_ratio, length_bound, token_
 from gradeloom.functions.text import extract_code, lines, squash, strip
 from gradeloom.operators.curation import inferred_defect
 from gradeloom.operators.linediff import changed_lines, diff_texts
+from gradeloom.operators.ordered import asof_backward
 from gradeloom.operators.similarity import unchanged
 
+#: lines of a file that one group of the interval join holds
+SPAN_BUCKET = 1 << 14
+
 
 def clip01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.cast("double"), F.lit(0.0))))
@@ -125,10 +129,14 @@ def changed_positions(changes: DataFrame, key: str) -> DataFrame:
     return minus.select(key, "n").unionByName(inserted.select(key, "n")).distinct()
 
 
-def touched_symbols(changes: DataFrame, spans: DataFrame, key: str = "task_id") -> DataFrame:
-    """(key, symbol) whose line span [start_line, end_line] overlaps a changed line. `spans` is per key."""
-    at = changed_positions(changes, key)
-    return spans.join(at, key).filter(F.col("n").between(F.col("start_line"), F.col("end_line"))).select(key, "symbol").distinct()
+def touched_symbols(changes: DataFrame, spans: DataFrame, key: str = "task_id", width: int = SPAN_BUCKET) -> DataFrame:
+    """(key, symbol) whose line span [start_line, end_line] overlaps a changed line. `spans` is per key.
+
+    A span is touched if the last changed line up to its end isn't before its start: an as-of join, which gives each
+    span one row, however many lines and spans a file has. Lines are cut into buckets of `width`.
+    """
+    last = asof_backward(spans.select(key, "symbol", "start_line", "end_line"), changed_positions(changes, key), [key], "end_line", "n", [], width=width)
+    return last.filter(F.col("n") >= F.col("start_line")).select(key, "symbol").distinct()
 
 
 def symbol_matches(predictions: DataFrame, truth: DataFrame, key: str = "task_id") -> DataFrame:

@@ -80,6 +80,18 @@ def appended_results(spark, sf):
     return files.load_results(spark, path).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("streamed_appends", with_views("runs", body="SELECT model, count(*) AS n, round(sum(combined), 4) AS combined, max(ts) AS newest FROM runs GROUP BY model"))
+def streamed_appends(spark, sf):
+    """Result files in two lots through the append stream, which stops after the first and starts again."""
+    source, sink, check = (fresh_path(spark, n) for n in ("results", "streamed", "streamed-checkpoint"))
+    rows = result_rows(spark, sf).drop("ingest_seq")
+    for lot in (F.col("ts") % 2 == 0, F.coalesce(F.col("ts") % 2 != 0, F.lit(True))):
+        rows.filter(lot).write.mode("append").json(source)
+        files.append_stream(spark.readStream.schema(RESULT).json(source), sink, check, availableNow=True).awaitTermination()
+    return files.load_results(spark, sink).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("combined"), 4).alias("combined"), F.max("ts").alias("newest"))
+
+
 # ---------------------------------------------------------------- shards
 @query("panel_shards", with_views("pool", body="SELECT task_id::VARCHAR AS task_id, codebase, module, bug_id, line, difficulty FROM pool"))
 def panel_shards(spark, sf):

@@ -9,7 +9,9 @@ from gradeloom import fixed_values as fv
 from gradeloom.operators import grading, linediff, mutation, outcomes, panel, privacy
 from gradeloom.operators.similarity import patch_similarity
 from gradeloom.plans.registry import query, quoted as q, read
+from gradeloom.plans.staging import fresh_path
 from gradeloom.plans.views import code_files, diffs, order_events, runs, sql_view, tasks, with_views
+from gradeloom.sources import files
 
 # ---------------------------------------------------------------- diagnoses and repairs
 
@@ -202,6 +204,18 @@ def text_scan_lines(spark, sf):
     return file_lines(spark, sf).select("path", F.col("n").cast("bigint").alias("n"), F.md5("line").alias("line_md5"))
 
 
+@query("scanned_tree_lines", with_views("code_files", body="""
+WITH f AS (SELECT page_id % 16 AS file, string_agg(coalesce(text, ''), chr(10) ORDER BY page_id) AS whole FROM code_files GROUP BY file),
+ l AS (SELECT file, str_split(whole, chr(10)) AS l FROM f)
+SELECT file, n, md5(line) AS line_md5 FROM (SELECT file, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS line FROM l)"""))
+def scanned_tree_lines(spark, sf):
+    """All sources in 16 large files of a tree, scanned back line by line."""
+    root = fresh_path(spark, "tree")
+    rows = code_files(spark, sf).select((F.col("page_id") % 16).alias("file"), "page_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("file").sortWithinPartitions("file", "page_id").select("file", "value").write.partitionBy("file").text(root)
+    return files.scan_text(spark, root).select(F.regexp_extract("path", r"file=(\d+)/", 1).cast("bigint").alias("file"), "n", F.md5("line").alias("line_md5"))
+
+
 @query("focus_windows", with_views("code_files", body="""
 WITH f AS (SELECT path, text, str_split(text, chr(10)) AS l, 1 + page_id % 40 AS focus, 1500 // 60 AS per FROM code_files),
  w AS (SELECT *, len(l) AS t, least(focus - 1, len(l) - 1) AS idx FROM f),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
+from pyspark.sql.streaming import StreamingQuery
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators.panel import opaque_node
@@ -74,6 +75,16 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("model").json(path)
 
 
+def append_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream of rows, one folder per model, each row once: the sink's log names the files of finished batches.
+
+    `checkpoint` is a folder that driver and executors share; a query that is started again with it goes on after its
+    last finished batch. Read `path` as a whole (`load_results`), so that the log decides which files count.
+    """
+    return (rows.writeStream.format("json").partitionBy("model").outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "30 seconds"})).start(path))
+
+
 def load_shards(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """JSON shards in one read, each an array of tasks or an object with `tasks`; absent shards are skipped."""
     found = [p for p in paths if _exists(spark, p)]
@@ -91,14 +102,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def scan_text(spark: SparkSession, root: str, skip: Iterable[str] = fv.SWEEP_SKIP_SUFFIXES) -> DataFrame:
-    """Every line of every text file below `root`: path, n (from 1), line."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """Every line of every text file below `root`: path, n (from 1), line. Lines end in "\\n"; an empty file has none.
+
+    A large file is read in splits. A line's number is its place in its split and the lines of the splits before:
+    a prefix scan over one row per split. As many splits as the scan has tasks reach all executors.
+    """
+    m = F.col("_metadata")
+    rows = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root).select(
+        m["file_path"].alias("path"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))
+    earlier = F.sum("lines").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = F.broadcast(splits.select("path", "block", (F.coalesce(earlier, F.lit(0)) + 1 - F.col("first")).alias("start")))
     keep = F.lit(True)
     for suffix in skip:
         keep = keep & ~F.col("path").endswith(suffix)
-    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)
-    return files.filter(keep).select("path", F.posexplode(lines).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    return rows.join(starts, ["path", "block"]).filter(keep).select("path", (F.col("start") + F.col("at")).alias("n"), "line")
 
 
 _CHILD = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_message", T.StringType()), T.StructField("_type", T.StringType())])

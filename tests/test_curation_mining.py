@@ -189,3 +189,16 @@ def test_empty_prediction_never_matches(rows):
     p = rows("task_id string, mode string, model string, predicted_symbol string", ("t", "m", "a", ""), ("t", "m", "b", "LOAD"), ("t", "m", "c", "load_all_rows"), ("t", "m", "d", "x"))
     got = {r.model: r.identified for r in grading.symbol_matches(p, rows("task_id string, symbol string", ("t", "load_all"))).collect()}
     assert got == {"a": False, "b": True, "c": True, "d": False}
+
+
+def test_touched_symbols_equal_all_pairs_and_never_multiply(spark, rows):
+    rng = random.Random(11)
+    spans = [(t, f"s{i}", a, a + rng.choice([0, 3, 40, 400])) for t in (1, 2) for i in range(60) for a in [rng.randint(1, 500)]]
+    changes = [(t, "-", rng.randint(1, 600), "x") for t in (1, 2, 3) for _ in range(12)]
+    df, at = rows("task_id int, symbol string, start_line int, end_line int", *spans), rows("task_id int, sign string, n int, text string", *changes)
+    want = {(t, s) for t, s, a, b in spans if any(u == t and a <= n <= b for u, _, n, _ in changes)}
+    for width in (7, 1 << 14):
+        assert {tuple(r) for r in grading.touched_symbols(at, df, width=width).collect()} == want
+    many = spark.range(100_000).selectExpr("1 AS task_id", "concat('s', id) AS symbol", "cast(id AS int) AS start_line", "100000 AS end_line")
+    lines = spark.range(100_000).selectExpr("1 AS task_id", "'-' AS sign", "cast(id AS int) AS n", "'x' AS text")
+    assert grading.touched_symbols(lines, many).count() == 100_000

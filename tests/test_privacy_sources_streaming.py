@@ -107,6 +107,37 @@ def test_text_scan(spark, tmp_path):
     assert got == [("a.py", 1, "one"), ("a.py", 2, "two"), ("b.txt", 1, "x"), ("b.txt", 2, ""), ("b.txt", 3, "y")]
 
 
+def test_line_numbers_of_a_file_in_many_splits(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)] + ["", "last"]
+    (tmp_path / "big.txt").write_text("\n".join(lines))
+    (tmp_path / "other.txt").write_text("a\n\n")
+    (tmp_path / "empty.txt").write_text("")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = files.scan_text(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 5
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    of = lambda name: [r.line for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.n)]
+    assert of("big.txt") == lines and of("other.txt") == ["a", ""] and of("empty.txt") == []
+    assert sorted(r.n for r in rows if r.path.endswith("big.txt")) == list(range(1, len(lines) + 1))
+
+
+def test_an_append_stream_holds_each_row_once_over_a_restart(spark, tmp_path):
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    wanted = []
+    for lot in range(3):
+        made = [(f"m{i % 2}", f"t{lot}-{i}", float(i)) for i in range(5)]
+        wanted += made
+        spark.createDataFrame(made, "model string, task_id string, combined double").write.mode("append").json(source)
+        stream = spark.readStream.schema("model string, task_id string, combined double").json(source)
+        files.append_stream(stream, sink, check, availableNow=True).awaitTermination()
+        files.append_stream(stream, sink, check, availableNow=True).awaitTermination()
+    assert sorted((r.model, r.task_id, r.combined) for r in files.load_results(spark, sink).collect()) == sorted(wanted)
+
+
 def test_commit_log_lines(spark, tmp_path):
     (tmp_path / "log").write_text("1\tfix: a\tb\nno tab here\n2\tfeat\n")
     assert [(r.sha, r.subject) for r in files.commit_log(spark, str(tmp_path / "log")).orderBy("sha").collect()] == [("1", "fix: a\tb"), ("2", "feat")]
