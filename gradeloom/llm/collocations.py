@@ -39,7 +39,7 @@ from gradeloom.llm.common import flat_bytes, kept_table, slices
 
 LONGEST, LEAST, PERCENT, TOP = 5, 100, 100, 2000
 #: entries of a container above which it bursts, and of all containers of a task above which subtrees are spilled
-BURST, HELD = 16_384, 1_500_000
+BURST, HELD = 16_384, 800_000
 #: bytes of text that enter the tries at once
 COUNTED_BYTES = 6 << 20
 SKETCH_BITS = 26

@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import SPACE_CLASS, kept_table, text_or_empty
+from gradeloom.llm.common import SPACE_CLASS, kept_table, text_or_empty, unused
 
 SALTS = 16
 
@@ -80,11 +80,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: in
 
     Rows that repeat the winner's id and text are folded in their task first.
     """
+    own_id, points, sha, copies = (unused(docs, name) for name in ("__id", "__points", "__sha", "__copies"))
     keep = kept_table(_members(docs, doc_id, text, salts, sha256).where("own").select(
-        F.col("id").alias("__id"), F.col("points").alias("__points"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies")), "exact-winners")
-    same = (F.col(doc_id).eqNullSafe(F.col("__id")) & (F.length(text_or_empty(text)) == F.col("__points"))
-            & (F.sha2(normalised(text), 256) == F.col("__sha")))
-    once, again = docs.join(keep.where("__copies = 1"), same, "left_semi"), keep.where("__copies > 1")
+        F.col("id").alias(own_id), F.col("points").alias(points), F.col("text_sha256").alias(sha), F.col("copies").alias(copies)), "exact-winners")
+    same = (F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.length(text_or_empty(text)) == F.col(points))
+            & (F.sha2(normalised(text), 256) == F.col(sha)))
+    once, again = docs.join(keep.where(F.col(copies) == 1), same, "left_semi"), keep.where(F.col(copies) > 1)
     if again.isEmpty():
         return once
-    return once.unionByName(docs.join(again, same).dropDuplicates(["__id", "__points", "__sha"]).drop(*keep.columns))
+    return once.unionByName(docs.join(again, same).dropDuplicates([own_id, points, sha]).drop(*keep.columns))

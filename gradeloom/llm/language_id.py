@@ -39,6 +39,7 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 80
 PIECE_CHARACTERS = 400
 SAMPLE_CHARACTERS = 16_000
+SALTS = 64
 FULL_LANGUAGES = 8
 MAX_LANGUAGES = 500
 #: the most frequent characters have columns in the table; transitions by other characters are sorted keys
@@ -57,8 +58,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Co
                     F.substring(F.col(text), start + 1, F.lit(PIECE_CHARACTERS)).alias("piece")))
     # equal texts count once, or copies of one text would fill a sample
     different = rows.groupBy("lang", "text_hash").agg(F.min("order").alias("order"), F.min("piece").alias("piece"))
+    # in two levels, so that a large language's tasks don't all send their first rows to one
+    in_salt = Window.partitionBy("lang", "salt").orderBy("order", "piece")
+    some = (different.withColumn("salt", F.pmod("text_hash", F.lit(SALTS))).withColumn("rank", F.row_number().over(in_salt))
+            .where(F.col("rank") <= SAMPLE_ROWS).drop("salt"))
     first = Window.partitionBy("lang").orderBy("order", "piece")
-    taken = different.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
+    taken = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
     pieces: dict[str, list[tuple[int, str]]] = {}
     for r in taken.select("lang", "rank", "piece").collect():
         pieces.setdefault(r["lang"], []).append((r["rank"], r["piece"]))

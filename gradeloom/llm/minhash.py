@@ -40,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import flat_bytes, kept_table, slices, text_or_empty
+from gradeloom.llm.common import flat_bytes, kept_table, slices, text_or_empty, unused
 from gradeloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -348,6 +348,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     that repeat id and text stay together (exact deduplication is for them).
     """
     _, classes = _classed(docs, doc_id, text, similarity)
-    stay = classes.where("first").select(F.col("copy_key").alias("__key"), F.col("rep").alias("__rep"))
-    same = (F.unhex(F.md5(text_or_empty(text))) == F.col("__key")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("__rep"))
+    key, rep = unused(docs, "__key"), unused(docs, "__rep")
+    stay = classes.where("first").select(F.col("copy_key").alias(key), F.col("rep").alias(rep))
+    same = (F.unhex(F.md5(text_or_empty(text))) == F.col(key)) & F.col(doc_id).cast("bigint").eqNullSafe(F.col(rep))
     return docs.join(stay, same, "left_semi")

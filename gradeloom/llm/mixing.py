@@ -6,7 +6,8 @@ to the quotas of the sources, where the first, second and third use of a
 pattern are arcs of rising cost, so that nothing is repeated while unused
 text is left. Documents are then selected in a seeded order, by position on
 the line that the copies of a pattern form. Only pattern totals reach the
-driver (at most `max_patterns` rows, else it raises); documents are placed by
+driver (at most `max_patterns` rows, else `mix` raises; `mix_by_source` needs
+no driver beyond that); documents are placed by
 bucketed running sums, so a source that holds a third of all rows is
 thousands of groups.
 
@@ -134,7 +135,6 @@ def mix(docs: DataFrame, quotas: dict[str | None, float], sources: Column, size:
     `sums` are the `bucket_sums` of the same arguments, where the caller has them.
     """
     spark = docs.sparkSession
-    rows = _placed(docs, sources, size, doc_id, seed)
     sums = bucket_sums(docs, sources, size, doc_id, seed) if sums is None else sums
     totals = pattern_totals(sums)
     names = sorted(quotas, key=lambda s: (s is None, s or ""))
@@ -151,7 +151,11 @@ def mix(docs: DataFrame, quotas: dict[str | None, float], sources: Column, size:
                 at += got
         plan.append((pattern, capacity, spans))
     schema = ("mix_pattern array<string>, mix_capacity bigint, mix_spans array<struct<source string, low bigint, high bigint>>")
-    planned = spark.createDataFrame(plan, schema)
+    return _selected(_placed(docs, sources, size, doc_id, seed), sums, spark.createDataFrame(plan, schema))
+
+
+def _selected(rows: DataFrame, sums: DataFrame, planned: DataFrame) -> DataFrame:
+    """The placed rows with what the plan (mix_pattern, mix_capacity, mix_spans) takes of each."""
     before = Window.partitionBy("mix_pattern").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (sums.withColumn("mix_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
               .join(planned, "mix_pattern").drop("bucket_size"))
@@ -170,6 +174,29 @@ def mix(docs: DataFrame, quotas: dict[str | None, float], sources: Column, size:
             .drop("mix_pattern", "mix_bucket", "mix_order", "mix_until", "mix_start", "mix_capacity", "mix_spans"))
 
 
+def source_targets(sums: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(source, source_size, target) from the bucket sums of documents of one source each.
+
+    Weights follow the cycle in code-point order, null last; a target stops at `MAX_REPEATS` times its source's size
+    and the excess is shared by weight. With sources ordered by size per weight, those that stop come first: a target
+    is the least level at which the rest of the sizes covers the rest of the weights. The windows hold a row per source.
+    """
+    sizes = sums.groupBy(F.col("mix_pattern")[0].alias("source")).agg(F.sum("bucket_size").alias("source_size"))
+    names = Window.orderBy(F.col("source").asc_nulls_last())
+    weights = F.array(*[F.lit(w) for w in cycle])
+    weighed = sizes.withColumn("weight", F.element_at(weights, (F.row_number().over(names) - 1) % len(cycle) + 1))
+    capped = weighed.withColumn("cap", MAX_REPEATS * F.col("source_size")).withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    whole = Window.partitionBy()
+    below = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    level = ((F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(below), F.lit(0))).cast("double")
+             / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(below), F.lit(0))).cast("double"))
+    levels = capped.withColumn("level", level)
+    place = F.struct("ratio", F.col("source").isNull(), "source")
+    shared = levels.withColumn("shared", F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")),
+                                                  F.when(F.col("level") <= F.col("ratio"), place)).over(whole))
+    return shared.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("shared") * F.col("weight")).alias("target"))
+
+
 def cycled_weights(names: list[str | None], cycle: tuple[int, ...] = (1, 2, 3)) -> dict[str | None, int]:
     """Weights by rank in code-point order, null last."""
     order = sorted(names, key=lambda s: (s is None, s or ""))
@@ -177,16 +204,27 @@ def cycled_weights(names: list[str | None], cycle: tuple[int, ...] = (1, 2, 3))
 
 
 def mix_by_source(docs: DataFrame, seed: str = "mix", max_sources: int = MAX_PATTERNS) -> DataFrame:
-    """Mix documents of one source each: every row with mix_size, mix_taken, source_size and target.
+    """Mix documents of one source each: every row with mix_size, mix_takes, mix_taken, source_size and target.
 
-    Each document's membership is its one source; source sizes are the pattern totals, at most `max_sources` rows.
+    Each document's membership is its one source. Up to `max_sources` sources are the nodes of a flow. Of more, sizes,
+    targets and plan stay rows of Spark: where patterns don't overlap, the cheapest flow sends each source what its own
+    quota asks, so both ways take the same documents.
     """
     docs = docs.drop("source_size", "target")
     sums = bucket_sums(docs, F.array("source"), word_count(), seed=seed)
-    sizes = {pattern[0]: n for pattern, n in pattern_totals(sums, max_sources)}
-    targets = weighted_targets(sizes, cycled_weights(list(sizes)))
-    known = docs.sparkSession.createDataFrame([(s is None, s or "", sizes[s], targets[s]) for s in sizes],
-                                              T.StructType.fromDDL("mix_null boolean, mix_name string, source_size bigint, target double"))
-    mixed = mix(docs, targets, F.array("source"), word_count(), seed=seed, sums=sums)
+    if sums.select("mix_pattern").distinct().limit(max_sources + 1).count() > max_sources:
+        targets = source_targets(sums)
+        quota = F.bround("target", 0).cast("bigint")
+        spans = F.when(quota > 0, F.array(F.struct(F.col("source"), F.lit(0).cast("bigint").alias("low"), quota.alias("high")))).otherwise(
+            F.array().cast("array<struct<source:string,low:bigint,high:bigint>>"))
+        planned = targets.select(F.array("source").alias("mix_pattern"), F.col("source_size").alias("mix_capacity"), spans.alias("mix_spans"))
+        known = targets.select(F.col("source").isNull().alias("mix_null"), F.coalesce("source", F.lit("")).alias("mix_name"), "source_size", "target")
+        mixed = _selected(_placed(docs, F.array("source"), word_count(), "doc_id", seed), sums, planned)
+    else:
+        sizes = {pattern[0]: n for pattern, n in pattern_totals(sums, max_sources)}
+        targets = weighted_targets(sizes, cycled_weights(list(sizes)))
+        known = docs.sparkSession.createDataFrame([(s is None, s or "", sizes[s], targets[s]) for s in sizes],
+                                                  T.StructType.fromDDL("mix_null boolean, mix_name string, source_size bigint, target double"))
+        mixed = mix(docs, targets, F.array("source"), word_count(), seed=seed, sums=sums)
     return (mixed.withColumn("mix_null", F.col("source").isNull()).withColumn("mix_name", F.coalesce("source", F.lit("")))
             .join(known, ["mix_null", "mix_name"]).drop("mix_null", "mix_name"))

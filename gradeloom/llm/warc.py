@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", F.concat(F.lit("<"), own, F.lit(">"))),
-        line("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")), line("WARC-Target-URI", target), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp("date", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")), line("WARC-Target-URI", target), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                                  line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("first")), F.lit(">"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(RECORD_END))

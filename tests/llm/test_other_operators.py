@@ -52,6 +52,9 @@ def test_mixing_edge_rows(spark):
     assert len(got) == 6 and sorted(r["mix_size"] for r in got) == [0, 0, 2, 3, 3, 500]
     assert all(r["mix_taken"] <= 3 * r["mix_size"] for r in got)
     assert mixing.mix_by_source(df.limit(0)).count() == 0
+    order = lambda rows: sorted(map(str, rows))
+    assert order(mixing.mix_by_source(df, max_sources=1).select(got[0].__fields__).collect()) == order(got)
+    assert mixing.mix_by_source(df.limit(0), max_sources=-1).count() == 0
 
 
 def test_neighbours(spark):

@@ -56,6 +56,14 @@ def test_exact_dedup_keeps_whole_rows(docs):
     assert {"".join((r["text"] or "").split()) for r in left.collect()} == {"".join(t.split()) for _, t in raw(docs)}
 
 
+def test_names_of_helper_columns_may_be_taken(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f g", 1, "x", 2, 3), (1, "a b c d e f g", 1, "x", 2, 3), (2, "other text", 1, "x", 2, 3)],
+                                 "doc_id bigint, text string, __ID bigint, __sha string, __key int, __rep int")
+    assert sorted(r["doc_id"] for r in exact_dedup.dedup(rows).collect()) == [1, 2]
+    left = minhash.dedup(rows.dropDuplicates())
+    assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2]
+
+
 def test_exact_dedup_keeps_one_row_of_repeated_rows(spark):
     rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "b a", "z"), (1, "ba", "z"), (2, "a b ", "w"), (2, "a b ", "w"), (3, "once", "v"),
             (None, "no id", None), (None, "no id", None), (None, None, "u"), (None, "", "t"), (4, "ab", None)]
