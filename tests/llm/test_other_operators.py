@@ -178,6 +178,6 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_contract_queries_name_their_columns():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
-    assert set(queries.ORACLES) == {"op1_source_mixing", "op3_exact_dedup"}
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+    assert set(queries.ORACLES) == {"op1_source_mixing", "op3_exact_dedup", "op12_turn_alignment", "op13_hat_trie_collocations"}
     assert language_id.UNKNOWN == "und"
