@@ -278,7 +278,7 @@ class _Counter:
         return sum(trie.entries for trie in self.tries.values()) > self.held or len(self.names) > self.held
 
     def runs(self, most: int | None) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of subtrees: (lang, prefix, phrase, count)."""
+        """Sorted runs of subtrees: (lang, phrase, count)."""
         names = pa.array(self.names, pa.large_binary())
         for lang, trie in self.tries.items():
             parts, size = [], 0
@@ -306,10 +306,9 @@ class _Counter:
                 cut, some = cut[begins], np.add.reduceat(some, begins)
             columns = [names.take(pa.array(cut[:, k])).cast(pa.large_string()) for k in range(length)]
             phrase = pa.compute.binary_join_element_wise(*columns, blank) if length > 1 else columns[0]
-            prefix = pa.compute.binary_join_element_wise(*columns[:self.shortest], blank) if self.shortest > 1 else columns[0]
             order = pa.compute.sort_indices(phrase)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), prefix.take(order).cast(pa.string()), phrase.take(order).cast(pa.string()),
-                                              pa.array(some).take(order)], ["lang", "prefix", "phrase", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), phrase.take(order).cast(pa.string()),
+                                              pa.array(some).take(order)], ["lang", "phrase", "count"])
 
 
 def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -362,8 +361,8 @@ def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, word
                     counter.forget()
         yield from counter.runs(None)
 
-    dealt = rows.mapInArrow(runs, "lang string, prefix string, phrase string, count bigint").repartition("lang", "prefix")
-    ordered = dealt.select("lang", "phrase", "count").sortWithinPartitions("lang", "phrase")
+    prefix = F.substring_index("phrase", " ", shortest)
+    ordered = rows.mapInArrow(runs, "lang string, phrase string, count bigint").repartition("lang", prefix).sortWithinPartitions("lang", "phrase")
     return ordered.mapInArrow(lambda batches: _merge(batches, least), "lang string, phrase string, words int, f bigint")
 
 
