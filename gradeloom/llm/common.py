@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.session import checkpoint_dir
@@ -36,6 +37,12 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def opened(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The pyarrow file system and place of a path of the shared folder, for reading in a task."""
+    local = path.startswith(("file:/", "/"))
+    return pa.fs.FileSystem.from_uri("file:///" + path.removeprefix("file:").lstrip("/") if local else path)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

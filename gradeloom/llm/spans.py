@@ -18,8 +18,8 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def by_text(spans: DataFrame) -> DataFrame:
-    """(owner, mark, start, end) rows -> one row per text; a text has no more spans than it has bytes."""
-    return spans.groupBy("owner", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    """(owner, mark, start, end) rows -> one row per text with its different spans, so repeated rows of a text don't multiply them."""
+    return spans.groupBy("owner", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def joined(spans: list[dict], least: int = 1) -> list[tuple[int, int]]:

@@ -3,30 +3,33 @@
 Removed is every byte covered by a string of `LENGTH` bytes that also starts
 in a document with a smaller id.
 
-1. Dealing. Each window of `LENGTH` bytes belongs to the smallest (by hash) of
-   its `ANCHOR`-byte substrings. Neighbouring windows with one anchor form a
-   segment, and segments travel by their anchor's hash: equal windows meet,
-   each window travels once, and a task sees only the texts it must compare.
-   A segment seen before in the same block of documents is settled there and
-   stays; what is left of a passage that half the corpus shares is one segment
-   per block.
-2. Shards. In a task equal segments are one string. Strings that share an
+1. Counting. Each window of `LENGTH` bytes belongs to the smallest (by hash)
+   of its `ANCHOR`-byte substrings. Neighbouring windows with one anchor form
+   a segment. Texts are kept in blocks; a segment seen before in its block is
+   settled there. The others send 5 bytes of their anchor's hash, and learn
+   whether it occurs once, several times, or in a crowd.
+2. Dealing. A segment whose anchor occurs once has nothing to be compared with
+   and stays. Of the others, segments travel by their anchor's hash: equal
+   windows meet, each window travels once, and a task sees only the texts it
+   must compare. Segments of a crowded anchor (more than `most` of them) would
+   fill a task: their windows travel one by one, by their own hash, and once a
+   block.
+3. Shards. In a task equal segments are one string. Strings that share an
    anchor with no other string have nothing to be merged with: all their
    windows repeat, or none. The others are cut into shards, and each shard's
    transform is built by prefix doubling.
-3. Merging. The interleave of all shards' rows starts shard after shard and is
+4. Merging. The interleave of all shards' rows starts shard after shard and is
    refined: a stable sort by the transform's symbols, followed by the step to
    the preceding suffix, turns an order by k symbols into one by k + 1. Where
    two neighbours first differ in round k, their common prefix has k - 1
    symbols. After `LENGTH` rounds the runs between boundaries are the repeated
    intervals: the occurrences of one string of that length.
-4. Each interval has a smallest id; windows of other ids are removed. Spans
+5. Each interval has a smallest id; windows of other ids are removed. Spans
    return to their documents by a join.
 
-An anchor whose strings would fill a task (`MOST_STRINGS`) is not merged:
-its windows are aggregated one by one (`groupBy` with a map side), so no
-group is unbounded. Segments are strings of at most `2 * LENGTH - ANCHOR`
-bytes, so memory depends on a group's size only.
+No group is unbounded: their number follows from the bytes of the texts, an
+anchor brings at most `most` segments of at most `2 * LENGTH - ANCHOR` bytes,
+and a window one row for each block of texts.
 
 Defined cases: null text is empty; a null id is neither smaller nor larger
 than another, so such a row stays whole; rows with one id don't match each
@@ -35,22 +38,25 @@ other; repeated rows get equal results; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.parquet  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.common import flat_bytes, kept_table, parts, slices
+from gradeloom.llm.common import flat_bytes, kept_table, opened, parts, shared_path, slices
 from gradeloom.llm.minhash import SLICE, mix64, powers
 from gradeloom.llm.spans import by_text, cut, marked
 
 LENGTH = 50
 ANCHOR = 20
 BLOCK_BYTES = 1 << 22
-#: groups of anchors for each shuffle partition; a group is what one call merges
+#: a group of anchors is what one call merges: at least so many for each shuffle partition, and one for so many bytes of text
 GROUPS_PER_PARTITION = 8
+GROUP_BYTES = 16 << 20
 SHARD_STRINGS = 256
 #: bytes of strings that are merged at once
 CHUNK_BYTES = 1_000_000
@@ -155,42 +161,147 @@ def _unpack(packed: bytes, kind) -> np.ndarray:
 _FIELDS = {"owner": np.int64, "mark": np.int64, "start": np.uint32, "length": np.uint8, "at": np.uint8, "text": np.uint8,
            "done_owner": np.int64, "done_mark": np.int64, "done_start": np.uint32, "done_end": np.uint32}
 BLOBS = "part int, " + ", ".join(f"{name} binary" for name in _FIELDS)
-SPANS = "owner bigint, mark bigint, start bigint, end bigint, gram binary"
-
-
-def _deal(ids: np.ndarray, marks: np.ndarray, data: np.ndarray, offsets: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """The segments of one block of texts, a row for each group of anchors."""
-    text, start, end, at, key = segments(data, offsets)
-    owners = ids[text]
-    # the smallest id of a string travels
-    travels = owners[_first_equal(data, start, end - start, np.argsort(owners, kind="stable"))] == owners
-    group = (mix64(key) % np.uint64(groups)).astype(np.int64)
-    own = start - offsets[text]
-    go, done = np.flatnonzero(travels), np.flatnonzero(~travels)
-    go = go[np.argsort(group[go], kind="stable")]
-    length = (end - start)[go]
-    total = np.cumsum(length)
-    letters = data[_places(start[go], length)]
-    cuts = np.flatnonzero(np.concatenate([[True], group[go][1:] != group[go][:-1], [True]])) if len(go) else np.zeros(1, np.int64)
-    rows: list[list] = []
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        i, settled_here = go[a:b], done if k == 0 else done[:0]
-        rows.append([int(group[i[0]]), owners[i], marks[text[i]], own[i].astype(np.uint32), length[a:b].astype(np.uint8), (at - start)[i].astype(np.uint8),
-                     letters[total[a] - length[a]:total[b - 1]], owners[settled_here], marks[text[settled_here]],
-                     own[settled_here].astype(np.uint32), (own + end - start)[settled_here].astype(np.uint32)])
-    if rows:
-        columns = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array([_pack(v) for v in c], pa.binary()) for c in columns[1:])],
-                                         ["part", *_FIELDS])
-
-
-def dealt(rows: DataFrame, groups: int) -> DataFrame:
+SPANS = "owner bigint, mark bigint, start bigint, end bigint"
+#: what an anchor's count says: it occurs once; its segments are merged; its windows travel one by one
+ONCE, MERGED, CROWDED = 0, 1, 2
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """The texts in blocks of `BLOCK_BYTES`, kept in the shared folder, since both passes must see the same ones."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BLOCK_BYTES):
-            ids, marks = batch.column("owner").to_numpy(), batch.column("mark").to_numpy()
-            yield from _deal(ids, marks, *flat_bytes(batch.column("text")), groups)
+            data, offsets = flat_bytes(batch.column("text"))
+            values = [_pack(v) for v in (batch.column("owner").to_numpy(), batch.column("mark").to_numpy(), offsets, data)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([len(data)], pa.int64()),
+                                              *(pa.array([v], pa.binary()) for v in values)], ["block", "bytes", "owner", "mark", "offsets", "text"])
+
+    return kept_table(rows.mapInArrow(run, "block bigint, bytes bigint, owner binary, mark binary, offsets binary, text binary"), "blocks")
+
+
+class _Block:
+    """One block's texts and their segments. `go` numbers those that no smaller id of the block has, group after group."""
+
+    def __init__(self, row: dict, groups: int):
+        self.ids, self.marks, self.offsets = (_unpack(row[name], np.int64) for name in ("owner", "mark", "offsets"))
+        self.data = _unpack(row["text"], np.uint8)
+        self.text, self.start, self.end, self.at, self.key = segments(self.data, self.offsets)
+        travels = self.first_owner(self.start, self.end, self.text) == self.ids[self.text]
+        self.group = (mix64(self.key) % np.uint64(groups)).astype(np.int64)
+        go = np.flatnonzero(travels)
+        self.go, self.done = go[np.argsort(self.group[go], kind="stable")], np.flatnonzero(~travels)
+
+    def first_owner(self, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The smallest id of the block that has the same string."""
+        owners = self.ids[text]
+        return owners[_first_equal(self.data, start, end - start, np.argsort(owners, kind="stable"))]
+
+    def cuts(self) -> np.ndarray:
+        """Where each group's part of `go` begins, and the end."""
+        group = self.group[self.go]
+        return np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+
+    def rows(self, part: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> Iterator[list]:
+        """Strings sorted by part -> a row of arrays for each part."""
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+        own = start - self.offsets[text]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            length = (end - start)[a:b]
+            yield [int(part[a]), self.ids[text[a:b]], self.marks[text[a:b]], own[a:b].astype(np.uint32), length.astype(np.uint8),
+                   (at - start)[a:b].astype(np.uint8), self.data[_places(start[a:b], length)], *(np.zeros(0, kind) for kind in list(_FIELDS.values())[6:])]
+
+    def settled(self, part: int, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list:
+        """A row of spans to remove."""
+        return [part, *(np.zeros(0, kind) for kind in list(_FIELDS.values())[:6]), self.ids[text], self.marks[text],
+                (start - self.offsets[text]).astype(np.uint32), (end - self.offsets[text]).astype(np.uint32)]
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """Five bytes of each hash. Two anchors with the same ones only travel without need."""
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, 3:]
+
+
+def anchor_keys(kept: DataFrame, groups: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = _Block(row, groups)
+                cuts = block.cuts()
+                if len(cuts) > 1:
+                    keys = [_short(block.key[block.go[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(block.group[block.go[cuts[:-1]]], pa.int32()), pa.array([row["block"]] * len(keys), pa.int64()),
+                                                      pa.array(keys, pa.binary())], ["part", "block", "keys"])
+
+    return kept.mapInArrow(run, "part int, block bigint, keys binary")
+
+
+def anchor_classes(table: pa.Table, most: int) -> pa.Table:
+    """Of one group: for each block a byte for each key."""
+    found = table.column("keys").to_pylist()
+    raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 5)
+    keys = np.zeros((len(raw), 8), np.uint8)
+    keys[:, :5] = raw
+    _, number, count = np.unique(keys.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+    kind = np.where(count == 1, ONCE, np.where(count <= most, MERGED, CROWDED)).astype(np.uint8)[number]
+    ends = np.cumsum([len(k) // 5 for k in found])
+    return pa.table({"block": table.column("block"), "part": table.column("part"),
+                     "kinds": pa.array([_pack(kind[b - len(k) // 5:b]) for k, b in zip(found, ends.tolist())], pa.binary())})
+
+
+def kept_classes(kept: DataFrame, groups: int, most: int) -> tuple[str, int]:
+    """(folder, buckets): the classes of every block, in a folder for each bucket of blocks."""
+    path, buckets = shared_path(kept.sparkSession, "anchors"), max(32, groups // 8)
+    found = anchor_keys(kept, groups).groupBy("part").applyInArrow(lambda t: anchor_classes(t, most), "block bigint, part int, kinds binary")
+    found.withColumn("bucket", F.col("block") % buckets).repartition(parts(kept), "bucket").write.partitionBy("bucket").parquet(path)
+    return path, buckets
+
+
+def _read_classes(path: str, buckets: int, block: int) -> np.ndarray:
+    """One block's classes in the order of its groups."""
+    files, place = opened(path)
+    found = pa.parquet.read_table(f"{place}/bucket={block % buckets}", filesystem=files, partitioning=None, filters=[("block", "==", block)]).sort_by("part")
+    return np.concatenate([_unpack(v, np.uint8) for v in found.column("kinds").to_pylist()])
+
+
+def _deal(block: _Block, kinds: np.ndarray, groups: int) -> Iterator[list]:
+    """The strings of one block that must be compared, a row of arrays for each group; parts from `groups` on hold single windows."""
+    if len(block.done):
+        yield block.settled(int(block.group[block.done[0]]), block.text[block.done], block.start[block.done], block.end[block.done])
+    i = block.go[kinds == MERGED]
+    yield from block.rows(block.group[i], block.text[i], block.start[i], block.end[i], block.at[i])
+    i = block.go[kinds == CROWDED]
+    if len(i):
+        windows = (block.end - block.start)[i] - LENGTH + 1
+        start, text = _places(block.start[i], windows), np.repeat(block.text[i], windows)
+        order = np.argsort(start)
+        start, text = start[order], text[order]
+        travels = block.first_owner(start, start + LENGTH, text) == block.ids[text]
+        done, go = np.flatnonzero(~travels), np.flatnonzero(travels)
+        part = groups + (_windows_of(block.data, start[go]) % np.uint64(groups)).astype(np.int64)
+        if len(done):
+            yield block.settled(groups + int(start[done[0]]) % groups, text[done], start[done], start[done] + LENGTH)
+        order = np.argsort(part, kind="stable")
+        go = go[order]
+        yield from block.rows(part[order], text[go], start[go], start[go] + LENGTH, start[go])
+
+
+def _windows_of(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at the places `start`, ascending."""
+    return mix64(_digests(data, start, start + LENGTH))
+
+
+def dealt(kept: DataFrame, path: str, buckets: int, groups: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = _Block(row, groups)
+                kinds = _read_classes(path, buckets, row["block"]) if len(block.go) else np.zeros(0, np.uint8)
+                columns = list(zip(*([r[0], *(_pack(v) for v in r[1:])] for r in _deal(block, kinds, groups))))
+                if columns:
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", *_FIELDS])
 
-    return rows.mapInArrow(run, BLOBS)
+    return kept.mapInArrow(run, BLOBS)
 
 
 def shard_transform(symbols: np.ndarray, string: np.ndarray, left: np.ndarray, shard: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -266,10 +377,8 @@ def repeated(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nd
     return by_place[left >= LENGTH], np.concatenate([[0], np.cumsum(length - LENGTH + 1)])
 
 
-def _spans(owner, mark, start, end, grams: list[bytes] | None = None) -> pa.RecordBatch:
-    columns = [pa.array(v, pa.int64()) for v in (owner, mark, start, end)]
-    columns.append(pa.nulls(len(columns[0]), pa.binary()) if grams is None else pa.array(grams, pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, ["owner", "mark", "start", "end", "gram"])
+def _spans(owner, mark, start, end) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (owner, mark, start, end)], ["owner", "mark", "start", "end"])
 
 
 class _Group:
@@ -317,17 +426,19 @@ def _merged(group: _Group, chunk: np.ndarray) -> pa.RecordBatch | None:
     return _spans(owner[i], mark[i], start[i] + offset[opens], start[i] + offset[closes] + LENGTH)
 
 
-def group_spans(table: pa.Table, most: int = MOST_STRINGS, chunk_bytes: int = CHUNK_BYTES) -> pa.Table:
-    """Of one group of anchors: the spans to remove (gram is null), and the windows of crowded anchors (gram is the window)."""
+def group_spans(table: pa.Table, groups: int, chunk_bytes: int = CHUNK_BYTES) -> pa.Table:
+    """Of one group of anchors, or of windows (parts from `groups` on): the spans to remove."""
     group = _Group(table)
     got, number, company = group.got, group.number, group.company
     owner, mark, start = got["owner"], got["mark"], got["start"].astype(np.int64)
     out = [_spans(got["done_owner"], got["done_mark"], got["done_start"], got["done_end"])]
     if not len(number):
         return pa.Table.from_batches(out)
+    if table.column("part")[0].as_py() >= groups:  # windows are compared with equal ones only
+        company = np.ones_like(company)
     alone = np.flatnonzero((company[number] == 1) & (group.least[number] < owner))
     out.append(_spans(owner[alone], mark[alone], start[alone], start[alone] + group.length[alone]))
-    mixed = np.flatnonzero((company > 1) & (company <= most))
+    mixed = np.flatnonzero(company > 1)
     mixed = mixed[np.argsort(group.anchor[mixed], kind="stable")]
     filled = np.cumsum(group.length[group.heads[mixed]])
     a = 0
@@ -338,21 +449,16 @@ def group_spans(table: pa.Table, most: int = MOST_STRINGS, chunk_bytes: int = CH
         if found is not None:
             out.append(found)
         a = b
-    for i in np.flatnonzero(company[number] > most).tolist():
-        s = group.strings(number[i:i + 1])[0]
-        k = np.arange(len(s) - LENGTH + 1)
-        out.append(_spans(np.repeat(owner[i], len(k)), np.repeat(mark[i], len(k)), start[i] + k, start[i] + k + LENGTH, [s[j:j + LENGTH] for j in k.tolist()]))
     return pa.Table.from_batches(out)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_STRINGS) -> DataFrame:
     """(owner, mark, spans): the byte spans to remove, by id and hash of the text."""
-    found = kept_table(dealt(marked(docs, doc_id, text), GROUPS_PER_PARTITION * parts(docs)).groupBy("part").applyInArrow(lambda t: group_spans(t, most), SPANS), "spans")
-    crowd = found.where("gram is not null")
-    least = crowd.groupBy("gram").agg(F.min("owner").alias("least"))
-    late = crowd.join(least, "gram").where("owner > least").select("owner", "mark", "start", "end")
-    spans = found.where("gram is null").select("owner", "mark", "start", "end").unionByName(late)
-    return by_text(spans)
+    kept = blocks(marked(docs, doc_id, text))
+    size = kept.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    groups = max(GROUPS_PER_PARTITION * parts(docs), size // GROUP_BYTES)
+    path, buckets = kept_classes(kept, groups, most)
+    return by_text(kept_table(dealt(kept, path, buckets, groups).groupBy("part").applyInArrow(lambda t: group_spans(t, groups), SPANS), "spans"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_STRINGS) -> DataFrame:

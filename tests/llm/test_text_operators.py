@@ -179,6 +179,22 @@ def test_merged_transforms_remove_what_brute_force_removes(docs, most):
     assert all(r["n_bytes"] - sum(s["end"] - s["start"] for s in r["runs"]) == len(r["kept"]) for r in got)
 
 
+def test_a_crowded_anchor_and_identical_rows(spark):
+    """A phrase in changing contexts, repeated passages around it, and one text in a thousand equal rows."""
+    rng, phrase = random.Random(8), "a phrase that everybody uses again"
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    contexts = [letters(40) for _ in range(30)]
+    rows = [(i, letters(30) + rng.choice(contexts) + phrase + rng.choice(contexts) + letters(20)) for i in range(600)]
+    rows += [(700, rows[0][1] + letters(300))] * 1000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = brute_cut(rows, suffix_dedup.LENGTH)
+    for most in (40, suffix_dedup.MOST_STRINGS):
+        got = suffix_dedup.remove_repeats(df, most=most).collect()
+        assert Counter((r["doc_id"], bytes(r["kept"])) for r in got) == Counter((i, want[i, t]) for i, t in rows)
+    spans = suffix_dedup.repeated_spans(df, most=40).where("owner = 700").first()["spans"]
+    assert len(spans) <= len(rows[-1][1])
+
+
 def test_interleave_equals_sorted_suffixes():
     import numpy as np
     rng = random.Random(5)
