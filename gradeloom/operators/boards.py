@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from gradeloom import fixed_values as fv
-from gradeloom.operators.integrity import split_trusted
+from gradeloom.operators.integrity import split_trusted, with_taint
 from gradeloom.operators.outcomes import with_state
 from gradeloom.operators.resampling import bootstrap
 from gradeloom.operators.similarity import compare_answers
@@ -211,10 +211,19 @@ def decision_board(rows: DataFrame, tasks: DataFrame, lanes: DataFrame, panel: i
     Each model is scored on its own completed tasks; quarantined rows are out.
     A model that never answered is "unavailable", not a 0% model.
     """
-    floor = min_coverage_for(panel) if min_coverage is None else min_coverage
     rows = latest_per_task(rows) if latest_only else rows.withColumn("first_seen", F.col("ingest_seq"))
     trusted, _ = split_trusted(with_state(rows), tasks, lanes)
-    scored = _mark(trusted, "first_seen", "error_class")
+    return board_of_marks(_mark(trusted, "first_seen", "error_class"), panel, min_coverage, show_exhausted)
+
+
+def decision_marks(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> DataFrame:
+    """What the board needs of each row (with `first_seen`), without its texts; `taint` marks the quarantined ones."""
+    return _mark(with_taint(with_state(rows), tasks, lanes), "ts", "first_seen", "error_class", "taint")
+
+
+def board_of_marks(scored: DataFrame, panel: int = 20, min_coverage: int | None = None, show_exhausted: bool = False) -> DataFrame:
+    """The decision board of marked, trusted rows, one per (model, task)."""
+    floor = min_coverage_for(panel) if min_coverage is None else min_coverage
     done = F.col("state") == "completed"
     known = done & F.col("known_task")
     agg = scored.groupBy("model").agg(

@@ -19,14 +19,19 @@ def with_lanes(rows: DataFrame, lanes: DataFrame) -> DataFrame:
         "can_read", F.coalesce("_read", F.lit(False))).drop("_read")
 
 
-def split_trusted(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trusted, quarantined): disjoint and exhaustive.
+def with_taint(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> DataFrame:
+    """Add the answer's comparison and `taint`: 'stored', 'file_read_leak' or NULL.
 
     A stored taint is authoritative; the detector may add one, never clear one.
     """
     compared = with_lanes(compare_answers(rows, tasks, F.col("repair.candidate"), how="left"), lanes)
     leak = F.col("verbatim") & F.col("can_read")
-    labelled = compared.withColumn("taint", F.when(stored_taint(rows), "stored").when(leak, "file_read_leak"))
+    return compared.withColumn("taint", F.when(stored_taint(rows), "stored").when(leak, "file_read_leak"))
+
+
+def split_trusted(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trusted, quarantined): disjoint and exhaustive."""
+    labelled = with_taint(rows, tasks, lanes)
     return labelled.filter("taint IS NULL"), labelled.filter("taint IS NOT NULL")
 
 

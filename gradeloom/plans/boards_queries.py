@@ -9,7 +9,10 @@ from gradeloom.operators import boards, integrity, outcomes
 from gradeloom.operators.resampling import bootstrap
 from gradeloom.plans import sqltext
 from gradeloom.plans.registry import query
+from gradeloom.plans.staging import fresh_path
 from gradeloom.plans.views import answered_runs, lanes, runs, tasks, with_views
+from gradeloom.schemas import RESULT
+from gradeloom.streaming.live_board import LiveDecisionBoard, result_stream
 
 R, SEED = fv.BOARD_REPLICATES, fv.BOARD_SEED
 
@@ -260,6 +263,17 @@ def decision_board(spark, sf):
     return boards.decision_board(answered(spark, sf), tasks(spark, sf), lanes(spark, sf))
 
 
+@query("live_decision_board", with_views("answered", body=MARKED + DECISION + " SELECT * FROM board"))
+def live_decision_board(spark, sf):
+    """All result rows, older ones too, arrive in files of which a batch reads some."""
+    source, state, check = (fresh_path(spark, n) for n in ("incoming", "live-marks", "live-marks-checkpoint"))
+    rows = answered_runs(spark, sf)
+    rows.select(*[f.name for f in RESULT if f.name in rows.columns], "ingest_seq").repartition(8).write.json(source)
+    board = LiveDecisionBoard(spark, state, tasks(spark, sf), lanes(spark, sf))
+    board.start(result_stream(spark, source, numbered=True, maxFilesPerTrigger=4), check, availableNow=True).awaitTermination()
+    return board.board()
+
+
 @query("leader_ties", with_views("answered", body=MARKED + DECISION + """,
 r AS (SELECT *, row_number() OVER w AS board_rank, first_value(model) OVER w AS leader, first_value(ci95_lo) OVER w AS llo,
   first_value(ci95_hi) OVER w AS lhi FROM board WHERE ranking_eligible WINDOW w AS (ORDER BY utility DESC, capability DESC, model)),

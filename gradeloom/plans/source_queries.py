@@ -236,9 +236,8 @@ def streamed_deltas(spark, sf):
 def live_board(spark, sf):
     """Result files arriving as a stream; the newest row per model and task after all of them."""
     source, state, check = (fresh_path(spark, n) for n in ("incoming", "live", "live-checkpoint"))
-    # in one ordered file, so that arrival is the order of the rows
-    result_rows(spark, sf).coalesce(1).sortWithinPartitions("ingest_seq").drop("ingest_seq").write.json(source)
+    result_rows(spark, sf).write.json(source)
     board = LiveBoard(spark, state)
-    board.start(result_stream(spark, source), check, availableNow=True).awaitTermination()
+    board.start(result_stream(spark, source, numbered=True), check, availableNow=True).awaitTermination()
     board.compact()
     return board.rows().groupBy("model").agg(F.count(F.lit(1)).alias("tasks"), F.round(F.sum("combined"), 4).alias("combined"), F.max("ts").alias("newest"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gradeloom.operators.boards import latest_per_task
+from gradeloom.operators.boards import board_of_marks, decision_marks, latest_per_task
 from gradeloom.schemas import RESULT
 
 
@@ -23,10 +24,14 @@ class LiveBoard:
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         """The foreachBatch function. Rows without `ingest_seq` arrive in the order of batches, then as their files say."""
+        self._in_order(rows, batch_id).drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+
+    def _in_order(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """The batch's newest row per (model, task)."""
         if "ingest_seq" not in rows.columns:
             row = F.struct("arrival.*", F.monotonically_increasing_id().alias("row")) if "arrival" in rows.columns else F.struct(F.monotonically_increasing_id().alias("row"))
             rows = rows.withColumn("ingest_seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch"), row.alias("place"))).drop("arrival")
-        latest_per_task(rows).drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        return latest_per_task(rows.drop("arrival"))
 
     def start(self, rows: DataFrame, checkpoint: str, **trigger):
         return (rows.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)
@@ -58,16 +63,65 @@ class LiveBoard:
         merged = both[0] if len(both) == 1 else both[0].unionByName(both[1], allowMissingColumns=True)
         return latest_per_task(merged)
 
+    def _for_base(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("first_seen")
+
     def compact(self) -> int:
         """Write a new base that covers all batches so far; returns the newest covered batch."""
         deltas = self._read("deltas")
         newest = int(deltas.agg(F.max("batch").alias("b")).first()["b"])
-        self.rows().drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/base/upto={newest}")
+        self._for_base(self.rows()).write.mode("overwrite").parquet(f"{self.path}/base/upto={newest}")
         return newest
 
 
-def result_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Appended result files as a stream; `arrival` says which file and block a row comes from."""
+class LiveDecisionBoard(LiveBoard):
+    """The decision board, kept current by a stream of result rows.
+
+    The state is one mark per (model, task) without texts: a batch compares
+    only its own answers with the task texts. A newer row of a task replaces
+    the older mark, so what the older one gave to its model is taken back, and
+    a quarantined row hides the older trusted one. After each batch the
+    models that it names are counted again from their marks and written under
+    the batch's id; a model's current line is the one of its latest batch.
+    Other models are not touched, and a repeated batch overwrites itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tasks: DataFrame, lanes: DataFrame, panel: int = 20, min_coverage: int | None = None):
+        super().__init__(spark, path)
+        self.tasks, self.lanes, self.panel, self.min_coverage = tasks, lanes, panel, min_coverage
+
+    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        delta = f"{self.path}/deltas/batch={batch_id}"
+        decision_marks(self._in_order(rows, batch_id), self.tasks, self.lanes).write.mode("overwrite").parquet(delta)
+        named = self.spark.read.parquet(delta).select("model").distinct()
+        # a model that has no trusted row left gets an empty line
+        lines = named.join(self._count(self.rows().join(named, "model", "left_semi")), "model", "left")
+        lines.write.mode("overwrite").parquet(f"{self.path}/boards/batch={batch_id}")
+
+    def _for_base(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def _count(self, marks: DataFrame) -> DataFrame:
+        return board_of_marks(marks.filter("taint IS NULL"), self.panel, self.min_coverage, show_exhausted=True)
+
+    def recount(self) -> DataFrame:
+        """All models' lines from the marks."""
+        return self._count(self.rows())
+
+    def board(self, show_exhausted: bool = False) -> DataFrame:
+        """Each model's current line, best first."""
+        lines = self.spark.read.parquet(f"{self.path}/boards")
+        rest = [c for c in lines.columns if c not in ("model", "batch")]
+        current = lines.groupBy("model").agg(F.max_by(F.struct(*rest), "batch").alias("line")).select("model", "line.*")
+        shown = current.filter("status IS NOT NULL" if show_exhausted else "status <> 'unavailable'")
+        return shown.orderBy(F.desc("ranking_eligible"), F.desc("utility"), F.desc_nulls_last("capability"), "model")
+
+
+def result_stream(spark: SparkSession, path: str, numbered: bool = False, **options) -> DataFrame:
+    """Appended result files as a stream. Rows carry their own `ingest_seq` (`numbered`), or `arrival` says which file and block they come from."""
+    reader = spark.readStream.options(**options)
+    if numbered:
+        return reader.schema(StructType([*RESULT.fields, StructField("ingest_seq", LongType())])).json(path)
     m = F.col("_metadata")
     place = F.struct(m["file_modification_time"].alias("written"), m["file_path"].alias("file"), m["file_block_start"].alias("block"))
-    return spark.readStream.schema(RESULT).json(path).withColumn("arrival", place)
+    return reader.schema(RESULT).json(path).withColumn("arrival", place)

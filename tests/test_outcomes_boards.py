@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import boards, integrity, outcomes
 from gradeloom.schemas import RESULT
+from gradeloom.streaming.live_board import LiveDecisionBoard
 
 CODE = "def f(x):\n    return x + 1  # long enough to be compared with the buggy text"
 BUGGY = "def f(x):\n    return x - 1  # the original text of this task, before any repair"
@@ -96,6 +97,31 @@ def test_decision_board_keeps_dead_endpoints_apart(results, rows):
     assert {r.model for r in boards.decision_board(df, tasks(rows), lanes).collect()} == {"ok", "few"}
 
 
+def test_live_decision_board_takes_back_what_newer_rows_replace(results, rows, spark, tmp_path):
+    good = {"repair": {"candidate": CODE, "judge_agreement": 1.0, "latency_ms": 100}, "diagnose": {"location_match": 1.0, "judge_agreement": 0.9}}
+    lanes = rows("model string, can_read boolean", ("a", True), ("b", False))
+    df = results(*[{"model": m, "task_id": f"t{i}", "ts": 1, "combined": 0.8, **good} for m in "ab" for i in range(16)],
+                 *[{"model": "c", "task_id": "t1", "ts": 1, "combined": 0.5, **good}],
+                 # second batch: a worse answer, a stored taint, an error, an older row that changes nothing
+                 {"model": "a", "task_id": "t0", "ts": 9, "combined": 0.2, **good}, {"model": "a", "task_id": "t1", "ts": 9, "tainted": "x", **good},
+                 {"model": "a", "task_id": "t2", "ts": 9, "repair_error": "HTTP 429"}, {"model": "a", "task_id": "t3", "ts": 0, "combined": 0.1, **good},
+                 {"model": "c", "task_id": "t1", "ts": 2, "tainted": "x", **good}).cache()
+    first, second = df.filter("ts = 1"), df.filter("ts <> 1")
+    live = LiveDecisionBoard(spark, str(tmp_path), tasks(rows), lanes)
+    lines = lambda board: sorted(tuple(r.asDict().items()) for r in board.collect())
+    live.write_batch(first, 0)
+    assert lines(live.board(True)) == lines(boards.decision_board(first, tasks(rows), lanes, show_exhausted=True))
+    for _ in range(2):  # a repeated batch overwrites itself
+        live.write_batch(second, 1)
+        want = lines(boards.decision_board(df, tasks(rows), lanes, show_exhausted=True))
+        assert lines(live.board(True)) == lines(live.recount()) == want
+    assert {dict(r)["model"] for r in want} == {"a", "b"}  # c has no trusted row left
+    assert spark.read.parquet(f"{tmp_path}/boards/batch=1").select("model").distinct().count() == 2  # b is not counted again
+    live.compact()
+    live.write_batch(df.filter("model = 'b' AND task_id = 't5'").withColumn("ts", F.lit(20)).withColumn("combined", F.lit(0.1)), 2)
+    assert lines(live.board(True)) == lines(live.recount())
+
+
 def test_read_leak_is_quarantined_only_for_lanes_that_can_read(results, rows):
     ref = CODE + " 0"
     df = results(*[{"model": m, "task_id": "t0", "repair": {"candidate": ref}} for m in ("agent", "chat")],
