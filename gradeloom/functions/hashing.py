@@ -44,6 +44,7 @@ def poisson_weight(draw: Column) -> Column:
     return weight
 
 
-def pseudonym(tag: str, value: Column) -> Column:
+def pseudonym(tag: str | Column, value: Column) -> Column:
     """Deterministic stand-in `<TAG:sha8>` for a sensitive value."""
-    return F.concat(F.lit(f"<{tag.upper()}:"), F.substring(F.sha2(value, 256), 1, 8), F.lit(">"))
+    name = F.lit(tag.upper()) if isinstance(tag, str) else F.upper(tag)
+    return F.concat(F.lit("<"), name, F.lit(":"), F.substring(F.sha2(value, 256), 1, 8), F.lit(">"))

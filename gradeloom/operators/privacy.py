@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,19 +13,24 @@ from gradeloom import fixed_values as fv
 from gradeloom.functions.hashing import pseudonym
 
 
-def _substitute(text: Column, tag: str, pattern: str) -> Column:
+def _substitute(text: Column, rule: Column) -> Column:
     """Every match replaced by its pseudonym: the pieces between matches, joined by the stand-ins.
 
     A pattern with groups keeps its first group and hides the second.
     """
-    pieces = F.split(text, pattern, -1)
-    groups = re.compile(pattern).groups
-    take = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-    if groups:
-        stand_ins = F.zip_with(take(1), take(2), lambda keep, hide: F.concat(keep, pseudonym(tag, hide)))
-    else:
-        stand_ins = F.transform(take(0), lambda m: pseudonym(tag, m))
-    return F.array_join(F.zip_with(pieces, stand_ins, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    take = lambda i: F.regexp_extract_all(text, rule["pattern"], F.lit(i))
+    stand_ins = F.when(rule["grouped"], F.zip_with(take(1), take(2), lambda keep, hide: F.concat(keep, pseudonym(rule["tag"], hide)))).otherwise(
+        F.transform(take(0), lambda m: pseudonym(rule["tag"], m)))
+    return F.array_join(F.zip_with(F.split(text, rule["pattern"], -1), stand_ins, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+
+
+def _may_match(text: Column, tag: str) -> Column:
+    """Does the text contain what each match of the rule contains? Literals are searched as bytes."""
+    kind, hints = fv.RULE_HINTS.get(tag, ("none", ()))
+    if kind == "none":
+        return text.isNotNull()
+    test = {"literal": lambda h: F.contains(text, F.lit(h)), "any case": lambda h: F.contains(F.lower(text), F.lit(h)), "pattern": lambda h: F.rlike(text, F.lit(h))}[kind]
+    return reduce(or_, [test(h) for h in hints])
 
 
 def redact(df: DataFrame, columns: Iterable[str], pii: bool = True, count: str = "replacements",
@@ -31,17 +38,27 @@ def redact(df: DataFrame, columns: Iterable[str], pii: bool = True, count: str =
     """Replace secrets (and, with `pii`, identities) in the columns by `<TAG:sha8>`; add how many were replaced.
 
     `extra` adds (tag, pattern) rules of the caller's own. Rules run in table
-    order, each on the text the one before it left, as one projection per rule.
+    order, each on the text the one before it left. One projection per column
+    tells by required literals which rules a text may match, and folds only
+    those over it: a text without any literal meets no pattern. A stand-in
+    (tag and hex digits) can't bring in a literal that the text didn't have.
     """
-    rules = [*fv.SECRET_PATTERNS, *(fv.PII_PATTERNS if pii else ()), *extra]
+    built_in = [(t, p, t) for t, p in (*fv.SECRET_PATTERNS, *(fv.PII_PATTERNS if pii else ()))]
+    rules = [*built_in, *((t, p, None) for t, p in extra)]  # a rule of the caller has no known literal
     out = df.withColumn(count, F.lit(0).cast("bigint"))
     for column in columns:
-        for tag, pattern in rules:
-            # one counting pass per rule; only texts with a match are rebuilt
-            out = out.withColumn("_n", F.coalesce(F.regexp_count(column, F.lit(pattern)), F.lit(0))).withColumn(
-                column, F.when(F.col("_n") > 0, _substitute(F.col(column), tag, pattern)).otherwise(F.col(column))).withColumn(
-                count, F.col(count) + F.col("_n"))
-    return out.drop("_n")
+        text = F.col(column)
+        tried = F.array_compact(F.array(*[
+            F.when(_may_match(text, hint or ""), F.struct(F.lit(tag).alias("tag"), F.lit(pattern).alias("pattern"), F.lit(re.compile(pattern).groups > 0).alias("grouped")))
+            for tag, pattern, hint in rules]))
+
+        def step(done: Column, rule: Column) -> Column:
+            found = F.regexp_count(done["text"], rule["pattern"]).cast("bigint")
+            return F.when(found > 0, F.struct(_substitute(done["text"], rule).alias("text"), (done["found"] + found).alias("found"))).otherwise(done)
+
+        whole = F.aggregate(tried, F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("found")), step)
+        out = out.withColumn("_done", whole).withColumn(column, F.col("_done.text")).withColumn(count, F.col(count) + F.col("_done.found"))
+    return out.drop("_done")
 
 
 def anonymise(df: DataFrame, columns: Iterable[str], context: Iterable[tuple[str, str]],
