@@ -7,9 +7,10 @@ occur `least` times are scored by their weakest cut.
 Counting (`count_phrases`): a task inserts windows of words into a `HatTrie`,
 a shallow trie over word ids whose containers are hash tables that burst into
 a node of smaller ones. When a task's tries hold `held` entries, whole subtrees
-leave as sorted runs of (phrase, count) and their memory is free again. Spark
+leave as sorted runs of (window, count) and their memory is free again. Spark
 deals the runs by prefix, sorts each partition (a merge of sorted runs, which
-spills), and a pass over the sorted rows adds equal phrases up.
+spills), and a pass over the sorted rows adds up the windows that begin with
+each phrase. A window travels once, not once for each length of phrase.
 
 A phrase can only be frequent if its parts are, so words are counted first,
 pairs of frequent words next, and longer windows only along frequent pairs.
@@ -45,6 +46,8 @@ COUNTED_BYTES = 6 << 20
 SKETCH_BITS = 26
 SEGMENT_BITS = 16
 TOP_SALTS = 32
+#: what ends a word of a window that travels; it sorts before all others, so words that hold it are escaped
+END, ESCAPES = "\0", ((b"\1", b"\1\2"), (b"\0", b"\1\1"))
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
 
@@ -279,7 +282,7 @@ class _Counter:
 
     def runs(self, most: int | None) -> Iterator[pa.RecordBatch]:
         """Sorted runs of subtrees: (lang, phrase, count)."""
-        names = pa.array(self.names, pa.large_binary())
+        names = _escaped(pa.array(self.names, pa.large_binary()))
         for lang, trie in self.tries.items():
             parts, size = [], 0
             for windows, counts in trie.spill(most and most // len(self.tries)):
@@ -293,53 +296,82 @@ class _Counter:
 
     def _run(self, lang: str, parts: list, names: pa.Array) -> Iterator[pa.RecordBatch]:
         windows, counts = (np.concatenate(list(column)) for column in zip(*parts))
-        blank = pa.scalar(" ", pa.large_string())
+        words, end = (windows > 0).sum(axis=1), pa.scalar(END, pa.large_string())
         for length in range(self.shortest, self.longest + 1):
-            has = windows[:, length - 1] > 0
-            cut, some = windows[has, :length], counts[has]
-            if not len(cut):
+            own = np.flatnonzero(words == length)
+            if not len(own):
                 continue
-            if length < self.longest:
-                order = np.lexsort(cut.T[::-1])
-                cut, some = cut[order], some[order]
-                begins = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]).any(axis=1)]))
-                cut, some = cut[begins], np.add.reduceat(some, begins)
-            columns = [names.take(pa.array(cut[:, k])).cast(pa.large_string()) for k in range(length)]
-            phrase = pa.compute.binary_join_element_wise(*columns, blank) if length > 1 else columns[0]
+            columns = [names.take(pa.array(windows[own, k])).cast(pa.large_string()) for k in range(length)]
+            phrase = pa.compute.binary_join_element_wise(*columns, end) if length > 1 else columns[0]
             order = pa.compute.sort_indices(phrase)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), phrase.take(order).cast(pa.string()),
-                                              pa.array(some).take(order)], ["lang", "phrase", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), phrase.take(order).cast(pa.string()),
+                                              pa.array(counts[own]).take(order)], ["lang", "phrase", "count"])
 
 
-def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Add up equal phrases of rows sorted by (lang, phrase); the last phrase of a batch may go on in the next."""
+def _escaped(names: pa.Array) -> pa.Array:
+    """Words without `END`, in the same order."""
+    for old, new in ESCAPES:
+        names = pa.compute.replace_substring(names, old, new)
+    return names
+
+
+def _plain(word: str) -> str:
+    for old, new in reversed(ESCAPES):
+        word = word.replace(new.decode(), old.decode())
+    return word
+
+
+def _merge(batches: Iterable[pa.RecordBatch], shortest: int, longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all phrases that windows begin with, from windows sorted by (lang, phrase).
+
+    Windows that share their first words are neighbours, so each length is a
+    run of equal beginnings; the last one of a batch may go on in the next.
+    """
     names = ["lang", "phrase", "words", "f"]
-    held = None
+    held: dict[int, tuple[tuple, int]] = {}
 
-    def out(langs, phrases, counts):
-        words = [p.count(" ") + 1 for p in phrases]
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(words, pa.int32()), pa.array(counts, pa.int64())], names)
+    def out(found: list[tuple[tuple, int]]) -> pa.RecordBatch:
+        phrases = [" ".join(map(_plain, words)) for (_, words), _ in found]
+        return pa.RecordBatch.from_arrays([pa.array([lang for (lang, _), _ in found], pa.string()), pa.array(phrases, pa.string()),
+                                           pa.array([len(words) for (_, words), _ in found], pa.int32()), pa.array([f for _, f in found], pa.int64())], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        lang, phrase = batch.column("lang"), batch.column("phrase")
-        same = pa.compute.and_(pa.compute.equal(lang[1:], lang[:-1]), pa.compute.equal(phrase[1:], phrase[:-1])).to_numpy(zero_copy_only=False)
-        begins = np.flatnonzero(np.concatenate([[True], ~same]))
-        sums = np.add.reduceat(batch.column("count").to_numpy(), begins)
-        first = (lang[0].as_py(), phrase[0].as_py())
-        if held and held[0] == first:
-            sums[0] += held[1]
-        elif held and held[1] >= least:
-            yield out([held[0][0]], [held[0][1]], [held[1]])
-        last = int(begins[-1])
-        held = (lang[last].as_py(), phrase[last].as_py()), int(sums[-1])
-        keep = np.flatnonzero(sums[:-1] >= least)
-        if len(keep):
-            at = pa.array(begins[:-1][keep])
-            yield out(lang.take(at).to_pylist(), phrase.take(at).to_pylist(), sums[:-1][keep])
-    if held and held[1] >= least:
-        yield out([held[0][0]], [held[0][1]], [held[1]])
+        lang, split = batch.column("lang"), pa.compute.split_pattern(batch.column("phrase"), END)
+        offsets = split.offsets.to_numpy()
+        length, offsets = np.diff(offsets), offsets - offsets[0]
+        coded = split.flatten().dictionary_encode()
+        codes = np.zeros((batch.num_rows, longest), np.int64)  # 0 stands for no word
+        codes[np.arange(longest) < length[:, None]] = coded.indices.to_numpy() + 1
+        counts = batch.column("count").to_numpy()
+        new = np.concatenate([[True], pa.compute.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)])
+        found = []
+
+        def named(row: int, size: int) -> tuple:
+            return lang[row].as_py(), tuple(coded.dictionary[int(c) - 1].as_py() for c in codes[row, :size])
+
+        for k in range(longest):
+            new[1:] |= codes[1:, k] != codes[:-1, k]
+            if k + 1 < shortest:
+                continue
+            begins = np.flatnonzero(new)
+            sums = np.add.reduceat(counts, begins)
+            whole = codes[begins, k] > 0
+            before = held.pop(k, None)
+            if before:
+                if whole[0] and before[0] == named(0, k + 1):
+                    sums[0] += before[1]
+                elif before[1] >= least:
+                    found.append(before)
+            if whole[-1]:
+                held[k] = named(int(begins[-1]), k + 1), int(sums[-1])
+            found += [(named(int(begins[i]), k + 1), int(sums[i])) for i in np.flatnonzero(whole[:-1] & (sums[:-1] >= least)).tolist()]
+        if found:
+            yield out(found)
+    rest = [one for one in held.values() if one[1] >= least]
+    if rest:
+        yield out(rest)
 
 
 def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, words: Sketch | None = None, pairs: Sketch | None = None,
@@ -361,9 +393,9 @@ def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, word
                     counter.forget()
         yield from counter.runs(None)
 
-    prefix = F.substring_index("phrase", " ", shortest)
+    prefix = F.substring_index("phrase", END, shortest)
     ordered = rows.mapInArrow(runs, "lang string, phrase string, count bigint").repartition("lang", prefix).sortWithinPartitions("lang", "phrase")
-    return ordered.mapInArrow(lambda batches: _merge(batches, least), "lang string, phrase string, words int, f bigint")
+    return ordered.mapInArrow(lambda batches: _merge(batches, shortest, longest, least), "lang string, phrase string, words int, f bigint")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

@@ -232,3 +232,13 @@ def test_tokenizers_that_normalise_are_refused(tmp_path):
     path.write_text(json.dumps(made))
     with pytest.raises(ValueError):
         word_table.Splitter(str(path))
+
+
+def test_phrases_of_words_with_control_characters(spark):
+    rng = random.Random(12)
+    words = ["a", "b", "a\0", "a\1", "\0", "\1\2", "\1\1b", "c"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = {(r["phrase"], r["words"], r["f"]) for r in collocations.frequent_phrases(docs, least=3)[0].where("words > 1").collect()}
+    want = Counter(tuple(t.split(" ")[k:k + n]) for _, t, _ in rows for n in range(2, 6) for k in range(61 - n))
+    assert got == {(" ".join(p), len(p), f) for p, f in want.items() if f >= 3}
