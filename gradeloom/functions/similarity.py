@@ -1,12 +1,15 @@
 """Sequence similarity: the two measures no built-in expression covers.
 
-Both run as Arrow batches on rows that cheap SQL bounds could not decide. NULL
-input means "already decided" and costs nothing.
+Both run on rows that cheap SQL bounds could not decide. NULL input means
+"already decided" and costs nothing. The functions take a row at a time, in
+Spark's batches of some hundred rows: whole texts in Arrow batches of ten
+thousand rows, with their copies and results, would fill gigabytes of Python.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -15,6 +18,15 @@ from gradeloom import fixed_values as fv
 from gradeloom.functions.matching import matching_ratio
 
 
+def by_row(returns: T.DataType) -> Callable:
+    """A function of one row's values as a function of columns; its `func` takes Series, as that of a pandas function."""
+    def wrap(one: Callable) -> Callable:
+        column = F.udf(one, returnType=returns, useArrow=False)
+        column.func = lambda *series: pd.Series([one(*values) for values in zip(*series)])
+        return column
+    return wrap
+
+
 def common_subsequence_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, one big-integer row per token of `a`.
 
@@ -39,39 +51,28 @@ def common_subsequence_length(a: list[str], b: list[str]) -> int:
     return head + tail + len(b) - open_bits.bit_count()
 
 
-@F.pandas_udf(T.DoubleType())
-def token_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+@by_row(T.DoubleType())
+def token_similarity(left: str | None, right: str | None) -> float | None:
     """2 * LCS / (tokens left + tokens right); 0 when either side has no token."""
-    token = re.compile(fv.TOKEN)
-
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        x, y = token.findall(a), token.findall(b)
-        return 2.0 * common_subsequence_length(x, y) / (len(x) + len(y)) if x and y else 0.0
+    if left is None or right is None:
+        return None
+    x, y = re.findall(fv.TOKEN, left), re.findall(fv.TOKEN, right)
+    return 2.0 * common_subsequence_length(x, y) / (len(x) + len(y)) if x and y else 0.0
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
-
-@F.pandas_udf(T.DoubleType())
-def character_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+@by_row(T.DoubleType())
+def character_ratio(left: str | None, right: str | None) -> float | None:
     """Share of the characters of two strings that lie in their longest common blocks (see `matching`)."""
-    return pd.Series([None if a is None or b is None else matching_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
+    return None if left is None or right is None else matching_ratio(left, right)
 
 
-@F.pandas_udf(T.StringType())
-def normalize_identifiers(text: pd.Series) -> pd.Series:
+@by_row(T.StringType())
+def normalize_identifiers(text: str | None) -> str | None:
     """Tokens joined by spaces, each identifier replaced by ID<n> in first-seen order."""
-    token = re.compile(fv.TOKEN)
-
-    def one(value):
-        if value is None:
-            return None
-        seen: dict[str, str] = {}
-        return " ".join(seen.setdefault(t, f"ID{len(seen)}") if t.isidentifier() else t
-                        for t in token.findall(value))
-
-    return text.map(one)
+    if text is None:
+        return None
+    seen: dict[str, str] = {}
+    return " ".join(seen.setdefault(t, f"ID{len(seen)}") if t.isidentifier() else t for t in re.findall(fv.TOKEN, text))
 
 
 def length_bound(left_len: Column, right_len: Column) -> Column:
