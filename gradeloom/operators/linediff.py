@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from gradeloom.functions.matching import line_changes
 from gradeloom.functions.text import lines
 
-#: changed lines of one output batch
-SENT_LINES = 20_000
+CHANGES = T.ArrayType(T.StructType([T.StructField("sign", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+@F.udf(returnType=CHANGES, useArrow=False)
+def _pair_changes(before: str, after: str) -> list[tuple[str, int, str]]:
+    return list(line_changes(before, after))
 
 
 def changed_lines(pairs: DataFrame, key: str, before: str = "buggy", after: str = "reference_fix") -> DataFrame:
@@ -19,33 +20,11 @@ def changed_lines(pairs: DataFrame, key: str, before: str = "buggy", after: str
 
     Lines keep their order in the alignment, so a moved line is taken out of one place ('-') and put into another
     ('+'). `n` is the 1-based line number on the line's own side. A null text is empty. A pair is aligned within
-    its row, so nothing is shuffled; equal sides don't reach Python.
+    its row, so nothing is shuffled; equal sides don't reach Python, which holds some hundred pairs at a time.
     """
     sides = [F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((before, "before"), (after, "after"))]
     differing = pairs.select(F.col(key).alias("key"), *sides).filter("before <> after")
-    schema = T.StructType([T.StructField("key", differing.schema["key"].dataType), T.StructField("sign", T.StringType()),
-                           T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-
-            def out() -> pa.RecordBatch:
-                signs, numbers, texts = zip(*found)
-                return pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys)), pa.array(signs), pa.array(numbers, pa.int32()),
-                                                   pa.array(texts, pa.string())], ["key", "sign", "n", "text"])
-
-            for at in range(batch.num_rows):
-                for change in line_changes(batch.column("before")[at].as_py(), batch.column("after")[at].as_py()):
-                    keys.append(at)
-                    found.append(change)
-                    if len(found) >= SENT_LINES:
-                        yield out()
-                        keys, found = [], []
-            if found:
-                yield out()
-
-    return differing.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return differing.select("key", F.explode(_pair_changes("before", "after")).alias("change")).select(F.col("key").alias(key), "change.*")
 
 
 def apply_changes(pairs: DataFrame, changes: DataFrame, key: str, before: str = "buggy") -> DataFrame:

@@ -202,3 +202,13 @@ def test_touched_symbols_equal_all_pairs_and_never_multiply(spark, rows):
     many = spark.range(100_000).selectExpr("1 AS task_id", "concat('s', id) AS symbol", "cast(id AS int) AS start_line", "100000 AS end_line")
     lines = spark.range(100_000).selectExpr("1 AS task_id", "'-' AS sign", "cast(id AS int) AS n", "'x' AS text")
     assert grading.touched_symbols(lines, many).count() == 100_000
+
+
+def test_changed_lines_hold_few_pairs_in_python(rows):
+    """An Arrow batch has ten thousand pairs of whole texts; a row-wise function gets some hundred."""
+    df = rows("id int, buggy string, reference_fix string", (1, "a\nb", "a\nc\nd"), (2, None, "x"), (3, "same", "same"))
+    changes = linediff.changed_lines(df, "id")
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan and plan.count("_pair_changes(") <= 2
+    assert changes.columns == ["id", "sign", "n", "text"]
+    assert sorted(map(tuple, changes.collect())) == [(1, "+", 2, "c"), (1, "+", 3, "d"), (1, "-", 2, "b"), (2, "+", 1, "x"), (2, "-", 1, "")]
