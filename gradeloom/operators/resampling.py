@@ -5,9 +5,11 @@ replicate (or a sign per draw) from a seeded hash. A task turns a batch of
 rows into a matrix of weights and keeps the sums of each (group, replicate),
 so a batch sends replicates, not rows times replicates, and no row is moved
 before. A group of any size, or one holding a third of all rows, needs no
-array, no join and no sort. Work is cut along both axes: an input of fewer
-partitions than cores, which adaptive execution makes of few rows, is dealt
-as blocks of replicates, so that 1,500 rows x 20,000 draws use every core.
+array and no join. Work is cut along both axes: an input of fewer partitions
+than cores, which adaptive execution makes of few rows, is dealt as blocks of
+replicates, so that 1,500 rows x 20,000 draws use every core; one of many rows
+is dealt by unit into tasks of at most `TASK_DRAWS` weights on average. Groups that share
+units, as the pairs of models share bugs, share their weights.
 
 Sign-flip p-values are exact up to `EXACT_MAX` nonzero differences: the signed
 sums of two halves, one of them sorted, are counted against each other by
@@ -33,8 +35,10 @@ BLOCKS = 8
 #: least replicates of a block, and differences whose 2**n signed sums are counted exactly
 BLOCK_REPLICATES, EXACT_MAX = 64, 44
 TOLERANCE = 1e-9
-#: rows whose weights are one matrix, and groups that are sent in one batch
-MATRIX_ROWS, SENT_GROUPS = 256, 64
+#: units and replicates whose weights are one matrix, which stays in a core's cache
+MATRIX_ROWS, MATRIX_REPLICATES = 256, 512
+#: weights that one task draws, and sums that it holds before it sends them
+TASK_DRAWS, HELD_SUMS = 1 << 30, 1 << 21
 
 
 def _pick(replicates: DataFrame, keys: list[str], count: int, alpha: float) -> DataFrame:
@@ -62,20 +66,40 @@ def _redrawn(units: DataFrame, keys: list[str], count: int, seed: int) -> DataFr
     return drawn.groupBy(*keys, "b").agg((F.sum("u.s") / F.sum("u.c")).alias("mean"))
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder: MODULUS is 2**31 - 1, so the upper bits count as ones."""
+    high = x >> 31
+    x &= MODULUS
+    x += high
+    return x
+
+
 def _draws(items: np.ndarray, begin: int, end: int, seed: int) -> np.ndarray:
     """The matrix of `hashing.with_draw` over items x replicates begin .. end."""
-    i, b = items.astype(np.int64)[:, None], np.arange(begin, end, dtype=np.int64)[None, :]
-    x = (b * 40014 + i * 40692 + seed) % MODULUS
-    x = ((x * x) % MODULUS + x * 16807 + i * 99991) % MODULUS
-    return ((x * x) % MODULUS + x * 48271) % MODULUS
+    i, b = items.astype(np.int64), np.arange(begin, end, dtype=np.int64)
+    x = _folded((b * 40014 % MODULUS)[None, :] + ((i * 40692 + seed) % MODULUS)[:, None])
+    square = _folded(x * x)
+    x *= 16807
+    x += square
+    x += (i * 99991 % MODULUS)[:, None]
+    x = _folded(x)
+    square = _folded(x * x)
+    x *= 48271
+    x += square
+    x = _folded(x)
+    x -= (x >= MODULUS) * np.int64(MODULUS)
+    return x
 
 
 def _poisson_weights(draws: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array(poisson_cuts()), draws, side="right").astype(np.float64)
+    weights = np.zeros(draws.shape, np.uint8)
+    for cut in poisson_cuts():
+        weights += draws >= cut
+    return weights.astype(np.float64)
 
 
 def _signs(draws: np.ndarray) -> np.ndarray:
-    return (1 - 2 * (draws % 2)).astype(np.float64)
+    return 1.0 - 2.0 * (draws & 1)
 
 
 def _replicate_blocks(rows: DataFrame, count: int) -> int:
@@ -84,38 +108,78 @@ def _replicate_blocks(rows: DataFrame, count: int) -> int:
     return 1 if have * 2 > cores else max(1, min(count // BLOCK_REPLICATES, 8 * cores // max(have, 1)))
 
 
+def _weighted_sums(values: np.ndarray, items: np.ndarray, begin: int, end: int, seed: int, weigh: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """`values` (any x items) times the weights (items x replicates begin .. end), a piece of the weights at a time."""
+    out = np.zeros((len(values), end - begin))
+    for cut in range(0, len(items), MATRIX_ROWS):
+        part, some = values[:, cut:cut + MATRIX_ROWS], items[cut:cut + MATRIX_ROWS]
+        for first in range(begin, end, MATRIX_REPLICATES):
+            last = min(first + MATRIX_REPLICATES, end)
+            out[:, first - begin:last - begin] += part @ weigh(_draws(some, first, last, seed))
+    return out
+
+
+def _dealt(rows: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """`rows` (with `_k`, the unit's number) in enough tasks, with `_block`, and the number of blocks of replicates."""
+    have, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-rows.count() * count // TASK_DRAWS)
+    if tasks > max(have, cores):
+        # rows of a unit meet, so that they share its weights
+        return rows.withColumn("_block", F.lit(0)).repartition(tasks, "_k").sortWithinPartitions("_k"), 1
+    blocks = _replicate_blocks(rows, count)
+    if blocks == 1:
+        return rows.withColumn("_block", F.lit(0)), 1
+    return spread(rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_block"), blocks
+
+
 def _replicate_sums(units: DataFrame, keys: list[str], count: int, seed: int, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """keys, b, s, c: the weighted sums of s and c per replicate; `units` has keys, unit, s, c and is materialised."""
     rows = units.select(*keys, F.col("s").cast("double").alias("s"), "c", text_key(F.col("unit").cast("string")).alias("_k"))
-    blocks = _replicate_blocks(rows, count)
+    dealt, blocks = _dealt(rows, count)
     per = -(-count // blocks)
-    if blocks == 1:
-        dealt = rows.withColumn("_block", F.lit(0))
-    else:
-        dealt = spread(rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_block")
+
+    def sums_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray]]:
+        """((block, *keys), sums of s and c) of a batch's groups."""
+        values = np.stack([batch.column("s").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)])
+        item = batch.column("_k").to_numpy(zero_copy_only=False)
+        members: dict[int, dict[tuple, list[int]]] = {}
+        for at, (block, *key) in enumerate(zip(*(batch.column(k).to_pylist() for k in ["_block", *keys]))):
+            members.setdefault(block, {}).setdefault((block, *key), []).append(at)
+        for block, groups in members.items():
+            begin, end = block * per, min((block + 1) * per, count)
+            if begin >= end:
+                continue
+            at = np.concatenate([np.array(own) for own in groups.values()])
+            distinct, place = np.unique(item[at], return_inverse=True)
+            if len(groups) * len(distinct) <= 2 * len(at) and len(groups) * per <= HELD_SUMS:
+                # groups of mostly the same units are the rows of one product
+                wide = np.zeros((2, len(groups), len(distinct)))
+                np.add.at(wide, (slice(None), np.repeat(np.arange(len(groups)), [len(own) for own in groups.values()]), place), values[:, at])
+                sums = _weighted_sums(wide.reshape(2 * len(groups), -1), distinct, begin, end, seed, weigh).reshape(2, len(groups), -1)
+                yield from ((key, sums[:, n]) for n, key in enumerate(groups))
+            else:
+                yield from ((key, _weighted_sums(values[:, own], item[own], begin, end, seed, weigh)) for key, own in groups.items())
+
+    def sent(totals: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        sizes = [total.shape[1] for total in totals.values()]
+        heads = pa.array(np.repeat(np.arange(len(totals)), sizes))
+        total = np.concatenate(list(totals.values()), axis=1)
+        b = np.concatenate([np.arange(key[0] * per, key[0] * per + size, dtype=np.int32) for key, size in zip(totals, sizes)])
+        return pa.RecordBatch.from_arrays([*(pa.array([key[n + 1] for key in totals], kind).take(heads) for n, kind in enumerate(types)),
+                                           pa.array(b), pa.array(total[0]), pa.array(total[1])], [*keys, "b", "s", "c"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for batch in batches:
-            values = np.stack([batch.column("s").to_numpy(zero_copy_only=False), batch.column("c").to_numpy(zero_copy_only=False).astype(np.float64)])
-            item = batch.column("_k").to_numpy(zero_copy_only=False)
-            groups: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*(batch.column(k).to_pylist() for k in ["_block", *keys]))):
-                groups.setdefault(key, []).append(at)
-            members = [(key[0] * per, min((key[0] + 1) * per, count), rows) for key, rows in groups.items()]
-            members = [m for m in members if m[0] < m[1]]
-            for start in range(0, len(members), SENT_GROUPS):
-                some, sums = members[start:start + SENT_GROUPS], []
-                for begin, end, rows in some:
-                    total = np.zeros((2, end - begin))
-                    for cut in range(0, len(rows), MATRIX_ROWS):
-                        part = rows[cut:cut + MATRIX_ROWS]
-                        total += values[:, part] @ weigh(_draws(item[part], begin, end, seed))
-                    sums.append(total)
-                heads = pa.array(np.concatenate([np.full(end - begin, rows[0]) for begin, end, rows in some]))
-                total = np.concatenate(sums, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(heads) for k in keys), pa.array(np.concatenate([np.arange(begin, end, dtype=np.int32) for begin, end, _ in some])),
-                     pa.array(total[0]), pa.array(total[1])], [*keys, "b", "s", "c"])
+            types = [batch.schema.field(k).type for k in keys]
+            for key, sums in sums_of(batch):
+                totals[key] = totals[key] + sums if key in totals else sums
+                if len(totals) * per >= HELD_SUMS:
+                    yield sent(totals, types)
+                    totals.clear()
+        if totals:
+            yield sent(totals, types)
 
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("b", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("c", T.DoubleType())])
     return dealt.mapInArrow(run, schema).groupBy(*keys, "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))

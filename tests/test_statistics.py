@@ -159,3 +159,32 @@ def test_few_rows_and_many_replicates_use_every_core(spark, rows):
     assert rs._replicate_blocks(df.repartition(64), 20_000) == 1
     again = rs.bootstrap(df.repartition(64), ["g"], "v", "u", replicates=1000).first()
     assert (whole.lo, whole.hi) == pytest.approx((again.lo, again.hi))
+
+
+def test_fast_draws_are_the_draws_of_the_formula():
+    items = np.array([0, 1, 7, 2**31 - 2, 2**31 - 1, 2**31, 2**32 - 1, 123456789])
+    for seed in (0, 12345, 20260930, 2**31 + 5):
+        got = rs._draws(items, 3, 19_000, seed)[:, ::613]
+        assert got.tolist() == [[draw(b, int(i), seed) for b in range(3, 19_000, 613)] for i in items]
+    some = np.array([[0, 789_999_999, 790_015_083, 790_015_084, MODULUS - 1]])
+    assert rs._poisson_weights(some).tolist() == np.searchsorted(np.array(rs.poisson_cuts()), some, side="right").tolist()
+    assert rs._signs(np.array([[0, 1, 5, MODULUS - 1]])).tolist() == [[1.0, -1.0, -1.0, 1.0]]
+
+
+def test_many_rows_and_draws_are_dealt_by_unit(spark, rows, monkeypatch):
+    """The rows of a task don't grow with the input, and groups of the same units draw once for all of them."""
+    units = spark.range(900).selectExpr("concat('g', id % 3) AS g", "concat('u', id div 3) AS unit", "cast(id % 7 - 3 AS double) AS s", "1L AS c").coalesce(1)
+    plain = {(r.g, r.b): (r.s, r.c) for r in rs._replicate_sums(units, ["g"], 500, 3, rs._signs).collect()}
+    few = rs._dealt(units.withColumn("_k", F.xxhash64("unit")), 500)[0]
+    assert "_block" in few.columns
+    monkeypatch.setattr(rs, "TASK_DRAWS", 20_000)
+    dealt, blocks = rs._dealt(units.withColumn("_k", F.xxhash64("unit")), 500)
+    assert blocks == 1 and dealt.rdd.getNumPartitions() == 23
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.countDistinct("unit").alias("u")).collect()
+    assert max(r.n for r in sizes) < 150 and all(r.n == 3 * r.u for r in sizes)
+    again = {(r.g, r.b): (r.s, r.c) for r in rs._replicate_sums(units, ["g"], 500, 3, rs._signs).collect()}
+    assert again.keys() == plain.keys() and len(plain) == 1500
+    assert all(again[k] == pytest.approx(plain[k]) for k in plain)
+    # a group sums what one group alone sums
+    alone = {r.b: r.s for r in rs._replicate_sums(units.filter("g = 'g1'"), ["g"], 500, 3, rs._signs).collect()}
+    assert all(plain["g1", b][0] == pytest.approx(s) for b, s in alone.items())
