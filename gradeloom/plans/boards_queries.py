@@ -263,14 +263,26 @@ def decision_board(spark, sf):
     return boards.decision_board(answered(spark, sf), tasks(spark, sf), lanes(spark, sf))
 
 
+#: times that result files arrive, and micro-batches that read them
+ARRIVALS = 2
+
+
 @query("live_decision_board", with_views("answered", body=MARKED + DECISION + " SELECT * FROM board"))
 def live_decision_board(spark, sf):
-    """All result rows, older ones too, arrive in files of which a batch reads some."""
+    """All result rows, older ones too, arrive in files of which a batch reads some.
+
+    The rows of a task come in two arrivals, each written as its join leaves it, ordered by task: so nothing moves the
+    answers once more, and the answers to a task, which repeat its texts, lie together and compress.
+    """
     source, state, check = (fresh_path(spark, n) for n in ("incoming", "live-marks", "live-marks-checkpoint"))
-    rows = answered_runs(spark, sf)
-    rows.select(*[f.name for f in RESULT if f.name in rows.columns], "ingest_seq").repartition(8).write.json(source)
+    for arrival in range(ARRIVALS):
+        some = runs(spark, sf).filter(F.pmod(F.xxhash64("ingest_seq"), F.lit(ARRIVALS)) == arrival)
+        rows = answered_runs(spark, sf, some)
+        rows.select(*[f.name for f in RESULT if f.name in rows.columns], "ingest_seq").write.mode("append").json(source, compression="gzip")
+    files = len(spark.read.text(source).inputFiles())
     board = LiveDecisionBoard(spark, state, tasks(spark, sf), lanes(spark, sf))
-    board.start(result_stream(spark, source, numbered=True, maxFilesPerTrigger=4), check, availableNow=True).awaitTermination()
+    stream = result_stream(spark, source, numbered=True, maxFilesPerTrigger=max(1, -(-files // ARRIVALS)))
+    board.start(stream, check, availableNow=True).awaitTermination()
     return board.board()
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import boards, integrity, outcomes
+from gradeloom.plans import boards_queries
 from gradeloom.schemas import RESULT
 from gradeloom.streaming.live_board import LiveDecisionBoard
 
@@ -170,3 +171,22 @@ def test_replies_of_any_size_and_depth(rows):
     assert (got[0].root_cause, got[0].fault_location) == ("d", "3")
     assert got[1].root_cause == long and got[2].bug_category == '{"a":{"b":{"c":1}}}' and got[3].root_cause == "unterminated"
     assert got[4].root_cause is None and got[5].root_cause == "a }" and got[6].root_cause is None and got[7].root_cause is None
+
+
+def test_live_decision_board_keeps_little_of_the_answers_on_disk(rows, spark, tmp_path, monkeypatch):
+    """Forty answers to a task that repeat its text take about the place of one, and arrive in two micro-batches."""
+    text = lambda i: " ".join(f"word{(i * 7919 + n * n * 31) % 10007} = f(x)" for n in range(400))
+    rows("doc_id long, text string, lang string, source string", *[(i, text(i), "en", "s") for i in range(6)]).write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(n, n % 6, "click" if n % 4 else "buy", float(n % 97), f'{{"k": {n % 100}}}') for n in range(480)]
+    rows("event_id long, user_id long, event_type string, value double, props string", *events).withColumn(
+        "ts", F.timestamp_seconds(F.col("event_id") % 50).cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(boards_queries, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = boards_queries.live_decision_board(spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(boards_queries.decision_board(spark, str(tmp_path)).collect()) and len(got) == 2
+    files = list((tmp_path / "incoming").glob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    arrived = spark.read.json(f"{tmp_path}/incoming")
+    assert arrived.count() == 480 and arrived.select("ingest_seq").distinct().count() == 480
+    answers = arrived.agg(F.sum(F.octet_length("repair.candidate"))).first()[0]
+    assert answers > 20 * sum(f.stat().st_size for f in files)
+    assert sorted(p.name for p in (tmp_path / "live-marks" / "boards").iterdir() if p.is_dir()) == ["batch=0", "batch=1"]
