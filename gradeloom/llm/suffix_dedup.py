@@ -14,16 +14,17 @@ in a document with a smaller id.
    must compare. Segments of a crowded anchor (more than `most` of them) would
    fill a task: their windows travel one by one, by their own hash, and once a
    block.
-3. Shards. In a task equal segments are one string. Strings that share an
-   anchor with no other string have nothing to be merged with: all their
-   windows repeat, or none. The others are cut into shards, and each shard's
-   transform is built by prefix doubling.
+3. Shards. In a task equal segments are one string. A window holds one of
+   three stretches of 40 or 41 bytes around its anchor (`STRETCHES`); strings
+   that share none with another string have nothing to be merged with: all
+   their windows repeat, or none. The others are cut into shards, and each
+   shard's transform is built by prefix doubling.
 4. Merging. The interleave of all shards' rows starts shard after shard and is
    refined: a stable sort by the transform's symbols, followed by the step to
-   the preceding suffix, turns an order by k symbols into one by k + 1. Where
-   two neighbours first differ in round k, their common prefix has k - 1
-   symbols. After `LENGTH` rounds the runs between boundaries are the repeated
-   intervals: the occurrences of one string of that length.
+   the preceding suffix, turns an order by k symbols into one by k + 1; a
+   round takes two symbols at once, so `LENGTH / 2` rounds are enough. After
+   them the runs between boundaries are the repeated intervals: the
+   occurrences of one string of that length.
 5. Each interval has a smallest id; windows of other ids are removed. Spans
    return to their documents by a join.
 
@@ -48,7 +49,7 @@ import pyarrow.parquet  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.common import flat_bytes, kept_table, opened, parts, shared_path, slices
-from gradeloom.llm.minhash import SLICE, mix64, powers
+from gradeloom.llm.minhash import mix64, powers
 from gradeloom.llm.spans import by_text, cut, marked
 
 LENGTH = 50
@@ -58,6 +59,10 @@ BLOCK_BYTES = 1 << 22
 GROUPS_PER_PARTITION = 8
 GROUP_BYTES = 16 << 20
 SHARD_STRINGS = 256
+#: windows whose anchors are found at once: few enough for their arrays to stay in a processor's cache
+PIECE = 1 << 16
+#: around an anchor (bytes before it, bytes after it): each window holds one of these stretches
+STRETCHES = ((20, 0), (10, 11), (0, 21))
 #: bytes of strings that are merged at once
 CHUNK_BYTES = 1_000_000
 MOST_STRINGS = 20_000
@@ -84,10 +89,10 @@ def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for short spans sorted by start, from prefix sums; equal strings have equal hashes."""
     out = np.empty(len(start), np.uint64)
-    step = SLICE - 2 * LENGTH
+    step = PIECE - 2 * LENGTH
     for base in range(0, len(data), step):
         a, b = np.searchsorted(start, (base, base + step))
-        piece = data[base:base + SLICE]
+        piece = data[base:base + PIECE]
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_SYMBOL[piece] * powers(_BASE, len(piece)), out=sums[1:])
         s, e = start[a:b] - base, end[a:b] - base
@@ -104,10 +109,11 @@ def _places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 def _first_equal(data: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each span the first one in `order` that has the same bytes. Hashes find them, bytes decide."""
     same = _digests(data, start, start + length)[order]
-    sort = np.argsort(same, kind="stable")
-    head = np.concatenate([[True], same[sort][1:] != same[sort][:-1]]) if len(sort) else np.zeros(0, bool)
     found = np.empty(len(order), np.int64)
-    found[order[sort]] = order[sort][np.flatnonzero(head)[np.cumsum(head) - 1]] if len(sort) else sort
+    if len(order):
+        sort = np.argsort(same)
+        head = np.concatenate([[True], same[sort][1:] != same[sort][:-1]])
+        found[order[sort]] = order[np.minimum.reduceat(sort, np.flatnonzero(head))][np.cumsum(head) - 1]
     others = np.flatnonzero(found != np.arange(len(found)))
     first = found[others]
     if (length[others] != length[first]).any() or (data[_places(start[others], length[others])] != data[_places(start[first], length[first])]).any():
@@ -131,21 +137,25 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, none.astype(np.uint64)
-    grams = _gram_hashes(data, ANCHOR)
-    found, step = [], (1 << 24) - LENGTH  # places must fit in the low bits
-    for base in range(0, len(data) - LENGTH + 1, step):
-        own = grams[base:base + step + LENGTH - ANCHOR]
-        ranked = own >> _PLACE << _PLACE | np.arange(len(own), dtype=np.uint64)
-        found.append((_sliding_least(ranked, LENGTH - ANCHOR + 1)[:step] & np.uint64((1 << 24) - 1)).astype(np.int64) + base)
-    anchor = np.concatenate(found)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(anchor)]
-    window = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= offsets[1:][text])
-    if not len(window):
-        return none, none, none, none, none.astype(np.uint64)
-    anchor, text = anchor[window], text[window]
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
-    last = np.concatenate([first[1:], [len(window)]]) - 1
-    return text[first], window[first], window[last] + LENGTH, anchor[first], grams[anchor[first]]
+    windows, before, found = len(data) - LENGTH + 1, -1, []
+    for base in range(0, windows, PIECE):
+        grams = _gram_hashes(data[base:base + PIECE + LENGTH - 1], ANCHOR)
+        ranked = grams >> _PLACE << _PLACE | np.arange(len(grams), dtype=np.uint64)
+        anchor = _sliding_least(ranked, LENGTH - ANCHOR + 1) & np.uint64((1 << 24) - 1)
+        first = np.empty(len(anchor), bool)
+        first[0] = int(anchor[0]) + base != before
+        np.not_equal(anchor[1:], anchor[:-1], out=first[1:])
+        first[offsets[slice(*np.searchsorted(offsets, (base, base + len(anchor))))] - base] = True
+        at = np.flatnonzero(first)
+        own = anchor[at].astype(np.int64)
+        found.append((at + base, own + base, grams[own]))
+        before = int(anchor[-1]) + base
+    start, anchor, key = (np.concatenate(column) for column in zip(*found))
+    text = np.searchsorted(offsets, start, side="right") - 1
+    final = offsets[text + 1] - LENGTH  # the text's last window
+    last = np.minimum(np.append(start[1:], windows) - 1, final)
+    kept = np.flatnonzero(start <= final)
+    return text[kept], start[kept], last[kept] + LENGTH, anchor[kept], key[kept]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -329,7 +339,7 @@ def shard_transform(symbols: np.ndarray, string: np.ndarray, left: np.ndarray, s
         beyond[reaches] = rank[reaches + width]
         key = rank.astype(np.uint64) << np.uint64(32) | beyond.astype(np.uint64)
         width *= 2
-    return order[np.argsort(shard[order], kind="stable")]
+    return order[np.argsort(shard.astype(np.min_scalar_type(int(shard[-1])))[order], kind="stable")]
 
 
 def merge_transforms(symbols: np.ndarray, before: np.ndarray, rows: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -337,24 +347,32 @@ def merge_transforms(symbols: np.ndarray, before: np.ndarray, rows: np.ndarray,
 
     `rows` are the shards' transforms one after the other as text places,
     `before` the place of the preceding symbol (an end's is its own string's end).
+    A round takes two symbols, the transform's and the one before it, as one of 16 bits.
     """
     n = len(rows)
-    place = np.empty(n, np.int32)  # row number of each text place in its shard's transform
-    place[rows] = np.arange(n, dtype=np.int32)
-    symbol = symbols[before[rows]]  # the transform
-    step = place[before[rows]]
-    interleave = np.arange(n, dtype=np.int32)
+    place = np.empty(n, np.int64)  # row number of each text place in its shard's transform
+    place[rows] = np.arange(n)
+    one = before[rows]
+    two = before[one]
+    symbol = symbols[one].astype(np.uint16)  # the transform
+    rounds = [(symbol, place[one])] * (depth % 2) + [(symbols[two].astype(np.uint16) << 8 | symbol, place[two])] * (depth // 2)
+    # no end equals another
+    ends = np.zeros(1 << 16, bool)
+    ends[:256] = ends[::256] = True
+    single = np.zeros(1 << 16, bool)
+    single[0] = True
+    interleave = np.arange(n)
     interval = np.zeros(n, np.int32)
-    for _ in range(depth):
-        c = symbol[interleave]
+    for i, (symbol, step) in enumerate(rounds):
+        c = symbol.take(interleave)
         order = np.argsort(c, kind="stable")
-        c, interval = c[order], interval[order]
-        interleave = step[interleave[order]]
+        c, interval = c.take(order), interval.take(order)
+        interleave = step.take(interleave.take(order))
         bound = np.empty(n, bool)
         bound[:1] = False
         np.not_equal(interval[1:], interval[:-1], out=bound[1:])
         bound[1:] |= c[1:] != c[:-1]
-        bound[1:] |= c[1:] == 0  # no end equals another
+        bound[1:] |= (single if depth % 2 and not i else ends).take(c[1:])
         interval = np.cumsum(bound, dtype=np.int32)
     return rows[interleave], interval
 
@@ -396,8 +414,18 @@ class _Group:
         for k in range(ANCHOR):
             grams = grams * _BASE + _SYMBOL[self.text[place + k]]
         # two anchors with one hash only make one larger group
-        _, self.anchor, count = np.unique(grams, return_inverse=True, return_counts=True)
-        self.company = count[self.anchor]  # strings with the same anchor
+        _, self.anchor = np.unique(grams, return_inverse=True)
+        self.company = self._company(place)
+
+    def _company(self, place: np.ndarray) -> np.ndarray:
+        """For each string: how many may share a window with it, itself included. Equal windows hold equal anchors and one equal stretch around them."""
+        most, start = np.ones(len(place), np.int64), self.at[self.heads]
+        for before, after in STRETCHES:
+            i = np.flatnonzero((place - before >= start) & (place + ANCHOR + after <= start + self.length[self.heads]))
+            a = place[i] - before
+            _, number, count = np.unique(_digests(self.text, a, a + before + ANCHOR + after), return_inverse=True, return_counts=True)
+            most[i] = np.maximum(most[i], count[number])
+        return most
 
     def strings(self, numbers: np.ndarray) -> list[bytes]:
         raw, heads = self.text.tobytes(), self.heads[numbers]

@@ -195,6 +195,64 @@ def test_a_crowded_anchor_and_identical_rows(spark):
     assert len(spans) <= len(rows[-1][1])
 
 
+def test_segments_do_not_depend_on_how_many_windows_are_read_at_once(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    sizes = [0, 49, 50, 0, 700, 51, 3, 0, 1200, 130, 0]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = rng.integers(97, 101, offsets[-1]).astype(np.uint8)
+    data[400:600] = 97
+    data[900:1000] = data[200:300]
+    grams = suffix_dedup._gram_hashes(data, suffix_dedup.ANCHOR) >> np.uint64(24)
+    want = []
+    for text, size in enumerate(sizes):
+        for w in range(offsets[text], offsets[text] + size - suffix_dedup.LENGTH + 1):
+            at = w + int(np.argmin(grams[w:w + suffix_dedup.LENGTH - suffix_dedup.ANCHOR + 1]))
+            if want and want[-1][0] == text and want[-1][3] == at:
+                want[-1][2] += 1
+            else:
+                want.append([text, w, w + suffix_dedup.LENGTH, at])
+    for piece in (1, 7, 50, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        *places, key = suffix_dedup.segments(data, offsets)
+        assert np.stack(places, axis=1).tolist() == want
+        assert (key >> np.uint64(24) == grams[places[3]]).all()
+
+
+def test_strings_that_share_an_anchor_but_no_window_are_not_merged():
+    import numpy as np
+    import pyarrow as pa
+    rng, anchor = random.Random(9), b"the anchor of 20 byt"
+    letters = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    shared = letters(10) + anchor + letters(20)
+    strings = [letters(30) + anchor + letters(30) for _ in range(40)] + [letters(5) + shared + letters(5), letters(20) + shared]
+    at = [30] * 40 + [15, 30]
+    values = {"owner": np.arange(42), "mark": np.arange(42), "start": np.zeros(42, np.uint32), "length": np.array([len(s) for s in strings], np.uint8),
+              "at": np.array(at, np.uint8), "text": np.frombuffer(b"".join(strings), np.uint8)}
+    packed = {name: pa.array([suffix_dedup._pack(values.get(name, np.zeros(0, kind)))], pa.binary()) for name, kind in suffix_dedup._FIELDS.items()}
+    table = pa.table({"part": pa.array([0], pa.int32()), **packed})
+    company = suffix_dedup._Group(table).company
+    assert company[:40].tolist() == [1] * 40 and (company[40:] > 1).all()
+    assert [tuple(r.values()) for r in suffix_dedup.group_spans(table, 8).to_pylist()] == [(41, 41, 20, 70)]
+
+
+@pytest.mark.parametrize("depth", [5, 6])
+def test_interleave_at_even_and_odd_depths(depth):
+    import numpy as np
+    rng = np.random.default_rng(depth)
+    strings = [bytes(rng.integers(97, 99, rng.integers(1, 12)).astype(np.uint8)) for _ in range(60)]
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    length = np.array([len(s) for s in strings])
+    starts = np.concatenate([[0], np.cumsum(length + 1)])
+    before = np.arange(-1, len(text) - 1)
+    before[starts[:-1]] = starts[1:] - 1
+    merged, interval = suffix_dedup.merge_transforms(text, before, rng.permutation(len(text)), depth)
+    number = dict(zip(merged.tolist(), interval.tolist()))
+    whole = [(p + starts[i], s[p:p + depth]) for i, s in enumerate(strings) for p in range(len(s) - depth + 1)]
+    assert sorted(merged.tolist()) == list(range(len(text)))
+    assert len({number[p] for p, _ in whole}) == len({s for _, s in whole}) == len({(number[p], s) for p, s in whole})
+
+
 def test_interleave_equals_sorted_suffixes():
     import numpy as np
     rng = random.Random(5)
