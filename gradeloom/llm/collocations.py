@@ -10,10 +10,14 @@ a node of smaller ones. When a task's tries hold `held` entries, whole subtrees
 leave as sorted runs of (window, count) and their memory is free again. Spark
 deals the runs by prefix, sorts each partition (a merge of sorted runs, which
 spills), and a pass over the sorted rows adds up the windows that begin with
-each phrase. A window travels once, not once for each length of phrase.
-
-A phrase can only be frequent if its parts are, so words are counted first,
-pairs of frequent words next, and longer windows only along frequent pairs.
+each phrase. A window travels once, not once for each length of phrase; only
+its shortest phrase travels on its own, added up, so that a frequent one
+doesn't draw all windows that begin with it into one partition.
+
+A phrase can only be frequent if its parts are, so words are counted first.
+Most pairs of frequent words are rare, so pairs are counted by hash before any
+word of theirs travels (`frequent_pairs`, 2 to 3 bytes for each), and windows of
+2 words and more are counted only along pairs whose hash is frequent.
 Which words or pairs are frequent reaches the tasks as `Sketch`, a bit table
 of fixed size (`SKETCH_BITS`, 8 MB at any input size) that never misses one and
 may let a few others through: those are counted and then dropped by their
@@ -44,6 +48,10 @@ BURST, HELD = 16_384, 800_000
 #: bytes of text that enter the tries at once
 COUNTED_BYTES = 6 << 20
 SKETCH_BITS = 26
+#: hashes of pairs that a task holds before they leave
+PAIRS_HELD = 4 << 20
+#: a group of hashes is what one call adds up: at least so many for each shuffle partition, and one for so many words
+GROUPS_PER_PARTITION, GROUP_WORDS = 8, 1 << 20
 SEGMENT_BITS = 16
 TOP_SALTS = 32
 #: what ends a word of a window that travels; it sorts before all others, so words that hold it are escaped
@@ -125,18 +133,106 @@ def make_sketch(phrases: DataFrame, size: int = SKETCH_BITS) -> Sketch:
             at = np.unique(phrase_hashes(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()) >> np.uint64(64 - size)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> SEGMENT_BITS, pa.int32()), pa.array(at & (1 << SEGMENT_BITS) - 1, pa.int32())], ["segment", "at"])
 
+    return _sketch(phrases.select("lang", "phrase").mapInArrow(places, "segment int, at int"), size)
+
+
+def _sketch(places: DataFrame, size: int) -> Sketch:
+    """From rows (segment, at): the places of the bits that are set."""
     def filled(rows: pa.Table) -> pa.Table:
         bits = np.zeros(1 << SEGMENT_BITS, np.uint8)
         bits[rows.column("at").to_numpy()] = 1
         return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    marked = phrases.select("lang", "phrase").mapInArrow(places, "segment int, at int").distinct()
     table = np.zeros((1 << max(size - SEGMENT_BITS, 0), 1 << SEGMENT_BITS - 3), np.uint8)
-    for row in marked.groupBy("segment").applyInArrow(filled, "segment int, bits binary").collect():
+    for row in places.distinct().groupBy("segment").applyInArrow(filled, "segment int, bits binary").collect():
         table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return Sketch(table.ravel(), size)
 
 
+def pair_hashes(langs: list[str], texts: pa.Array, words: Sketch) -> np.ndarray:
+    """The hashes of (language, two neighbouring words of a piece), each occurrence, where both words may be frequent."""
+    found, piece, text = words_of(texts)
+    coded = found.dictionary_encode()
+    codes, own = coded.indices.to_numpy(), word_hashes(coded.dictionary.to_pylist())
+    languages, of_text = np.unique(np.array(langs, object), return_inverse=True)
+    hashes = mixed(word_hashes(lang.encode() for lang in languages.tolist())[of_text[text]], own[codes])
+    frequent = words.has(hashes)
+    at = np.flatnonzero((piece[:-1] == piece[1:]) & frequent[:-1] & frequent[1:])
+    return mixed(hashes[at], own[codes[at + 1]])
+
+
+def _tallied(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys in order, sum of the counts of each)."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begins], np.diff(np.append(begins, len(keys))) if counts is None else np.add.reduceat(counts, begins)
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    return len(values).to_bytes(8, "little") + (pa.compress(values.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _unzipped(data: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little") * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
+
+
+def frequent_pairs(rows: DataFrame, words: Sketch, least: int, occurrences: int, size: int = SKETCH_BITS, held: int = PAIRS_HELD) -> Sketch:
+    """The hashes of pairs of `words` that occur at least `least` times, or whose hash does. `rows` hold `occurrences` words.
+
+    A hash travels as the distance to the one before it in its group: sorted,
+    they are close, the closer the more there are.
+    """
+    wanted = max(GROUPS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), occurrences // GROUP_WORDS, 2)
+    bits = (wanted - 1).bit_length()  # a group's number is the first bits of its hashes; the next 32 tell them apart
+    shared = rows.sparkSession.sparkContext.broadcast((words.bits, words.size))
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = _tallied(np.concatenate(found))
+        group = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
+        short = (keys >> np.uint64(32 - bits)).astype(np.uint32)
+        columns = [], [], [], []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            steps = np.diff(short[a:b], prepend=np.uint32(0))
+            columns[0].append(int(group[a]))
+            columns[1].append(steps.astype(np.uint16).tobytes())
+            columns[2].append(_zipped((steps >> np.uint32(16)).astype(np.uint16)))
+            columns[3].append(_zipped(np.minimum(counts[a:b], least).astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "low", "high", "counts"])
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, found, n = Sketch(*shared.value), [], 0
+        for batch in slices(batches, "text", COUNTED_BYTES):
+            found.append(pair_hashes(batch.column("lang").to_pylist(), batch.column("text"), common))
+            n += len(found[-1])
+            if n > held:
+                yield packed(found)
+                found, n = [], 0
+        if n:
+            yield packed(found)
+
+    def often(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for low, high, count in zip(*(table.column(name).to_pylist() for name in ("low", "high", "counts"))):
+            steps = _unzipped(high, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(low, np.uint16)
+            keys.append(np.cumsum(steps, dtype=np.uint32))
+            counts.append(_unzipped(count, np.uint32).astype(np.int64))
+        different, sums = _tallied(np.concatenate(keys), np.concatenate(counts))
+        whole = np.uint64(table.column("part")[0].as_py()) << np.uint64(64 - bits) | different[sums >= least].astype(np.uint64) << np.uint64(32 - bits)
+        at = np.unique(whole >> np.uint64(64 - size)).astype(np.int64)
+        return pa.table({"segment": pa.array(at >> SEGMENT_BITS, pa.int32()), "at": pa.array(at & (1 << SEGMENT_BITS) - 1, pa.int32())})
+
+    dealt = rows.mapInArrow(hashed, "part int, low binary, high binary, counts binary")
+    return _sketch(dealt.groupBy("part").applyInArrow(often, "segment int, at int"), size)
+
+
 class HatTrie:
     """Counts of windows of word ids. Each edge of the trie is a word id.
 
@@ -281,7 +377,7 @@ class _Counter:
         return sum(trie.entries for trie in self.tries.values()) > self.held or len(self.names) > self.held
 
     def runs(self, most: int | None) -> Iterator[pa.RecordBatch]:
-        """Sorted runs of subtrees: (lang, phrase, count)."""
+        """Sorted runs of subtrees: (lang, phrase, count). Longer windows don't count for their first `shortest` words: those have rows of their own."""
         names = _escaped(pa.array(self.names, pa.large_binary()))
         for lang, trie in self.tries.items():
             parts, size = [], 0
@@ -296,6 +392,14 @@ class _Counter:
 
     def _run(self, lang: str, parts: list, names: pa.Array) -> Iterator[pa.RecordBatch]:
         windows, counts = (np.concatenate(list(column)) for column in zip(*parts))
+        if self.longest > self.shortest:
+            first = windows[:, :self.shortest]
+            order = np.lexsort(first.T[::-1])
+            begins = np.flatnonzero(np.concatenate([[True], (first[order[1:]] != first[order[:-1]]).any(axis=1)]))
+            longer = np.flatnonzero(windows[:, self.shortest] > 0)
+            heads = np.zeros((len(begins), self.longest), windows.dtype)
+            heads[:, :self.shortest] = first[order[begins]]
+            windows, counts = np.concatenate([heads, windows[longer]]), np.concatenate([np.add.reduceat(counts[order], begins), counts[longer]])
         words, end = (windows > 0).sum(axis=1), pa.scalar(END, pa.large_string())
         for length in range(self.shortest, self.longest + 1):
             own = np.flatnonzero(words == length)
@@ -326,6 +430,7 @@ def _merge(batches: Iterable[pa.RecordBatch], shortest: int, longest: int, least
 
     Windows that share their first words are neighbours, so each length is a
     run of equal beginnings; the last one of a batch may go on in the next.
+    Phrases of `shortest` words are counted by their own rows only.
     """
     names = ["lang", "phrase", "words", "f"]
     held: dict[int, tuple[tuple, int]] = {}
@@ -356,7 +461,7 @@ def _merge(batches: Iterable[pa.RecordBatch], shortest: int, longest: int, least
             if k + 1 < shortest:
                 continue
             begins = np.flatnonzero(new)
-            sums = np.add.reduceat(counts, begins)
+            sums = np.add.reduceat(np.where(length == shortest, counts, 0) if k + 1 == shortest else counts, begins)
             whole = codes[begins, k] > 0
             before = held.pop(k, None)
             if before:
@@ -393,7 +498,7 @@ def count_phrases(rows: DataFrame, shortest: int, longest: int, least: int, word
                     counter.forget()
         yield from counter.runs(None)
 
-    prefix = F.substring_index("phrase", END, shortest)
+    prefix = F.substring_index("phrase", END, min(shortest + 1, longest))
     ordered = rows.mapInArrow(runs, "lang string, phrase string, count bigint").repartition("lang", prefix).sortWithinPartitions("lang", "phrase")
     return ordered.mapInArrow(lambda batches: _merge(batches, shortest, longest, least), "lang string, phrase string, words int, f bigint")
 
@@ -406,10 +511,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     found = words.where(F.col("f") >= least)
     if longest > 1:
         common = make_sketch(found)
-        pairs = kept_table(count_phrases(rows, 2, 2, least, common), "pairs")
-        found = found.union(pairs)
-        if longest > 2:
-            found = found.union(kept_table(count_phrases(rows, 3, longest, least, common, make_sketch(pairs)), "phrases"))
+        pairs = frequent_pairs(rows, common, least, totals.agg(F.sum("n")).first()[0] or 0)
+        found = found.union(kept_table(count_phrases(rows, 2, longest, least, common, pairs), "phrases"))
     return found, totals
 
 

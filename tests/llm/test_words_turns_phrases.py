@@ -224,6 +224,37 @@ def test_a_sketch_misses_nothing(spark, size):
     assert sketch.has(collocations.phrase_hashes(*map(list, zip(*phrases)))).all()
 
 
+@pytest.mark.parametrize("held", [50, 10**6])
+def test_pairs_are_counted_by_hash(spark, held):
+    rng = random.Random(2)
+    rows = [(rng.choice(["en", "fr"]), " ".join(rng.choices([f"w{i}" for i in range(40)], range(1, 41), k=30)) + rng.choice([".", " "]) + "w1 w2") for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    counts = Counter((lang, f"{a} {b}") for lang, text in rows for piece in text.split(".") for a, b in zip(piece.split(" "), piece.split(" ")[1:]))
+    words = collocations.make_sketch(spark.createDataFrame([(lang, f"w{i}") for lang in ("en", "fr") for i in range(40)], "lang string, phrase string"))
+    sketch = collocations.frequent_pairs(docs, words, 10, 6400, held=held)
+    has = dict(zip(counts, sketch.has(collocations.phrase_hashes(*map(list, zip(*counts)))).tolist()))
+    assert all(has[pair] for pair, f in counts.items() if f >= 10)
+    assert sum(has[pair] for pair, f in counts.items() if f < 10) < 5 < sum(f < 10 for f in counts.values())
+
+
+def test_no_window_travels_before_its_pairs_are_counted(spark, monkeypatch):
+    passes, counted = [], collocations.count_phrases
+    def count(rows, shortest, longest, least, words=None, pairs=None, **more):
+        passes.append((shortest, longest, pairs is not None))
+        return counted(rows, shortest, longest, least, words, pairs, **more)
+    monkeypatch.setattr(collocations, "count_phrases", count)
+    docs = spark.createDataFrame([("en", "a b c a b c. c b a")] * 4, "lang string, text string")
+    found = {(r["phrase"], r["f"]) for r in collocations.frequent_phrases(docs, least=8)[0].collect()}
+    assert found == {("a", 12), ("b", 12), ("c", 12), ("a b", 8), ("b c", 8), ("a b c", 8)}
+    assert all(pairs for _, longest, pairs in passes if longest > 1)
+
+
+def test_a_pair_is_counted_where_its_windows_are_dealt_by_three_words(spark):
+    rows = spark.createDataFrame([("en", f"of the w{i % 300} x{i}") for i in range(3000)], "lang string, text string").repartition(3)
+    counted = collocations.count_phrases(rows, 2, 5, 10)
+    assert {tuple(r)[1:] for r in counted.collect()} == {("of the", 2, 3000)} | {(f"the w{i}", 2, 10) for i in range(300)} | {(f"of the w{i}", 3, 10) for i in range(300)}
+
+
 def test_tokenizers_that_normalise_are_refused(tmp_path):
     with open(WORDS, encoding="utf-8") as file:
         made = json.load(file)
