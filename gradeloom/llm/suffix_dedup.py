@@ -61,6 +61,8 @@ GROUP_BYTES = 16 << 20
 SHARD_STRINGS = 256
 #: windows whose anchors are found at once: few enough for their arrays to stay in a processor's cache
 PIECE = 1 << 16
+#: strings whose bytes are compared at once
+COMPARED = 1024
 #: around an anchor (bytes before it, bytes after it): each window holds one of these stretches
 STRETCHES = ((20, 0), (10, 11), (0, 21))
 #: bytes of strings that are merged at once
@@ -116,7 +118,9 @@ def _first_equal(data: np.ndarray, start: np.ndarray, length: np.ndarray, order:
         found[order[sort]] = order[np.minimum.reduceat(sort, np.flatnonzero(head))][np.cumsum(head) - 1]
     others = np.flatnonzero(found != np.arange(len(found)))
     first = found[others]
-    if (length[others] != length[first]).any() or (data[_places(start[others], length[others])] != data[_places(start[first], length[first])]).any():
+    if (length[others] != length[first]).any() or any(
+            (data[_places(start[a], length[a])] != data[_places(start[b], length[b])]).any()
+            for a, b in ((others[i:i + COMPARED], first[i:i + COMPARED]) for i in range(0, len(others), COMPARED))):
         seen: dict[bytes, int] = {}  # two strings with one hash
         raw = data.tobytes()
         for i in order.tolist():
@@ -198,7 +202,7 @@ class _Block:
         travels = self.first_owner(self.start, self.end, self.text) == self.ids[self.text]
         self.group = (mix64(self.key) % np.uint64(groups)).astype(np.int64)
         go = np.flatnonzero(travels)
-        self.go, self.done = go[np.argsort(self.group[go], kind="stable")], np.flatnonzero(~travels)
+        self.go, self.done = go[np.argsort(self.group[go].astype(np.min_scalar_type(groups)), kind="stable")], np.flatnonzero(~travels)
 
     def first_owner(self, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The smallest id of the block that has the same string."""
