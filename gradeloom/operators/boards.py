@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from gradeloom import fixed_values as fv
-from gradeloom.operators.integrity import split_trusted, with_taint
+from gradeloom.functions.text import squash
+from gradeloom.operators.integrity import split_trusted, taint_of_compared
+from gradeloom.operators.membership import maybe_in
 from gradeloom.operators.outcomes import with_state
 from gradeloom.operators.resampling import bootstrap
-from gradeloom.operators.similarity import compare_answers
+from gradeloom.operators.similarity import answer_digest, compare_answers, compare_digests
 from gradeloom.session import cut_lineage
 
 STAGES = ("diagnose", "repair", "repair_given")
@@ -216,9 +218,36 @@ def decision_board(rows: DataFrame, tasks: DataFrame, lanes: DataFrame, panel: i
     return board_of_marks(_mark(trusted, "first_seen", "error_class"), panel, min_coverage, show_exhausted)
 
 
-def decision_marks(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> DataFrame:
-    """What the board needs of each row (with `first_seen`), without its texts; `taint` marks the quarantined ones."""
-    return _mark(with_taint(with_state(rows), tasks, lanes), "ts", "first_seen", "error_class", "taint")
+def decision_marks(rows: DataFrame, tasks: DataFrame, lanes: DataFrame,
+                   keep: Callable[[DataFrame, str], DataFrame] = lambda step, name: cut_lineage(step)) -> DataFrame:
+    """What the board needs of the newest row per (model, task), without its texts; `taint` marks the quarantined ones.
+
+    Answers stay where they are read, so no shuffle, sort or store holds them; `rows` is read three times. First only for
+    each task's newest time. Then the rows of that time become state, numbers and digest, of which the newest meets the
+    task digests. Last for the texts of the rows that this leaves open. `keep` stores the narrow rows of a step.
+    """
+    stamp = F.coalesce("ts", F.lit(0)).cast("bigint")
+    newest = keep(rows.groupBy("model", "task_id").agg(F.max(stamp).alias("ts"), F.min("ingest_seq").alias("first_seen")), "newest")
+    of_time = lambda times: maybe_in(rows, ["model", "task_id", stamp], times.select("model", "task_id", stamp.alias("ts")))
+    norm = squash(F.col("repair.candidate"))
+    described = with_state(of_time(newest)).withColumn("_norm", norm).select(
+        "model", "task_id", "ts", "ingest_seq", F.struct(
+            "state", "error_class", "combined", *[c for c in ("tainted", "taint_reason") if c in rows.columns],
+            F.struct(*[f"diagnose.{c}" for c in ("total", "location_match", "judge_agreement", "latency_ms")]).alias("diagnose"),
+            F.struct(*[f"repair.{c}" for c in ("total", "patch_reproduction", "judge_agreement", "latency_ms")]).alias("repair"),
+            answer_digest(F.col("_norm")).alias("answer")).alias("row"))
+    first = newest.select(F.col("model").alias("_model"), F.col("task_id").alias("_task"), "first_seen")
+    latest = latest_per_task(described).drop("first_seen").join(
+        first, F.col("model").eqNullSafe(F.col("_model")) & F.col("task_id").eqNullSafe(F.col("_task"))).select(
+        "model", "task_id", "ts", "ingest_seq", "first_seen", "row.*")
+
+    def texts(undecided):
+        read = of_time(undecided).select(norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+        return maybe_in(read, ["sha"], undecided.select("answer.sha")).groupBy("sha").agg(F.first("norm").alias("norm"))
+
+    tried = maybe_in(tasks, ["task_id"], newest.select("task_id"))
+    compared = compare_digests(latest, tried, texts, keep, how="left")
+    return _mark(taint_of_compared(compared, lanes), "ts", "first_seen", "error_class", "taint")
 
 
 def board_of_marks(scored: DataFrame, panel: int = 20, min_coverage: int | None = None, show_exhausted: bool = False) -> DataFrame:

@@ -24,9 +24,14 @@ def with_taint(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> DataFrame
 
     A stored taint is authoritative; the detector may add one, never clear one.
     """
-    compared = with_lanes(compare_answers(rows, tasks, F.col("repair.candidate"), how="left"), lanes)
+    return taint_of_compared(compare_answers(rows, tasks, F.col("repair.candidate"), how="left"), lanes)
+
+
+def taint_of_compared(compared: DataFrame, lanes: DataFrame) -> DataFrame:
+    """`with_taint` of rows that were compared with their tasks."""
+    rows = with_lanes(compared, lanes)
     leak = F.col("verbatim") & F.col("can_read")
-    return compared.withColumn("taint", F.when(stored_taint(rows), "stored").when(leak, "file_read_leak"))
+    return rows.withColumn("taint", F.when(stored_taint(rows), "stored").when(leak, "file_read_leak"))
 
 
 def split_trusted(rows: DataFrame, tasks: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:

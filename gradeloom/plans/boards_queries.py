@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from gradeloom import fixed_values as fv
 from gradeloom.operators import boards, integrity, outcomes
+from gradeloom.operators.membership import maybe_in
 from gradeloom.operators.resampling import bootstrap
 from gradeloom.plans import sqltext
 from gradeloom.plans.registry import query
 from gradeloom.plans.staging import fresh_path
 from gradeloom.plans.views import answered_runs, lanes, runs, tasks, with_views
 from gradeloom.schemas import RESULT
+from gradeloom.session import shuffles_cleaned
 from gradeloom.streaming.live_board import LiveDecisionBoard, result_stream
 
 R, SEED = fv.BOARD_REPLICATES, fv.BOARD_SEED
@@ -272,17 +274,20 @@ def live_decision_board(spark, sf):
     """All result rows, older ones too, arrive in files of which a batch reads some.
 
     The rows of a task come in two arrivals, each written as its join leaves it, ordered by task: so nothing moves the
-    answers once more, and the answers to a task, which repeat its texts, lie together and compress.
+    answers once more, and the answers to a task, which repeat its texts, lie together and compress. Texts of tasks without
+    a result stay where they are, and a query's shuffle files go with it.
     """
     source, state, check = (fresh_path(spark, n) for n in ("incoming", "live-marks", "live-marks-checkpoint"))
-    for arrival in range(ARRIVALS):
-        some = runs(spark, sf).filter(F.pmod(F.xxhash64("ingest_seq"), F.lit(ARRIVALS)) == arrival)
-        rows = answered_runs(spark, sf, some)
-        rows.select(*[f.name for f in RESULT if f.name in rows.columns], "ingest_seq").write.mode("append").json(source, compression="gzip")
-    files = len(spark.read.text(source).inputFiles())
-    board = LiveDecisionBoard(spark, state, tasks(spark, sf), lanes(spark, sf))
-    stream = result_stream(spark, source, numbered=True, maxFilesPerTrigger=max(1, -(-files // ARRIVALS)))
-    board.start(stream, check, availableNow=True).awaitTermination()
+    with shuffles_cleaned(spark):
+        tried = maybe_in(tasks(spark, sf), ["task_id"], runs(spark, sf).select("task_id").distinct())
+        for arrival in range(ARRIVALS):
+            some = runs(spark, sf).filter(F.pmod(F.xxhash64("ingest_seq"), F.lit(ARRIVALS)) == arrival)
+            rows = answered_runs(spark, sf, some, tried)
+            rows.select(*[f.name for f in RESULT if f.name in rows.columns], "ingest_seq").write.mode("append").json(source, compression="gzip")
+        files = len(spark.read.text(source).inputFiles())
+        board = LiveDecisionBoard(spark, state, tasks(spark, sf), lanes(spark, sf))
+        stream = result_stream(spark, source, numbered=True, maxFilesPerTrigger=max(1, -(-files // ARRIVALS)))
+        board.start(stream, check, availableNow=True).awaitTermination()
     return board.board()
 
 

@@ -45,13 +45,14 @@ GUARD = "\nif not ready(x):\n    return None\n"
 
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as tasks: the next document is the reference fix."""
-    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("nxt"))
+    """documents as tasks: the next document is the reference fix. The texts meet by task, as other tables join them, and so move once."""
+    named = lambda doc_id: F.concat(F.lit("B"), doc_id.cast("string")).alias("task_id")
+    d = read(spark, sf, "documents").select(named(F.col("doc_id")), "doc_id", "text", "lang", "source")
+    nxt = read(spark, sf, "documents").select(named(F.col("doc_id") - 1), F.col("text").alias("nxt"))
     goal = (F.when(F.col("doc_id") % 3 == 0, "the loader crashes on empty input")
             .when(F.col("doc_id") % 3 == 1, "add support for naming").otherwise("continue"))
-    return d.join(nxt, "doc_id", "left").select(
-        F.concat(F.lit("B"), F.col("doc_id").cast("string")).alias("task_id"), F.col("lang").alias("language"),
+    return d.join(nxt, "task_id", "left").select(
+        "task_id", F.col("lang").alias("language"),
         F.col("source").alias("file_name"), goal.alias("goal"), F.col("text").alias("buggy"),
         F.coalesce("nxt", "text").alias("reference_fix"), F.col("doc_id").alias("ingest_seq"))
 
@@ -167,10 +168,10 @@ def lanes(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("can_read", F.col("model").isin("click", "view"))
 
 
-def answered_runs(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+def answered_runs(spark: SparkSession, sf: str, rows: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Runs of known tasks whose answer is built from the task's own texts."""
     r = runs(spark, sf) if rows is None else rows
-    t = tasks(spark, sf).select("task_id", F.col("buggy").alias("_b"), F.col("reference_fix").alias("_f"))
+    t = (tasks(spark, sf) if known is None else known).select("task_id", F.col("buggy").alias("_b"), F.col("reference_fix").alias("_f"))
     k = F.col("k")
     answer = (F.when(k.between(23, 27), F.col("_f")).when(k.between(28, 32), F.col("_b"))
               .when(k.between(20, 22) | k.between(33, 35) | k.between(40, 45), F.col("repair.candidate"))

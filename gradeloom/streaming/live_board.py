@@ -24,14 +24,14 @@ class LiveBoard:
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         """The foreachBatch function. Rows without `ingest_seq` arrive in the order of batches, then as their files say."""
-        self._in_order(rows, batch_id).drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        latest_per_task(self._in_order(rows, batch_id)).drop("first_seen").write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
 
     def _in_order(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """The batch's newest row per (model, task)."""
+        """The batch's rows with their `ingest_seq`."""
         if "ingest_seq" not in rows.columns:
             row = F.struct("arrival.*", F.monotonically_increasing_id().alias("row")) if "arrival" in rows.columns else F.struct(F.monotonically_increasing_id().alias("row"))
             rows = rows.withColumn("ingest_seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch"), row.alias("place"))).drop("arrival")
-        return latest_per_task(rows.drop("arrival"))
+        return rows.drop("arrival")
 
     def start(self, rows: DataFrame, checkpoint: str, **trigger):
         return (rows.writeStream.foreachBatch(self.write_batch).option("checkpointLocation", checkpoint)
@@ -78,7 +78,7 @@ class LiveDecisionBoard(LiveBoard):
     """The decision board, kept current by a stream of result rows.
 
     The state is one mark per (model, task) without texts: a batch compares
-    only its own answers with the task texts. A newer row of a task replaces
+    only its own newest answers with the task texts. A newer row of a task replaces
     the older mark, so what the older one gave to its model is taken back, and
     a quarantined row hides the older trusted one. After each batch the
     models that it names are counted again from their marks and written under
@@ -92,12 +92,18 @@ class LiveDecisionBoard(LiveBoard):
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         delta = f"{self.path}/deltas/batch={batch_id}"
-        decision_marks(self._in_order(rows, batch_id), self.tasks, self.lanes).write.mode("overwrite").parquet(delta)
+        decision_marks(self._in_order(rows, batch_id), self.tasks, self.lanes, self._keep).write.mode("overwrite").parquet(delta)
         named = self.spark.read.parquet(delta).select("model").distinct()
         # a model that has no trusted row left gets an empty line
         lines = named.join(self._count(self.rows().join(named, "model", "left_semi")), "model", "left")
         lines.write.mode("overwrite").parquet(f"{self.path}/boards/batch={batch_id}")
 
+    def _keep(self, step: DataFrame, name: str) -> DataFrame:
+        """The rows of a batch's step, stored until the next batch."""
+        path = f"{self.path}/steps/{name}"
+        step.write.mode("overwrite").parquet(path)
+        return step.sparkSession.read.parquet(path)
+
     def _for_base(self, rows: DataFrame) -> DataFrame:
         return rows
 

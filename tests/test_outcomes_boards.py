@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import boards, integrity, outcomes
+from gradeloom.operators.membership import maybe_in
 from gradeloom.plans import boards_queries
 from gradeloom.schemas import RESULT
 from gradeloom.streaming.live_board import LiveDecisionBoard
@@ -190,3 +193,63 @@ def test_live_decision_board_keeps_little_of_the_answers_on_disk(rows, spark, tm
     answers = arrived.agg(F.sum(F.octet_length("repair.candidate"))).first()[0]
     assert answers > 20 * sum(f.stat().st_size for f in files)
     assert sorted(p.name for p in (tmp_path / "live-marks" / "boards").iterdir() if p.is_dir()) == ["batch=0", "batch=1"]
+
+
+def test_marks_of_a_batch_are_those_of_its_newest_rows(results, rows):
+    near, rewritten = BUGGY + "!", "def g(y):\n    return y * 3  # another function, though about as long as the former one is"
+    answer = lambda text: {"repair": {"candidate": text, "judge_agreement": 1.0, "latency_ms": 7}, "diagnose": {"location_match": 1.0, "judge_agreement": 0.9, "total": 0.5}}
+    texts = (CODE + " 0", BUGGY, near, rewritten, "just words", None)
+    df = results(*[{"model": m, "task_id": f"t{i}", "ts": ts, "combined": 0.1 * k, **answer(text)}
+                   for k, (m, text) in enumerate((m, text) for m in ("a", "b", None) for text in texts) for i, ts in ((k % 3, -k), (k, k))],
+                 *[{"model": "a", "task_id": "t0", "ts": ts, **answer(near)} for ts in (None, 50, 50)],
+                 {"model": "a", "task_id": None, **answer(near)}, {"model": "a", "task_id": "unknown", **answer(near)},
+                 {"model": "a", "task_id": "t19", **answer(CODE + " 19")}, {"model": "c", "task_id": "t0", "ts": 3, "tainted": "x"}, {"model": "c", "task_id": "t1", "repair_error": "HTTP 429"})
+    lanes = rows("model string, can_read boolean", ("a", True), ("b", False))
+    twice = tasks(rows).unionByName(tasks(rows, 2).drop("reference_fix").withColumn("reference_fix", F.concat(F.lit(CODE), F.lit(" "), F.substring("task_id", 2, 1))))
+    asked = []
+    got = boards.decision_marks(df, twice, lanes, lambda step, name: asked.append(name) or step.cache())
+    want = boards._mark(integrity.with_taint(outcomes.with_state(boards.latest_per_task(df)), twice, lanes), "ts", "first_seen", "error_class", "taint")
+    lines = lambda marks: sorted(map(str, marks.collect()))
+    assert got.columns == want.columns and lines(got) == lines(want) and asked == ["newest", "digested"]
+    assert got.filter("untouched AND task_id = 't0' AND model = 'a'").count() == 4 and got.filter("taint = 'file_read_leak'").count() > 0
+    assert lines(boards.decision_marks(df.limit(0), twice, lanes)) == []
+
+
+def test_maybe_in_keeps_every_row_of_the_keys(spark):
+    keys = spark.range(0, 3000, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), F.concat(F.lit("k"), "id").alias("b"))
+    found = {r.id for r in maybe_in(spark.range(100_000), [F.when(F.col("id") > 0, F.col("id")), F.concat(F.lit("k"), "id")], keys).collect()}
+    assert found >= set(range(0, 3000, 3)) and len(found) < 100_000 / 8
+    assert maybe_in(spark.range(1000), ["id"], spark.range(0)).count() == 0
+
+
+def test_live_decision_board_shuffles_no_answer(rows, spark, tmp_path, monkeypatch):
+    """Answers are many times their tasks' texts; the shuffle files at any time are about one copy of the texts at hand."""
+    from threading import Event, Thread
+    text = lambda i: " ".join(f"{(i * 7919 + n * n * 104729) % 2**31:x} = f(x)" for n in range(1500))
+    rows("doc_id long, text string, lang string, source string", *[(i, text(i), "en", "s") for i in range(40)]).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(n, n % 40, f"m{n // 40}", float(n % 97), f'{{"k": {50 + n % 45}}}') for n in range(1200)]
+    rows("event_id long, user_id long, event_type string, value double, props string", *events).withColumn(
+        "ts", F.timestamp_seconds("event_id").cast("timestamp_ntz")).repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(boards_queries, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    found = lambda: {p: p.stat().st_size for f in folders for p in Path(f).rglob("shuffle_*") if p.exists()}
+    before, most, ended = set(found()), [0], Event()
+
+    def watch():
+        while not ended.wait(0.02):
+            try:
+                most.append(sum(size for p, size in found().items() if p not in before))
+            except FileNotFoundError:
+                pass
+    watcher = Thread(target=watch)
+    watcher.start()
+    try:
+        board = boards_queries.live_decision_board(spark, str(tmp_path))
+    finally:
+        ended.set()
+        watcher.join()
+    got = board.collect()
+    assert sorted(got) == sorted(boards_queries.decision_board(spark, str(tmp_path)).collect()) and len(got) == 30
+    texts = sum(len(text(i)) for i in range(40))
+    assert max(most) < 4 * texts
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
